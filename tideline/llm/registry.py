@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
+    "op1_decontaminate": decontaminate.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
