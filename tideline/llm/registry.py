@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup
+from . import decontaminate, exact_dedup, jaccard_join
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
