@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int, kept: list = [np.ones(1, U64)]) -> np.ndarray:  # noqa: B006
     while len(kept[0]) < n:
         p = kept[0]
-        kept[0] = np.concatenate([p, p * (p[-1] * _BASE)])
+        kept[0] = np.concatenate([p, p * (p[-1:] * _BASE)])
     return kept[0]
 
 
@@ -51,6 +51,8 @@ class Piece:
     data: np.ndarray  # lower-cased bytes
     start: np.ndarray  # int64, first byte of each word
     stop: np.ndarray
+    raw: np.ndarray  # bytes as they came
+    off: np.ndarray  # int64, where each row's bytes begin, rows + 1
 
     def doc(self) -> np.ndarray:
         """Row within the piece of each word."""
@@ -73,15 +75,16 @@ def pieces(col: pa.Array | pa.ChunkedArray, inside: np.ndarray, size: int = PIEC
     row, n = 0, len(off) - 1
     while row < n:
         last = max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1)
-        yield _piece(_LOWER[data[off[row] : off[last]]], off[row : last + 1] - off[row], inside, row)
+        yield _piece(data[off[row] : off[last]], off[row : last + 1] - off[row], inside, row)
         row = last
 
 
-def _piece(b: np.ndarray, off: np.ndarray, inside: np.ndarray, row: int) -> Piece:
+def _piece(raw: np.ndarray, off: np.ndarray, inside: np.ndarray, row: int) -> Piece:
+    b = _LOWER[raw]
     rows, n = len(off) - 1, len(b)
     if not n:
         none = np.zeros(0, np.int64)
-        return Piece(row, rows, np.zeros(0, U64), np.zeros(rows + 1, np.int64), b, none, none)
+        return Piece(row, rows, np.zeros(0, U64), np.zeros(rows + 1, np.int64), b, none, none, raw, off)
     word = inside[b]
     edge = np.zeros(n + 1, bool)
     edge[off] = True  # a text ends here
@@ -91,7 +94,7 @@ def _piece(b: np.ndarray, off: np.ndarray, inside: np.ndarray, row: int) -> Piec
     stop = np.flatnonzero(word & (~after | edge[1:])) + 1
     begin = np.searchsorted(start, off)
     if not len(start):
-        return Piece(row, rows, np.zeros(0, U64), begin, b, start, stop)
+        return Piece(row, rows, np.zeros(0, U64), begin, b, start, stop, raw, off)
     b0, w0 = b[start[0] :], word[start[0] :]
     at = np.arange(len(b0)) - np.repeat(start - start[0], np.diff(np.append(start, n)))
     at[~w0] = 0
@@ -99,7 +102,7 @@ def _piece(b: np.ndarray, off: np.ndarray, inside: np.ndarray, row: int) -> Piec
     term *= _powers(int((stop - start).max()))[at]
     term[~w0] = 0
     h = np.add.reduceat(term, start - start[0])
-    return Piece(row, rows, mix(h + (stop - start).astype(U64)), begin, b, start, stop)
+    return Piece(row, rows, mix(h + (stop - start).astype(U64)), begin, b, start, stop, raw, off)
 
 
 def grams(p: Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
