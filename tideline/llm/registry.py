@@ -1,12 +1,13 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, quality, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_quality": quality.op3_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op4_secrets": secrets.op4_secrets,
     "op5_pack": packing.op5_pack,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
