@@ -45,7 +45,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014). A round is two aggregations and two joins over
     the edges, so no node's neighbours are gathered in one row; a very common node is split by AQE's skew join. The
-    edges of each round are written to the shared folder. An empty input gives an empty result."""
+    edges of each round are written to the shared folder. Merge joins at every size, as both sides grow with the input. An empty input gives an empty result."""
     spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
@@ -54,10 +54,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Large star: every neighbour larger than u points to the smallest of u and its neighbours.
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where(b > a).join(low, F.col("a") == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where(b > a).join(low.hint("merge"), F.col("a") == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).distinct()
         # Small star: u and its smaller neighbours point to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        pairs = large.join(low, F.col("a") == F.col("u"))
+        pairs = large.join(low.hint("merge"), F.col("a") == F.col("u"))
         small = pairs.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = written(small.distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
