@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, suffix_tree, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op4_secrets": secrets.op4_secrets,
     "op5_pack": packing.op5_pack,
+    "op7_suffix_tree": suffix_tree.op7_suffix_tree,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
