@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, suffix_tree, toxicity
+from . import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, suffix_tree, toxicity, training_order
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_pack": packing.op5_pack,
     "op7_suffix_tree": suffix_tree.op7_suffix_tree,
+    "op8_training_order": training_order.op8_training_order,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
