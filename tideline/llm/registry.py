@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, suffix_tree, toxicity, training_order
+from . import decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, substring_dedup, suffix_tree, toxicity, training_order
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pack": packing.op5_pack,
     "op7_suffix_tree": suffix_tree.op7_suffix_tree,
     "op8_training_order": training_order.op8_training_order,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
