@@ -51,13 +51,13 @@ def xxhash64_of(keys: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def screened(df: DataFrame, hashed: Column, shared) -> DataFrame:
-    """The rows of ``df`` whose ``hashed`` (F.xxhash64 of their key) may be in the bitmap."""
+def screened(df: DataFrame, hashed: Column, shared, there: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``hashed`` (F.xxhash64 of their key) may be in the bitmap, or else those that are not."""
     whole = df.withColumn("_slot", hashed)
 
     def keep(batches):
         for batch in batches:
             at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit(shared.value, at)))
+            yield batch.filter(pa.array(hit(shared.value, at) == there))
 
     return whole.mapInArrow(keep, whole.schema).drop("_slot")

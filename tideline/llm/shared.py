@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,20 @@ def fold(doc_id: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` (a long) isn't in the one column of ``dropped``.
+
+    A bitmap of bounded size lets most rows pass; the others meet the dropped keys in a join, so few texts are moved."""
+    from .bitmap import bitmap, screened
+
+    (name,) = dropped.columns
+    shared = bitmap(dropped.distinct(), name)
+    keyed = docs.withColumn("_key", key)
+    hashed = F.xxhash64("_key")
+    maybe = screened(keyed, hashed, shared).join(dropped.select(F.col(name).alias("_key")).hint("merge"), "_key", "left_anti")
+    return screened(keyed, hashed, shared, there=False).unionByName(maybe).select(*docs.columns)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (node, root), root the smallest node reached.
 
