@@ -61,13 +61,15 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(row, w, rows))))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3) -> Model:
-    """FTRL-proximal, one document at a time; the bias has no penalty."""
+def fit(flat: np.ndarray, begin: np.ndarray, y: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3) -> Model:
+    """FTRL-proximal, one document at a time, of the slots flat[begin[i]:begin[i + 1]]; the bias has no penalty."""
     if not len(y):
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
-    known, count = np.unique(np.concatenate(docs), return_counts=True)
-    known = known[count > 1]
-    docs = [np.append(np.searchsorted(known, s[np.isin(s, known, assume_unique=True)]), len(known)) for s in docs]
+    often = np.bincount(flat, minlength=1 << SLOTS) > 1
+    known = np.flatnonzero(often)
+    place = (np.cumsum(often) - 1).astype(np.int32)
+    size = np.add.reduceat(np.append(often[flat], False).astype(np.int64), begin[:-1]) * (np.diff(begin) > 0)
+    flat, begin = place[flat[often[flat]]], np.concatenate([[0], np.cumsum(size)])
     z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     pen = np.append(np.full(len(known), l1), 0.0)
 
@@ -78,7 +80,7 @@ def fit(docs: list[np.ndarray], y: np.ndarray, alpha: float = 0.5, beta: float =
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         for d in rng.permutation(len(y)):
-            i = docs[d]
+            i = np.append(flat[begin[d] : begin[d + 1]], np.int32(len(known)))
             w = weights(i)
             g = 1 / (1 + np.exp(-w.sum().clip(-35, 35))) - y[d]
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
@@ -98,8 +100,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, most: int = SAMPLE) -> Model:
     kind = dict(docs.dtypes)["doc_id"]
     rows = sample(docs, labels, "toxic", mod, held, most).mapInArrow(_features, f"doc_id {kind}, y double, x array<int>")
-    got = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit([np.asarray(v, np.int32) for v in got["x"]], got["y"].to_numpy(float))
+    got = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    x = got["x"].combine_chunks()
+    begin = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return fit(x.flatten().to_numpy(), begin, got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, mod: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
