@@ -1,7 +1,7 @@
 """All queries of the library outside the optional subpackage, and their SQL."""
 
-from . import prepare, work
+from . import prepare, study, work
 
-MODULES = [prepare, work]
+MODULES = [prepare, work, study]
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
