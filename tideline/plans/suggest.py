@@ -183,7 +183,7 @@ SQL = {
       SELECT user_id, insight, subject, priority, score, CASE WHEN score >= 0.66 THEN 'HIGH' WHEN score >= 0.33 OR priority = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS band, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, insight, subject) AS INT) AS position FROM sc""", "task_events", "interruptions"),
     "g9_current_predictions": with_views("SELECT id, task_id, event_time AS valid_from, lead(event_time) OVER w AS valid_until, lead(event_time) OVER w IS NULL AS is_current FROM task_events WINDOW w AS (PARTITION BY task_id ORDER BY event_time, id)", "task_events"),
     "g10_feedback": f"WITH {_FB}, {_FST} SELECT * FROM fs",
-    "g11_follow_up": f"WITH {_FB}, {_FST} SELECT rec_id, sha256('follow-up|' || rec_id)[1:12] AS task_id, fs."at" + INTERVAL 24 HOUR AS deadline_at FROM fs WHERE status = 'accepted'",
+    "g11_follow_up": f"WITH {_FB}, {_FST} SELECT rec_id, sha256('follow-up|' || rec_id)[1:12] AS task_id, fs.\"at\" + INTERVAL 24 HOUR AS deadline_at FROM fs WHERE status = 'accepted'",
     "g12_faithful_numbers": r"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\d+(?:\.\d+)?'), lambda x: TRY_CAST(x AS DOUBLE)) AS v, [turn::DOUBLE, conv_id::DOUBLE, 0.5] AS p FROM conversations), b AS (SELECT conv_id, turn, CAST(len(list_filter(v, lambda x: x NOT IN (0, 1, 2) AND len(list_filter(p, lambda q: abs(x - q) <= 0.6 OR abs(x - q * 100) <= 0.6)) = 0)) AS INT) AS unfaithful FROM c) SELECT conv_id, turn, coalesce(unfaithful, 0) AS unfaithful, coalesce(unfaithful, 0) = 0 AS faithful FROM b""",
     "p1_frequency": with_views(f"WITH {CTX}, fg AS (SELECT task_category, context, avg(num_interruptions / nullif(session_duration_seconds, 0)) AS rate, count(*) AS n FROM cs GROUP BY ALL HAVING count(*) >= 5), z AS (SELECT *, (rate - avg(rate) OVER ()) / stddev_pop(rate) OVER () AS z FROM fg) SELECT task_category, context, n, round(z, 6) AS z, round(least(greatest(z / 4, 0), 1), 6) AS confidence FROM z WHERE z >= 1", "context_events"),
     "p2_resume_delay": with_views(f"WITH {CTX}, s AS (SELECT *, list_filter(interruption_durations_seconds, lambda x: x <= 36000) AS sh FROM cs) SELECT user_id, task_id, seq, round(list_avg(resume_delays_seconds), 6) AS avg_delay, round(list_avg(sh), 6) AS avg_short FROM s WHERE num_interruptions >= 2 AND len(sh) >= 1 AND len(resume_delays_seconds) >= 1 AND list_avg(resume_delays_seconds) >= 2 * list_avg(sh)", "context_events"),
