@@ -69,8 +69,8 @@ def ranked(s, sf):
 def prioritised(s, sf):
     p = _predictions(s, sf)
     recs = p.select("user_id", "task_id", F.round(F.col("n") / 40, 6).alias("confidence"))
-    risk = p.where("task_id % 3 > 0").select("user_id", "task_id", F.col("probability").alias("risk"))
-    return associate.prioritise(recs, risk).withColumn("priority", F.round("priority", 5))
+    risk = p.where("task_id % 3 > 0").select("user_id", "task_id", F.round("probability", 4).alias("risk"))
+    return associate.prioritise(recs, risk)
 
 
 def predictions_view(s, sf):
@@ -177,7 +177,7 @@ SQL = {
       d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY visit_id, consequent ORDER BY lift DESC, weighted_confidence DESC, antecedent) = 1)
       SELECT * FROM (SELECT visit_id, consequent, antecedent, lift, weighted_confidence, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY weighted_confidence DESC, lift DESC, support DESC, consequent) AS INT) AS position FROM d) WHERE position <= 5""", "baskets"),
     "g2_cooldown": with_views("WITH s AS (SELECT id, user_id, task_id, epoch_us(event_time) // 1000000 AS t FROM task_events WHERE event_type IN ('resumed', 'paused')) SELECT id, coalesce(t < max(t + 3600) OVER (PARTITION BY user_id, task_id ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hidden FROM s", "task_events"),
-    "g3_prioritise": with_views(f"WITH {_PRED} SELECT user_id, task_id, round(n / 40.0, 6)::DOUBLE AS confidence, CASE WHEN task_id % 3 > 0 THEN probability END AS risk, round(CASE WHEN task_id % 3 > 0 THEN 0.5 * round(n / 40.0, 6)::DOUBLE + 0.5 * probability ELSE round(n / 40.0, 6)::DOUBLE END, 5) AS priority FROM pd", "task_events"),
+    "g3_prioritise": with_views(f"WITH {_PRED} SELECT user_id, task_id, round(n / 40.0, 6)::DOUBLE AS confidence, CASE WHEN task_id % 3 > 0 THEN round(probability, 4) END AS risk, round(CASE WHEN task_id % 3 > 0 THEN 0.5 * round(n / 40.0, 6)::DOUBLE + 0.5 * round(probability, 4) ELSE round(n / 40.0, 6)::DOUBLE END, 6) AS priority FROM pd", "task_events"),
     "g4_detectors": with_views(f"WITH {_DET} SELECT * FROM det", "task_events", "interruptions"),
     "g6_ranking": with_views(f"""WITH {_DET}, k AS (SELECT *, count(*) OVER (PARTITION BY user_id, insight) AS c FROM det), sc AS (SELECT *, round(0.3 * least(1, c / 10.0) + 0.25 * least(1, coalesce(minutes, 0) / 60) + 0.25 * coalesce(confidence, 0.5) + CASE WHEN c > 1 THEN 0.1 ELSE 0 END + 0.05 + 0.05 * CASE WHEN priority = 'HIGH' THEN 1.0 ELSE 0.5 END, 6) AS score FROM k)
       SELECT user_id, insight, subject, priority, score, CASE WHEN score >= 0.66 THEN 'HIGH' WHEN score >= 0.33 OR priority = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS band, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, insight, subject) AS INT) AS position FROM sc""", "task_events", "interruptions"),
