@@ -15,6 +15,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
+    "op2_jaccard_join": jaccard_join.SQL,
     "op1_decontaminate": decontaminate.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
