@@ -1,6 +1,8 @@
 """Cases with known answers."""
 
 import datetime as dt
+import math
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -77,6 +79,24 @@ def test_rules(spark):
     assert associate.acceptance_weights(f, "k").first().weight == 5.0
 
 
+def test_rules_of_itemsets_of_every_size(spark):
+    for k in (6, 13):
+        items = [f"i{j:02}" for j in range(k)]
+        sets = [(list(c), 5) for r in range(1, k + 1) for c in combinations(items, r)] if k == 6 else [(items, 5), *(([i], 5) for i in items), *((items[:j] + items[j + 1 :], 5) for j in range(k))]
+        got = [(tuple(r.antecedents), tuple(r.consequents)) for r in associate.rules(spark.createDataFrame(sets, "itemset array<string>, freq long"), 5, 0.5).collect()]
+        assert len(got) == len(set(got)) and all(sorted(a + c) == list(items) for a, c in got if len(a + c) == k)
+        if k == 6:  # every set of m items has 2**m - 2 rules
+            assert len(got) == sum(math.comb(6, m) * (2**m - 2) for m in range(2, 7))
+        else:  # those whose sides are both among the sets
+            assert len(got) == 2 * 13
+
+
+def test_long_numbers_are_checked(spark):
+    texts = ["it took 3.14159265 h", "order 12345678901234", "order 98765432109876543210", "it took 2.71828182 h", "2 of 7"]
+    d = spark.createDataFrame([(i, t, [2.3, 0.07]) for i, t in enumerate(texts)], "i int, text string, payload array<double>")
+    assert [r.unfaithful for r in associate.unfaithful_numbers(d, "text", "payload").orderBy("i").collect()] == [1, 1, 1, 0, 0]
+
+
 def test_ranking_quality(spark):
     d = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)], "y int, p double")
     r = learn.ranking_quality(d, "y", "p").first()

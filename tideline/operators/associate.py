@@ -21,11 +21,14 @@ def itemsets(items: DataFrame, support: float) -> DataFrame:
     return FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(items.select("items")).freqItemsets.select(F.array_sort("items").alias("itemset"), "freq")
 
 
-def rules(sets: DataFrame, n: int, confidence: float, lift: float = 0.0, size: int = 4) -> DataFrame:
-    """Every antecedent and consequent of each itemset, with the usual measures. Subsets are masks of at most ``size``
-    items; conviction is null where confidence is 1."""
-    wide = sets.where((F.size("itemset") >= 2) & (F.size("itemset") <= size))
-    masks = wide.withColumn("m", F.explode(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("itemset")) - 2).cast("int"))))
+def rules(sets: DataFrame, n: int, confidence: float, lift: float = 0.0) -> DataFrame:
+    """Every antecedent and consequent of each itemset of any size, with the usual measures; conviction is null where
+    confidence is 1. Subsets are bit masks, exploded by their high and then their low bits, so that no array of masks
+    is long."""
+    bits, low = F.size("itemset"), F.least(F.size("itemset"), F.lit(12))
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("long") - 1)
+    wide = sets.where(bits >= 2).withColumn("hi", F.explode(upto(bits - low))).withColumn("lo", F.explode(upto(low)))
+    masks = wide.withColumn("m", F.col("hi") * 4096 + F.col("lo")).where((F.col("m") > 0) & (F.col("m") < F.pow(F.lit(2), bits).cast("long") - 1))
     pick = lambda want: F.filter("itemset", lambda x, i: F.call_function("getbit", F.col("m"), i) == want)
     d = masks.select(pick(1).alias("antecedents"), pick(0).alias("consequents"), "freq")
     a = sets.select(F.col("itemset").alias("antecedents"), F.col("freq").alias("fa"))
@@ -150,7 +153,7 @@ def follow_up_tasks(stats: DataFrame) -> DataFrame:
 
 def unfaithful_numbers(rows: DataFrame, text: str, payload: str, within: float = 0.6) -> DataFrame:
     """Numbers in a text that no payload number, or 100 times one, is near; 0, 1 and 2 are allowed."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: F.try_to_number(x, F.lit("9999999999999.999999")).cast("double"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.try_cast("double"))
     near = lambda v: F.exists(payload, lambda p: (F.abs(v - p) <= within) | (F.abs(v - p * 100) <= within))
     bad = F.filter(found, lambda v: v.isNotNull() & ~v.isin(0.0, 1.0, 2.0) & ~near(v))
     return rows.withColumn("unfaithful", F.size(bad)).withColumn("faithful", F.col("unfaithful") == 0)
