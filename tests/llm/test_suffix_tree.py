@@ -87,3 +87,48 @@ def test_order_of_words_matters(spark):
     rows = [(i, "a b c d " * 20) for i in range(60)] + [(1000, "a b c d " * 5), (1001, "d c b a " * 5)]
     got = {r.doc_id: r.score for r in S.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1000] > got[1001] + 3
+
+
+def test_words_are_contexts_at_any_size_of_the_corpus(spark):
+    rng = random.Random(8)
+    text = lambda n, ws: " ".join(rng.choice(ws) for _ in range(n))
+    common = [f"w{i}" for i in range(400)]
+    rows = [(i, text(300, common) + " alpha w7 omega " + text(300, common)) for i in range(60)]
+    rows += [(1000, "w7 omega"), (1001, "w9 omega"), (1002, "alpha w7 omega"), (1003, "alpha w9 omega")]
+    got = {r.doc_id: r.score for r in S.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] > got[1001] + 1.2 and got[1002] > got[1003] + 3
+
+
+@pytest.mark.parametrize("kept", [4, 1 << 18])
+def test_word_states_against_brute_force(spark, monkeypatch, kept):
+    monkeypatch.setattr(S, "KEPT", kept)
+    rng = random.Random(9)
+    part = ["a b c d", "x b c e", "x y", "q", "r s", *(f"n{i}" for i in range(30))]
+    rows = [(i, " ".join(rng.choice(part) for _ in range(40))) for i in range(150)]
+    train = [[*words(t), "</s>"] for i, t in rows if not held(i)]
+    c = Counter(tuple(w[i : i + n]) for w in train for n in range(1, 5) for i in range(len(w) - n + 1))
+    total, states = sum(map(len, train)), {}
+    for n in range(1, 4):
+        for ctx in [g for g in c if len(g) == n and g[-1] != "</s>"]:
+            f = {g[-1]: k for g, k in c.items() if len(g) == n + 1 and g[:-1] == ctx and k >= 8}
+            pc = {w: c[(*ctx[1:], w)] for w in f}
+            pn, size = (c[ctx[1:]] if n > 1 else total), c[ctx]
+            rest, prest = size - sum(f.values()), pn - sum(pc.values())
+            g2 = 2 * (sum(k * math.log(k * pn / (size * pc[w])) for w, k in f.items()) + (rest * math.log(rest * pn / (size * prest)) if rest and prest else 0))
+            if f and g2 > len(f) * math.log(total):
+                states[ctx] = f, size, (rest + S.ALPHA) / (size + S.ALPHA)
+    assert {len(s) for s in states} == {1, 3}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def totals(deep):  # scores with the states, or without any
+        with monkeypatch.context() as m:
+            if not deep:
+                m.setattr(S, "states", lambda texts, *_: texts.sparkSession.createDataFrame([], "key long, a double, b double"))
+            return {r.doc_id: r.score for r in S.score(d).collect()}
+
+    model, table = S.fit(d.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 7) <> 2"))
+    got = S.states(d.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 7) <> 2"), table, model.n, model.texts, S.ALPHA).collect()
+    assert sorted(round(r.b, 9) for r in got if r.b is not None) == sorted(round(s[2], 9) for s in states.values())
+    assert sorted(round(r.a, 9) for r in got if r.a is not None) == sorted(round(k / (s[1] + S.ALPHA), 9) for s in states.values() for k in s[0].values())
+    flat, deep = totals(False), totals(True)
+    assert sum(deep[i] - flat[i] for i in deep if held(i)) > 0

@@ -1,10 +1,12 @@
 """LM scoring with a probabilistic suffix tree (Ron, Singer and Tishby 1996) over a text's words.
 
-A text is its lower-cased words, then one end. The tree's symbols are the ``NAMED`` commonest words, classes of other
+A text is its lower-cased words, then one end. States are contexts of up to three words (see ``word_states``), as many
+as the corpus gives; each is smoothed towards its suffix, and those of one word towards a tree of symbols, the root.
+Texts meet the states by joins. The root's symbols are the ``NAMED`` commonest words, classes of other
 common words by their count, one class of all rare and unknown words, and the end; its contexts are up to ``DEPTH``
 symbols before, back to the start of the text. Counts come from every training text. A context is retained if it has at
 least ``SHARE`` of all symbols and a likelihood-ratio test finds its next-symbol distribution to diverge from that of
-its suffix, so the tree, which is broadcast, has at most DEPTH / SHARE states at any size of the corpus. Distributions
+its suffix, so the root, which is broadcast, has at most DEPTH / SHARE states at any size of the corpus. Distributions
 are smoothed towards those of the suffix state, and a symbol is scored by the longest state that is a suffix of what
 precedes it. A word has its class's probability times its share of the class; to the rare
 words as many unknown ones are added as words were seen once, all unknown words being one event, as in the unigram base.
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fold, read_table, text_of, written
+from .word_states import SEEN, folded, needed, runs, screen, states
 from .words import SPACED, Piece, lists, mix, pieces, signed
 
 U64 = np.uint64
@@ -37,6 +40,7 @@ NAMED = 24
 START, END, RARE, FIRST = 0, 1, 2, 3  # symbols; named words and classes of common ones follow
 SYMBOLS = FIRST + NAMED + 32
 STEP = 4 << 20
+BLOCK = 8192  # texts
 
 
 class Lookup:
@@ -218,6 +222,11 @@ class Model:
         """log10 of the share of rare words that a word with training count c has."""
         return np.log10(np.where(c > 0, c, max(self.once, 1)) / (self.rare + max(self.once, 1)))
 
+    def uncommon(self, words: DataFrame) -> DataFrame:
+        """(key, c) of the words that may follow a state but are not broadcast."""
+        least = int(self.words.c.min()) if len(self.words.c) else 1 << 62
+        return words.where((F.col("c") >= SEEN) & (F.col("c") < least))
+
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and (key, c) of every training word, from rows with a ``text``."""
@@ -241,28 +250,39 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     return Model(tree, known, int(n + docs), int(v + (docs > 0)), int(docs), int(n - known.c.sum()), int(once)), words
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, rid, text) to these without text, counts and sums of what is known here, and the rare words."""
-    m: Model = shared.value
+def _score(m: Model, texts: pa.Table, found: pa.Table) -> pa.Table:
+    """A block of (doc_id, held_out, rid, text) to these without text, counts and sums of what is known here, and the rare
+    words; ``found`` has (block, key, a, b, c) of every gram of the block that is in the tables of word states."""
     c, share = np.append(m.words.c, 0), np.log10(np.append(m.words.share, 1.0).clip(1e-300))
-    for batch in batches:
-        for p in pieces(batch.column(3), SPACED, STEP):
-            i, symbol = m.words.find(p)
-            text, context, depth, symbol = positions(symbol, p.begin)
-            key, inverse = np.unique(packed(depth, context, symbol), return_inverse=True)
-            lp = m.tree.log10(key >> 8 & ((1 << 40) - 1), key >> 48, key & 255)[inverse]
-            doc, rare = p.doc(), i < 0
-            yield pa.RecordBatch.from_arrays(
-                [x.slice(p.row, p.rows) for x in batch.columns[:3]]
-                + [
-                    pa.array(np.diff(p.begin).astype(np.int64)),
-                    pa.array(np.bincount(doc, ~rare, p.rows).astype(np.int64)),
-                    pa.array(np.bincount(doc, np.log10(c[i] + 1), p.rows)),
-                    pa.array(np.bincount(text, lp, p.rows) + np.bincount(doc, share[i], p.rows)),
-                    lists(signed(p.hashes[rare]), np.searchsorted(doc[rare], np.arange(p.rows + 1))),
-                ],
-                names=["doc_id", "held_out", "rid", "words", "known", "log_c", "score", "rare"],
-            )
+    index = Lookup(found.column("key").to_numpy().view(U64), np.arange(found.num_rows))
+    a, b, seen = (np.append(found.column(x).to_numpy().astype(float), np.nan) for x in ("a", "b", "c"))
+    texts, out = texts.combine_chunks(), []
+    for p in pieces(texts.column("text"), SPACED, STEP):
+        i, symbol = m.words.find(p)
+        text, context, depth, symbol = positions(symbol, p.begin)
+        key, inverse = np.unique(packed(depth, context, symbol), return_inverse=True)
+        lp = m.tree.log10(key >> 8 & ((1 << 40) - 1), key >> 48, key & 255)[inverse]
+        doc, rare = p.doc(), i < 0
+        word = symbol != END
+        g, k = runs(p)
+        at = [index.get(x, found.num_rows).astype(np.int64) for x in g]
+        A, B = folded(g, k, [a[x] for x in at], [b[x] for x in at])
+        own, later = np.zeros(len(lp)), np.zeros(len(lp))  # a word's share of its symbol; that of a rare one is added by _meet
+        own[word] = np.where(rare, m.in_rare(np.nan_to_num(seen[at[0][word]])), share[i])
+        later[word] = np.where(rare, own[word], 0.0)
+        lp = np.where(A > 0, np.log10(A + B * 10 ** (lp + own)), np.log10(B) + lp + own) - later
+        out.append(pa.Table.from_arrays(
+            [texts.column(x).slice(p.row, p.rows) for x in ("doc_id", "held_out", "rid")]
+            + [
+                pa.array(np.diff(p.begin).astype(np.int64)),
+                pa.array(np.bincount(doc, ~rare, p.rows).astype(np.int64)),
+                pa.array(np.bincount(doc, np.log10(c[i] + 1), p.rows)),
+                pa.array(np.bincount(text, lp, p.rows)),
+                lists(signed(p.hashes[rare]), np.searchsorted(doc[rare], np.arange(p.rows + 1))),
+            ],
+            names=["doc_id", "held_out", "rid", "words", "known", "log_c", "score", "rare"],
+        ))
+    return pa.concat_tables(out)
 
 
 def _meet(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -288,7 +308,14 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_id",
     model, words = fit(d.where("NOT held_out"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(d.dtypes)["doc_id"]
-    t = written(d.mapInArrow(lambda b: _score(b, shared), f"doc_id {kind}, held_out boolean, rid long, words long, known long, log_c double, score double, rare array<long>"), "scored")
+    table = written(states(d.where("NOT held_out"), words, model.n, model.texts, ALPHA).unionByName(model.uncommon(words), allowMissingColumns=True).groupBy("key").agg(*[F.max(x).alias(x) for x in "abc"]), "states")
+    # Blocks of texts meet the states that occur in them.
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, d.count() // BLOCK)).cast("long")))
+    keys = screen(table)
+    need = d.select("block", "text").mapInArrow(lambda b: needed(b, keys), "block long, key long").distinct()
+    found = need.join(table.hint("merge"), "key")
+    score_ = lambda texts, found: _score(shared.value, texts, found)
+    t = written(d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score_, f"doc_id {kind}, held_out boolean, rid long, words long, known long, log_c double, score double, rare array<long>"), "scored")
     rows = t.select(F.explode("rare").alias("key"), "rid", F.lit(0).cast("long").alias("c"))
     rows = rows.unionByName(words.select("key", F.lit(-1).cast("long").alias("rid"), "c"))
     met = rows.repartition("key").mapInArrow(lambda b: _meet(b, shared), "rid long, known long, log_c double, score double")

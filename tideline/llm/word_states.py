@@ -1,0 +1,155 @@
+"""Contexts of words themselves for the suffix tree: counted in shuffled tables, kept by an absolute floor and a
+likelihood-ratio test, and looked up by joins, so that states grow with the corpus.
+
+A gram is up to ``DEEP`` words and the word or end after them. Grams seen ``SEEN`` times are counted exactly: a longer
+one can only be so common if its parts are, and a bitmap of those (no false negatives) decides what is counted. A context
+becomes a state if the distribution of its common followers, the others together being one event, diverges from that
+of its suffix."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bitmap import bitmap, hit, xxhash64_of
+from .shared import written
+from .words import SPACED, Piece, mix, pieces, signed
+
+U64 = np.uint64
+DEEP, SEEN = 3, 8
+ENDED = U64(0xA24BAED4963EE407)  # stands for the end of a text
+STEP = 4 << 20
+
+
+def runs(p: Piece) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every word of some texts and the end after each: hashes of the last 1 to DEEP + 1 of them, and how many
+    precede it in its text. A word's own hash is that of the word table."""
+    size = np.diff(p.begin) + 1
+    last = np.cumsum(size) - 1
+    flat = np.empty(int(size.sum()), U64)
+    word = np.ones(len(flat), bool)
+    word[last] = False
+    flat[word], flat[last] = p.hashes, ENDED
+    g = [flat]
+    for _ in range(DEEP):
+        longer = np.zeros(len(flat), U64)
+        longer[1:] = mix(g[-1][:-1] * U64(0xD6E8FEB86659FD93) + flat[1:])
+        g.append(longer)
+    return g, np.arange(len(flat)) - np.repeat(last + 1 - size, size)
+
+
+_OTHER = 0x5851F42D4C957F2D
+
+
+def screen(keys: DataFrame) -> tuple:
+    """Two bitmaps of the column ``key``, by independent hashes: few grams pass that aren't in it."""
+    return bitmap(keys, "key"), bitmap(keys.select(F.col("key").bitwiseXOR(F.lit(_OTHER)).alias("key")), "key")
+
+
+def _seen(shared: tuple, keys: np.ndarray) -> np.ndarray:
+    here = hit(shared[0].value, xxhash64_of(keys))
+    here[here] = hit(shared[1].value, xxhash64_of(keys[here] ^ U64(_OTHER)))
+    return here
+
+
+def _after(here: np.ndarray) -> np.ndarray:
+    """Whether a position and the one before it are marked."""
+    return here & np.concatenate([[False], here[:-1]])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.zeros(0, np.int64), *[signed(x) for p in pieces(batch.column(0), SPACED, STEP) for x in pick(*runs(p))]]
+        key, c = np.unique(np.concatenate(keys), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
+
+
+def _links(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(key, ctx, low, up, d) of common grams: the context, the gram without its first word, and the context without."""
+    for batch in batches:
+        got = [np.zeros((0, 5), np.int64)]
+        for p in pieces(batch.column(0), SPACED, STEP):
+            g, k = runs(p)
+            here = np.ones(len(k), bool)
+            for d in range(1, DEEP + 1):  # the parts of a common gram are common
+                here = (_after(here) if d > 1 else here) & (k >= d)
+                here[here] = _seen(shared, g[d][here])
+                at = np.flatnonzero(here)
+                at = at[np.unique(g[d][at], return_index=True)[1]]
+                up = signed(g[d - 2][at - 1]) if d > 1 else np.zeros(len(at), np.int64)
+                got.append(np.stack([signed(g[d][at]), signed(g[d - 1][at - 1]), signed(g[d - 1][at]), up, np.full(len(at), d)], 1))
+        rows = np.concatenate(got)
+        rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=["key", "ctx", "low", "up", "d"])
+
+
+def counts(texts: DataFrame, words: DataFrame, docs: int) -> tuple[DataFrame, DataFrame]:
+    """(key, c) of the words and ends, and of the longer grams, seen SEEN times at least."""
+    text, total = texts.select("text"), lambda d: d.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= SEEN)
+    ends = text.sparkSession.createDataFrame([(int(ENDED.astype(np.int64)), docs)], "key long, c long")
+    ones = words.unionByName(ends).where(F.col("c") >= SEEN)
+    one = screen(ones)
+    two = written(total(text.mapInArrow(lambda b: _counted(b, lambda g, k: [g[1][_after(_seen(one, g[0])) & (k >= 1)]]), "key long, c long")), "pairs")
+    pair = screen(two)
+
+    def longer(g, k):
+        three = _after(_seen(pair, g[1]) & (k >= 1)) & (k >= 2)
+        return [g[2][three], g[3][_after(three) & (k >= 3)]]
+
+    return ones, two.unionByName(written(total(text.mapInArrow(lambda b: _counted(b, longer), "key long, c long")), "grams"))
+
+
+def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int, alpha: float) -> DataFrame:
+    """(key, a, b): a gram's share after its context, if that is a state, and the weight that a state, by the hash of
+    its words, leaves to its suffix; null where it has none."""
+    ones, grams = counts(texts, words, docs)
+    shared = screen(grams)
+    links = texts.select("text").mapInArrow(lambda b: _links(b, shared), "key long, ctx long, low long, up long, d long")
+    links = links.groupBy("key").agg(*[F.first(c).alias(c) for c in ("ctx", "low", "up", "d")])
+    named = lambda c, n: ones.unionByName(grams).select(F.col("key").alias(c), F.col("c").alias(n)).hint("merge")
+    rows = links.join(grams.hint("merge"), "key").join(named("low", "pc"), "low").drop("low").join(named("up", "pn"), "up", "left").drop("up")
+    rows = rows.withColumn("pn", F.when(F.col("d") == 1, F.lit(tokens)).otherwise(F.col("pn"))).join(named("ctx", "n"), "ctx")
+    rows = written(rows, "followers")
+    c, n, pc, pn = (F.col(x) for x in ("c", "n", "pc", "pn"))
+    sums = rows.groupBy("ctx").agg(F.sum(c * F.log(c * pn / (n * pc))).alias("g"), F.sum("c").alias("kept"), F.sum("pc").alias("pkept"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+    rest, prest = F.col("n") - F.col("kept"), F.col("pn") - F.col("pkept")
+    g2 = 2 * (F.col("g") + F.when((rest > 0) & (prest > 0), rest * F.log(rest * F.col("pn") / (F.col("n") * prest))).otherwise(0.0))
+    kept = sums.where(g2 > F.col("k") * float(np.log(max(tokens, 2)))).select("ctx", ((rest + alpha) / (F.col("n") + alpha)).alias("b"))
+    none = F.lit(None).cast("double")
+    entries = rows.join(kept.select("ctx").hint("merge"), "ctx", "left_semi").select("key", (c / (n + alpha)).alias("a"), none.alias("b"))
+    return entries.unionByName(kept.select(F.col("ctx").alias("key"), none.alias("a"), "b")).groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+
+
+def needed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(block, text) to the distinct (block, key) of the grams in it that may have a state or a share."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        got = []
+        for p in pieces(batch.column(1), SPACED, STEP):
+            g, k = runs(p)
+            where = np.repeat(block[p.row : p.row + p.rows], np.diff(p.begin) + 1)
+            for d, x in enumerate(g):
+                at = np.flatnonzero((k >= d) & _seen(shared, x))
+                got.append((where[at], signed(x[at])))
+        b, key = (np.concatenate([np.zeros(0, np.int64), *[g[i] for g in got]]) for i in range(2))
+        order = np.lexsort((key, b))
+        b, key = b[order], key[order]
+        new = np.ones(len(b), bool)
+        new[1:] = (b[1:] != b[:-1]) | (key[1:] != key[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(b[new]), pa.array(key[new])], names=["block", "key"])
+
+
+def folded(g: list[np.ndarray], k: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A and B of each position: its probability is A + B times that of the root. ``a[d]`` and ``b[d]`` are those of
+    the gram of d + 1 words that ends at a position, NaN where it has none."""
+    A, B = np.zeros(len(k)), np.ones(len(k))
+    for d in range(1, len(g)):
+        left = np.concatenate([[np.nan], b[d - 1][:-1]])
+        left = np.where((k >= d) & ~np.isnan(left), left, 1.0)
+        A = A * left + np.where((k >= d) & ~np.isnan(a[d]), a[d], 0.0)
+        B *= left
+    return A, B
