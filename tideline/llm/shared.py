@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from pathlib import PurePosixPath
 
@@ -10,23 +11,43 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of our own, but only
+    if driver and executors are one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file:///tmp/tideline-checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file:///tmp/tideline-checkpoints"  # one machine, as in tests
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_made: list[str] = []  # scratch of this driver's steps, until it is released
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
 
-    Later steps then read files that outlive any executor, with column pruning."""
+    Later steps then read files that outlive any executor, with column pruning. ``release`` removes them, unless they
+    are to be kept."""
     path = f"{shared_dir(df.sparkSession)}/{PurePosixPath(name).name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the scratch of all steps so far; results that were made from it must have been written."""
+    while _made:
+        remove(spark, _made.pop())
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,13 +56,19 @@ def text_of(text: str = "text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of a row's id and text: rows that agree in both have the same key."""
+    whose = F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.lit(""))
+    return F.md5(F.concat(whose, F.lit("\0"), text_of(text)).cast("binary"))
+
+
 def fold(doc_id: str, mod: int):
     """crc32 of the id as text, modulo ``mod`` (a null id counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
 def without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` (a long) isn't in the one column of ``dropped``.
+    """The rows of ``docs`` whose ``key``, of the kind of the one column of ``dropped``, isn't in it.
 
     A bitmap of bounded size lets most rows pass; the others meet the dropped keys in a join, so few texts are moved."""
     from .bitmap import bitmap, screened
