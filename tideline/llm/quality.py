@@ -7,7 +7,9 @@ is scored. The model, a few thousand numbers, is fitted on the driver from a bou
 
 Edge cases: null, empty and wordless texts are one passage without words and get a score; without labels, or with labels
 of one kind, the score is the labels' mean (0.5 without any); a null doc_id is scored as held out or not by the crc32
-of empty text; rows that repeat a doc_id are each scored; an empty table gives no rows; other columns are ignored."""
+of empty text; rows that repeat a doc_id are each scored; an empty table gives no rows; ``score`` keeps
+other columns, but replaces those named as its own, in any case. A score depends on the text alone, not on rows beside
+it."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import sample
+from .labelled import beside, sample
 from .shared import fold, read_table, text_of
 from .words import SPACED, Piece, grams, lists, pieces
 
@@ -58,7 +60,7 @@ def passages(p: Piece) -> tuple[np.ndarray, np.ndarray]:
         total = np.concatenate([[0.0], np.cumsum(x)])
         return (total[last] - total[first]) / many
 
-    def again(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def again(h: np.ndarray, of: np.ndarray) -> np.ndarray:  # occurrences after the first, which stays one whatever follows
         order = np.lexsort((h, of))
         same = (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1])
         old = np.zeros(len(h), bool)
@@ -74,7 +76,8 @@ def passages(p: Piece) -> tuple[np.ndarray, np.ndarray]:
     out[:, j + 3] = mean(length <= 2)
     if words:
         out[:, j + 4] = mean(again(p.hashes, mine))
-        out[:, j + 5] = mean(again(grams(p, 4)[0], doc))  # of the text's own four-word runs
+        four, whole = grams(p, 4)
+        out[:, j + 5] = mean(again(four, doc) & whole)  # of the text's own four-word runs
     out[:, j + 6] = np.log1p(n[row]) / 10
     out[:, j + 7] = np.log1p(last - first) / 5
     bag = np.bincount(mine * BUCKETS + (p.hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=len(row) * BUCKETS)
@@ -107,6 +110,20 @@ def _forward(w: dict, x: np.ndarray, begin: np.ndarray) -> tuple:
     return 1 / (1 + np.exp(-(z @ w["b"] + w["c"]))), h, v, u, a, z, of
 
 
+def gradients(w: dict, x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean log loss of the documents' labels, by back-propagation."""
+    p, h, v, u, a, z, of = _forward(w, x, begin)
+    g = (p - y) / len(y)
+    gz = g[:, None] * w["b"]
+    gh = a[:, None] * gz[of]
+    ga = (gz[of] * h).sum(1)
+    gs = a * (ga - np.add.reduceat(a * ga, begin[:-1])[of])
+    gv, gu = gs[:, None] * w["a"] * u * (1 - v**2), gs[:, None] * w["a"] * v * u * (1 - u)
+    gh += gv @ w["V"].T + gu @ w["U"].T
+    gx = gh * (1 - h**2)
+    return {"E": x.T @ gx, "e": gx.sum(0), "V": h.T @ gv, "U": h.T @ gu, "a": (v * u).T @ gs, "b": z.T @ g, "c": g.sum()}
+
+
 def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, width: int = 24, epochs: int = 30, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4, seed: int = 7) -> Model:
     """Adam on the log loss of document labels; ``begin`` as in ``Model.score``."""
     prior = float(y.mean()) if len(y) else 0.5
@@ -127,16 +144,7 @@ def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray, width: int = 24, epochs
             cut = np.concatenate([[0], np.cumsum(size)])
             rows = np.repeat(begin[docs] - cut[:-1], size) + np.arange(cut[-1])
             xb = x[rows]
-            p, h, v, u, a, z, of = _forward(w, xb, cut)
-            g = (p - y[docs]) / len(docs)
-            gz = g[:, None] * w["b"]
-            gh = a[:, None] * gz[of]
-            ga = (gz[of] * h).sum(1)
-            gs = a * (ga - np.add.reduceat(a * ga, cut[:-1])[of])
-            gv, gu = gs[:, None] * w["a"] * u * (1 - v**2), gs[:, None] * w["a"] * v * u * (1 - u)
-            gh += gv @ w["V"].T + gu @ w["U"].T
-            gx = gh * (1 - h**2)
-            grad = {"E": xb.T @ gx, "e": gx.sum(0), "V": h.T @ gv, "U": h.T @ gu, "a": (v * u).T @ gs, "b": z.T @ g, "c": g.sum()}
+            grad = gradients(w, xb, cut, y[docs])
             step += 1
             now = rate * (1 - epoch / epochs)
             for k in w:
@@ -158,7 +166,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, most: int = SAMPLE) -> Model:
     rows = sample(docs, labels, "quality", mod, held, most)
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.mapInArrow(_encode, f"doc_id {kind}, y double, x array<float>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = rows.mapInArrow(_encode, f"doc_id {kind}, y double, x array<float>").toPandas().sort_values("doc_id")
     x = [np.asarray(v, np.float32).reshape(-1, WIDTH) for v in got["x"]]
     begin = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
     return fit(np.concatenate([np.zeros((0, WIDTH), np.float32), *x]), begin, got["y"].to_numpy(float))
@@ -167,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, most:
 def score(docs: DataFrame, model: Model, mod: int = 3, held: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted) and ``docs``' other columns, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
-    names = [c for c in docs.columns if c not in ("score", "_text")]
+    names = beside(docs, ("score", "held_out", "predicted", "_text"))
     rows = docs.select(*names, text_of().alias("_text"))
 
     def run(batches):

@@ -6,7 +6,8 @@ the driver, in some passes over a bounded sample of labelled rows (``SAMPLE``);
 alone has are left out. Scoring streams every row once.
 
 Edge cases: null, empty and wordless texts have no features and score as the bias does; without labels the score is
-0.5; rows that repeat a doc_id are each scored; an empty table gives no rows; other columns are kept by ``score``."""
+0.5; rows that repeat a doc_id are each scored; a null doc_id is scored, held out as the crc32 of empty text says; an empty table
+gives no rows; ``score`` keeps other columns, but replaces those named as its own, in any case."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import sample
+from .labelled import beside, sample
 from .shared import fold, read_table, text_of
 from .words import ALNUM, Piece, gram_hash, grams, lists, mix, pieces
 
@@ -100,7 +101,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, most: int = SAMPLE) -> Model:
     kind = dict(docs.dtypes)["doc_id"]
     rows = sample(docs, labels, "toxic", mod, held, most).mapInArrow(_features, f"doc_id {kind}, y double, x array<int>")
-    got = rows.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    got = rows.toArrow().sort_by("doc_id").combine_chunks()
     x = got["x"].combine_chunks()
     begin = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     return fit(x.flatten().to_numpy(), begin, got["y"].to_numpy())
@@ -109,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, most:
 def score(docs: DataFrame, model: Model, mod: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """``docs`` with held_out, score and predicted, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**20 weights
-    names = [c for c in docs.columns if c not in ("score", "_text")]
+    names = beside(docs, ("score", "held_out", "predicted", "_text"))
 
     def run(batches):
         for batch in batches:
