@@ -41,12 +41,18 @@ def context_forgetting(tasks: DataFrame, times: float = 1.3) -> DataFrame:
     return _out(d, "context_forgetting", _levels(F.col("n_category") > 2, F.col("n_category") >= 1), overall=F.col("own"), categories=F.col("n_category"), locations=F.col("n_location_id"))
 
 
+def _peak(rows: DataFrame, key: Column, value: Column, name: str) -> DataFrame:
+    """(user_id, name, name_at): the largest value of a key's groups, and the first key that has it."""
+    per = rows.groupBy("user_id", key.alias("_k")).agg(value.alias("_v"))
+    return per.groupBy("user_id").agg(F.max("_v").alias(name), F.max_by("_k", F.struct("_v", -F.col("_k"))).alias(f"{name}_at"), F.avg("_v").alias(f"{name}_mean"))
+
+
 def switch_timing(sessions: DataFrame) -> DataFrame:
-    """Switches a session by hour of the day: the peak against the average."""
-    per = sessions.groupBy("user_id", F.hour("session_start").alias("h")).agg(F.avg("context_switch_count").alias("rate"))
+    """Switches a session by weekday and by hour: the peaks against the average; the weekday's decides the risk."""
     own = sessions.groupBy("user_id").agg(F.avg("context_switch_count").alias("own"))
-    d = per.groupBy("user_id").agg(F.max("rate").alias("peak"), F.max_by("h", F.struct("rate", -F.col("h"))).alias("at")).join(own, "user_id")
-    return _out(d, "switch_timing", _levels(F.col("peak") > 2 * F.col("own"), F.col("peak") > 1.5 * F.col("own")), average=F.col("own"), peak=F.col("peak"), hour=F.col("at"))
+    d = own.join(_peak(sessions, F.weekday("session_start"), F.avg("context_switch_count"), "day"), "user_id").join(_peak(sessions, F.hour("session_start"), F.avg("context_switch_count"), "hour"), "user_id")
+    risk = F.when(F.col("day") > 2 * F.col("own"), "HIGH").otherwise("MEDIUM")
+    return _out(d, "switch_timing", risk, average=F.col("own"), weekday=F.col("day_at"), weekday_peak=F.col("day"), hour=F.col("hour_at"), hour_peak=F.col("hour"))
 
 
 def interruption_cost(base: DataFrame) -> DataFrame:
@@ -55,29 +61,35 @@ def interruption_cost(base: DataFrame) -> DataFrame:
 
 
 def recurring_delay(tasks: DataFrame, times: float = 1.3) -> DataFrame:
-    """Share completed after the deadline, and priorities where it is over ``times`` the user's."""
-    done = tasks.where("status = 'completed' AND deadline_at IS NOT NULL").withColumn("late", (F.col("completed_at") > F.col("deadline_at")).cast("int"))
+    """Share completed after the deadline, and the categories and priorities where it is over ``times`` the user's; the
+    number of such categories decides the risk."""
+    done = tasks.where("status = 'completed' AND deadline_at IS NOT NULL AND completed_at IS NOT NULL").withColumn("late", (F.col("completed_at") > F.col("deadline_at")).cast("int"))
     own = done.groupBy("user_id").agg(F.avg("late").alias("own"), F.count("*").alias("n"))
-    over = done.groupBy("user_id", "priority").agg(F.avg("late").alias("rate")).join(own, "user_id").where(F.col("rate") > times * F.col("own")).groupBy("user_id").agg(F.count("*").alias("over"))
-    d = own.join(over, "user_id", "left").na.fill(0, ["over"])
-    return _out(d, "recurring_delay", _levels(F.col("own") > 0.5, F.col("own") > 0.25), late_share=F.col("own"), priorities=F.col("over"), tasks=F.col("n"))
+    over = lambda key: done.groupBy("user_id", key).agg(F.avg("late").alias("rate")).join(own, "user_id").where(F.col("rate") > times * F.col("own")).groupBy("user_id").agg(F.count("*").alias(f"n_{key}"))
+    d = own.join(over("category"), "user_id", "left").join(over("priority"), "user_id", "left").na.fill(0, ["n_category", "n_priority"])
+    return _out(d, "recurring_delay", _levels(F.col("n_category") > 1, F.col("n_category") == 1), late_share=F.col("own"), categories=F.col("n_category"), priorities=F.col("n_priority"), tasks=F.col("n"))
 
 
-def context_association(tasks: DataFrame) -> DataFrame:
-    """Each category's commonest location; the weakest share counts."""
+def primary_locations(tasks: DataFrame) -> DataFrame:
+    """(user_id, category, location_id, share): where each category's located tasks mostly are; the lower id at ties."""
     per = tasks.where(F.col("location_id").isNotNull()).groupBy("user_id", "category", "location_id").agg(F.count("*").alias("n"))
-    cat = per.groupBy("user_id", "category").agg((F.max("n") / F.sum("n")).alias("share"))
-    d = cat.groupBy("user_id").agg(F.min("share").alias("weakest"), F.max("share").alias("strongest"), F.count("*").alias("categories"))
-    return _out(d, "context_association", F.when(F.col("weakest") < 0.3, "MEDIUM").otherwise("LOW"), weakest=F.col("weakest"), strongest=F.col("strongest"), categories=F.col("categories"))
+    return per.groupBy("user_id", "category").agg(F.max_by("location_id", F.struct("n", -F.col("location_id"))).alias("location_id"), (F.max("n") / F.sum("n")).alias("share"))
 
 
-def friction_timing(sessions: DataFrame, interruptions: DataFrame) -> DataFrame:
-    """(2 * switches + interruptions) per active hour, by weekday; the peak against the mean of weekdays."""
-    s = sessions.groupBy("user_id", F.weekday("session_start").alias("w")).agg(F.sum("context_switch_count").alias("sw"), (F.sum(F.col("focused_time_seconds") + F.col("interruption_time_seconds")) / 3600).alias("h"))
-    i = interruptions.groupBy("user_id", F.weekday("start_time").alias("w")).agg(F.count("*").alias("n"))
-    v = s.where("h > 0").join(i, ["user_id", "w"], "left").select("user_id", "w", ((2 * F.col("sw") + F.coalesce("n", F.lit(0))) / F.col("h")).alias("v"))
-    d = v.groupBy("user_id").agg(F.avg("v").alias("mean"), F.max("v").alias("peak"))
-    return _out(d, "friction_timing", _levels(F.col("peak") > 2 * F.col("mean"), F.col("peak") > 1.5 * F.col("mean")), average=F.col("mean"), peak=F.col("peak"))
+def context_association(tasks: DataFrame) -> DataFrame:
+    """How strongly categories belong to their primary location; the weakest decides the risk."""
+    d = primary_locations(tasks).groupBy("user_id").agg(F.min("share").alias("weakest"), F.max("share").alias("strongest"), F.avg("share").alias("mean"), F.min_by("location_id", F.struct(-F.col("share"), "category")).alias("at"), F.count("*").alias("categories"))
+    return _out(d, "context_association", F.when(F.col("weakest") < 0.3, "MEDIUM").otherwise("LOW"), weakest=F.col("weakest"), strongest=F.col("strongest"), strongest_location=F.col("at"), average=F.col("mean"), categories=F.col("categories"))
+
+
+def friction_timing(sessions: DataFrame) -> DataFrame:
+    """(2 * switches + interruptions) per active hour, by weekday and by hour; the weekday's peak against the mean of
+    weekdays decides the risk."""
+    active = F.sum(F.col("focused_time_seconds") + F.col("interruption_time_seconds")) / 3600
+    value = rate0(2 * F.sum("context_switch_count") + F.sum("interruption_count"), active)
+    d = _peak(sessions, F.weekday("session_start"), value, "day").join(_peak(sessions, F.hour("session_start"), value, "hour"), "user_id")
+    risk = F.when(F.col("day") > 2 * F.col("day_mean"), "HIGH").otherwise("MEDIUM")
+    return _out(d, "friction_timing", risk, average=F.col("day_mean"), weekday=F.col("day_at"), weekday_peak=F.col("day"), hour=F.col("hour_at"), hour_peak=F.col("hour"))
 
 
 def behaviour_trend(tasks: DataFrame, least: int = 7) -> DataFrame:
@@ -109,11 +121,40 @@ def attention(tasks: DataFrame, as_of: str, top: int = 5) -> DataFrame:
     return d.withColumn("position", n).where(F.col("position") <= top).select("user_id", "task_id", "risk_score", "position")
 
 
+def attention_insight(tasks: DataFrame, as_of: str) -> DataFrame:
+    """Users with open tasks: how many need attention, and the highest score."""
+    open_ = tasks.where(~F.col("status").isin(TERMINAL)).groupBy("user_id").agg(F.count("*").alias("active"))
+    found = attention(tasks, as_of).groupBy("user_id").agg(F.count("*").alias("n"), F.max("risk_score").alias("top"))
+    d = open_.join(found, "user_id", "left").na.fill(0, ["n", "top"])
+    return _out(d, "proactive_attention", _levels(F.col("n") > 2, F.col("n") >= 1), active_tasks=F.col("active"), tasks=F.col("n"), top_score=F.col("top"))
+
+
+#: The order of insights in a story, and what each suggests.
+ADVICE = {
+    "forgetting_timing": "Keep important tasks out of the weekdays and hours named.",
+    "context_forgetting": "Change the surroundings or the owner of tasks in the contexts named.",
+    "category_friction": "Improve the category with the most friction first.",
+    "switch_timing": "Put focused work where switches are fewest.",
+    "interruption_cost": "Block time for focus and mute notifications in it.",
+    "recurring_delay": "Plan more time for the categories that are late.",
+    "context_association": "Plan tasks where they are mostly done.",
+    "friction_timing": "Put demanding tasks where friction is lowest.",
+    "behaviour_trend": "Watch the trend and look into what makes it worse.",
+    "proactive_attention": "Take the tasks with the highest scores first.",
+}
+
+
 def story(insights: DataFrame) -> DataFrame:
-    """Per user: number of insights, of high risks, and the first three names by risk."""
-    order = F.when(F.col("risk") == "HIGH", 0).when(F.col("risk") == "MEDIUM", 1).otherwise(2)
-    names = F.slice(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "insight"))), lambda x: x["insight"]), 1, 3)
-    return insights.groupBy("user_id").agg(F.count("*").alias("insights"), F.count_if(F.col("risk") == "HIGH").alias("high"), F.array_join(names, ",").alias("first"))
+    """Per user, in the fixed order of insights: a narrative, the first three findings, the high risks and the first three
+    recommendations."""
+    names = F.array(*map(F.lit, ADVICE))
+    advice = F.array(*map(F.lit, ADVICE.values()))
+    d = insights.withColumn("o", F.array_position(names, F.col("insight")).cast("int"))
+    d = d.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("o", "insight", "risk"))).alias("s"))
+    high = F.filter("s", lambda x: x["risk"] == "HIGH")
+    text = lambda c, f, n=100: F.array_join(F.slice(F.transform(c, f), 1, n), "; ")
+    narrative = F.when(F.size(high) > 0, F.concat(F.size(high).cast("string"), F.lit(" patterns of high risk need attention."))).otherwise("No pattern of high risk.")
+    return d.select("user_id", F.size("s").cast("long").alias("insights"), F.size(high).cast("long").alias("high"), F.size(F.filter("s", lambda x: x["risk"] == "MEDIUM")).cast("long").alias("medium"), narrative.alias("narrative"), text("s", lambda x: F.concat_ws(": ", x["insight"], F.lower(x["risk"])), 3).alias("findings"), text(high, lambda x: x["insight"]).alias("risks"), text("s", lambda x: F.element_at(advice, x["o"]), 3).alias("recommendations"))
 
 
 def all_insights(*tables: DataFrame) -> DataFrame:

@@ -120,11 +120,15 @@ def visits(events: DataFrame, gap_minutes: int = 60) -> DataFrame:
     return d.groupBy("user_id", "context", "visit").agg(tasks.alias("tasks"), F.min("ts").alias("visit_start"))
 
 
-def switch_timeline(events: DataFrame, interruptions: DataFrame) -> DataFrame:
-    """Events, and whether they fall into any interruption of their user, ends included: the interruption's latest end
-    among those that began up to the event, by one window, instead of a range join."""
-    e = events.select("user_id", "id", F.unix_micros("event_time").alias("t"), F.lit(None).cast("long").alias("stop"), F.lit(1).alias("is_event"))
+def switch_timeline(events: DataFrame, interruptions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Each user's events in order with their task's category, and whether they fall into any interruption of the user,
+    ends included: the interruption's latest end among those that began up to the event, by one window, instead of a
+    range join."""
+    e = events.select("user_id", "id", "task_id", "event_type", F.unix_micros("event_time").alias("t"), F.lit(None).cast("long").alias("stop"), F.lit(1).alias("is_event"))
     i = interruptions.select("user_id", "id", F.unix_micros("start_time").alias("t"), (F.unix_micros("start_time") + F.coalesce("duration_seconds", F.lit(0)) * 1_000_000).alias("stop"), F.lit(0).alias("is_event"))
-    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    d = e.unionByName(i).withColumn("_stop", F.max("stop").over(w)).where("is_event = 1")
-    return d.select("id", "user_id", F.coalesce(F.col("_stop") >= F.col("t"), F.lit(False)).alias("in_interruption"))
+    w = Window.partitionBy("user_id").orderBy("t")
+    reach = F.max("stop").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    d = e.unionByName(i, allowMissingColumns=True).withColumn("_stop", reach).where("is_event = 1")
+    d = d.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "id")))
+    d = d.join(tasks.select("user_id", "task_id", "category"), ["user_id", "task_id"], "left")
+    return d.select("id", "user_id", "position", "category", "event_type", F.coalesce(F.col("_stop") >= F.col("t"), F.lit(False)).alias("in_interruption"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import insights, stats
+from ..operators import insights, metrics, sessions, stats
 from ..operators.vocabulary import TERMINAL
-from .views import AS_OF_TASKS, view, with_views
-from .work import BASE, LOST, S, ST, _base, _interruptions, _sessions, _status
+from ..sources.tables import stored
+from .views import AS_OF_EVENTS, AS_OF_TASKS, view, with_views
+from .work import BASE, LOST, STC, S, _interruptions, _sessions, _status, _tasks_of_events
 
 _T = lambda s, sf: view(s, sf, "tasks")
 _O = lambda s, sf: s.read.parquet(f"{sf}/orders.parquet")
@@ -20,16 +21,20 @@ def _days(s, sf):
     return _T(s, sf).groupBy("category", F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"))
 
 
-def _grouped(s, sf):
-    t = _status(s, sf).withColumn("category", F.col("task_id") % 4)
-    x = _sessions(s, sf).withColumn("category", F.col("task_id") % 4)
-    i = _interruptions(s, sf).withColumn("category", F.col("task_id") % 4)
-    return insights.category_friction(t, x, i.where("category IS NOT NULL"))
+def _grouped(s, sf, x=None, i=None):
+    t = _tasks_of_events(s, sf)
+    of = t.select("task_id", "category").where("category IS NOT NULL")
+    x, i = _sessions(s, sf) if x is None else x, _interruptions(s, sf) if i is None else i
+    return insights.category_friction(t.where("category IS NOT NULL"), x.join(of, "task_id"), i.join(of, "task_id"))
 
 
 def _all(s, sf):
-    t, x, i = _T(s, sf), _sessions(s, sf), _interruptions(s, sf)
-    return insights.all_insights(insights.forgetting_timing(t), insights.context_forgetting(t), _grouped(s, sf), insights.switch_timing(x), insights.interruption_cost(_base(s, sf)), insights.recurring_delay(t), insights.context_association(t), insights.friction_timing(x, i), insights.behaviour_trend(t))
+    """The ten insights; sessions and interruptions are reconstructed and written once."""
+    i = stored(_interruptions(s, sf), "interruptions")
+    x = stored(sessions.measured_sessions(sessions.lifecycle_sessions(view(s, sf, "task_events"), AS_OF_EVENTS), i), "sessions")
+    t = stored(_T(s, sf), "tasks")
+    base = metrics.base_by_user(_status(s, sf), i, x)
+    return insights.all_insights(insights.forgetting_timing(t), insights.context_forgetting(t), _grouped(s, sf, x, i), insights.switch_timing(x), insights.interruption_cost(base), insights.recurring_delay(t), insights.context_association(t), insights.friction_timing(x), insights.behaviour_trend(t), insights.attention_insight(t, AS_OF_TASKS))
 
 
 def _flat(op):
@@ -56,19 +61,32 @@ def _over(name, key, times, col):
     return f"{name} AS (SELECT user_id, count(*) AS {col} FROM (SELECT user_id, {key} AS b, {LOST} AS rate FROM tasks GROUP BY ALL) JOIN own USING (user_id) WHERE rate > {times} * own GROUP BY user_id)"
 
 
+def _peak(name, key, value):
+    return f"{name} AS (SELECT user_id, max(v) AS p, arg_max(k, (v, -k)) AS at, avg(v) AS m FROM (SELECT user_id, {key} AS k, {value} AS v FROM ms GROUP BY ALL) GROUP BY user_id)"
+
+
+def _late(name, key):
+    return f"{name} AS (SELECT user_id, count(*) AS o FROM (SELECT user_id, {key}, avg(late) AS rate FROM l1 GROUP BY ALL) JOIN l2 USING (user_id) WHERE rate > 1.3 * own GROUP BY user_id)"
+
+
+_FV = "coalesce((2 * sum(context_switch_count) + sum(interruption_count)) / nullif(sum(focused_time_seconds + interruption_time_seconds) / 3600.0, 0), 0)"
+_PRIMARY = "pl AS (SELECT user_id, category, arg_max(location_id, (n, -location_id)) AS location_id, max(n) / sum(n) AS share FROM (SELECT user_id, category, location_id, count(*) AS n FROM tasks WHERE location_id IS NOT NULL GROUP BY ALL) GROUP BY ALL)"
+_LATE = f"(epoch_us(deadline_at) - epoch_us(TIMESTAMP '{AS_OF_TASKS}')) / 8.64e10"
+_ATTENTION = f"""c AS (SELECT user_id, category, {LOST} AS cr FROM tasks GROUP BY ALL), r AS (SELECT user_id, task_id, round(CASE WHEN priority >= 4 THEN 0.3 WHEN priority = 3 THEN 0.15 ELSE 0 END + CASE WHEN {_LATE} < 1 THEN 0.4 WHEN {_LATE} < 3 THEN 0.2 ELSE 0 END + CASE WHEN cr > 0.3 THEN 0.2 ELSE 0 END, 4) AS risk_score FROM tasks JOIN c USING (user_id, category) WHERE status NOT IN ('completed', 'forgotten', 'cancelled')),
+      att AS (SELECT * FROM (SELECT user_id, task_id, risk_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY risk_score DESC, task_id) AS INT) AS position FROM r WHERE risk_score > 0.5) WHERE position <= 5)"""
 PARTS = {
     "i1_forgetting_timing": (f"{_OWN}, {_over('o1', 'isodow(created_at)', 1.5, 'days')}, {_over('o2', 'hour(created_at)', 1.5, 'hours')}, i1 AS (SELECT user_id, own, coalesce(days, 0) AS days, coalesce(hours, 0) AS hours FROM own LEFT JOIN o1 USING (user_id) LEFT JOIN o2 USING (user_id))", _ev("forgetting_timing", "i1", _lv("days > 2", "days >= 1"), overall="own", weekdays="days", hours="hours"), ["tasks"]),
     "i2_context_forgetting": (f"{_OWN}, {_over('o3', 'category', 1.3, 'nc')}, {_over('o4', 'location_id', 1.3, 'nl')}, i2 AS (SELECT user_id, own, coalesce(nc, 0) AS nc, coalesce(nl, 0) AS nl FROM own LEFT JOIN o3 USING (user_id) LEFT JOIN o4 USING (user_id))", _ev("context_forgetting", "i2", _lv("nc > 2", "nc >= 1"), overall="own", categories="nc", locations="nl"), ["tasks"]),
-    "i3_category_friction": (f"{S}, {ST}, g1 AS (SELECT user_id, task_id % 4 AS c, sum(context_switch_count) AS sw, count(*) AS n, sum(focused_time_seconds + interruption_time_seconds) / 3600.0 AS h FROM ms GROUP BY ALL), g2 AS (SELECT user_id, task_id % 4 AS c, count(*) AS i FROM ci WHERE task_id IS NOT NULL GROUP BY ALL), g3 AS (SELECT user_id, task_id % 4 AS c, {LOST} AS f FROM st GROUP BY ALL), i3 AS (SELECT user_id, avg(v) AS m, max(v) AS p FROM (SELECT user_id, f * 100 + coalesce(coalesce(i, 0) / nullif(h, 0), 0) * 10 + sw / n * 20 AS v FROM g1 JOIN g3 USING (user_id, c) LEFT JOIN g2 USING (user_id, c)) GROUP BY user_id)", _ev("category_friction", "i3", _lv("p > 1.5 * m", "p > 1.2 * m"), average="m", peak="p"), ["task_events", "interruptions"]),
-    "i4_switch_timing": (f"{S}, h1 AS (SELECT user_id, hour(session_start) AS h, avg(context_switch_count) AS rate FROM ms GROUP BY ALL), h2 AS (SELECT user_id, avg(context_switch_count) AS own FROM ms GROUP BY ALL), i4 AS (SELECT user_id, max(rate) AS p, arg_max(h, (rate, -h)) AS hr, any_value(own) AS own FROM h1 JOIN h2 USING (user_id) GROUP BY user_id)", _ev("switch_timing", "i4", _lv("p > 2 * own", "p > 1.5 * own"), average="own", peak="p", hour="hr"), ["task_events", "interruptions"]),
+    "i3_category_friction": (f"{STC}, g1 AS (SELECT ms.user_id, category AS c, sum(context_switch_count) AS sw, count(*) AS n, sum(focused_time_seconds + interruption_time_seconds) / 3600.0 AS h FROM ms JOIN et USING (task_id) WHERE category IS NOT NULL GROUP BY ALL), g2 AS (SELECT ci.user_id, category AS c, count(*) AS i FROM ci JOIN et USING (task_id) WHERE category IS NOT NULL GROUP BY ALL), g3 AS (SELECT user_id, category AS c, {LOST} AS f FROM et WHERE category IS NOT NULL GROUP BY ALL), i3 AS (SELECT user_id, avg(v) AS m, max(v) AS p FROM (SELECT user_id, f * 100 + coalesce(coalesce(i, 0) / nullif(h, 0), 0) * 10 + sw / n * 20 AS v FROM g1 JOIN g3 USING (user_id, c) LEFT JOIN g2 USING (user_id, c)) GROUP BY user_id)", _ev("category_friction", "i3", _lv("p > 1.5 * m", "p > 1.2 * m"), average="m", peak="p"), ["task_events", "interruptions"]),
+    "i4_switch_timing": (f"{S}, {_peak('h1', 'isodow(session_start) - 1', 'avg(context_switch_count)')}, {_peak('h2', 'hour(session_start)', 'avg(context_switch_count)')}, h3 AS (SELECT user_id, avg(context_switch_count) AS own FROM ms GROUP BY ALL), i4 AS (SELECT user_id, own, h1.p AS dp, h1.at AS da, h2.p AS hp, h2.at AS ha FROM h3 JOIN h1 USING (user_id) JOIN h2 USING (user_id))", _ev("switch_timing", "i4", "CASE WHEN dp > 2 * own THEN 'HIGH' ELSE 'MEDIUM' END", average="own", weekday="da", weekday_peak="dp", hour="ha", hour_peak="hp"), ["task_events", "interruptions"]),
     "i5_interruption_cost": (f"{BASE}, i5 AS (SELECT user_id, interruption_s / 3600.0 + switches * 5 / 60.0 AS h, active_s / 3600.0 AS a FROM base)", _ev("interruption_cost", "i5", _lv("h > 2", "h > 1"), hours_lost="h", share="coalesce(h / nullif(a, 0), 0)"), ["task_events", "interruptions"]),
-    "i6_recurring_delay": ("l1 AS (SELECT user_id, priority, CASE WHEN completed_at > deadline_at THEN 1 ELSE 0 END AS late FROM tasks WHERE status = 'completed' AND deadline_at IS NOT NULL), l2 AS (SELECT user_id, avg(late) AS own, count(*) AS n FROM l1 GROUP BY user_id), l3 AS (SELECT user_id, count(*) AS o FROM (SELECT user_id, priority, avg(late) AS rate FROM l1 GROUP BY ALL) JOIN l2 USING (user_id) WHERE rate > 1.3 * own GROUP BY user_id), i6 AS (SELECT user_id, own, n, coalesce(o, 0) AS o FROM l2 LEFT JOIN l3 USING (user_id))", _ev("recurring_delay", "i6", _lv("own > 0.5", "own > 0.25"), late_share="own", priorities="o", tasks="n"), ["tasks"]),
-    "i7_context_association": ("i7 AS (SELECT user_id, min(s) AS a, max(s) AS b, count(*) AS c FROM (SELECT user_id, category, max(n) / sum(n) AS s FROM (SELECT user_id, category, location_id, count(*) AS n FROM tasks GROUP BY ALL) GROUP BY ALL) GROUP BY user_id)", _ev("context_association", "i7", "CASE WHEN a < 0.3 THEN 'MEDIUM' ELSE 'LOW' END", weakest="a", strongest="b", categories="c"), ["tasks"]),
-    "i8_friction_timing": (f"{S}, w1 AS (SELECT user_id, isodow(session_start) AS w, sum(context_switch_count) AS sw, sum(focused_time_seconds + interruption_time_seconds) / 3600.0 AS h FROM ms GROUP BY ALL), w2 AS (SELECT user_id, isodow(start_time) AS w, count(*) AS n FROM ci GROUP BY ALL), i8 AS (SELECT user_id, avg(v) AS m, max(v) AS p FROM (SELECT user_id, (2 * sw + coalesce(n, 0)) / h AS v FROM w1 LEFT JOIN w2 USING (user_id, w) WHERE h > 0) GROUP BY user_id)", _ev("friction_timing", "i8", _lv("p > 2 * m", "p > 1.5 * m"), average="m", peak="p"), ["task_events", "interruptions"]),
+    "i6_recurring_delay": (f"l1 AS (SELECT user_id, priority, category, CASE WHEN completed_at > deadline_at THEN 1 ELSE 0 END AS late FROM tasks WHERE status = 'completed' AND deadline_at IS NOT NULL), l2 AS (SELECT user_id, avg(late) AS own, count(*) AS n FROM l1 GROUP BY user_id), {_late('l3', 'priority')}, {_late('l4', 'category')}, i6 AS (SELECT user_id, own, n, coalesce(l3.o, 0) AS o, coalesce(l4.o, 0) AS oc FROM l2 LEFT JOIN l3 USING (user_id) LEFT JOIN l4 USING (user_id))", _ev("recurring_delay", "i6", _lv("oc > 1", "oc = 1"), late_share="own", categories="oc", priorities="o", tasks="n"), ["tasks"]),
+    "i7_context_association": (f"{_PRIMARY}, i7 AS (SELECT user_id, min(share) AS a, max(share) AS b, avg(share) AS m, arg_min(location_id, (-share, category)) AS l, count(*) AS c FROM pl GROUP BY user_id)", _ev("context_association", "i7", "CASE WHEN a < 0.3 THEN 'MEDIUM' ELSE 'LOW' END", weakest="a", strongest="b", strongest_location="l", average="m", categories="c"), ["tasks"]),
+    "i8_friction_timing": (f"{S}, {_peak('w1', 'isodow(session_start) - 1', _FV)}, {_peak('w2', 'hour(session_start)', _FV)}, i8 AS (SELECT user_id, w1.m AS m, w1.p AS dp, w1.at AS da, w2.p AS hp, w2.at AS ha FROM w1 JOIN w2 USING (user_id))", _ev("friction_timing", "i8", "CASE WHEN dp > 2 * m THEN 'HIGH' ELSE 'MEDIUM' END", average="m", weekday="da", weekday_peak="dp", hour="ha", hour_peak="hp"), ["task_events", "interruptions"]),
     "i9_behaviour_trend": ("b1 AS (SELECT user_id, CAST(created_at AS DATE) AS day, avg(CASE WHEN status = 'forgotten' THEN 1.0 ELSE 0.0 END) AS rate FROM tasks WHERE status IN ('completed', 'forgotten', 'cancelled') GROUP BY ALL), i9 AS (SELECT user_id, count(*) AS days, regr_slope(rate, i) AS slope FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i FROM b1) GROUP BY user_id HAVING count(*) >= 7)", _ev("behaviour_trend", "i9", _lv("slope > 0.005", "slope > 0.001"), slope="slope", days="days"), ["tasks"]),
+    "i10_attention_insight": (f"{_ATTENTION}, i10 AS (SELECT user_id, active, coalesce(n, 0) AS n, coalesce(top, 0) AS top FROM (SELECT user_id, count(*) AS active FROM tasks WHERE status NOT IN ('completed', 'forgotten', 'cancelled') GROUP BY user_id) LEFT JOIN (SELECT user_id, count(*) AS n, max(risk_score) AS top FROM att GROUP BY user_id) USING (user_id))", _ev("proactive_attention", "i10", _lv("n > 2", "n >= 1"), active_tasks="active", tasks="n", top_score="top"), ["tasks"]),
 }
 _ALL_SQL = " UNION ALL ".join(f"SELECT * FROM (WITH {c} {q})" for c, q, _ in PARTS.values())
-_LATE = f"(epoch_us(deadline_at) - epoch_us(TIMESTAMP '{AS_OF_TASKS}')) / 8.64e10"
 
 QUERIES = {
     "s1_distribution": lambda s, sf: stats.distribution(_O(s, sf), "o_totalprice", "o_orderpriority", "o_orderstatus"),
@@ -93,11 +111,13 @@ QUERIES = {
     "i1_forgetting_timing": _flat(lambda s, sf: insights.forgetting_timing(_T(s, sf))),
     "i2_context_forgetting": _flat(lambda s, sf: insights.context_forgetting(_T(s, sf))),
     "i4_switch_timing": _flat(lambda s, sf: insights.switch_timing(_sessions(s, sf))),
-    "i5_interruption_cost": _flat(lambda s, sf: insights.interruption_cost(_base(s, sf))),
+    "i5_interruption_cost": _flat(lambda s, sf: insights.interruption_cost(metrics.base_by_user(_status(s, sf), _interruptions(s, sf), _sessions(s, sf)))),
     "i6_recurring_delay": _flat(lambda s, sf: insights.recurring_delay(_T(s, sf))),
     "i7_context_association": _flat(lambda s, sf: insights.context_association(_T(s, sf))),
-    "i8_friction_timing": _flat(lambda s, sf: insights.friction_timing(_sessions(s, sf), _interruptions(s, sf))),
+    "i8_friction_timing": _flat(lambda s, sf: insights.friction_timing(_sessions(s, sf))),
     "i9_behaviour_trend": _flat(lambda s, sf: insights.behaviour_trend(_T(s, sf))),
+    "i10_attention_insight": _flat(lambda s, sf: insights.attention_insight(_T(s, sf), AS_OF_TASKS)),
+    "i7_primary_locations": lambda s, sf: insights.primary_locations(_T(s, sf)).withColumn("share", F.round("share", 6)),
     "i11_all_insights": _flat(_all),
     "i12_story": lambda s, sf: insights.story(_all(s, sf)),
 }
@@ -122,9 +142,11 @@ SQL = {
     "q5_timestamp_range": with_views("SELECT min(event_time) AS first, max(event_time) AS last, CAST(CAST(max(event_time) AS DATE) - CAST(min(event_time) AS DATE) AS INT) AS days FROM task_events", "task_events"),
     "q6_class_balance": with_views("SELECT count(*) AS rows, count(*) FILTER (status = 'forgotten') AS positive, round(count(*) FILTER (status = 'forgotten') / count(*)::DOUBLE, 6) AS share, CASE WHEN count(*) FILTER (status = 'forgotten') / count(*)::DOUBLE BETWEEN 0.1 AND 0.4 THEN 'ok' ELSE 'unbalanced' END AS note FROM tasks", "tasks"),
     "l6_profile": " UNION ALL ".join(f"SELECT '{c}' AS column_name, round((count(*) - count({c})) / count(*)::DOUBLE, 6) AS null_rate, min({c}) AS low, max({c}) AS high, round(avg({c}), 6) AS mean FROM lineitem" for c in MEASURES),
-    "i10_attention": with_views(f"""WITH c AS (SELECT user_id, category, {LOST} AS cr FROM tasks GROUP BY ALL), r AS (SELECT user_id, task_id, round(CASE WHEN priority >= 4 THEN 0.3 WHEN priority = 3 THEN 0.15 ELSE 0 END + CASE WHEN {_LATE} < 1 THEN 0.4 WHEN {_LATE} < 3 THEN 0.2 ELSE 0 END + CASE WHEN cr > 0.3 THEN 0.2 ELSE 0 END, 4) AS risk_score FROM tasks JOIN c USING (user_id, category) WHERE status NOT IN ('completed', 'forgotten', 'cancelled'))
-      SELECT * FROM (SELECT user_id, task_id, risk_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY risk_score DESC, task_id) AS INT) AS position FROM r WHERE risk_score > 0.5) WHERE position <= 5""", "tasks"),
+    "i10_attention": with_views(f"WITH {_ATTENTION} SELECT * FROM att", "tasks"),
+    "i7_primary_locations": with_views(f"WITH {_PRIMARY} SELECT user_id, category, location_id, round(share, 6) AS share FROM pl", "tasks"),
     **{k: with_views(f"WITH {c} {q}", *v) for k, (c, q, v) in PARTS.items()},
     "i11_all_insights": with_views(_ALL_SQL, "tasks", "task_events", "interruptions"),
-    "i12_story": with_views(f"WITH a AS (SELECT DISTINCT user_id, insight, risk FROM ({_ALL_SQL})) SELECT user_id, count(*) AS insights, count(*) FILTER (risk = 'HIGH') AS high, array_to_string(list(insight ORDER BY CASE risk WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, insight)[1:3], ',') AS first FROM a GROUP BY user_id", "tasks", "task_events", "interruptions"),
+    "i12_story": with_views(f"""WITH o AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(insights.ADVICE.items()))}) AS t(o, insight, advice)), a AS (SELECT DISTINCT user_id, insight, risk FROM ({_ALL_SQL})), l AS (SELECT * FROM a JOIN o USING (insight))
+      SELECT user_id, count(*) AS insights, count(*) FILTER (risk = 'HIGH') AS high, count(*) FILTER (risk = 'MEDIUM') AS medium, CASE WHEN count(*) FILTER (risk = 'HIGH') > 0 THEN count(*) FILTER (risk = 'HIGH') || ' patterns of high risk need attention.' ELSE 'No pattern of high risk.' END AS narrative,
+      array_to_string(list(insight || ': ' || lower(risk) ORDER BY o)[1:3], '; ') AS findings, coalesce(string_agg(insight, '; ' ORDER BY o) FILTER (risk = 'HIGH'), '') AS risks, array_to_string(list(advice ORDER BY o)[1:3], '; ') AS recommendations FROM l GROUP BY user_id""", "tasks", "task_events", "interruptions"),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ CSV_SCHEMAS = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of our own, but only
+    if driver and executors are one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file:///tmp/tideline-checkpoints"  # one machine, as in tests
+    return at.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, for steps that use it several times."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_rows(spark: SparkSession, path: str, stamp: str, since: str | None = None, users: list | None = None, columns: list[str] | None = None) -> DataFrame:
     """Rows since a time and of some users; filter and columns are pushed to the Parquet scan."""
     d = spark.read.parquet(path)
@@ -23,8 +44,30 @@ def read_rows(spark: SparkSession, path: str, stamp: str, since: str | None = No
     return d.select(*columns) if columns else d
 
 
-def stream_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(folder)
+def read_tasks(spark: SparkSession, path: str, since: str | None = None, users: list | None = None) -> DataFrame:
+    """Tasks created since a time."""
+    return read_rows(spark, path, "created_at", since, users)
+
+
+def read_interruptions(spark: SparkSession, path: str, since: str | None = None, users: list | None = None) -> DataFrame:
+    """Interruptions begun since a time; unknown durations are 0."""
+    return read_rows(spark, path, "start_time", since, users).withColumn("duration_seconds", F.coalesce("duration_seconds", F.lit(0)))
+
+
+def read_sessions(spark: SparkSession, path: str, since: str | None = None, users: list | None = None) -> DataFrame:
+    """Sessions begun since a time."""
+    return read_rows(spark, path, "session_start", since, users)
+
+
+def read_events(spark: SparkSession, path: str, since: str | None = None, schema: str | None = None) -> DataFrame:
+    """Events since a time, with their location; with a ``schema``, as a stream of the folder's files."""
+    d = spark.readStream.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    return d.where(F.col("event_time") >= F.lit(since).cast("timestamp")) if since else d
+
+
+def write_csv_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, d in tables.items():
+        d.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
 
 
 def location_labels(locations: DataFrame) -> DataFrame:
