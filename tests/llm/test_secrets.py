@@ -38,14 +38,33 @@ def test_random_tokens_are_added_and_natural_ones_are_not(spark):
     rng = random.Random(2)
     real = [base64.b64encode(rng.randbytes(30)).decode().rstrip("=") for _ in range(60)] + ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(60)]
     fake = [f"some-long-path/of-words-{i}/and_more_{i}" for i in range(60)] + ["a" * 25 + str(i) for i in range(30)] + ["abcdefghijklmnopqrstuvwxyz0123456789"] * 5 + ["thequickbrownfoxjumpsoverthelazydog1"] * 5
-    rows = [(i, f"see {t} here") for i, t in enumerate(real + fake)]
+    word = ["the", "House", "of", "report", "stood", "near", "Summer", "2019", "walking", "people", "question", "about"]
+    prose = [" ".join(rng.choice(word) for _ in range(60)) for _ in range(400)]
+    rows = [(i, f"see {t} here") for i, t in enumerate(real + fake)] + [(9000 + i, t) for i, t in enumerate(prose)]
     got = {r.doc_id: r.added for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     caught = [bool(got[i]) for i in range(len(real))]
-    wrong = [bool(got[i]) for i in range(len(real), len(rows))]
+    wrong = [bool(got[i]) for i in range(len(real), len(real + fake))]
+    assert not any(got[9000 + i] for i in range(len(prose)))
     assert sum(caught) >= 0.85 * len(real), sum(caught)
     assert sum(wrong) <= 0.05 * len(fake), [rows[len(real) + i] for i, w in enumerate(wrong) if w][:5]
 
 
+def test_reported_share_of_natural_tokens_is_held(spark):
+    rng = random.Random(5)
+    word = ["alpha", "Beta", "gamma", "delta", "Report", "item", "final", "draft", "copy", "Image"]
+    name = lambda: "".join(rng.choice(word) for _ in range(5)) + str(rng.randrange(1000, 9999))
+    prose = [" ".join(rng.choice(word) for _ in range(80)) for _ in range(600)]
+    rows = [(i, f"{t} {name()}") for i, t in enumerate(prose)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("added") > 0).count()
+    assert got <= 0.05 * len(rows)  # all candidates are natural: hardly any is reported
+
+
+def test_many_matches_in_one_text(spark):
+    text = "0123456789abcdef01234567 password=abcdefgh Ab3dEf6hIj9lMn2pQr5t " * 20000
+    (got,) = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(got.base) == 40000 and got.base == sorted(got.base) and got.base[-1].stop < len(text)
+
+
 def test_digest_columns(spark, tmp_path):
     spark.createDataFrame([(1, TEXTS[3]), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in S.op4_secrets(spark, str(tmp_path)).collect()}

@@ -3,22 +3,29 @@
 Base spans come from three patterns. Further candidates are runs of 20 or more token characters outside the base spans
 that mix digits with letters. For the encoding that their characters suggest (hex, base32, alphanumeric, base64) three
 tests of uniform randomness are made: chi-squared over cells of the alphabet, runs about its middle, and lag-one serial
-correlation; Fisher's method combines their p-values. Natural tokens fail these tests, and how surely depends on the
-length, so false discoveries are controlled by length: within each encoding and length band Benjamini and Hochberg's
-procedure at rate ``RATE`` rejects randomness, over all candidates of the corpus. What it doesn't reject, and no single
-p-value under ``FLOOR`` speaks against, is added as ``random``. Ranks come from a histogram of p-values, so nothing is
-sorted in one place.
+correlation; Fisher's method combines their p-values.
+
+A discovery is a token that looks more random than natural ones do. How random these look depends on encoding and
+length, so every document gives, for each encoding and length band that has candidates, one natural token: a run of its
+letters from a hashed place (token-like words left out), in the encoding's letters, ended by a number, of the band's
+least length. The share of natural tokens that look at least as random is a candidate's p-value, and Benjamini and
+Hochberg's procedure, over all candidates of the encoding and band, keeps the expected share of natural tokens
+among those reported under ``RATE``. A token that the tests of randomness themselves reject (``FLOOR``) isn't reported
+either. Ranks come from histograms, so nothing is sorted in one place. In a corpus of a few documents natural tokens
+are too few to tell, and nothing is added.
+
+Spans are running sums over the rows of a text's matches, so their cost is linear in these.
 
 Positions are in code points, ends exclusive. Edge cases: null counts as empty; texts without matches have zero counts,
-no spans and the digest of the empty string; very long runs are tested whole; rows that repeat a doc_id are each
-scanned; an empty table gives no rows; other columns are ignored."""
+no spans and the digest of the empty string; very long texts and runs are scanned whole; rows that repeat a doc_id are
+each scanned; a null doc_id is scanned as any other; an empty table gives no rows; other columns are ignored."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read_table, text_of, written
+from .shared import read_table, row_key, text_of, written
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,19 +42,12 @@ CELLS = {"hex": [4, 8, 10, 13, 16], "base32": [8, 16, 26, 32], "alnum": [13, 26,
 BINS = 32  # bins of the p-value histogram for each power of ten
 
 
-def _spans(text: Column, pattern: str, keep) -> Column:
-    """array<struct<start, stop, token>> of a pattern's matches that ``keep`` wants, by the lengths of what lies between."""
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """array<struct<kind, i, gap, token>> of a pattern's matches, gap the characters since the one before."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,token:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["between"])
-        stop = start + F.length(x["found"])
-        return F.struct(stop.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("token")))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda f, b: F.struct(f.alias("found"), b.alias("between")))
-    spans = F.filter(F.aggregate(pairs, zero, step, lambda a: a["out"]), lambda s: keep(s["token"]))
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast("array<struct<start:int,stop:int,token:string>>"))
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda f, b: F.struct(f.alias("token"), F.length(b).alias("gap")))
+    rows = F.transform(pairs, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["token"].alias("token")))
+    return F.when(F.rlike(text, F.lit(pattern)), rows).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,token:string>>"))
 
 
 def _erfc(x: Column) -> Column:
@@ -64,12 +64,16 @@ def _two_sided(z: Column) -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Add encoding, n and p, the combined p-value of uniform randomness, to rows with a ``token``; others are dropped."""
+    """Add encoding, n and p, the combined p-value of uniform randomness, to rows with a ``token``. The encoding is
+    inferred, and tokens that don't mix digits with letters are dropped, unless it is there."""
     t = F.regexp_replace("token", "=+$", "")
     d = tokens.withColumn("_t", F.when(F.rlike(t, F.lit("^[0-9A-F]+$")), F.lower(t)).otherwise(F.translate(t, "-_=", "+/+")))
-    mixed = F.rlike("_t", F.lit("[0-9]")) & F.rlike("_t", F.lit("[A-Za-z]"))
-    enc = F.when(F.rlike("_t", F.lit("^[0-9a-f]+$")), "hex").when(F.rlike("_t", F.lit("^[A-Z2-7]+$")), "base32").when(F.rlike("_t", F.lit("^[A-Za-z0-9]+$")), "alnum").otherwise("base64")
-    d = d.where(mixed).withColumn("encoding", enc).withColumn("n", F.length("_t").cast("double"))
+    columns = [c for c in tokens.columns if c != "encoding"]
+    if "encoding" not in tokens.columns:
+        mixed = F.rlike("_t", F.lit("[0-9]")) & F.rlike("_t", F.lit("[A-Za-z]"))
+        enc = F.when(F.rlike("_t", F.lit("^[0-9a-f]+$")), "hex").when(F.rlike("_t", F.lit("^[A-Z2-7]+$")), "base32").when(F.rlike("_t", F.lit("^[A-Za-z0-9]+$")), "alnum").otherwise("base64")
+        d = d.where(mixed).withColumn("encoding", enc)
+    d = d.withColumn("n", F.length("_t").cast("double"))
 
     def by(of: dict) -> Column:
         out = F.lit(None)
@@ -101,37 +105,75 @@ def battery(tokens: DataFrame) -> DataFrame:
     lag = F.aggregate(F.zip_with(but_last(F.col("_v")), next_of(F.col("_v")), lambda a, b: (a - F.col("_m")) * (b - F.col("_m"))), F.lit(0.0), lambda a, x: a + x)
     d = d.withColumn("_p3", F.when(F.col("_s") > 0, F.greatest(F.lit(1e-30), _two_sided((lag / F.greatest("_s", F.lit(1e-9)) + 1 / F.col("n")) * F.sqrt("n")))).otherwise(F.lit(1e-30)))
     x = -(F.log("_p1") + F.log("_p2") + F.log("_p3"))  # half of Fisher's statistic: chi-squared with six degrees
-    return d.withColumn("p", F.greatest(F.lit(1e-30), F.least(F.lit(1.0), F.exp(-x) * (1 + x + x * x / 2)))).withColumn("least", F.least("_p1", "_p2", "_p3")).select(*tokens.columns, "encoding", "n", "p", "least")
-
-
-def random_looking(tested: DataFrame, rate: float = RATE, floor: float = FLOOR) -> DataFrame:
-    """The rows of ``battery`` for which randomness isn't rejected, false discoveries being controlled by length."""
-    bands = tested.withColumn("band", F.floor(F.log2("n"))).withColumn("bin", F.floor(-F.log10("p") * BINS))
-    hist = bands.groupBy("encoding", "band", "bin").agg(F.count("*").alias("c"))  # a few hundred rows a band at most
+    return d.withColumn("p", F.greatest(F.lit(1e-30), F.least(F.lit(1.0), F.exp(-x) * (1 + x + x * x / 2)))).withColumn("least", F.least("_p1", "_p2", "_p3")).select(*columns, "encoding", "n", "p", "least")
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log2(n)).cast("int")
+
+
+def natural(docs: DataFrame, wanted: list[tuple[str, int]]) -> DataFrame:
+    """(encoding, n, p, least) of a natural token of each text (row, t) for each wanted encoding and length band."""
+    words = F.regexp_replace("t", rf"{ASSIGN}|{ACCESS}|{HEX}|{RUN}", " ")
+    letters = {
+        "hex": F.regexp_replace(F.lower(words), "[^0-9a-f]+", ""),
+        "base32": F.regexp_replace(F.upper(words), "[^A-Z2-7]+", ""),
+        "alnum": F.regexp_replace(words, "[^A-Za-z0-9]+", ""),
+        "base64": F.regexp_replace(words, "[^A-Za-z0-9]+", ""),
+    }
+    rows = []
+    for enc, band in wanted:
+        n = max(20, 1 << band)
+        s = letters[enc]
+        number = F.lpad(F.pmod(F.xxhash64("row", F.lit(band)), F.lit(10000)).cast("string"), 4, "0")
+        at = F.pmod(F.xxhash64("row", F.lit(enc), F.lit(band)), F.greatest(F.length(s) - n + 5, F.lit(1)).cast("long")).cast("int") + 1
+        token = F.when(F.length(s) >= n, F.concat(s.substr(at, F.lit(n - 4)), F.translate(number, "0189", "2345") if enc == "base32" else number))
+        rows.append(F.struct(F.lit(enc).alias("encoding"), token.alias("token")))
+    tokens = docs.select(F.explode(F.array(*rows)).alias("x")).select("x.encoding", "x.token").where("token IS NOT NULL")
+    return battery(tokens).select("encoding", "n", "p", "least")
+
+
+def random_looking(tested: DataFrame, docs: DataFrame, rate: float = RATE, floor: float = FLOOR) -> DataFrame:
+    """The rows of ``battery`` that look more random than natural tokens of the texts (row, t), at a false-discovery rate."""
+    bins = lambda d: d.withColumn("band", _band(F.col("n"))).withColumn("bin", F.floor(-F.log10("p") * BINS))
+    cand = bins(tested)
+    wanted = sorted((r["encoding"], r["band"]) for r in cand.select("encoding", "band").distinct().collect())  # four encodings, a band for each power of two
+    if not wanted:
+        return tested
+    null = bins(natural(docs, wanted)).groupBy("encoding", "band", "bin").agg(F.count("*").alias("r")).withColumn("c", F.lit(0).cast("long"))
+    hist = cand.groupBy("encoding", "band", "bin").agg(F.count("*").alias("c")).withColumn("r", F.lit(0).cast("long"))  # a few hundred rows a band at most
+    hist = hist.unionByName(null).groupBy("encoding", "band", "bin").agg(F.sum("c").alias("c"), F.sum("r").alias("r"))
     of = Window.partitionBy("encoding", "band")
-    ranked = hist.withColumn("k", F.sum("c").over(of.orderBy(F.desc("bin")))).withColumn("m", F.sum("c").over(of))
-    cut = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS) <= rate * F.col("k") / F.col("m")).groupBy("encoding", "band").agg(F.min("bin").alias("cut"))
-    out = bands.join(F.broadcast(cut), ["encoding", "band"], "left")  # one row an encoding and power of two
-    return out.where((F.col("cut").isNull() | (F.col("bin") < F.col("cut"))) & (F.col("p") >= floor) & (F.col("least") >= floor / 10)).select(*tested.columns)
+    ranked = hist.select("encoding", "band", "bin", *[F.sum(x).over(of.orderBy("bin")).alias(x.upper()) for x in "cr"], F.sum("c").over(of).alias("m"), F.sum("r").over(of).alias("all"))
+    ok = F.col("m") * (1 + F.col("R")) / (1 + F.col("all")) <= rate * F.col("C")
+    cut = ranked.where(ok).groupBy("encoding", "band").agg(F.max("bin").alias("cut"))
+    out = cand.join(F.broadcast(cut), ["encoding", "band"])  # one row an encoding and power of two
+    return out.where((F.col("bin") <= F.col("cut")) & (F.col("p") >= floor) & (F.col("least") >= floor / 10)).select(*tested.columns)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, base, added): spans as array<struct<start, kind, stop>>, kind an index into ``KINDS``."""
-    text = text_of(text_col)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("t"))
-    any_ = lambda t: F.lit(True)
-    found = d.select("doc_id", "row", _spans(F.col("t"), ASSIGN, lambda t: F.length(F.regexp_extract(t, ASSIGN, 2)) >= 6).alias("s0"), _spans(F.col("t"), ACCESS, lambda t: F.length(t) >= 20).alias("s1"), _spans(F.col("t"), HEX, any_).alias("s2"), _spans(F.col("t"), RUN, any_).alias("s3"))
-
-    def labelled(c: str, kind: int) -> Column:
-        return F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
-
-    found = found.withColumn("base", F.array_sort(F.concat(labelled("s0", 0), labelled("s1", 1), labelled("s2", 2))))
-    free = F.filter("s3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    t = written(found.select("doc_id", "row", "base", free.alias("more")), "spans")
-    tokens = t.select("row", F.explode("more").alias("s")).select("row", "s.start", "s.stop", "s.token").distinct()
-    tested = written(battery(tokens), "battery")
-    added = random_looking(tested).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "stop")).alias("added"))
-    return t.join(added, "row", "left").select("doc_id", "row", "base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,stop:int>>")).alias("added"))
+    d = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), text_of(text_col).alias("t"))
+    found = F.flatten(F.array(*(_matches(F.col("t"), p, k) for k, p in enumerate((ASSIGN, ACCESS, HEX, RUN)))))
+    t = written(d.select("doc_id", "row", found.alias("m")), "matches")
+    each = t.where(F.size("m") > 0).dropDuplicates(["row"]).select("row", F.explode("m").alias("x")).select("row", "x.*")
+    so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("token")
+    at = each.withColumn("stop", F.sum(F.col("gap") + size).over(so_far).cast("int")).withColumn("start", F.col("stop") - size)
+    keep = F.when(F.col("kind") == 0, F.length(F.regexp_extract("token", ASSIGN, 2)) >= 6).when(F.col("kind") == 1, size >= 20).otherwise(True)
+    spans = written(at.where(keep).select("row", "kind", "start", "stop", "token"), "spans")
+    # A run is free if no base span that starts before its end stops after its start.
+    run = F.col("kind") == 3
+    before = Window.partitionBy("row").orderBy(F.when(run, F.col("stop") - 1).otherwise(F.col("start")), run).rowsBetween(Window.unboundedPreceding, 0)
+    reach = spans.withColumn("reach", F.max(F.when(~run, F.col("stop"))).over(before))
+    free = reach.where(run & (F.col("reach").isNull() | (F.col("reach") <= F.col("start")))).select("row", "start", "stop", "token")
+    tested = written(battery(free), "battery")
+    span = lambda d, kind: F.collect_list(F.struct("start", kind.alias("kind"), "stop")).alias(d)
+    base = spans.where(~run).groupBy("row").agg(span("base", F.col("kind")))
+    added = random_looking(tested, d.select("row", "t")).groupBy("row").agg(span("added", F.lit(3)))
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+    out = t.select("doc_id", "row").join(base, "row", "left").join(added, "row", "left")
+    return out.select("doc_id", "row", F.array_sort(F.coalesce("base", none)).alias("base"), F.array_sort(F.coalesce("added", none)).alias("added"))
 
 
 def written_out(spans: Column) -> Column:
