@@ -1,8 +1,10 @@
 """Exact duplicates: binary-fuse filters of immutable snapshots screen a batch; positives are checked byte by byte.
 
 A snapshot's distinct digests are dealt to buckets of bounded size and a static filter is built for each (Graf and
-Lemire 2022). Of an incoming batch, equal digests are grouped first; the groups meet their bucket's filters, and only
-those that a filter lets through join the snapshots' exact digests. Texts of one digest are then compared whole.
+Lemire 2022), once: with ``store`` they are kept beside the snapshot and later batches read them. Of an incoming batch,
+equal digests are grouped first; the groups meet their bucket's filters, and only those that a filter lets through join
+the snapshots' exact digests. The texts of each digest are then compared whole: the smallest and the largest of them,
+found with partial results in every task, are equal if all are, so no task gets all copies of a text.
 
 Edge cases: null text counts as empty; a null doc_id sorts after all others and ``kept`` compares null-safe; rows that
 repeat a doc_id are all kept if that id is the smallest; an empty table gives no rows; other columns are ignored."""
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, screened
-from .shared import fold, read_table, text_of, written
+from .shared import exists, fold, read_table, text_of, written
 from .words import mix
 
 U64 = np.uint64
@@ -81,19 +83,29 @@ class FuseFilter:
         return (self.prints[a] ^ self.prints[b] ^ self.prints[c]) == prints
 
 
-def filters(snapshots: DataFrame, buckets: int) -> DataFrame:
-    """A filter for each snapshot and bucket of (snapshot int, key long, distinct or not)."""
+def filters(keys: DataFrame, store: str | None = None) -> DataFrame:
+    """The filters of a snapshot's distinct keys (key long): bucket, buckets, and a filter's numbers and bytes.
+
+    With ``store``, a folder, they are written there, or read if they are there already."""
+    spark = keys.sparkSession
+    if store and exists(spark, f"{store}/_SUCCESS"):
+        return spark.read.parquet(store)
+    buckets = max(1, -(-keys.count() // BUCKET))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         f = FuseFilter.build(rows["key"].to_numpy(np.int64))
-        return pd.DataFrame({"snapshot": rows["snapshot"].iloc[:1], "bucket": rows["bucket"].iloc[:1], "seed": f.seed, "segment": f.segment, "segments": f.segments, "prints": [f.prints.tobytes()]})
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "buckets": buckets, "seed": f.seed, "segment": f.segment, "segments": f.segments, "prints": [f.prints.tobytes()]})
 
-    rows = snapshots.select("snapshot", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key").distinct()
-    return rows.groupBy("snapshot", "bucket").applyInPandas(build, "snapshot int, bucket int, seed int, segment int, segments int, prints binary")
+    rows = keys.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key").distinct()
+    built = rows.groupBy("bucket").applyInPandas(build, "bucket int, buckets int, seed int, segment int, segments int, prints binary")
+    if store is None:
+        return written(built, "filters")
+    built.write.parquet(store)
+    return spark.read.parquet(store)
 
 
-def screen(keys: DataFrame, built: DataFrame, buckets: int) -> DataFrame:
-    """The distinct keys (key long) that some snapshot's filter lets through."""
+def screen(keys: DataFrame, built: DataFrame) -> DataFrame:
+    """The distinct keys (key long) that a snapshot's filters let through."""
 
     def look(of: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         key = rows["key"].to_numpy(np.int64)
@@ -102,6 +114,7 @@ def screen(keys: DataFrame, built: DataFrame, buckets: int) -> DataFrame:
             found |= FuseFilter(f.seed, f.segment, f.segments, np.frombuffer(f.prints, np.uint8)).has(key)
         return pd.DataFrame({"key": key[found]})
 
+    buckets = (built.agg(F.max("buckets")).first()[0]) or 1
     rows = keys.select("key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"))
     return built.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(look, "key long")
 
@@ -114,40 +127,39 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def exact_dedup(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_col: str = "batch", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_col: str = "batch", digest: Callable[[Column], Column] = sha256, store: str | None = None) -> DataFrame:
     """Groups of equal normalised texts over immutable snapshots and one incoming batch.
 
     ``batch_col`` is an int: 0, 1, ... number the snapshots, -1 marks the incoming batch. Returns (doc_id, keep_id,
     group_size, kept, text_sha256), one row for each input row. ``digest`` may be replaced, as by tests, with a weaker
-    one: texts of the same digest that differ are told apart by their bytes."""
-    spark = rows.sparkSession
+    one: texts of the same digest that differ are told apart by their bytes. ``store`` is a folder for the snapshots'
+    filters, as in ``filters``."""
     d = rows.select(F.col(id_col).alias("doc_id"), F.col(batch_col).cast("int").alias("snapshot"), normalised(text_col).alias("text"))
-    d = d.withColumn("digest", digest(F.col("text"))).withColumn("key", F.xxhash64("digest"))
-    t = written(d.select("doc_id", "snapshot", "digest", "key", sha256(F.col("text")).alias("text_sha256")), "digests")
-    groups = t.groupBy("snapshot", "digest", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-    groups = written(groups, "groups")
+    d = d.withColumn("digest", digest(F.col("text")))
+    t = written(d.select("doc_id", "snapshot", "digest", F.xxhash64("digest").alias("key"), sha256(F.col("text")).alias("text_sha256")), "digests")
+    groups = written(t.groupBy("snapshot", "digest", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")), "groups")
     old, new = groups.where("snapshot >= 0"), groups.where("snapshot < 0")
-    buckets = max(1, -(-old.count() // BUCKET))
-    maybe = screen(new.select("key").distinct(), filters(old.select("snapshot", "key"), buckets), buckets)
-    maybe = written(maybe, "maybe")
+    maybe = new.select("key").limit(0)
+    for k in sorted(r[0] for r in old.select("snapshot").distinct().collect()):  # one row a snapshot
+        built = filters(old.where(F.col("snapshot") == k).select("key"), store and f"{store}/snapshot-{k}")
+        maybe = maybe.unionByName(screen(new.select("key").distinct(), built))
+    maybe = written(maybe.distinct(), "maybe")
     met = new.join(maybe, "key", "left_semi")
     alone = new.join(maybe, "key", "left_anti").select("digest", "n", "low")
     together = old.unionByName(met).groupBy("digest").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
     more = written(together.unionByName(alone).where("n > 1"), "repeated")
-    # Byte check: of the digests that occur more than once, every text meets the one that stays.
-    texts = screened(d.select("doc_id", "digest", "text"), F.xxhash64(F.xxhash64("digest")), bitmap(more.select(F.xxhash64("digest").alias("key")), "key"))
-    first = texts.join(more.select("digest", "low"), "digest").where(F.col("doc_id").eqNullSafe(F.col("low"))).dropDuplicates(["digest"]).select("digest", F.col("text").alias("stays"))
-    unlike = written(texts.join(first, "digest").where("text <> stays").select("digest", "doc_id", "text", sha256(F.col("text")).alias("text_sha256")), "unlike")
+    # Byte check of the digests that occur more than once.
+    texts = screened(d.select("doc_id", "digest", "text"), F.xxhash64("digest"), bitmap(more.select("digest"), "digest"))
+    unlike = written(texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("z")).where("a <> z").select("digest"), "unlike")
+    known = F.col("n").isNotNull()
+    columns = ["doc_id", F.coalesce("n", F.lit(1)).alias("group_size"), F.when(known, F.col("low")).otherwise(F.col("doc_id")).alias("keep_id"), "text_sha256"]
     if unlike.isEmpty():
-        found = t.join(more, "digest", "left").select("doc_id", F.coalesce("n", F.lit(1)).alias("group_size"), F.when(F.col("n").isNotNull(), F.col("low")).otherwise(F.col("doc_id")).alias("keep_id"), "text_sha256")
+        found = t.join(more.hint("merge"), "digest", "left").select(*columns)
     else:  # different texts of one digest: group by the texts themselves
-        apart = unlike.groupBy("digest", "text").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-        back = unlike.join(apart, ["digest", "text"]).select("doc_id", F.col("n").alias("group_size"), F.col("low").alias("keep_id"), "text_sha256")
-        lost = unlike.groupBy("digest").agg(F.count("*").alias("lost"))
-        rest = more.join(lost, "digest", "left").select("digest", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "low")
-        gone = unlike.select("digest", "text_sha256").distinct()
-        found = t.join(gone, ["digest", "text_sha256"], "left_anti").join(rest, "digest", "left")
-        found = found.select("doc_id", F.coalesce("n", F.lit(1)).alias("group_size"), F.when(F.col("n").isNotNull(), F.col("low")).otherwise(F.col("doc_id")).alias("keep_id"), "text_sha256").unionByName(back)
+        found = t.join(unlike, "digest", "left_anti").join(more.hint("merge"), "digest", "left").select(*columns)
+        rows_ = texts.join(unlike, "digest", "left_semi").withColumn("text_sha256", sha256(F.col("text")))
+        apart = rows_.groupBy("digest", "text").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
+        found = found.unionByName(rows_.join(apart, ["digest", "text"]).select(*columns))
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -22,19 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+BATCH = 2000  # rows
 _made: list[str] = []  # scratch of this driver's steps, until it is released
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
-
-    Later steps then read files that outlive any executor, with column pruning. ``release`` removes them, unless they
-    are to be kept."""
+def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, written as Parquet to the shared folder and read again, and where it is."""
     path = f"{shared_dir(df.sparkSession)}/{PurePosixPath(name).name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        _made.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it again.
+
+    Later steps then read files that outlive any executor, with column pruning. ``release`` removes them."""
+    again, path = put(df, name)
+    _made.append(path)
+    return again
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -42,13 +47,26 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the scratch of all steps so far; results that were made from it must have been written."""
     while _made:
         remove(spark, _made.pop())
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH`` rows instead of Spark's default of 10,000, as whole texts are long: a batch is held
+    several times, in the JVM and in Python. A session that has set its own number keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -81,6 +99,20 @@ def without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
     return screened(keyed, hashed, shared, there=False).unionByName(maybe).select(*docs.columns)
 
 
+def thinned(docs: DataFrame, key: Column, table: DataFrame, stays: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` isn't in column _k of ``table``, and of those whose key is, one for each key for
+    which ``stays``, over the columns of both, holds."""
+    from .bitmap import bitmap, screened
+
+    keyed = docs.withColumn("_k", key)
+    shared = bitmap(table.select("_k"), "_k")
+    hashed = F.xxhash64("_k")
+    maybe = written(screened(keyed, hashed, shared).join(table.withColumn("_there", F.lit(True)).hint("merge"), "_k", "left"), "maybe")
+    one = maybe.where(F.col("_there") & stays).dropDuplicates(["_k"])
+    rest = screened(keyed, hashed, shared, there=False)
+    return rest.select(*docs.columns).unionByName(maybe.where("_there IS NULL").select(*docs.columns)).unionByName(one.select(*docs.columns))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (node, root), root the smallest node reached.
 
@@ -89,7 +121,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges of each round are written to the shared folder. Merge joins at every size, as both sides grow with the input. An empty input gives an empty result."""
     spark = edges.sparkSession
     a, b = F.col("a"), F.col("b")
-    now = written(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    now, path = put(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         # Large star: every neighbour larger than u points to the smallest of u and its neighbours.
@@ -100,11 +132,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         pairs = large.join(low.hint("merge"), F.col("a") == F.col("u"))
         small = pairs.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = written(small.distinct(), "edges")
+        last = path
+        now, path = put(small.distinct(), "edges")
+        remove(spark, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if state[0] == state[2] and tuple(state) == before:
             break
         before = tuple(state)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+    _made.append(path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
