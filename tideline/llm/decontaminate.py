@@ -7,7 +7,7 @@ to the 10-word windows that hold it and compares their words. Items of fewer tha
 
 A bitmap of bounded size, made from the items' fingerprints, screens the documents' before the join.
 
-Edge cases: null or wordless texts have no words and are never contaminated; wordless items never occur; an item
+Edge cases: texts of any length are searched whole; a null doc_id is judged as any other; null or wordless texts have no words and are never contaminated; wordless items never occur; an item
 without an id taints documents but isn't counted in n_items; rows that repeat a doc_id are each judged on their own
 text; without items or documents nothing is contaminated, or nothing returned; other columns are ignored."""
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, hit, xxhash64_of
-from .shared import read_table, text_of, written
+from .shared import read_table, row_key, text_of, written
 from .words import ALNUM, Piece, grams, lists, pieces, signed
 
 SPAN, K = 10, 5  # words in a window, words in a gram
@@ -88,9 +88,10 @@ def _spread(df: DataFrame, keep: list[str], prefix: str) -> DataFrame:
 
 
 def hits(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n_words) of every document, and (doc_id, key, start, stop, item_id), the windows that occur in it.
+    """(doc_id, key, n_words) of every document, and (doc_id, key, start, stop, items), the windows that occur in
+    it, each with a list of structs of item_id.
 
-    ``documents`` has doc_id and text, ``items`` has item_id and text. ``key`` is a hash of the text, which tells apart
+    ``documents`` has doc_id and text, ``items`` has item_id and text. ``key`` is that of ``row_key``, which tells apart
     rows that repeat a doc_id."""
     short = [*range(1, SPAN)]
     src = items.select("item_id", text_of().alias("text"))
@@ -98,20 +99,23 @@ def hits(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = sorted(r[0] for r in marks.where(F.col("n_words").between(1, SPAN - 1)).select(F.col("n_words").cast("int")).distinct().collect())
     test = _spread(marks, ["item_id"], "i")
     shared = bitmap(test.select("fp").distinct(), "fp")
-    d = documents.select("doc_id", F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
-    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, key long, n_words long, {_MARKS}"
+    d = documents.select("doc_id", row_key().alias("key"), text_of().alias("text"))
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, key string, n_words long, {_MARKS}"
     train = written(d.mapInArrow(lambda b: _sketch(b, short, False, shared.value), schema), "fingerprints")
+    # Items with the same words around a fingerprint are met once, as a list.
+    test = test.groupBy("fp", "m", "iaround").agg(F.collect_set(F.struct("item_id")).alias("items"))
     both = _spread(train, ["doc_id", "key"], "d").distinct().join(test, ["fp", "m"])
     same = [f"IF(NOT array_contains(slice(daround, {o + 1}, {SPAN}), 0L) AND slice(daround, {o + 1}, {SPAN}) = slice(iaround, {o + 1}, {SPAN}), dpos - {W - 1 - o}, NULL)" for o in range(W)]
     starts = f"IF(m = {SPAN}, array_compact(array({', '.join(same)})), IF(slice(daround, {W}, m) = slice(iaround, {W}, m), array(dpos), array()))"
-    found = both.select("doc_id", "key", "item_id", "m", F.explode(F.expr(starts)).alias("start"))
-    return train.select("doc_id", "key", "n_words"), found.select("doc_id", "key", "item_id", "start", (F.col("start") + F.col("m")).alias("stop")).distinct()
+    found = both.select("doc_id", "key", "items", "m", F.explode(F.expr(starts)).alias("start"))
+    return train.select("doc_id", "key", "n_words"), found.select("doc_id", "key", "items", "start", (F.col("start") + F.col("m")).alias("stop"))
 
 
 def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Per document: n_words, n_hit (words inside windows that occur), n_items, item_ids, spans, contaminated."""
     train, found = hits(documents, items)
-    per = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    ids = F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x["item_id"].cast("string"))
+    per = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"), F.array_sort(F.array_distinct(F.array_compact(ids))).alias("item_ids"))
     merged = """aggregate(s, array(struct(-1 AS start, -1 AS stop)), (a, x) ->
       IF(x.start <= element_at(a, -1).stop, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start AS start, greatest(element_at(a, -1).stop, x.stop) AS stop))), concat(a, array(x))))"""
     per = per.select("doc_id", "key", "item_ids", F.expr(f"slice({merged}, 2, 1 << 30)").alias("spans"))
