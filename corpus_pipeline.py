@@ -1,8 +1,10 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and returns the rows that stay, with the columns of ``docs``; the last returns
-packed pieces. Rows with the same id and text count as copies of each other. Null and empty texts are scored, grouped,
-searched and packed as empty texts; other columns pass through whatever their names are."""
+packed pieces. A stage removes the scratch of those before it, so their results must have been written. Rows with the
+same id and text count as copies of each other. Null and empty texts are scored, grouped, searched and packed as empty
+texts, null ids as ids of their own kind; other columns pass through whatever their names are; an empty table passes
+every stage and gives no pieces."""
 
 from __future__ import annotations
 
@@ -12,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
-from tideline.llm.shared import read_table, text_of, without, written
+from tideline.llm.shared import modest_batches, put, read_table, release, remove, row_key, thinned, without, written
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with other columns out of the way, and the names to give back."""
+    """``docs`` with other columns out of the way, and the names to give back; scratch of earlier stages is removed."""
+    release(docs.sparkSession)
+    modest_batches(docs.sparkSession)
     names = {c: f"_in_{c}" for c in docs.columns if c not in ("doc_id", "text")}
     return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
 
@@ -31,38 +35,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of equal normalised texts."""
     plain, names = _plain(docs)
-    found = written(exact_dedup.exact_dedup(exact_dedup.in_batches(plain)).where("group_size > 1").select("keep_id", "text_sha256"), "copies")
-    groups = found.groupBy(F.xxhash64("text_sha256").alias("_g")).agg(F.first("keep_id").alias("_keep"))
-    digest = F.xxhash64(exact_dedup.sha256(exact_dedup.normalised()))
-    alone = without(plain, digest, groups.select("_g"))
-    grouped = plain.withColumn("_g", digest)
-    shared = exact_dedup.bitmap(groups, "_g")
-    grouped = exact_dedup.screened(grouped, F.xxhash64("_g"), shared).join(groups.hint("merge"), "_g").where(F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_g"])
-    return alone.unionByName(grouped.select(*plain.columns)).withColumnsRenamed(names).select(*docs.columns)
+    found = exact_dedup.exact_dedup(exact_dedup.in_batches(plain)).where("group_size > 1")
+    groups = written(found.groupBy(F.col("text_sha256").alias("_k")).agg(F.first("keep_id").alias("_keep")), "copies")
+    key = exact_dedup.sha256(exact_dedup.normalised())
+    return thinned(plain, key, groups, F.col("doc_id").eqNullSafe(F.col("_keep"))).withColumnsRenamed(names).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles of similarity 0.8 or more."""
     plain, names = _plain(docs)
     linked = written(jaccard_join.jaccard_join(plain, n=5, num=80, den=100, rows=True).where("n_links > 0").select("doc_id", "row", "group"), "linked")
-    stay = linked.groupBy("group").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row")
-    row = F.xxhash64("doc_id", text_of())
-    rest = without(plain, row, linked.select("row"))
-    shared = exact_dedup.bitmap(stay, "row")
-    kept = exact_dedup.screened(plain.withColumn("_row", row), F.xxhash64("_row"), shared).join(stay.select(F.col("row").alias("_row")).hint("merge"), "_row").dropDuplicates(["_row"])
-    return rest.unionByName(kept.select(*plain.columns)).withColumnsRenamed(names).select(*docs.columns)
+    stay = linked.groupBy("group").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("_k")).select("_k", F.lit(True).alias("_stays"))
+    table = linked.select(F.col("row").alias("_k")).distinct().join(stay.hint("merge"), "_k", "left")
+    return thinned(plain, row_key(), table, F.col("_stays")).withColumnsRenamed(names).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     plain, names = _plain(docs)
-    found = decontaminate.decontaminate(plain, read_table(spark, sf_dir, "benchmark")).where("contaminated")
-    hit = written(found.select(F.xxhash64("doc_id", "key").alias("hit")), "hit")
-    return without(plain, F.xxhash64("doc_id", F.xxhash64(text_of())), hit).withColumnsRenamed(names).select(*docs.columns)
+    hit = written(decontaminate.decontaminate(plain, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("key"), "hit")
+    return without(plain, row_key(), hit).withColumnsRenamed(names).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens, packed into sequences."""
+    release(spark)
+    modest_batches(spark)
     return packing.best_fit_pack(docs)
 
 
@@ -77,7 +75,10 @@ ORACLE_SQL = None  # the classifier's and the packing's results are not SQL's
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
