@@ -49,11 +49,13 @@ def pair_rules(rows: DataFrame, support: float, confidence: float, *scope: str)
     Only items that reach the support take part, so a basket's pairs are those of its frequent items."""
     keys = list(scope)
     n = rows.groupBy(*keys).agg(F.count_distinct("basket_id").alias("n"))
+    n = n.where("n >= 2") if keys else n  # a scope with one basket has no rules
     item = rows.groupBy(*keys, "item").agg(F.count("*").alias("f"))
     item = (item.join(n, keys) if keys else item.crossJoin(F.broadcast(n))).where(F.col("f") >= support * F.col("n"))  # one row without a scope
     kept = rows.join(item.select(*keys, "item"), [*keys, "item"])
     a, b = kept.withColumnRenamed("item", "antecedent"), kept.withColumnRenamed("item", "consequent")
-    both = a.join(b, [*keys, "basket_id"]).where("antecedent <> consequent").groupBy(*keys, "antecedent", "consequent").agg(F.count("*").alias("freq"))
+    half = a.join(b, [*keys, "basket_id"]).where("antecedent < consequent").groupBy(*keys, "antecedent", "consequent").agg(F.count("*").alias("freq"))  # mirrored once counted
+    both = half.unionByName(half.select(*keys, F.col("consequent").alias("antecedent"), F.col("antecedent").alias("consequent"), "freq"))
     fa = item.select(*keys, F.col("item").alias("antecedent"), F.col("f").alias("fa"), "n")
     fc = item.select(*keys, F.col("item").alias("consequent"), F.col("f").alias("fc"))
     d = both.join(fa, [*keys, "antecedent"]).join(fc, [*keys, "consequent"])
@@ -78,24 +80,52 @@ def weighted_confidence(found: DataFrame, weights: DataFrame, *keys: str) -> Dat
     return found.join(weights.select(*keys, "weight"), list(keys), "left").withColumn("weighted_confidence", r6(F.col("confidence") * w)).drop("weight")
 
 
-def recommend(found: DataFrame, visits: DataFrame, least: float = 0.0, top: int = 5) -> DataFrame:
-    """Per visit (visit_id, done array): rules whose antecedent is done and whose consequent isn't; the best rule of each
-    task by lift and weighted confidence, then the best tasks. Rules meet visits through the antecedent."""
-    d = visits.select("visit_id", "done", F.explode("done").alias("antecedent")).join(found.where(F.col("weighted_confidence") >= least), "antecedent")
-    d = d.where(~F.array_contains("done", F.col("consequent")))
-    best = Window.partitionBy("visit_id", "consequent").orderBy(F.desc("lift"), F.desc("weighted_confidence"), "antecedent")
-    d = d.withColumn("_b", F.row_number().over(best)).where("_b = 1")
-    order = Window.partitionBy("visit_id").orderBy(F.desc("weighted_confidence"), F.desc("lift"), F.desc("support"), "consequent")
-    return d.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).select("visit_id", "consequent", "antecedent", "lift", "weighted_confidence", "position")
+def general_rules(popular: DataFrame) -> DataFrame:
+    """Popularity rules in the form of mined ones: an empty antecedent, which every visit satisfies."""
+    return popular.select(F.array().cast("array<string>").alias("antecedents"), F.array("consequent").alias("consequents"), "support", "confidence", "lift")
+
+
+def recommend(found: DataFrame, visits: DataFrame, confidence: float = 0.0, support: float = 0.0, lift: float = 0.0, top: int = 5) -> DataFrame:
+    """Per visit (visit_id, done array): rules (antecedents, consequents, support, confidence, lift, weighted_confidence)
+    all of whose antecedents are done, or that have none, and whose consequent isn't; the best rule of each task by lift
+    and weighted confidence, then the best tasks.
+
+    A rule meets visits through its rarest antecedent only, so a common task doesn't fan out. Rules without antecedents,
+    one for each item at most, are one sorted list; a visit takes as many of them as could reach its best ``top``: another
+    rule may lower the place of no more tasks than have one."""
+    ok = found.where((F.col("confidence") >= confidence) & (F.col("support") >= support) & (F.col("lift") >= lift))
+    ok = ok.withColumn("rid", F.xxhash64("antecedents", "consequents")).withColumn("w", F.coalesce("weighted_confidence", "confidence"))
+    one = visits.select("visit_id", "done", F.explode("done").alias("item"))
+    seen = one.groupBy("item").agg(F.count("*").alias("n"))
+    rarest = ok.select("rid", F.explode("antecedents").alias("item")).join(seen, "item", "left").groupBy("rid").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"))
+    met = one.join(ok.join(rarest, "rid"), "item").where(F.size(F.array_except("antecedents", "done")) == 0)
+    columns = ["visit_id", "antecedents", "task", "lift", "w", "support"]
+    met = met.select("visit_id", "done", "antecedents", "lift", "w", "support", F.explode("consequents").alias("task")).where(~F.array_contains("done", F.col("task"))).select(*columns)
+    bare = ok.where(F.size("antecedents") == 0).select("antecedents", "lift", "w", "support", F.explode("consequents").alias("task"))
+    listed = bare.groupBy("antecedents").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("nw"), (-F.col("lift")).alias("nl"), (-F.col("support")).alias("ns"), "task"))).alias("bare"))
+    others = met.groupBy("visit_id").agg(F.count_distinct("task").cast("int").alias("m"))
+    all_ = visits.join(others, "visit_id", "left").join(F.broadcast(listed))  # one row
+    open_ = F.slice(F.filter("bare", lambda x: ~F.array_contains("done", x["task"])), F.lit(1), F.coalesce("m", F.lit(0)) + top)
+    free = all_.select("visit_id", "antecedents", F.explode(open_).alias("x")).select("visit_id", "antecedents", F.col("x.task").alias("task"), (-F.col("x.nl")).alias("lift"), (-F.col("x.nw")).alias("w"), (-F.col("x.ns")).alias("support"))
+    best = Window.partitionBy("visit_id", "task").orderBy(F.desc("lift"), F.desc("w"), F.array_join("antecedents", ","))
+    d = met.unionByName(free.select(*columns)).withColumn("_b", F.row_number().over(best)).where("_b = 1")
+    order = Window.partitionBy("visit_id").orderBy(F.desc("w"), F.desc("lift"), F.desc("support"), "task")
+    return d.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).select("visit_id", "task", "antecedents", "lift", F.col("w").alias("weighted_confidence"), "position")
 
 
 def suppressed(shown: DataFrame, cooldown_s: int = 3600) -> DataFrame:
-    """The shows of (user, task) that a cooldown since the last effective one hides, and those that stay.
+    """Shows and dismissals of (user, task) in order: a show is hidden while an earlier row's cooldown lasts.
 
-    A dismissal starts the cooldown anew; a show takes the later end. With equal lengths both are: hidden if any
-    earlier row of the key is less than the cooldown back."""
-    w = Window.partitionBy("user_id", "task_id").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return shown.withColumn("hidden", F.coalesce(F.col("t") < F.max(F.col("t") + cooldown_s).over(w), F.lit(False)))
+    A dismissal (``dismissed`` true) sets the end of the cooldown anew, a show only moves it later. So the end is that
+    of the last dismissal or of any later show, whichever is latest."""
+    w = Window.partitionBy("user_id", "task_id").orderBy("t", "id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = shown.withColumn("dismissed", F.coalesce("dismissed", F.lit(False))) if "dismissed" in shown.columns else shown.withColumn("dismissed", F.lit(False))
+    d = d.withColumn("_since", F.coalesce(F.sum(F.col("dismissed").cast("int")).over(before), F.lit(0)))
+    # The rows before this one from the last dismissal on, which has the largest number of dismissals up to itself.
+    own = F.struct((F.col("_since") + F.col("dismissed").cast("int")).alias("k"), (F.col("t") + cooldown_s).alias("until"))
+    last = F.max(own).over(before)
+    return d.withColumn("hidden", F.coalesce(F.col("t") < last["until"], F.lit(False))).drop("_since")
 
 
 def prioritise(recs: DataFrame, risk: DataFrame) -> DataFrame:
@@ -112,9 +142,10 @@ def detect(predictions: DataFrame, context: DataFrame, associations: DataFrame)
 
     return reduce(DataFrame.unionByName, [
         out(predictions.where("forgotten >= 3"), "frequent_forgetting", F.col("task_id"), F.when(F.col("forgotten") >= 5, "HIGH").otherwise("MEDIUM"), None, F.col("probability")),
-        out(predictions.where("probability >= 0.75"), "high_risk", F.col("task_id"), F.lit("HIGH"), None, F.col("probability")),
+        out(predictions.where("probability >= 0.75 OR risk_level = 'HIGH'"), "high_risk", F.col("task_id"), F.lit("HIGH"), None, F.col("probability")),
         out(context.where("switches >= 5"), "context_switching", F.col("user_id"), F.when(F.col("switches") >= 10, "HIGH").otherwise("MEDIUM"), F.col("recovery_minutes")),
         out(context.where("interruption_minutes >= 15"), "interruptions", F.col("user_id"), F.lit("MEDIUM"), F.col("interruption_minutes")),
+        out(context.where("affected_category IS NOT NULL"), "affected_category", F.col("affected_category"), F.lit("MEDIUM")),
         out(associations.where("confidence >= 0.7 AND lift >= 1.2"), "association", F.col("task_id"), F.lit("LOW"), None, F.col("confidence")),
     ])
 
@@ -131,10 +162,54 @@ def rank_insights(found: DataFrame) -> DataFrame:
     return d.withColumns({"band": band, "position": F.row_number().over(order)})
 
 
-def current_predictions(rows: DataFrame) -> DataFrame:
-    """Validity of each prediction: until the task's next one; the last is current."""
+def friction_trend(daily: DataFrame) -> DataFrame:
+    """Users whose daily friction rises or falls: (user_id, insight, priority, first, last, slope, points) by the sign of
+    the least-squares slope over at least two periods; a slope of 0 gives none."""
+    w = Window.partitionBy("user_id").orderBy("period_start")
+    d = daily.withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
+    g = d.groupBy("user_id").agg(F.count("*").alias("points"), F.min_by("friction", "period_start").alias("first"), F.max_by("friction", "period_start").alias("last"), F.round(F.regr_slope("friction", "_i"), 8).alias("slope"))
+    up = F.col("slope") > 0
+    return g.where((F.col("points") >= 2) & (F.col("slope") != 0)).select("user_id", F.when(up, "increasing_friction").otherwise("decreasing_friction").alias("insight"), F.when(up, "MEDIUM").otherwise("LOW").alias("priority"), "first", "last", "slope", "points")
+
+
+def associate_recommendations(associations: DataFrame, predictions: DataFrame, least: float = 0.5, top: int = 5) -> DataFrame:
+    """Recommendations of each user from associations (user_id, context, task, confidence), with the first prediction
+    (user_id, task, probability, id) of the task if there is one: type by the risk, rank by 0.6 confidence + 0.4 risk, the best ``top``."""
+    first = predictions.groupBy("user_id", "task").agg(F.min_by("probability", "id").alias("risk"))
+    d = associations.where(F.col("confidence") >= least).join(first, ["user_id", "task"], "left")
+    strength = F.greatest("confidence", F.coalesce("risk", F.col("confidence")))
+    kind = F.when(F.col("risk") >= 0.5, "recurring_forgotten_task_prevention").otherwise("context_based_reminder")
+    d = d.withColumns({"type": kind, "rank_score": F.round(0.6 * F.col("confidence") + 0.4 * F.coalesce("risk", F.lit(0.0)), 4), "evidence_strength": F.round(strength, 4), "impact_score": F.round(F.when(F.col("risk") > 0, F.col("risk")).otherwise(F.col("confidence")), 4), "priority": F.when(strength >= 0.75, "HIGH").when(strength >= 0.5, "MEDIUM").otherwise("LOW")})
+    key = F.concat_ws("|", F.col("user_id").cast("string"), "type", F.col("context").cast("string"), F.col("task").cast("string"))
+    order = Window.partitionBy("user_id").orderBy(F.desc("rank_score"), "context", "task")
+    d = d.withColumns({"id": F.concat(F.lit("rec-"), F.substring(F.sha2(key, 256), 1, 12)), "position": F.row_number().over(order)})
+    return d.where(F.col("position") <= top).select("user_id", "id", "type", "context", "task", "confidence", "risk", "evidence_strength", "impact_score", "priority", "rank_score", "position")
+
+
+def daily_summary(ranked: DataFrame, predictions: DataFrame, associations: DataFrame, context: DataFrame, top: int = 3) -> DataFrame:
+    """One row a user of any table: the first insight (or context switching where there is none but context is known),
+    the task of the highest risk, the strongest association of 0.7 or more, minutes that could be saved, and the first
+    ``top`` insights."""
+    r = ranked.where(F.col("position") <= top).groupBy("user_id").agg(F.min_by("insight", "position").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "insight"))), lambda x: x["insight"]), ",").alias("top_insights"))
+    p = predictions.groupBy("user_id").agg(F.max_by("task", F.struct("probability", -F.col("id"))).alias("highest_risk_task"), F.max("probability").alias("highest_risk"))
+    a = associations.where("confidence >= 0.7").groupBy("user_id").agg(F.max_by("context", F.struct("confidence", -F.col("task"))).alias("reminder_context"))
+    c = context.groupBy("user_id").agg(F.round(F.sum("recovery_minutes"), 1).alias("avoidable_minutes"))
+    d = r.join(p, "user_id", "full").join(a, "user_id", "full").join(c, "user_id", "full")
+    return d.withColumn("biggest_friction", F.coalesce("first", F.when(F.col("avoidable_minutes").isNotNull(), "context_switching"))).drop("first")
+
+
+def rule_report(found: DataFrame) -> DataFrame:
+    """Mined rules flattened for reading, the strongest first."""
+    flat = lambda c: F.array_join(c, " + ").alias(c)
+    keys = [c for c in ("context",) if c in found.columns]
+    return found.select(*keys, flat("antecedents"), flat("consequents"), "support", "confidence", "lift").orderBy(F.desc("lift"), F.desc("confidence"))
+
+
+def current_predictions(rows: DataFrame, risk: str | None = None) -> DataFrame:
+    """Validity of each prediction: until the task's next one; the last is current. With ``risk``, those of that level."""
     w = Window.partitionBy("task_id").orderBy("valid_from", "id")
-    return rows.withColumn("valid_until", F.lead("valid_from").over(w)).withColumn("is_current", F.col("valid_until").isNull())
+    d = rows.withColumn("valid_until", F.lead("valid_from").over(w)).withColumn("is_current", F.col("valid_until").isNull())
+    return d.where(F.col("risk_level") == risk) if risk else d
 
 
 def feedback_stats(recs: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -155,5 +230,5 @@ def unfaithful_numbers(rows: DataFrame, text: str, payload: str, within: float =
     """Numbers in a text that no payload number, or 100 times one, is near; 0, 1 and 2 are allowed."""
     found = F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.try_cast("double"))
     near = lambda v: F.exists(payload, lambda p: (F.abs(v - p) <= within) | (F.abs(v - p * 100) <= within))
-    bad = F.filter(found, lambda v: v.isNotNull() & ~v.isin(0.0, 1.0, 2.0) & ~near(v))
+    bad = F.filter(found, lambda v: v.isNull() | (~v.isin(0.0, 1.0, 2.0) & ~near(v)))
     return rows.withColumn("unfaithful", F.size(bad)).withColumn("faithful", F.col("unfaithful") == 0)

@@ -42,10 +42,17 @@ def map_values(c: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*map(F.lit, chain(*mapping.items()))), plain), plain)
 
 
+def normalise_category(tasks: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Category by its alias, and whether an alias changed it (lower case and trimming alone don't count)."""
+    plain = F.lower(F.trim("category"))
+    return tasks.withColumn("category_changed", F.coalesce(plain.isin(list(aliases)), F.lit(False))).withColumn("category", map_values(F.col("category"), aliases))
+
+
 def clean_tasks(tasks: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    d = keep_first(tasks, ["task_id"], "created_at")
+    d = normalise_category(keep_first(tasks, ["task_id"], "created_at"), aliases)
     took = seconds_between("completed_at", "started_at")
-    return d.withColumns({"status": F.lower(F.trim("status")), "category": map_values(F.col("category"), aliases), "priority": F.least(F.greatest("priority", F.lit(1)), F.lit(5)), "is_anomaly": F.coalesce(took > ANOMALY_HOURS * 3600, F.lit(False))})
+    clamped = F.least(F.greatest("priority", F.lit(1)), F.lit(5))
+    return d.withColumns({"status": F.lower(F.trim("status")), "priority_clamped": F.coalesce(F.col("priority") != clamped, F.lit(False)), "is_anomaly": F.coalesce(took > ANOMALY_HOURS * 3600, F.lit(False))}).withColumn("priority", clamped)
 
 
 def tag_category(text: Column, exact: dict[str, str], parts: list[tuple[str, str]], default: str) -> Column:
@@ -58,10 +65,13 @@ def tag_category(text: Column, exact: dict[str, str], parts: list[tuple[str, str
     return out
 
 
-def cleaning_report(raw_events: DataFrame, raw_interruptions: DataFrame) -> DataFrame:
+def cleaning_report(raw_events: DataFrame, raw_interruptions: DataFrame, raw_tasks: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Counts for each operation and table."""
+    t = clean_tasks(raw_tasks, aliases).agg(F.count("*").alias("u"), F.count_if("category_changed").alias("c"), F.count_if("priority_clamped").alias("p"), F.count_if("is_anomaly").alias("a"))
+    t = t.crossJoin(raw_tasks.agg(F.count("*").alias("n")))  # one row each
+    t = t.select(F.lit("tasks").alias("table_name"), F.expr("stack(4, 'duplicates_removed', n - u, 'categories_normalised', c, 'priorities_clamped', p, 'anomalies_flagged', a) AS (operation, rows)"))
     e = raw_events.agg(F.count("*").alias("n"), F.count_distinct(F.struct("user_id", "task_id", "event_type", "event_time")).alias("u"), F.count_if(F.col("event_type") != F.lower(F.trim("event_type"))).alias("c"))
     i = raw_interruptions.agg(F.count("*").alias("n"), F.count_distinct(F.struct("user_id", "task_id", "interruption_type", "start_time")).alias("u"), F.count_if(F.col("duration_seconds").isNull()).alias("d"), F.count_if(F.col("end_time").isNull()).alias("e"))
     e = e.select(F.lit("events").alias("table_name"), F.expr("stack(2, 'duplicates_removed', n - u, 'types_normalised', c) AS (operation, rows)"))
     i = i.select(F.lit("interruptions").alias("table_name"), F.expr("stack(3, 'duplicates_removed', n - u, 'durations_filled', d, 'ends_filled', e) AS (operation, rows)"))
-    return e.unionByName(i)
+    return e.unionByName(i).unionByName(t)

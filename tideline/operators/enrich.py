@@ -22,7 +22,7 @@ def enrich_events(events: DataFrame) -> DataFrame:
 
 def enrich_tasks(tasks: DataFrame, locations: DataFrame) -> DataFrame:
     """Ages in hours, late start, category@location and whether the user was there before."""
-    types = F.broadcast(locations.select(F.col("id").alias("location_id"), "location_type"))  # a dimension of few rows
+    types = locations.select(F.col("id").alias("location_id"), "location_type")  # grows with users: Spark picks the join by its size
     d = tasks.join(types, "location_id", "left").withColumn("task_location_pair", F.concat_ws("@", "category", F.coalesce("location_type", F.lit("UNKNOWN"))))
     w = Window.partitionBy("user_id", "task_location_pair").orderBy("created_at", "task_id")
     return d.withColumns({

@@ -50,6 +50,8 @@ def task_features(tasks: DataFrame) -> DataFrame:
         "repeated_context_count": F.when(F.col("location_id").isNull(), F.count("*").over(similar)).otherwise(F.count("*").over(before("category", "location_id"))),
         "forgetting_streak": F.col("_rank") - F.coalesce(seen_other, F.lit(0)),
         "is_late_night": F.col("_h") >= LATE_HOUR,
+        "priority": F.coalesce(F.col("priority"), F.lit(3)),
+        "task_location_pair": F.concat_ws("@", "category", F.coalesce(F.col("location_id").cast("string"), F.lit("UNKNOWN"))),
         "will_forget": lost.cast("int"),
     })
     out = out.withColumn("location_forgetting_rate", F.when(F.col("location_id").isNotNull(), F.col("location_forgetting_rate")))
@@ -57,20 +59,22 @@ def task_features(tasks: DataFrame) -> DataFrame:
 
 
 def resolved_asof_rate(tasks: DataFrame) -> DataFrame:
-    """Prior forgetting rate without the label-timing leak: a task counts from the moment it was resolved.
+    """Prior forgetting rate without the label-timing leak: a task counts from the moment it was completed, forgotten or
+    cancelled, and not at all if that isn't known.
 
     Tasks appear twice in one frame, as created and as resolved, and only resolutions before a creation count."""
-    when = F.coalesce("completed_at", "started_at", "created_at")
+    when = F.coalesce(*[F.col(c) for c in ("completed_at", "forgotten_at", "cancelled_at") if c in tasks.columns])
     made = tasks.select("user_id", "task_id", micros("created_at").alias("t"), F.lit(0).alias("lost"), F.lit(0).alias("res"), F.lit(1).alias("made"))
-    ended = tasks.where(F.col("status").isin(TERMINAL)).select("user_id", "task_id", micros(when).alias("t"), (F.col("status") == "forgotten").cast("int").alias("lost"), F.lit(1).alias("res"), F.lit(0).alias("made"))
+    ended = tasks.where(F.col("status").isin(TERMINAL) & when.isNotNull()).select("user_id", "task_id", micros(when).alias("t"), (F.col("status") == "forgotten").cast("int").alias("lost"), F.lit(1).alias("res"), F.lit(0).alias("made"))
     w = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
     d = made.unionByName(ended).withColumns({"l": F.sum("lost").over(w), "r": F.sum("res").over(w)})
     return d.where("made = 1").select("task_id", r6(rate(F.col("l"), F.col("r"))).alias("forgetting_rate_asof"))
 
 
-def activity_features(points: DataFrame, events: DataFrame, interruptions: DataFrame, sessions: DataFrame, switch_days: int = 7) -> DataFrame:
+def activity_features(points: DataFrame, events: DataFrame, interruptions: DataFrame, sessions: DataFrame, tasks: DataFrame, switch_days: int = 7) -> DataFrame:
     """Per point (user_id, task_id, created_at): interruptions and their mean length, resumptions, recovery time after
-    pauses, and sessions of the last week, all strictly before the point."""
+    pauses, sessions of the last week and its friction (0.6 forgetting of resolved tasks + 0.4 interruption load, null
+    without such tasks), all strictly before the point."""
     long = "user_id", "task_id", "t", "kind", "x", "y"
 
     def rows(df: DataFrame, kind: str, t: Column, x=None, y=None, task=None) -> DataFrame:
@@ -86,6 +90,7 @@ def activity_features(points: DataFrame, events: DataFrame, interruptions: DataF
         rows(interruptions, "interruption", micros("start_time"), F.col("duration_seconds")),
         rows(events.where("event_type = 'resumed'"), "resumed", micros("event_time")),
         rows(pauses, "recovery", micros("_r"), (micros("_r") - micros("event_time")) / 1e6),
+        rows(tasks.where(F.col("status").isin(TERMINAL)), "task", micros("created_at"), (F.col("status") == "forgotten").cast("int")),
         rows(sessions, "session", micros("session_start"), F.col("focused_time_seconds"), F.col("context_switch_count")),
     ]
     user = Window.partitionBy("user_id").orderBy("t")
@@ -98,17 +103,25 @@ def activity_features(points: DataFrame, events: DataFrame, interruptions: DataF
         "recovery_time_s": r6(F.avg(F.when(is_("recovery"), F.col("x"))).over(all_)),
         "avg_session_7d_s": r6(F.avg(F.when(is_("session"), F.col("x"))).over(week)),
         "switch_rate_7d": r6(F.avg(F.when(is_("session"), F.col("y"))).over(week)),
+        "_lost": F.avg(F.when(is_("task"), F.col("x"))).over(week),
         "_ni": F.count(F.when(is_("interruption"), 1)).over(week),
         "_h": F.sum(F.when(is_("session"), F.col("x"))).over(week) / 3600,
     })
     per_hour = F.when(F.col("_h") > 0, F.col("_ni") / F.col("_h")).otherwise(0.0)
-    return d.where(is_("point")).withColumn("interruption_load", r6(F.least(F.lit(1.0), per_hour / 6))).drop("t", "kind", "x", "y", "_ni", "_h")
+    load = F.least(F.lit(1.0), per_hour / 6)
+    d = d.where(is_("point")).withColumns({"interruption_load": r6(load), "daily_friction_score": r6(0.6 * F.col("_lost") + 0.4 * load)})
+    return d.drop("t", "kind", "x", "y", "_ni", "_h", "_lost")
 
 
-def user_features(tasks: DataFrame, as_of: str) -> DataFrame:
-    """Aggregates of each user's tasks before a literal time."""
-    t = tasks.where(F.col("created_at") < F.lit(as_of).cast("timestamp"))
-    return _summary(t, "user_id")
+def user_features(tasks: DataFrame, interruptions: DataFrame, sessions: DataFrame, as_of: str) -> DataFrame:
+    """Each user's rates, totals and mean lengths of what was before a literal time; only users with any of it."""
+    now = F.lit(as_of).cast("timestamp")
+    lost, done, res = (F.count_if(c) for c in (F.col("status") == "forgotten", F.col("status") == "completed", F.col("status").isin(TERMINAL)))
+    t = tasks.where(F.col("created_at") < now).groupBy("user_id").agg(r6(rate(done, res)).alias("completion_rate"), r6(rate(lost, res)).alias("forgetting_rate"), F.count("*").alias("total_tasks"))
+    i = interruptions.where(F.col("start_time") < now).groupBy("user_id").agg(F.count("*").alias("total_interruptions"), r6(F.avg("duration_seconds")).alias("avg_interruption_s"))
+    s = sessions.where(F.col("session_start") < now).groupBy("user_id").agg(r6(F.avg("focused_time_seconds")).alias("avg_session_s"), F.sum("context_switch_count").alias("total_context_switches"))
+    d = t.join(i, "user_id", "full").join(s, "user_id", "full")
+    return d.na.fill(0, ["total_tasks", "total_interruptions", "total_context_switches"])
 
 
 def location_features(tasks: DataFrame, as_of: str) -> DataFrame:
@@ -121,11 +134,42 @@ def _summary(t: DataFrame, key: str) -> DataFrame:
     return t.groupBy(key).agg(F.count("*").alias("tasks"), lost.alias("forgotten"), r6(rate(lost, res)).alias("forgetting_rate"), F.count_distinct("category").alias("categories"))
 
 
-def online_features(tasks: DataFrame, days: int = 30) -> DataFrame:
-    """Trailing counts and rates with defaults for users without history, as a live request sees them."""
-    t = tasks.withColumn("_t", micros("created_at"))
-    w = Window.partitionBy("user_id").orderBy("_t").rangeBetween(-days * DAY, -1)
-    c = Window.partitionBy("user_id", "category").orderBy("_t").rangeBetween(-days * DAY, -1)
-    n = F.count("*").over(w)
-    share = lambda s: F.avg((F.col("status") == s).cast("double")).over(w)
-    return t.select("task_id", n.alias("n_prior"), r6(F.coalesce(share("completed"), F.lit(0.6))).alias("completion"), r6(F.coalesce(share("forgotten"), F.lit(0.2))).alias("forgetting"), r6(F.coalesce(hours_between("deadline_at", "created_at"), F.lit(72.0))).alias("deadline_h"), r6(F.least(F.lit(1.0), F.coalesce(rate(F.count("*").over(c), n), F.lit(0.0)))).alias("frequency"))
+def online_features(tasks: DataFrame, interruptions: DataFrame, sessions: DataFrame, days: int = 30, recent: int = 30) -> DataFrame:
+    """Per task what a live request sees at its creation: counts and rates of the last ``days`` with defaults for users
+    without history, the day so far, switches of six hours, and means over the last ``recent`` sessions.
+
+    Tasks, interruptions and sessions are one long frame by user and time, so no user's rows are multiplied."""
+    long = ["user_id", "task_id", "category", "t", "day", "kind", "status", "n", "last"]
+
+    def rows(df: DataFrame, kind: str, at: str, **of: Column) -> DataFrame:
+        given = {"user_id": F.col("user_id"), "t": micros(at), "day": F.to_date(at), "kind": F.lit(kind)} | of
+        empty = {"task_id": "long", "category": "string", "status": "string", "n": "long", "last": "struct<t:bigint,id:bigint,f:bigint,fn:bigint,i:bigint,k:bigint>"}
+        return df.select(*[(given[c] if c in given else F.lit(None).cast(empty[c])).alias(c) for c in long])
+
+    back = Window.partitionBy("user_id").orderBy("session_start", "session_id").rowsBetween(1 - recent, 0)
+    f = F.col("focused_time_seconds").cast("long")
+    totals = {"f": F.sum(F.when(f > 0, f)), "fn": F.count(F.when(f > 0, f)), "i": F.sum(F.col("interruption_time_seconds").cast("long")), "k": F.sum(F.col("interruption_count").cast("long"))}
+    s = sessions.withColumns({f"_{k}": F.coalesce(v.over(back), F.lit(0)) for k, v in totals.items()})
+    last = F.struct(micros("session_start").alias("t"), F.col("session_id").cast("long").alias("id"), *[F.col(f"_{k}").alias(k) for k in totals])
+    d = rows(tasks, "task", "created_at", task_id=F.col("task_id").cast("long"), category=F.col("category"), status=F.col("status"))
+    d = d.unionByName(rows(interruptions, "interruption", "start_time")).unionByName(rows(s, "session", "session_start", n=F.col("context_switch_count").cast("long"), last=last))
+    user = Window.partitionBy("user_id").orderBy("t")
+    month, hours, ever = (user.rangeBetween(lo, -1) for lo in (-days * DAY, -DAY // 4, Window.unboundedPreceding))
+    today = Window.partitionBy("user_id", "day").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    like = Window.partitionBy("user_id", "category").orderBy("t").rangeBetween(-days * DAY, -1)
+    is_ = lambda k: F.col("kind") == k
+    n = lambda cond, w: F.count(F.when(cond, 1)).over(w)
+    d = d.withColumns({
+        "previous_completion_count": n(F.col("status") == "completed", month),
+        "previous_forgetting_count": n(F.col("status") == "forgotten", month),
+        "_same": n(is_("task"), like),
+        "tasks_today": n(is_("task"), today),
+        "interruptions_today": n(is_("interruption"), today),
+        "recent_context_switches": F.coalesce(F.sum(F.when(is_("session"), F.col("n"))).over(hours), F.lit(0)),
+        "_last": F.max("last").over(ever),
+    }).where(is_("task"))
+    done, lost = F.col("previous_completion_count"), F.col("previous_forgetting_count")
+    total, x = done + lost, lambda c: F.col(f"_last.{c}")
+    at = tasks.select("task_id", hours_between("deadline_at", "created_at").alias("_h"), F.weekday("created_at").alias("weekday"), F.hour("created_at").alias("hour"))
+    out = d.select("task_id", "previous_completion_count", "previous_forgetting_count", r6(F.coalesce(rate(done, total), F.lit(0.6))).alias("completion_rate"), r6(F.coalesce(rate(lost, total), F.lit(0.2))).alias("forgetting_rate"), r6(F.coalesce(F.least(F.lit(1.0), rate(F.when(F.col("category").isNotNull(), F.col("_same")).otherwise(0), total)), F.lit(0.0))).alias("task_frequency"), "tasks_today", "interruptions_today", "recent_context_switches", r6(F.coalesce(rate(x("f"), x("fn")) / 60, F.lit(20.0))).alias("avg_session_minutes"), r6(F.when(F.col("_last").isNull(), 10.0).otherwise(x("i") / F.greatest(F.lit(1), x("k")) / 60)).alias("avg_interruption_minutes"))
+    return out.join(at, "task_id").withColumn("deadline_hours", r6(F.coalesce(F.greatest(F.lit(0.0), F.col("_h")), F.lit(72.0)))).drop("_h")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
+from .stats import quantiles
 
 
 def frequency_patterns(sessions: DataFrame, least: int = 5, z: float = 1.0) -> DataFrame:
@@ -83,12 +86,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list:
 def anomalies(sessions: DataFrame, trees: int = 64, sample: int = 256, share: float = 0.05, seed: int = 7) -> DataFrame:
     """Isolation forest (Liu, Ting and Zhou 2008): each tree is grown by a task from at most ``sample`` sampled rows; the
     trees, of bounded size, are broadcast and every session is scored; the share with the highest scores is returned."""
-    d = _measures(sessions).persist()
+    d = _measures(sessions)
     n = d.count()
     if n < 10:
         return d.limit(0).select("user_id", "task_id", "seq", F.lit(0.0).alias("score"))
-    chance = min(1.0, 2 * sample / n)
-    rows = d.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "user_id", "task_id", "seq", *MEASURES).where(F.pmod(F.xxhash64("tree", "user_id", "task_id", "seq", F.lit(seed)), F.lit(1_000_000)) < chance * 1_000_000)
+    chance = int(min(1.0, 2 * sample / n) * 1_000_000)
+    # A row's trees are drawn first, so only sampled rows are multiplied.
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(t, "user_id", "task_id", "seq", F.lit(seed)), F.lit(1_000_000)) < chance)
+    rows = d.withColumn("_trees", drawn).where(F.size("_trees") > 0).select(F.explode("_trees").alias("tree"), "user_id", "task_id", "seq", *MEASURES)
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(["user_id", "task_id", "seq"])[MEASURES].to_numpy(float)
@@ -116,5 +121,11 @@ def anomalies(sessions: DataFrame, trees: int = 64, sample: int = 256, share: fl
             yield pdf[["user_id", "task_id", "seq"]].assign(score=np.round(2 ** -(total / len(shared.value)), 6))
 
     s = d.mapInPandas(score, "user_id long, task_id long, seq long, score double")
-    cut = s.agg(F.percentile("score", F.lit(1 - share)).alias("cut"))
+    cut = quantiles(s, "score", {"cut": 1 - share})
     return s.crossJoin(F.broadcast(cut)).where(F.col("score") >= F.col("cut")).drop("cut")  # one row
+
+
+def all_patterns(*found: DataFrame) -> DataFrame:
+    """(id, kind, subject, value) of every kind of pattern; the id is a digest of kind and subject, so it stays the same."""
+    d = reduce(DataFrame.unionByName, found)
+    return d.select(F.substring(F.sha2(F.concat_ws("|", "kind", "subject"), 256), 1, 12).alias("id"), "kind", "subject", "value")

@@ -96,6 +96,11 @@ def session_features(sessions: DataFrame) -> DataFrame:
     return sessions.select("user_id", "task_id", "seq", "session_duration_seconds", "focused_time_seconds", mean("resume_delays_seconds").alias("avg_resume_delay"), mean("interruption_durations_seconds").alias("avg_interruption"), "num_interruptions", "num_context_switches", F.hour("start_time").alias("hour"), F.weekday("start_time").alias("weekday"))
 
 
+def session_report(sessions: DataFrame) -> DataFrame:
+    """Context sessions flattened for reading."""
+    return sessions.select("user_id", "task_id", "seq", "task_category", "context", F.col("session_duration_seconds").alias("duration_s"), F.col("focused_time_seconds").alias("focused_s"), F.col("interruption_time_seconds").alias("interruption_s"), "num_interruptions", F.col("num_context_switches").alias("num_switches"), "completed")
+
+
 RECOVERY_WEIGHTS = {"interruption_time_seconds": 0.25, "avg_resume_delay": 0.2, "num_context_switches": 0.25, "num_interruptions": 0.15, "avg_interruption": 0.15}
 
 

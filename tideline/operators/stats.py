@@ -1,4 +1,7 @@
-"""Statistics by any keys; quantiles are interpolated, deviations are those of a sample."""
+"""Statistics by any keys; quantiles are interpolated and exact, deviations are those of a sample.
+
+Ranks and quantiles come from counts of distinct values, dealt to ranges of values; sums over the ranges give each its
+offset, so no task orders more than one range of one key."""
 
 from __future__ import annotations
 
@@ -16,21 +19,61 @@ def _clean(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def ranked_counts(df: DataFrame, value: str, *keys: str, ranges: int = 64) -> DataFrame:
+    """(keys, _v, _n, _below, _total): each distinct value's rows, the key's rows with smaller ones, and all of them.
+
+    Ranges are cut at approximate quantiles of all values, ``ranges`` numbers; any cut gives exact counts."""
+    v = F.col(value).alias("_v")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, v).agg(F.count("*").alias("_n"))
+    at = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("q")).first()["q"] or []
+    cuts = F.array(*[F.lit(x) for x in sorted(set(at))]).cast(f"array<{dict(df.dtypes)[value]}>")
+    c = counts.withColumn("_r", F.size(F.filter(cuts, lambda x: x < F.col("_v"))))
+    part = c.groupBy(*keys, "_r").agg(F.sum("_n").alias("_s"))
+    w = Window.partitionBy(*keys)
+    part = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_r").alias("_k_r"), F.coalesce(F.sum("_s").over(w.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"), F.sum("_s").over(w).alias("_total"))
+    on = F.col("_r") == F.col("_k_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    before = F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    return c.join(part, on).select(*keys, "_v", "_n", (F.col("_off") + F.coalesce(before, F.lit(0))).alias("_below"), "_total")
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """Interpolated quantiles of each key, exact, named as in ``shares``."""
+    r = ranked_counts(df, value, *keys)
+
+    def at(p: float) -> Column:
+        pos = (F.col("_total").cast("double") - 1) * p
+        have = lambda x: (F.col("_below") <= x) & (x < F.col("_below") + F.col("_n"))
+        low = F.max(F.when(have(F.floor(pos)), F.col("_v").cast("double")))
+        high = F.max(F.when(have(F.ceil(pos)), F.col("_v").cast("double")))
+        return low + (high - low) * F.max(pos - F.floor(pos))
+
+    return r.groupBy(*keys).agg(*[at(p).alias(name) for name, p in shares.items()])
+
+
+def _beside(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Join by keys that may be null; one row each without keys."""
+    if not keys:
+        return a.join(F.broadcast(b))
+    on = [a[k].eqNullSafe(b[k]) for k in keys]
+    return a.join(b, reduce(lambda x, y: x & y, on)).drop(*[b[k] for k in keys])
+
+
 def distribution(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
     n = F.count(value)
     level = F.when(n >= 30, "HIGH").when(n >= 10, "MEDIUM").otherwise("LOW")
-    return df.groupBy(*keys).agg(n.alias("n"), r6(F.avg(value)).alias("mean"), r6(q(0.5)).alias("median"), r6(F.stddev_samp(value)).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), r6(q(0.25)).alias("q25"), r6(q(0.75)).alias("q75"), r6(q(0.75) - q(0.25)).alias("iqr"), level.alias("confidence"))
+    plain = df.groupBy(*keys).agg(n.alias("n"), r6(F.avg(value)).alias("mean"), r6(F.stddev_samp(value)).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"), level.alias("confidence"))
+    q = quantiles(df, value, {"median": 0.5, "q25": 0.25, "q75": 0.75}, *keys)
+    return _beside(plain, q.withColumn("iqr", F.col("q75") - F.col("q25")).withColumns({c: r6(F.col(c)) for c in ("median", "q25", "q75", "iqr")}), *keys)
 
 
 def correlations(df: DataFrame, columns: list[str], ranked: bool = False) -> DataFrame:
     """Upper triangle of the correlation matrix, on rows where both are set; ``ranked``: of average ranks (Spearman).
 
-    Ranks come from counts of distinct values, so only these are ordered in one window."""
+    Ranks come from ``ranked_counts``."""
     for c in columns if ranked else []:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        below = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        df = df.join(counts.select(c, (below + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c, "left")
+        df = df.join(ranked_counts(df, c).select(F.col("_v").alias(c), (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"_r_{c}")), c, "left")
     of = {c: F.col(f"_r_{c}" if ranked else c).cast("double") for c in columns}
     pairs = list(combinations(columns, 2))
     row = df.agg(*[_clean(F.corr(of[a], of[b])).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
@@ -52,7 +95,9 @@ def trend(series: DataFrame, day: str, value: str, *keys: str, least: int = 5) -
 def compare(df: DataFrame, value: str, group: Column) -> DataFrame:
     """Two groups, ``group`` true and false: differences and Cohen's d with its label."""
     a, b = F.when(group, F.col(value)), F.when(~group, F.col(value))
-    d = df.agg(F.count(a).alias("n1"), F.count(b).alias("n2"), F.avg(a).alias("m1"), F.avg(b).alias("m2"), F.percentile(a, F.lit(0.5)).alias("d1"), F.percentile(b, F.lit(0.5)).alias("d2"), F.var_samp(a).alias("v1"), F.var_samp(b).alias("v2"))
+    d = df.agg(F.count(a).alias("n1"), F.count(b).alias("n2"), F.avg(a).alias("m1"), F.avg(b).alias("m2"), F.var_samp(a).alias("v1"), F.var_samp(b).alias("v2"))
+    mid = quantiles(df.where(group.isNotNull()).select(group.alias("_g"), value), value, {"m": 0.5}, "_g")
+    d = d.join(F.broadcast(mid.agg(F.max(F.when(F.col("_g"), F.col("m"))).alias("d1"), F.max(F.when(~F.col("_g"), F.col("m"))).alias("d2"))))  # one row
     pooled = F.sqrt((F.col("v1") + F.col("v2")) / 2)
     cohen = F.when(pooled > 0, (F.col("m1") - F.col("m2")) / pooled).otherwise(0.0)
     size = F.when(F.abs(cohen) < 0.2, "negligible").when(F.abs(cohen) < 0.5, "small").when(F.abs(cohen) < 0.8, "medium").otherwise("large")
@@ -61,10 +106,11 @@ def compare(df: DataFrame, value: str, group: Column) -> DataFrame:
 
 def percentile_rank(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Share of the key's values strictly below, times 100, and its band."""
-    w = Window.partitionBy(*keys)
-    below = (F.rank().over(w.orderBy(value)) - 1) / F.count("*").over(w) * 100
-    band = F.when(below >= 75, "top").when(below >= 50, "above_average").when(below >= 25, "below_average").otherwise("bottom")
-    return df.withColumns({"rank": r6(below), "band": band})
+    r = ranked_counts(df, value, *keys).select(*keys, F.col("_v").alias(value), (F.col("_below") / F.col("_total") * 100).alias("_x"))
+    d = _beside(df, r, *keys, value)
+    x = F.col("_x")
+    band = F.when(x >= 75, "top").when(x >= 50, "above_average").when(x >= 25, "below_average").otherwise("bottom")
+    return d.withColumns({"rank": r6(x), "band": band}).drop("_x")
 
 
 def moving_averages(series: DataFrame, order: str, value: str, *keys: str, windows: tuple[int, ...] = (7, 14, 30)) -> DataFrame:
@@ -76,8 +122,8 @@ def moving_averages(series: DataFrame, order: str, value: str, *keys: str, windo
 def outliers(df: DataFrame, value: str, method: str = "iqr", times: float = 1.5) -> DataFrame:
     """Rows outside the quartiles by ``times`` their distance, or with a z-score above ``times``."""
     if method == "iqr":
-        q = lambda p: F.percentile(value, F.lit(p))
-        b = df.agg((q(0.25) - times * (q(0.75) - q(0.25))).alias("_lo"), (q(0.75) + times * (q(0.75) - q(0.25))).alias("_hi"))
+        spread = times * (F.col("b") - F.col("a"))
+        b = quantiles(df, value, {"a": 0.25, "b": 0.75}).select((F.col("a") - spread).alias("_lo"), (F.col("b") + spread).alias("_hi"))
     else:
         b = df.agg((F.avg(value) - times * F.stddev_samp(value)).alias("_lo"), (F.avg(value) + times * F.stddev_samp(value)).alias("_hi"))
     return df.crossJoin(F.broadcast(b)).where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi")  # one row
@@ -109,6 +155,19 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), r6(F.col(f"_z{i}") / F.col("_n")).alias("null_rate"), F.col(f"_a{i}").alias("low"), F.col(f"_b{i}").alias("high"), r6(F.col(f"_m{i}")).alias("mean")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
 
 
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and columns of each table."""
+    return reduce(DataFrame.unionByName, [d.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"), F.lit(len(d.columns)).alias("columns")) for name, d in tables.items()])
+
+
+def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Share of rows in which each feature is set, the mean over features, and whether it is below 90 %."""
+    row = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])
+    mean = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
+    d = row.select(mean.alias("_m"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns])).alias("x"))
+    return d.select("x.feature", r6(F.col("x.v")).alias("completeness"), r6(F.col("_m")).alias("mean_completeness"), (F.col("x.v") < 0.9).alias("is_low"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive digest of all rows."""
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("digest"))

@@ -33,6 +33,11 @@ def validate_events(events: DataFrame, as_of: str) -> DataFrame:
     ])
 
 
+def timestamp_issues(rows: DataFrame, column: str, stage: str = "events", key: str = "id") -> DataFrame:
+    """Values that are there but are no timestamp."""
+    return _issues(rows, stage, key, [("error", "invalid_timestamp", F.col(column).isNotNull() & F.try_to_timestamp(F.col(column).cast("string")).isNull())])
+
+
 def validate_interruptions(rows: DataFrame, as_of: str) -> DataFrame:
     required = [("error", f"missing_required_field:{c}", F.col(c).isNull()) for c in ("user_id", "interruption_type", "start_time")]
     return _issues(rows, "interruptions", "id", required + [
@@ -60,6 +65,12 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("stage", "severity", "rule").agg(F.count("*").alias("issues"))
 
 
+def verdict(issues: DataFrame) -> DataFrame:
+    """Errors and warnings in all, and whether there is no error."""
+    count = lambda x: F.count_if(F.col("severity") == x)
+    return issues.agg(count("error").alias("errors"), count("warning").alias("warnings"), (count("error") == 0).alias("is_clean"))
+
+
 def validate_model_input(rows: DataFrame, categories: list[str], locations: list[int]) -> DataFrame:
     """Domains and ranges of model input: category, priority, location, weekday, hour, counts and rates."""
     counts = [("error", f"negative:{c}", F.col(c) < 0) for c in rows.columns if c.startswith("n_")]

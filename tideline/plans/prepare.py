@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, enrich, validate
-from ..operators.vocabulary import EVENT_TYPES, INTERRUPTION_TYPES
+from ..operators import clean, enrich, stats, validate
+from ..operators.vocabulary import CATEGORY_ALIASES, EVENT_TYPES, INTERRUPTION_TYPES
 from .views import AS_OF_EVENTS, view, with_views
 
 ALIASES = {"promo": "promotion", "economy": "saver", "standard": "plain"}  # for the part types of the tables
@@ -21,6 +21,26 @@ def issues(spark, sf):
     return validate.validate_all(validate.validate_events(_dirty(spark, sf), AS_OF_EVENTS), validate.validate_interruptions(i, AS_OF_EVENTS), validate.validate_tasks(t))
 
 
+def _stamped(spark, sf):
+    """Events with their times as text, every 50th of which is none."""
+    e = view(spark, sf, "task_events")
+    return e.select("id", F.when(F.col("id") % 50 == 0, "not a time").when(F.col("id") % 51 != 0, F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")).alias("event_time"))
+
+
+def _odd_tasks(spark, sf):
+    """Tasks with priorities out of range."""
+    return view(spark, sf, "tasks").withColumn("priority", F.when(F.col("task_id") % 10 == 0, 9).when(F.col("task_id") % 10 == 1, 0).otherwise(F.col("priority")))
+
+
+_SPELLINGS = [*CATEGORY_ALIASES, "work", "other"]
+
+
+def aliased(spark, sf):
+    """Category names as data may spell them, dealt to the parts."""
+    spelled = F.concat(F.lit(" "), F.upper(F.element_at(F.array(*map(F.lit, _SPELLINGS)), (F.col("p_partkey") % len(_SPELLINGS) + 1).cast("int"))))
+    return clean.normalise_category(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", spelled.alias("category")), CATEGORY_ALIASES)
+
+
 def stored_rate(spark, sf):
     from pyspark.sql import Window
 
@@ -72,7 +92,13 @@ QUERIES = {
     "c_events": lambda s, sf: clean.clean_events(_dirty(s, sf)),
     "c_interruptions": lambda s, sf: clean.clean_interruptions(view(s, sf, "interruptions")),
     "c_tasks": lambda s, sf: clean.clean_tasks(view(s, sf, "tasks"), ALIASES).select("task_id", "status", "category", "priority", "is_anomaly"),
-    "c12_cleaning_report": lambda s, sf: clean.cleaning_report(_dirty(s, sf), view(s, sf, "interruptions")),
+    "c12_cleaning_report": lambda s, sf: clean.cleaning_report(_dirty(s, sf), view(s, sf, "interruptions"), _odd_tasks(s, sf), ALIASES),
+    "c1_to_utc": lambda s, sf: clean.to_utc(_stamped(s, sf), ["event_time"]),
+    "c9_category_aliases": aliased,
+    "c10_clamped_tasks": lambda s, sf: clean.clean_tasks(_odd_tasks(s, sf), ALIASES).select("task_id", "priority", "priority_clamped"),
+    "v3_invalid_timestamps": lambda s, sf: validate.timestamp_issues(_stamped(s, sf), "event_time"),
+    "v12_verdict": lambda s, sf: validate.verdict(issues(s, sf)),
+    "q1_table_counts": lambda s, sf: stats.table_counts({n: view(s, sf, n) for n in ("task_events", "interruptions", "tasks", "locations")}),
     "c13_tag_category": lambda s, sf: s.read.parquet(f"{sf}/part.parquet").select("p_partkey", clean.tag_category(F.col("p_name"), {"part 1": "first"}, [("9", "nine"), ("5", "five"), ("1", "one")], "other").alias("tag")),
     "t_events": event_time_shape,
     "t_tasks": lambda s, sf: enrich.enrich_tasks(view(s, sf, "tasks"), view(s, sf, "locations")).select("task_id", "task_location_pair", "start_delay_h", "duration_h", "deadline_h", "is_late_night_start", "is_repeated_context"),
@@ -95,7 +121,15 @@ SQL = {
       UNION ALL SELECT 'events', 'types_normalised', count(*) FILTER (event_type <> lower(event_type)) FROM dirty_events
       UNION ALL SELECT 'interruptions', 'duplicates_removed', count(*) - count(DISTINCT (user_id, task_id, interruption_type, start_time)) FROM interruptions
       UNION ALL SELECT 'interruptions', 'durations_filled', count(*) FILTER (duration_seconds IS NULL) FROM interruptions
-      UNION ALL SELECT 'interruptions', 'ends_filled', count(*) FILTER (end_time IS NULL) FROM interruptions""", "dirty_events", "interruptions"),
+      UNION ALL SELECT 'interruptions', 'ends_filled', count(*) FILTER (end_time IS NULL) FROM interruptions
+      UNION ALL SELECT 'tasks', 'duplicates_removed', 0 UNION ALL SELECT 'tasks', 'categories_normalised', count(*) FILTER (lower(category) IN (""" + _in(ALIASES) + """)) FROM tasks
+      UNION ALL SELECT 'tasks', 'priorities_clamped', count(*) FILTER (task_id % 10 < 2) FROM tasks UNION ALL SELECT 'tasks', 'anomalies_flagged', count(*) FILTER (epoch_us(completed_at) - epoch_us(started_at) > 43200000000) FROM tasks""", "dirty_events", "interruptions", "tasks"),
+    "c1_to_utc": with_views("SELECT id, CASE WHEN id % 50 <> 0 AND id % 51 <> 0 THEN date_trunc('second', event_time) END AS event_time FROM task_events", "task_events"),
+    "c9_category_aliases": f"WITH p AS (SELECT p_partkey, list_extract([{_in(_SPELLINGS)}], CAST(p_partkey % {len(_SPELLINGS)} + 1 AS INT)) AS c FROM part) SELECT p_partkey, CASE c " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CATEGORY_ALIASES.items()) + f" ELSE c END AS category, c IN ({_in(CATEGORY_ALIASES)}) AS category_changed FROM p",
+    "c10_clamped_tasks": with_views("SELECT task_id, CASE WHEN task_id % 10 = 0 THEN 5 WHEN task_id % 10 = 1 THEN 1 ELSE priority END AS priority, task_id % 10 < 2 AS priority_clamped FROM tasks", "tasks"),
+    "v3_invalid_timestamps": with_views("SELECT 'events' AS stage, 'error' AS severity, 'invalid_timestamp' AS rule, id AS row_key FROM task_events WHERE id % 50 = 0", "task_events"),
+    "v12_verdict": with_views("WITH i AS (" + _ISSUES_SQL.replace("\nWITH e AS (", "SELECT * FROM (WITH e AS (", 1) + ")) SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') = 0 AS is_clean FROM i", "dirty_events", "interruptions", "tasks"),
+    "q1_table_counts": with_views("SELECT 'task_events' AS table_name, count(*) AS rows, 6 AS columns FROM task_events UNION ALL SELECT 'interruptions', count(*), 8 FROM interruptions UNION ALL SELECT 'tasks', count(*), 12 FROM tasks UNION ALL SELECT 'locations', count(*), 3 FROM locations", "task_events", "interruptions", "tasks", "locations"),
     "c13_tag_category": "SELECT p_partkey, CASE WHEN lower(p_name) = 'part 1' THEN 'first' WHEN contains(lower(p_name), '9') THEN 'nine' WHEN contains(lower(p_name), '5') THEN 'five' WHEN contains(lower(p_name), '1') THEN 'one' ELSE 'other' END AS tag FROM part",
     "t_events": with_views("""SELECT id, CAST(hour(event_time) AS INT) AS hour, dayname(event_time) AS weekday_name, CAST(isodow(event_time) - 1 AS INT) AS weekday, hour(event_time) >= 21 AS is_late_night,
       (epoch_us(event_time) - epoch_us(lag(event_time) OVER w)) / 1e6 AS inter_event_gap_s, CAST(coalesce(sum(CASE WHEN event_type IN ('started', 'resumed') THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS session_index

@@ -38,7 +38,8 @@ def bodies(d: dict[str, str]) -> dict[str, tuple[list[str], str]]:
         "context_events": (["events"], f"SELECT event_id AS id, user_id, user_id * 4 + k % 4 AS task_id, k % 6 AS task_category, k % 5 AS context, ts, CASE event_type WHEN 'view' THEN 'START' WHEN 'click' THEN CASE WHEN k < 20 THEN 'PAUSE' ELSE 'RESUME' END WHEN 'error' THEN 'INTERRUPTION' WHEN 'signup' THEN 'TASK_SWITCH' ELSE 'COMPLETE' END AS event_type FROM {ev}"),
         "tasks": (["orders", "lineitem", "part"], f"""SELECT task_id, user_id, priority, category, location_id, status, {ts('c')} AS created_at, {ts('s')} AS started_at,
           CASE WHEN status = 'completed' THEN {ts(f'coalesce(s, c) + (1 + user_id % 20) * {HOUR}')} END AS completed_at,
-          CASE WHEN task_id % 5 >= 3 THEN {ts(f'c + (task_id % 72) * {HOUR}')} END AS deadline_at
+          CASE WHEN task_id % 5 >= 3 THEN {ts(f'c + (task_id % 72) * {HOUR}')} END AS deadline_at,
+          CASE WHEN status = 'forgotten' THEN {ts(f'c + (2 + user_id % 9) * {DAY}')} END AS forgotten_at, CASE WHEN status = 'cancelled' THEN {ts(f'c + (1 + user_id % 48) * {HOUR}')} END AS cancelled_at
           FROM (SELECT o_orderkey AS task_id, o_custkey AS user_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, coalesce(category, 'general') AS category, CAST(o_orderkey % 5 AS INT) AS location_id,
             CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'forgotten' ELSE CASE WHEN o_orderkey % 4 = 0 THEN 'cancelled' ELSE 'started' END END AS status,
             {created} AS c, CASE WHEN o_orderkey % 8 <> 0 THEN {created} + (o_orderkey % 48) * {HOUR} END AS s

@@ -66,8 +66,9 @@ def read_events(spark: SparkSession, path: str, since: str | None = None, schema
 
 
 def write_csv_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Times keep their microseconds."""
     for name, d in tables.items():
-        d.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+        d.write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(f"{folder}/{name}.csv")
 
 
 def location_labels(locations: DataFrame) -> DataFrame:

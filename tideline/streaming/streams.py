@@ -32,44 +32,70 @@ def visit_sessions(events: DataFrame, gap: str = "60 minutes", late: str = "1 ho
 _SESSION = "session_id long, user_id long, task_id long, session_start timestamp, session_end timestamp"
 
 
-def lifecycle_sessions(events: DataFrame, late: str = "1 hour", idle_minutes: int = IDLE_MINUTES, hold_ms: int = 30 * 86_400_000) -> DataFrame:
+def lifecycle_sessions(events: DataFrame, late: str = "1 hour", idle_minutes: int = IDLE_MINUTES, hold_ms: int | None = None) -> DataFrame:
     """Sessions by task: an opening event waits in state for the next event; a closing one emits the session, another
-    opening replaces it, and when the watermark is ``hold_ms`` past it the session ends after the idle time."""
+    opening replaces it, and when the watermark is ``hold_ms`` past it (the idle time, unless a longer pause is to be
+    waited for) the session ends after the idle time."""
     wait = idle_minutes * 60_000
+    hold = wait if hold_ms is None else hold_ms
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_ = state.get if state.exists else None
-        out: list = []
-
-        def closed(end_us: int) -> None:
-            out.append((open_[0], open_[1], key[0], pd.Timestamp(open_[2], unit="us"), pd.Timestamp(end_us, unit="us")))
-
+        rows = [pd.DataFrame({"id": [open_[0]], "user_id": [open_[1]], "t": [open_[2]], "event_type": ["started"]})] if open_ else []
+        columns = ["session_id", "user_id", "task_id", "session_start", "session_end"]
         if state.hasTimedOut:
-            if open_:
-                closed(open_[2] + wait * 1000)
             state.remove()
+            out = [(open_[0], open_[1], key[0], open_[2], open_[2] + wait * 1000)] if open_ else []
+            d = pd.DataFrame(out, columns=columns)
         else:
-            for r in pd.concat(list(batches)).sort_values(["event_time", "id"]).itertuples():
-                at = int(r.event_time.value // 1000)
-                if r.event_type in CLOSING and open_:
-                    closed(at)
-                    open_ = None
-                elif r.event_type in OPENING:
-                    open_ = (int(r.id), int(r.user_id), at)
-            if open_:
-                state.update(open_)
-                state.setTimeoutTimestamp(max(open_[2] // 1000 + hold_ms, state.getCurrentWatermarkMs() + 1))
+            new = pd.concat(list(batches)).sort_values(["event_time", "id"])
+            new["t"] = new["event_time"].to_numpy("datetime64[us]").astype("int64")
+            d = pd.concat([*rows, new[["id", "user_id", "t", "event_type"]]], ignore_index=True)
+            opens, closes = d["event_type"].isin(OPENING).to_numpy(), d["event_type"].isin(CLOSING).to_numpy()
+            known = d[opens | closes].reset_index(drop=True)
+            opens = known["event_type"].isin(OPENING).to_numpy()
+            done = opens[:-1] & ~opens[1:]
+            start, stop = known[:-1][done], known[1:][done]
+            d = pd.DataFrame({"session_id": start["id"].to_numpy(), "user_id": start["user_id"].to_numpy(), "task_id": key[0], "session_start": start["t"].to_numpy(), "session_end": stop["t"].to_numpy()}, columns=columns)
+            if len(known) and opens[-1]:
+                last = known.iloc[-1]
+                state.update((int(last["id"]), int(last["user_id"]), int(last["t"])))
+                state.setTimeoutTimestamp(max(int(last["t"]) // 1000 + hold, state.getCurrentWatermarkMs() + 1))
             elif state.exists:
                 state.remove()
-        yield pd.DataFrame(out, columns=["session_id", "user_id", "task_id", "session_start", "session_end"])
+        for c in ("session_start", "session_end"):
+            d[c] = pd.to_datetime(d[c], unit="us")
+        yield d
 
     d = events.withWatermark("event_time", late).select("id", "user_id", "task_id", "event_type", "event_time")
     return d.groupBy("task_id").applyInPandasWithState(step, _SESSION, "id long, user_id long, t long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def latest_status(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Per task the state of its last event by event time, whatever order events arrive in."""
-    return events.withWatermark("event_time", late).groupBy("task_id").agg(F.max_by("event_type", F.struct("event_time", "id")).alias("status"))
+def latest_status(events: DataFrame, late: str = "1 hour", keep_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Per task the state of its last event by event time, whatever order events arrive in, and when it was first
+    started; a row for every change. The state of a task is dropped ``keep_ms`` of event time after its last event."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["task_id", "status", "status_at", "started_at"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        new = pd.concat(list(batches))
+        t = new["event_time"].to_numpy("datetime64[us]").astype("int64")
+        last = max(zip(t.tolist(), new["id"].tolist(), new["event_type"].tolist()))
+        first = t[(new["event_type"] == "started").to_numpy()]
+        first = int(first.min()) if len(first) else -1
+        if state.exists:
+            at, i, kind, begun = state.get
+            last = max(last, (at, i, kind))
+            first = begun if first < 0 else first if begun < 0 else min(first, begun)
+        state.update((last[0], last[1], last[2], first))
+        state.setTimeoutTimestamp(max(last[0] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], last[2], pd.Timestamp(last[0], unit="us"), pd.Timestamp(first, unit="us") if first >= 0 else pd.NaT)], columns=columns)
+
+    d = events.withWatermark("event_time", late).select("id", "task_id", "event_type", "event_time")
+    return d.groupBy("task_id").applyInPandasWithState(step, "task_id long, status string, status_at timestamp, started_at timestamp", "t long, id long, status string, started long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def cooldown(shown: DataFrame, cooldown_s: int = 3600, late: str = "1 hour") -> DataFrame:
