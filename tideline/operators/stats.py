@@ -145,14 +145,14 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows, nulls, rate and band of each column, in one pass."""
     row = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    d = row.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in columns])).alias("x")).select("x.column_name", F.col("_n").alias("rows"), "x.nulls", r6(F.col("x.nulls") / F.col("_n")).alias("rate"))
+    d = row.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in columns])).alias("x")).select("x.column_name", F.col("_n").alias("rows"), "x.nulls", r6(F.try_divide("x.nulls", "_n")).alias("rate"))
     return d.withColumn("band", F.when(F.col("rate") > 0.2, "high").when(F.col("rate") > 0.05, "medium").when(F.col("rate") > 0.001, "low").otherwise("ok"))
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null rate, bounds and mean of numeric columns, in one pass."""
     row = df.agg(F.count("*").alias("_n"), *[x for i, c in enumerate(columns) for x in (F.count_if(F.col(c).isNull()).alias(f"_z{i}"), F.min(c).cast("double").alias(f"_a{i}"), F.max(c).cast("double").alias(f"_b{i}"), F.avg(c).alias(f"_m{i}"))])
-    return row.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), r6(F.col(f"_z{i}") / F.col("_n")).alias("null_rate"), F.col(f"_a{i}").alias("low"), F.col(f"_b{i}").alias("high"), r6(F.col(f"_m{i}")).alias("mean")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+    return row.select("_n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), r6(F.try_divide(f"_z{i}", "_n")).alias("null_rate"), F.col(f"_a{i}").alias("low"), F.col(f"_b{i}").alias("high"), r6(F.col(f"_m{i}")).alias("mean")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

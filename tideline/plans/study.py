@@ -103,7 +103,7 @@ QUERIES = {
     "q2_null_rates": lambda s, sf: stats.null_rates(_T(s, sf), ["started_at", "completed_at", "deadline_at", "category"]),
     "q3_sequences": lambda s, sf: view(s, sf, "task_events").groupBy("task_id").agg(F.count_if(F.col("event_type").isin("created", "started", "resumed")).alias("o"), F.count_if(F.col("event_type").isin(TERMINAL)).alias("t")).agg(F.round(F.avg("o"), 6).alias("avg_open"), F.round(F.avg("t"), 6).alias("avg_terminal"), F.count_if((F.col("o") > 0) & (F.col("t") == 0)).alias("never_ended")),
     "q5_timestamp_range": lambda s, sf: view(s, sf, "task_events").agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.datediff(F.max("event_time"), F.min("event_time")).alias("days")),
-    "q6_class_balance": lambda s, sf: _T(s, sf).agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "forgotten").alias("positive")).withColumn("share", F.round(F.col("positive") / F.col("rows"), 6)).withColumn("note", F.when(F.col("share").between(0.1, 0.4), "ok").otherwise("unbalanced")),
+    "q6_class_balance": lambda s, sf: _T(s, sf).agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "forgotten").alias("positive")).withColumn("share", F.round(F.try_divide("positive", "rows"), 6)).withColumn("note", F.when(F.col("share").between(0.1, 0.4), "ok").otherwise("unbalanced")),
     "q9_fingerprint": lambda s, sf: stats.fingerprint(_O(s, sf)),
     "l6_profile": lambda s, sf: stats.profile(_L(s, sf), MEASURES),
     "i10_attention": lambda s, sf: insights.attention(_T(s, sf), AS_OF_TASKS),

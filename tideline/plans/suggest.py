@@ -191,7 +191,9 @@ def exported(s, sf):
     path = f"{tables.shared_dir(s)}/dataset-{uuid.uuid4().hex}"
     d = view(s, sf, "tasks").select("task_id", "priority", (F.col("status") == "forgotten").cast("int").alias("y"), F.when(F.col("task_id") % 5 == 0, "test").otherwise("train").alias("split"))
     tables.export_dataset(d, path, "y", "task_id")
-    return s.read.parquet(f"{path}/features").join(s.read.parquet(f"{path}/labels").drop("split"), "task_id").groupBy("split").agg(F.count("*").alias("rows"), F.sum("y").alias("positive"), F.sum("priority").alias("priorities"))
+    of = lambda *columns: d.select(*columns, "split").schema
+    features, labels = s.read.schema(of("task_id", "priority")).parquet(f"{path}/features"), s.read.schema(of("task_id", "y")).parquet(f"{path}/labels")
+    return features.join(labels.drop("split"), "task_id").groupBy("split").agg(F.count("*").alias("rows"), F.sum("y").alias("positive"), F.sum("priority").alias("priorities"))
 
 
 EV = ["id", "user_id", "task_id", "event_type", "event_time"]
