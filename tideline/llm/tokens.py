@@ -17,7 +17,7 @@ import numpy as np
 
 _ODD = re.compile(r"\s\s|\s\Z|<\|endoftext\|>")
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: the byte-level pattern
-KEPT = 600_000  # pieces kept by a worker; beyond, it starts anew
+KEPT = 200_000  # pieces of a generation; a worker keeps two, the one that it fills and the one before
 
 
 def default_path() -> str:
@@ -50,12 +50,16 @@ class Encoder(dict):
             raise ValueError(f"unexpected special tokens in {path}")
         byte = _visible()
         ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+        self.old: dict[str, bytes] = {}
         self.short = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, piece: str) -> bytes:
-        text = piece[2:] if piece.startswith("\n\n") else piece if piece.startswith("\n") else " " + piece
-        ids = array("I", self.short(text)).tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            text = piece[2:] if piece.startswith("\n\n") else piece if piece.startswith("\n") else " " + piece
+            ids = array("I", self.short(text)).tobytes()
         if len(self) >= KEPT:
+            self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
