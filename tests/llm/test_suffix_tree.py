@@ -31,58 +31,19 @@ def make(n=300):
     return rows + [(1000, None), (1001, ""), (1002, " \n"), (None, "ba ba"), (4, rows[4][1]), (4, "other"), (1003, "zz" * 3000 + " q" * 9000)]
 
 
-@pytest.mark.parametrize("kept", [4, 1 << 18])
-def test_base_against_brute_force(spark, monkeypatch, kept):
-    monkeypatch.setattr(S, "KEPT", kept)
+def test_base_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 5000)
     rows = make()
     got = S.score(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == base(rows)
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
 def test_empty(spark):
     assert S.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def brute_tree(entries, context, symbol):
-    """Recursive definition: the longest retained suffix of the context, smoothed towards its own suffix."""
-    states = {}
-    for d, ctx, nxt, c, n in entries.itertuples(index=False):
-        s = states.setdefault(tuple(int(ctx) >> 8 * i & 255 for i in range(d)), [{}, n])
-        s[0][nxt] = c
-
-    def p(ctx):
-        low = p(ctx[:-1]) if ctx else 1 / S.SYMBOLS
-        if ctx not in states:
-            return low
-        c, n = states[ctx]
-        return c.get(symbol, 0) / (n + S.ALPHA) + (n - sum(c.values()) + S.ALPHA) / (n + S.ALPHA) * low
-
-    return p(context)
-
-
-def test_tree_against_its_definition_and_sums(spark):
-    rng = random.Random(6)
-    text = lambda: " ".join(rng.choice(["a b c", "a b d", "x y", "y x x"]) for _ in range(30))
-    texts = spark.createDataFrame([(text(),) for _ in range(60)], "text string")
-    model, _ = S.fit(texts)
-    shared = spark.sparkContext.broadcast(model.words)
-    grams = texts.mapInArrow(lambda b: S._grams(b, shared), "key long, c long").groupBy("key").sum("c").toDF("key", "c")
-    entries = S.retained(grams).toPandas()
-    assert entries["d"].max() >= 1 and (entries["d"] == 0).any()
-    tree = S.build(entries)
-    pick = np.random.default_rng(1)
-    for _ in range(30):
-        ctx = tuple(pick.choice([0, *range(2, 9)], pick.integers(0, S.DEPTH + 1)).tolist())
-        full = sum(b << 8 * i for i, b in enumerate(ctx))
-        got = tree.log10(np.full(S.SYMBOLS, full), np.full(S.SYMBOLS, len(ctx)), np.arange(S.SYMBOLS))
-        assert abs((10**got).sum() - 1) < 1e-9
-        for s in range(9):
-            assert abs(10 ** got[s] - brute_tree(entries, ctx, s)) < 1e-12
-
-
 def test_order_of_words_matters(spark):
     rows = [(i, "a b c d " * 20) for i in range(60)] + [(1000, "a b c d " * 5), (1001, "d c b a " * 5)]
     got = {r.doc_id: r.score for r in S.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -99,36 +60,61 @@ def test_words_are_contexts_at_any_size_of_the_corpus(spark):
     assert got[1000] > got[1001] + 1.2 and got[1002] > got[1003] + 3
 
 
-@pytest.mark.parametrize("kept", [4, 1 << 18])
-def test_word_states_against_brute_force(spark, monkeypatch, kept):
-    monkeypatch.setattr(S, "KEPT", kept)
-    rng = random.Random(9)
-    part = ["a b c d", "x b c e", "x y", "q", "r s", *(f"n{i}" for i in range(30))]
-    rows = [(i, " ".join(rng.choice(part) for _ in range(40))) for i in range(150)]
+def test_lookup():
+    keys = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
+    keys = np.unique(np.concatenate([keys, np.arange(50, dtype=np.uint64)]))
+    found = S.Lookup(keys[::2])
+    assert found.get(keys).tolist() == [i // 2 if i % 2 == 0 else len(keys[::2]) for i in range(len(keys))]
+    assert S.Lookup(keys[:0]).get(keys[:3]).tolist() == [0, 0, 0]
+
+
+def brute_model(rows):
+    """Training counts, states with their followers, and a function of a context and a word: its probability."""
     train = [[*words(t), "</s>"] for i, t in rows if not held(i)]
     c = Counter(tuple(w[i : i + n]) for w in train for n in range(1, 5) for i in range(len(w) - n + 1))
     total, states = sum(map(len, train)), {}
     for n in range(1, 4):
         for ctx in [g for g in c if len(g) == n and g[-1] != "</s>"]:
-            f = {g[-1]: k for g, k in c.items() if len(g) == n + 1 and g[:-1] == ctx and k >= 8}
-            pc = {w: c[(*ctx[1:], w)] for w in f}
             pn, size = (c[ctx[1:]] if n > 1 else total), c[ctx]
-            rest, prest = size - sum(f.values()), pn - sum(pc.values())
-            g2 = 2 * (sum(k * math.log(k * pn / (size * pc[w])) for w, k in f.items()) + (rest * math.log(rest * pn / (size * prest)) if rest and prest else 0))
+            f = {g[-1]: k for g, k in c.items() if len(g) == n + 1 and g[:-1] == ctx and k >= S.SEEN}
+            pc = {w: c[(*ctx[1:], w)] for w in f}
+            gain = {w: k * math.log(k * pn / (size * pc[w])) for w, k in f.items()}
+            f = {w: k for w, k in f.items() if 2 * gain[w] > math.log(total)}
+            rest, prest = size - sum(f.values()), pn - sum(pc[w] for w in f)
+            g2 = 2 * (sum(gain[w] for w in f) + (rest * math.log(rest * pn / (size * prest)) if rest and prest else 0))
             if f and g2 > len(f) * math.log(total):
                 states[ctx] = f, size, (rest + S.ALPHA) / (size + S.ALPHA)
+    once = max(1, sum(k == 1 for g, k in c.items() if len(g) == 1 and g[0] != "</s>"))
+
+    def p(ctx, word):
+        if not ctx:
+            return (c[(word,)] or once) / (total + once)
+        if ctx not in states:
+            return p(ctx[1:], word)
+        f, n, left = states[ctx]
+        return f.get(word, 0) / (n + S.ALPHA) + left * p(ctx[1:], word)
+
+    return c, states, p
+
+
+@pytest.mark.parametrize("size", ["1", "10000"])
+def test_scores_against_brute_force(spark, monkeypatch, size):
+    rng = random.Random(9)
+    part = ["a b c d", "x b c e", "x y", "q", "r s", *(f"n{i}" for i in range(30))]
+    rows = [(i, " ".join(rng.choice(part) for _ in range(40))) for i in range(150)] + [(500, "a b c d unknown x b c e"), (501, None), (502, "unknown")]
+    c, states, p = brute_model(rows)
     assert {len(s) for s in states} == {1, 3}
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-
-    def totals(deep):  # scores with the states, or without any
-        with monkeypatch.context() as m:
-            if not deep:
-                m.setattr(S, "states", lambda texts, *_: texts.sparkSession.createDataFrame([], "key long, a double, b double"))
-            return {r.doc_id: r.score for r in S.score(d).collect()}
-
-    model, table = S.fit(d.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 7) <> 2"))
-    got = S.states(d.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 7) <> 2"), table, model.n, model.texts, S.ALPHA).collect()
-    assert sorted(round(r.b, 9) for r in got if r.b is not None) == sorted(round(s[2], 9) for s in states.values())
-    assert sorted(round(r.a, 9) for r in got if r.a is not None) == sorted(round(k / (s[1] + S.ALPHA), 9) for s in states.values() for k in s[0].values())
-    flat, deep = totals(False), totals(True)
-    assert sum(deep[i] - flat[i] for i in deep if held(i)) > 0
+    monkeypatch.setattr(S, "BLOCK", 3000)
+    monkeypatch.setattr(S, "HELD", 50)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {r.doc_id: r.score for r in S.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for i, t in rows:
+        w = [*words(t), "</s>"]
+        assert abs(got[i] - sum(math.log10(p(tuple(w[max(0, k - 3) : k]), x)) for k, x in enumerate(w))) < 1e-8
+    vocabulary = [g[0] for g in c if len(g) == 1] + ["never seen"]
+    for ctx in [(), *list(states)[:20], ("n1", "a", "b")]:
+        assert abs(sum(p(ctx, w) for w in vocabulary) - 1) < 1e-9

@@ -1,22 +1,22 @@
 """LM scoring with a probabilistic suffix tree (Ron, Singer and Tishby 1996) over a text's words.
 
-A text is its lower-cased words, then one end. States are contexts of up to three words (see ``word_states``), as many
-as the corpus gives; each is smoothed towards its suffix, and those of one word towards a tree of symbols, the root.
-Texts meet the states by joins. The root's symbols are the ``NAMED`` commonest words, classes of other
-common words by their count, one class of all rare and unknown words, and the end; its contexts are up to ``DEPTH``
-symbols before, back to the start of the text. Counts come from every training text. A context is retained if it has at
-least ``SHARE`` of all symbols and a likelihood-ratio test finds its next-symbol distribution to diverge from that of
-its suffix, so the root, which is broadcast, has at most DEPTH / SHARE states at any size of the corpus. Distributions
-are smoothed towards those of the suffix state, and a symbol is scored by the longest state that is a suffix of what
-precedes it. A word has its class's probability times its share of the class; to the rare
-words as many unknown ones are added as words were seen once, all unknown words being one event, as in the unigram base.
-
-The counts of the at most ``KEPT`` commonest words are broadcast; the other words of all texts meet their counts in one
-shuffle, in which no word is common.
-
-Edge cases: null counts as empty, and an empty text is one end; rows that repeat a doc_id are each scored; a null
-doc_id's fold is that of empty text; without training texts the base is 0 and symbols are uniform; an empty table gives
-no rows; other columns are ignored."""
+A text is its lower-cased words, then one end. The root has every training word by its count; contexts of one to ``DEEP``
+words are further states, each smoothed towards the state of its suffix. Grams, a context and the word or end after it,
+are counted in shuffled tables. A gram seen ``SEEN`` times can only be so common if its parts are, and a bitmap of those
+(no false negatives) decides what is counted; so states grow with the corpus. Divergence tests decide what is
+retained: a follower if the gain of its own share over that in the suffix's distribution pays for a parameter
+(half the logarithm of all tokens), and a context if the gain of all its followers, the others together being one more,
+does. A word is scored by the longest state that precedes it: c / (n + ALPHA) for a retained follower, and what the state
+leaves to others times the share in its suffix. To the root as many unknown words are added as words were seen once; all
+unknown words are one event, as in the unigram base.
+
+No word, state or count passes through the driver: texts, dealt to blocks of bounded bytes, ask for the distinct words and
+grams that they have, and one join finds these.
+
+Edge cases: null counts as empty, and an empty text is one end; texts of any length are read whole; rows that repeat a
+doc_id are each scored; a null doc_id's fold is that of empty text; equally common words or contexts are all treated
+alike; without training texts the base is 0 and every word the one unknown event; an empty table gives no rows; other
+columns are ignored."""
 
 from __future__ import annotations
 
@@ -24,307 +24,279 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap, hit, xxhash64_of
 from .shared import fold, read_table, text_of, written
-from .word_states import SEEN, folded, needed, runs, screen, states
-from .words import SPACED, Piece, lists, mix, pieces, signed
+from .words import SPACED, Piece, mix, pieces, signed
 
 U64 = np.uint64
-DEPTH, SHARE, KEPT = 3, 1e-5, 1 << 18
-ALPHA = 2.0  # weight of the suffix state's distribution, in symbols
-NAMED = 24
-START, END, RARE, FIRST = 0, 1, 2, 3  # symbols; named words and classes of common ones follow
-SYMBOLS = FIRST + NAMED + 32
-STEP = 4 << 20
-BLOCK = 8192  # texts
+DEEP, SEEN = 3, 8
+ALPHA = 2.0  # weight of the suffix state's distribution, in tokens
+ENDED = U64(0xA24BAED4963EE407)  # stands for the end of a text
+STEP = 2 << 20
+BLOCK = 24 << 20  # bytes of text in a block, about
+HELD = 1 << 22  # keys that a task collects before it sends them
+_OTHER = 0x5851F42D4C957F2D
 
 
 class Lookup:
-    """Values of distinct 64-bit keys, by open addressing over arrays."""
+    """Row numbers of distinct 64-bit keys, by open addressing over arrays."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray):
         keys = np.asarray(keys).astype(U64)
         self.mask = U64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
-        self.keys = np.full(int(self.mask) + 1, U64(2**64 - 1))
-        self.values = np.zeros(int(self.mask) + 1, np.float64)
+        self.keys, self.none = keys, len(keys)
+        self.at = np.full(int(self.mask) + 1, len(keys), np.int64)
         at, left = mix(keys) & self.mask, np.arange(len(keys))
         while len(left):
-            slot = at[left]
-            free = self.keys[slot] == U64(2**64 - 1)
-            _, first = np.unique(slot[free], return_index=True)
+            free = self.at[at[left]] == self.none
+            _, first = np.unique(at[left][free], return_index=True)
             put = left[free][first]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            left = left[self.keys[at[left]] != keys[left]]
+            self.at[at[put]] = put
+            left = left[self.at[at[left]] != left]
             at[left] = (at[left] + U64(1)) & self.mask
 
-    def get(self, keys: np.ndarray, default: float = np.nan) -> np.ndarray:
-        out = np.full(len(keys), default)
-        at, left = mix(keys) & self.mask, np.arange(len(keys))
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or the number of rows."""
+        out = np.full(len(keys), self.none)
+        at, left, known = mix(keys) & self.mask, np.arange(len(keys)), np.append(self.keys, U64(0))
         while len(left):
-            there = self.keys[at[left]]
-            same = there == keys[left]
-            out[left[same]] = self.values[at[left[same]]]
-            left = left[~same & (there != U64(2**64 - 1))]
+            row = self.at[at[left]]
+            same = (row < self.none) & (known[row] == keys[left])
+            out[left[same]] = row[same]
+            left = left[~same & (row < self.none)]
             at[left] = (at[left] + U64(1)) & self.mask
         return out
 
 
-def packed(depth, context, symbol=0):
-    """One number for a context of some bytes, the last lowest, and a next symbol."""
-    return depth << 48 | context << 8 | symbol
+def runs(p: Piece) -> tuple[list[np.ndarray], np.ndarray]:
+    """For every word of some texts and the end after each: hashes of the last 1 to DEEP + 1 of them, and how many
+    precede it in its text. A word's own hash is that of the word table."""
+    size = np.diff(p.begin) + 1
+    last = np.cumsum(size) - 1
+    flat = np.empty(int(size.sum()), U64)
+    word = np.ones(len(flat), bool)
+    word[last] = False
+    flat[word], flat[last] = p.hashes, ENDED
+    g = [flat]
+    for _ in range(DEEP):
+        longer = np.zeros(len(flat), U64)
+        longer[1:] = mix(g[-1][:-1] * U64(0xD6E8FEB86659FD93) + flat[1:])
+        g.append(longer)
+    return g, np.arange(len(flat)) - np.repeat(last + 1 - size, size)
 
 
-def positions(symbol: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of some texts and the end after each: text, context, its depth (at most DEPTH), symbol."""
-    size = np.diff(begin) + 1
-    text = np.repeat(np.arange(len(size)), size)
-    last = np.cumsum(size) - 1
-    flat = np.empty(len(text), np.int64)
-    is_end = np.zeros(len(text), bool)
-    is_end[last] = True
-    flat[is_end], flat[~is_end] = END, symbol
-    k = np.arange(len(text)) - np.repeat(last + 1 - size, size)
-    context = np.zeros(len(text), np.int64)
-    for d in range(1, DEPTH + 1):  # START is 0
-        context[d:] |= np.where(k[d:] >= d, flat[:-d], START) << (8 * (d - 1))
-    return text, context, np.minimum(k + 1, DEPTH), flat
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in parts]])
-    counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c in parts]])
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (key, c), the counts of words, combined by batch."""
-    for batch in batches:
-        words = []
-        for p in pieces(batch.column(0), SPACED, STEP):
-            h, c = np.unique(p.hashes, return_counts=True)
-            words.append((signed(h), c))
-        keys, counts = _merge(words)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "c"])
+def screen(keys: DataFrame) -> tuple:
+    """Two bitmaps of the column ``key``, by independent hashes: few grams pass that aren't in it."""
+    return bitmap(keys, "key"), bitmap(keys.select(F.col("key").bitwiseXOR(F.lit(_OTHER)).alias("key")), "key")
 
 
-@dataclass
-class Words:
-    """The common words: their counts, symbols and shares of their symbol's words, by index."""
-
-    index: Lookup
-    c: np.ndarray
-    symbol: np.ndarray
-    share: np.ndarray
-
-    @classmethod
-    def of(cls, key: np.ndarray, c: np.ndarray) -> Words:
-        order = np.lexsort((key, -c))
-        key, c = key[order], c[order]
-        symbol = np.where(np.arange(len(c)) < NAMED, FIRST + np.arange(len(c)), FIRST + NAMED + np.minimum(31, np.log2(np.maximum(c, 1)) // 2)).astype(np.int64)
-        total = np.bincount(symbol, c, SYMBOLS)
-        return cls(Lookup(key, np.arange(len(key))), c.astype(float), symbol, c / np.maximum(total[symbol], 1))
-
-    def find(self, p: Piece) -> tuple[np.ndarray, np.ndarray]:
-        """For each word of a piece its index or -1, and its symbol."""
-        h, inverse = np.unique(p.hashes, return_inverse=True)
-        i = self.index.get(h, -1).astype(np.int64)
-        return i[inverse], np.where(i < 0, RARE, np.append(self.symbol, RARE)[i])[inverse]
-
-
-def _grams(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Texts to (key, c), the counts of symbols after their longest contexts, combined by batch."""
+def _seen(shared: tuple, keys: np.ndarray) -> np.ndarray:
+    here = hit(shared[0].value, xxhash64_of(keys))
+    here[here] = hit(shared[1].value, xxhash64_of(keys[here] ^ U64(_OTHER)))
+    return here
+
+
+def _after(here: np.ndarray) -> np.ndarray:
+    """Whether a position and the one before it are marked."""
+    return here & np.concatenate([[False], here[:-1]])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
+    """Texts to (key, c), what ``pick`` takes of their words' hashes and runs, combined by batch."""
     for batch in batches:
-        found = []
-        for p in pieces(batch.column(0), SPACED, STEP):
-            _, context, depth, symbol = positions(shared.value.find(p)[1], p.begin)
-            found.append(np.unique(packed(depth, context, symbol), return_counts=True))
-        keys, counts = _merge(found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "c"])
+        keys = [np.zeros(0, np.int64), *[signed(x) for p in pieces(batch.column(0), SPACED, STEP) for x in pick(p)]]
+        key, c = np.unique(np.concatenate(keys), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
 
 
-@dataclass
-class Tree:
-    entry: Lookup  # (context, symbol): log10 of its smoothed probability
-    back: Lookup  # context: log10 of the weight that its suffix state gets for other symbols
-
-    def log10(self, context: np.ndarray, depth: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(context))
-        left = np.arange(len(context))
-        for d in range(DEPTH, -1, -1):
-            here = depth[left] >= d
-            rows = left[here]
-            key = packed(d, context[rows] & ((1 << 8 * d) - 1), 0).astype(U64)
-            value = self.entry.get(key | symbol[rows].astype(U64))
-            known = ~np.isnan(value)
-            out[rows[known]] += value[known]
-            out[rows[~known]] += self.back.get(key[~known], 0.0)
-            left = np.concatenate([left[~here], rows[~known]])
-        out[left] -= np.log10(SYMBOLS)
-        return out
+def _counts(texts: DataFrame, pick) -> DataFrame:
+    return texts.select("text").mapInArrow(lambda b: _counted(b, pick), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
 
+def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(key, ctx, low, up, d) of common grams: the context, the gram without its first word, and the context without; each
+    once, but for what a task can't hold."""
+    got, size = [np.zeros((0, 5), np.int64)], 0
 
-def build(entries: pd.DataFrame) -> Tree:
-    """Smooth the distributions of retained states, shortest first: rows of (d, ctx, next, c, n)."""
-    tree = Tree(Lookup(np.zeros(0), np.zeros(0)), Lookup(np.zeros(0), np.zeros(0)))
-    keys, values, states, weights = [], [], [], []
-    for d in range(DEPTH + 1):
-        e = entries[entries["d"] == d]
-        if not len(e):
-            continue
-        ctx, nxt, c, n = (e[x].to_numpy(np.int64) for x in ("ctx", "next", "c", "n"))
-        state, inverse = np.unique(ctx, return_inverse=True)
-        total, kept = np.zeros(len(state)), np.bincount(inverse, c, len(state))
-        total[inverse] = n
-        weight = (total - kept + ALPHA) / (total + ALPHA)
-        low = tree.log10(ctx & ((1 << 8 * max(d - 1, 0)) - 1), np.full(len(ctx), d - 1), nxt)
-        keys.append(packed(d, ctx, nxt))
-        values.append(np.log10(c / (n + ALPHA) + weight[inverse] * 10**low))
-        states.append(packed(d, state))
-        weights.append(np.log10(weight))
-        tree = Tree(Lookup(np.concatenate(keys), np.concatenate(values)), Lookup(np.concatenate(states), np.concatenate(weights)))
-    return tree
-
-
-def retained(grams: DataFrame) -> DataFrame:
-    """(d, ctx, next, c, n) of the states that pass the tests, with all their suffixes, from (key, c) of longest contexts."""
-    deep = grams.select(F.shiftright("key", 48).cast("int").alias("deep"), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 40) - 1)).alias("full"), F.col("key").bitwiseAND(F.lit(255)).alias("next"), "c")
-    each = deep.select("next", "c", "full", F.explode(F.sequence(F.lit(0), "deep")).alias("d"))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("d") * 8) - 1
-    all_ = written(each.select("d", F.col("full").bitwiseAND(mask).alias("ctx"), "next", "c").groupBy("d", "ctx", "next").agg(F.sum("c").alias("c")), "contexts")
-    total = all_.where("d = 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("t")).first()["t"]
-    size = all_.groupBy("d", "ctx").agg(F.sum("c").alias("n"), F.count("*").alias("k")).where(F.col("n") >= max(1.0, SHARE * total))
-    rows = written(all_.join(size, ["d", "ctx"]), "candidates")
-    up = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("d") - 1) * 8) - 1
-    child = rows.where("d > 0").withColumn("up", F.col("ctx").bitwiseAND(up))
-    parent = rows.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("up"), "next", F.col("c").alias("pc"), F.col("n").alias("pn"))
-    test = child.join(parent, ["d", "up", "next"]).groupBy("d", "ctx").agg((2 * F.sum(F.col("c") * F.log(F.col("c") * F.col("pn") / (F.col("n") * F.col("pc"))))).alias("g2"), F.first("k").alias("k"))
-    passed = test.where(F.col("g2") > F.col("k") * float(np.log(max(total, 2)))).select("d", "ctx")
-    closed = passed.select(F.explode(F.sequence(F.lit(0), "d")).alias("d"), "ctx").select("d", F.col("ctx").bitwiseAND(mask).alias("ctx")).unionByName(grams.sparkSession.range(1).select(F.lit(0).alias("d"), F.lit(0).cast("long").alias("ctx"))).distinct()
-    return rows.join(closed, ["d", "ctx"], "left_semi").where((F.col("c") >= SHARE * total / 8) | (F.col("d") == 0)).select("d", "ctx", "next", "c", "n")
+    def distinct():
+        rows = np.concatenate(got)
+        return rows[np.unique(rows[:, 0], return_index=True)[1]]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=["key", "ctx", "low", "up", "d"])
+
+    for batch in batches:
+        for p in pieces(batch.column(0), SPACED, STEP):
+            g, k = runs(p)
+            here = np.ones(len(k), bool)
+            for d in range(1, DEEP + 1):  # the parts of a common gram are common
+                here = (_after(here) if d > 1 else here) & (k >= d)
+                here[here] = _seen(shared, g[d][here])
+                at = np.flatnonzero(here)
+                at = at[np.unique(g[d][at], return_index=True)[1]]
+                up = signed(g[d - 2][at - 1]) if d > 1 else np.zeros(len(at), np.int64)
+                got.append(np.stack([signed(g[d][at]), signed(g[d - 1][at - 1]), signed(g[d - 1][at]), up, np.full(len(at), d)], 1))
+                size += len(at)
+            if size > HELD // 2:
+                got = [distinct()]
+                size = len(got[0])
+                if size > HELD // 4:
+                    yield batch_of(got[0])
+                    got, size = [np.zeros((0, 5), np.int64)], 0
+    yield batch_of(distinct())
+
+
+def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
+    """(key, c) of the grams of two words and more that are seen SEEN times, from those of one word."""
+    common = lambda d: d.where(F.col("c") >= SEEN)
+    one = screen(ones)
+
+    def two(p):
+        g, k = runs(p)
+        return [g[1][_after(_seen(one, g[0])) & (k >= 1)]]
+
+    pairs = written(common(_counts(texts, two)), "pairs")
+    pair = screen(pairs)
+
+    def longer(p):
+        g, k = runs(p)
+        three = _after(_seen(pair, g[1]) & (k >= 1)) & (k >= 2)
+        return [g[2][three], g[3][_after(three) & (k >= 3)]]
+
+    return pairs.unionByName(written(common(_counts(texts, longer)), "grams"))
+
+
+def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int, alpha: float = ALPHA) -> DataFrame:
+    """(key, a, b): a retained follower's share after its context, by the hash of the gram, and the weight that a state,
+    by the hash of its words, leaves to its suffix; null where a key has none."""
+    ends = texts.sparkSession.createDataFrame([(int(ENDED.astype(np.int64)), docs)], "key long, c long")
+    ones = words.unionByName(ends).where(F.col("c") >= SEEN)
+    many = grams(texts, ones)
+    shared = screen(many)
+    parts = texts.select("text").mapInArrow(lambda b: _parts(b, shared), "key long, ctx long, low long, up long, d long")
+    parts = parts.groupBy("key").agg(*[F.first(c).alias(c) for c in ("ctx", "low", "up", "d")])
+    named = lambda c, n: ones.unionByName(many).select(F.col("key").alias(c), F.col("c").alias(n)).hint("merge")
+    rows = parts.join(many.hint("merge"), "key").join(named("low", "pc"), "low").drop("low").join(named("up", "pn"), "up", "left").drop("up")
+    rows = rows.withColumn("pn", F.when(F.col("d") == 1, F.lit(tokens)).otherwise(F.col("pn"))).join(named("ctx", "n"), "ctx")
+    c, n, pc, pn = (F.col(x) for x in ("c", "n", "pc", "pn"))
+    gain = c * F.log(c * pn / (n * pc))
+    price = float(np.log(max(tokens, 2)))
+    rows = written(rows.withColumn("gain", gain).where(2 * F.col("gain") > price), "followers")
+    sums = rows.groupBy("ctx").agg(F.sum("gain").alias("g"), F.sum("c").alias("kept"), F.sum("pc").alias("pkept"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("pn").alias("pn"))
+    rest, prest = F.col("n") - F.col("kept"), F.col("pn") - F.col("pkept")
+    g2 = 2 * (F.col("g") + F.when((rest > 0) & (prest > 0), rest * F.log(rest * F.col("pn") / (F.col("n") * prest))).otherwise(0.0))
+    kept = sums.where(g2 > F.col("k") * price).select("ctx", ((rest + alpha) / (F.col("n") + alpha)).alias("b"))
+    none = F.lit(None).cast("double")
+    entries = rows.join(kept.select("ctx").hint("merge"), "ctx", "left_semi").select("key", (c / (n + alpha)).alias("a"), none.alias("b"))
+    return entries.unionByName(kept.select(F.col("ctx").alias("key"), none.alias("a"), "b")).groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
 
 @dataclass
-class Model:
-    tree: Tree
-    words: Words
+class Totals:
     n: int  # tokens, ends included
     v: int  # distinct ones
     texts: int
-    rare: int  # tokens of rare words
     once: int  # words seen once
 
-    def in_rare(self, c: np.ndarray) -> np.ndarray:
-        """log10 of the share of rare words that a word with training count c has."""
-        return np.log10(np.where(c > 0, c, max(self.once, 1)) / (self.rare + max(self.once, 1)))
+    def root(self, c: np.ndarray) -> np.ndarray:
+        """The share that a word with training count c has in the root."""
+        unknown = max(self.once, 1)
+        return np.where(c > 0, c, unknown) / (self.n + unknown)
 
-    def uncommon(self, words: DataFrame) -> DataFrame:
-        """(key, c) of the words that may follow a state but are not broadcast."""
-        least = int(self.words.c.min()) if len(self.words.c) else 1 << 62
-        return words.where((F.col("c") >= SEEN) & (F.col("c") < least))
 
-
-def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and (key, c) of every training word, from rows with a ``text``."""
-    sc = texts.sparkSession.sparkContext
-    words = written(texts.select("text").mapInArrow(_count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+def fit(texts: DataFrame) -> tuple[DataFrame, Totals]:
+    """(key, c, a, b) of every training word and retained gram, and the corpus totals, from rows with a ``text``."""
+    words = written(_counts(texts, lambda p: [p.hashes]), "words")
     v, n, once = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1)).first()
     docs = texts.count()
-    size = F.floor(F.log2("c") * 8)
-    hist = {r["b"]: r["k"] for r in words.where("c > 1").groupBy(size.alias("b")).agg(F.count("*").alias("k")).collect()}  # a row for each eighth of a power of two
-    room, cut = KEPT, None
-    for b in sorted(hist, reverse=True):
-        room -= hist[b]
-        if room < 0:
-            break
-        cut = b
-    common = words.where(F.lit(cut is not None) & (F.col("c") > 1) & (size >= (cut or 0))).toPandas()  # at most KEPT rows
-    known = Words.of(common["key"].to_numpy(np.int64).view(U64), common["c"].to_numpy(np.int64))
-    shared = sc.broadcast(known)
-    grams = texts.select("text").mapInArrow(lambda b: _grams(b, shared), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    tree = build(retained(grams).toPandas())  # bounded by DEPTH, SHARE and the number of symbols
-    return Model(tree, known, int(n + docs), int(v + (docs > 0)), int(docs), int(n - known.c.sum()), int(once)), words
-
-
-def _score(m: Model, texts: pa.Table, found: pa.Table) -> pa.Table:
-    """A block of (doc_id, held_out, rid, text) to these without text, counts and sums of what is known here, and the rare
-    words; ``found`` has (block, key, a, b, c) of every gram of the block that is in the tables of word states."""
-    c, share = np.append(m.words.c, 0), np.log10(np.append(m.words.share, 1.0).clip(1e-300))
-    index = Lookup(found.column("key").to_numpy().view(U64), np.arange(found.num_rows))
-    a, b, seen = (np.append(found.column(x).to_numpy().astype(float), np.nan) for x in ("a", "b", "c"))
+    totals = Totals(int(n + docs), int(v + (docs > 0)), int(docs), int(once))
+    tree = states(texts, words, totals.n, totals.texts)
+    both = words.select("key", "c", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")).unionByName(tree.withColumn("c", F.lit(0).cast("long")))
+    return written(both.groupBy("key").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b")), "states"), totals
+
+
+def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(doc_id, held_out, text, block) to (block, key): the distinct words of each block, and its grams that may be in the
+    tree."""
+    got, size = [np.zeros((0, 2), np.int64)], 0
+
+    def distinct():
+        rows = np.concatenate(got)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        return rows[new]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in (0, 1)], names=["block", "key"])
+
+    for batch in batches:
+        block = batch.column(3).to_numpy()
+        for p in pieces(batch.column(2), SPACED, STEP):
+            g, k = runs(p)
+            where = np.repeat(block[p.row : p.row + p.rows], np.diff(p.begin) + 1)
+            for d, x in enumerate(g):
+                at = np.flatnonzero((k >= d) & _seen(shared, x)) if d else np.arange(len(x))
+                u, first = np.unique(x[at] ^ mix(where[at].astype(U64)), return_index=True)
+                got.append(np.stack([where[at[first]], signed(x[at[first]])], 1))
+                size += len(first)
+            if size > 2 * HELD:
+                got = [distinct()]
+                size = len(got[0])
+                if size > HELD:
+                    yield batch_of(got[0])
+                    got, size = [np.zeros((0, 2), np.int64)], 0
+    yield batch_of(distinct())
+
+
+def folded(g: list[np.ndarray], k: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A and B of each position: its probability is A + B times that of the root. ``a[d]`` and ``b[d]`` are those of
+    the gram of d + 1 words that ends at a position, NaN where it has none."""
+    A, B = np.zeros(len(k)), np.ones(len(k))
+    for d in range(1, len(g)):
+        left = np.concatenate([[np.nan], b[d - 1][:-1]])
+        left = np.where((k >= d) & ~np.isnan(left), left, 1.0)
+        A = A * left + np.where((k >= d) & ~np.isnan(a[d]), a[d], 0.0)
+        B *= left
+    return A, B
+
+
+def _score(m: Totals, texts: pa.Table, found: pa.Table) -> pa.Table:
+    """A block of (doc_id, held_out, block, text), and (block, key, c, a, b) of what it asked for, to the result's rows."""
+    index = Lookup(found.column("key").to_numpy().view(U64))
+    c = np.append(found.column("c").to_numpy(), 0)
+    a, b = (np.append(found.column(x).to_numpy(zero_copy_only=False).astype(float), np.nan) for x in "ab")
     texts, out = texts.combine_chunks(), []
     for p in pieces(texts.column("text"), SPACED, STEP):
-        i, symbol = m.words.find(p)
-        text, context, depth, symbol = positions(symbol, p.begin)
-        key, inverse = np.unique(packed(depth, context, symbol), return_inverse=True)
-        lp = m.tree.log10(key >> 8 & ((1 << 40) - 1), key >> 48, key & 255)[inverse]
-        doc, rare = p.doc(), i < 0
-        word = symbol != END
         g, k = runs(p)
-        at = [index.get(x, found.num_rows).astype(np.int64) for x in g]
+        at = [index.get(x) for x in g]
         A, B = folded(g, k, [a[x] for x in at], [b[x] for x in at])
-        own, later = np.zeros(len(lp)), np.zeros(len(lp))  # a word's share of its symbol; that of a rare one is added by _meet
-        own[word] = np.where(rare, m.in_rare(np.nan_to_num(seen[at[0][word]])), share[i])
-        later[word] = np.where(rare, own[word], 0.0)
-        lp = np.where(A > 0, np.log10(A + B * 10 ** (lp + own)), np.log10(B) + lp + own) - later
+        count = np.where(g[0] == ENDED, m.texts, c[at[0]])
+        text = np.repeat(np.arange(p.rows), np.diff(p.begin) + 1)
+        sums = [np.bincount(text, v, p.rows) for v in (count > 0, np.log10((count + 1) / (m.n + m.v + 1)), np.log10(A + B * m.root(count)))]
         out.append(pa.Table.from_arrays(
-            [texts.column(x).slice(p.row, p.rows) for x in ("doc_id", "held_out", "rid")]
-            + [
-                pa.array(np.diff(p.begin).astype(np.int64)),
-                pa.array(np.bincount(doc, ~rare, p.rows).astype(np.int64)),
-                pa.array(np.bincount(doc, np.log10(c[i] + 1), p.rows)),
-                pa.array(np.bincount(text, lp, p.rows)),
-                lists(signed(p.hashes[rare]), np.searchsorted(doc[rare], np.arange(p.rows + 1))),
-            ],
-            names=["doc_id", "held_out", "rid", "words", "known", "log_c", "score", "rare"],
+            [*(texts.column(x).slice(p.row, p.rows) for x in ("doc_id", "held_out")), pa.array((np.diff(p.begin) + 1).astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(np.full(p.rows, m.n)), pa.array(sums[1]), pa.array(sums[2])],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         ))
     return pa.concat_tables(out)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(key, rid, c) with all of a key in one partition: counts (rid -1) meet words; summed for each rid."""
-    got = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches]
-    if got:
-        key, rid, x = (np.concatenate([g[i] for g in got]) for i in range(3))
-        counted = rid < 0
-        order = np.argsort(key[counted])
-        known, count = key[counted][order], x[counted][order]
-        key, rid = key[~counted], rid[~counted]
-        c = np.zeros(len(key))
-        if len(known):
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            c = np.where(known[at] == key, count[at], 0.0)
-        docs, inverse = np.unique(rid, return_inverse=True)
-        sums = [np.bincount(inverse, v, len(docs)) for v in (c > 0, np.log10(c + 1), shared.value.in_rare(c))]
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["rid", "known", "log_c", "score"])
-
-
 def score(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    d = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, mod) == held).alias("held_out"), F.monotonically_increasing_id().alias("rid"), text_of(text_col).alias("text"))
-    model, words = fit(d.where("NOT held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    d = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, mod) == held).alias("held_out"), text_of(text_col).alias("text"))
+    table, totals = fit(d.where("NOT held_out"))
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    blocks = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, int(size) // BLOCK)).cast("long"))
+    d = d.withColumn("block", blocks).repartition("block")  # one shuffle, read for the keys and for the scores
+    shared = screen(table.where("a IS NOT NULL OR b IS NOT NULL"))
+    asked = d.mapInArrow(lambda b: _asked(b, shared), "block long, key long")
+    found = asked.join(table.hint("merge"), "key")
     kind = dict(d.dtypes)["doc_id"]
-    table = written(states(d.where("NOT held_out"), words, model.n, model.texts, ALPHA).unionByName(model.uncommon(words), allowMissingColumns=True).groupBy("key").agg(*[F.max(x).alias(x) for x in "abc"]), "states")
-    # Blocks of texts meet the states that occur in them.
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, d.count() // BLOCK)).cast("long")))
-    keys = screen(table)
-    need = d.select("block", "text").mapInArrow(lambda b: needed(b, keys), "block long, key long").distinct()
-    found = need.join(table.hint("merge"), "key")
-    score_ = lambda texts, found: _score(shared.value, texts, found)
-    t = written(d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score_, f"doc_id {kind}, held_out boolean, rid long, words long, known long, log_c double, score double, rare array<long>"), "scored")
-    rows = t.select(F.explode("rare").alias("key"), "rid", F.lit(0).cast("long").alias("c"))
-    rows = rows.unionByName(words.select("key", F.lit(-1).cast("long").alias("rid"), "c"))
-    met = rows.repartition("key").mapInArrow(lambda b: _meet(b, shared), "rid long, known long, log_c double, score double")
-    met = met.groupBy("rid").agg(F.sum("known").alias("known2"), F.sum("log_c").alias("log_c2"), F.sum("score").alias("score2"))
-    out = t.drop("rare").join(met.hint("merge"), "rid", "left")
-    n = F.col("words") + 1
-    known = F.col("known") + F.coalesce("known2", F.lit(0)) + F.lit(int(model.texts > 0))
-    log_c = F.col("log_c") + F.coalesce("log_c2", F.lit(0.0)) + float(np.log10(model.texts + 1))
-    return out.select("doc_id", "held_out", n.alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (log_c - n * float(np.log10(model.n + model.v + 1))).alias("base_score"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
+    return d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda texts, found: _score(totals, texts, found), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
