@@ -42,3 +42,12 @@ def test_empty_and_null_id(docs):
     assert E.exact_dedup(E.in_batches(docs([]))).count() == 0
     got = {r.doc_id: r for r in E.exact_dedup(E.in_batches(docs([(None, "x"), (4, "x"), (None, "y")]))).where("text_sha256 is not null").collect()}
     assert got[4].kept and got[4].group_size == 2
+
+
+def test_filters_of_a_snapshot_are_kept(spark, docs, tmp_path):
+    rows = E.in_batches(docs(ROWS))
+    first = sorted(map(tuple, E.exact_dedup(rows, store=f"{tmp_path}/f").collect()))
+    kept = spark.read.parquet(f"{tmp_path}/f/snapshot-0")
+    before = sorted(bytes(r.prints) for r in kept.collect())
+    assert sorted(map(tuple, E.exact_dedup(rows, store=f"{tmp_path}/f").collect())) == first == brute(ROWS)
+    assert sorted(bytes(r.prints) for r in kept.collect()) == before

@@ -63,3 +63,20 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
         docs = spark.read.parquet(f"{sf}/{name.replace(' ', '')}")
     packed = C.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {i for i, _ in rows(docs)}
+
+
+def test_empty_documents_null_ids_and_long_texts(spark, tmp_path):
+    sf = str(tmp_path)
+    fixture(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in C.STAGES:
+        out = stage(spark, docs.limit(0), sf)
+        assert out.count() == 0, name
+    (good,) = [r.text for r in docs.where("doc_id = 1").limit(1).collect()]
+    rows = [(None, good, "en", "s", 3), (None, good + " more", "en", "s", 3), (None, None, None, None, None), (7, " ".join(f"w{i}" for i in range(60000)), "en", "s", 3), (8, "", "en", "s", 3)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    for name, stage in C.STAGES[1:]:
+        out = stage(spark, odd, sf)
+        assert out.count() >= (1 if name == "best-fit packing" else 3), name
+    assert C.drop_copies(spark, odd, sf).count() == 4  # null and empty text are copies
+    assert C.drop_near_copies(spark, odd, sf).count() == 4  # the two near copies without ids

@@ -45,3 +45,17 @@ def test_round_trip_through_shards(spark, tmp_path):
     assert sorted(back) == sorted(want)
     assert [x.tolist() for x in T.read_shards(f"{tmp_path}/out", 33, 16, 20)] == [x.tolist() for x in read[33:]]
     assert T.materialise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stored_sequences_keep_their_order(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string")
+    place = lambda d: {r.doc_id: r.slot for r in T.materialise(d, length=16, store=f"{tmp_path}/store").collect()}
+    first = place(d)
+    assert place(d.repartition(5, "text")) == first and sorted(first.values()) == list(range(40))
+
+
+def test_wide_records_and_growing_shards(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"text number {i}") for i in range(5)], "doc_id long, text string")
+    for r in T.materialise(d, length=16, wide=True).collect():
+        assert len(r.record) == 64 and zlib.crc32(bytes(r.record)[: 4 * r.n_tokens]) == r.ids_crc32
+    assert [T.shard_size(m) for m in (0, 1, T.SHARD << 16, (T.SHARD << 16) + 1)] == [T.SHARD, T.SHARD, T.SHARD, 2 * T.SHARD]

@@ -1,14 +1,17 @@
 """Training-order materialisation: token sequences in a keyed random order, in shards of fixed-stride records.
 
 Whole texts become token ids, an end id after each, cut into sequences of ``LENGTH`` ids. The table of sequences is
-written once and is what the order is defined over: its rows are numbered without gaps, and a keyed Feistel permutation
+written once and is what the order is defined over, so with ``store`` a later run finds it and has the same order: its
+rows are numbered without gaps, and a keyed Feistel permutation
 with cycle-walking (Black and Rogaway 2002) gives every number its slot in 0 .. M - 1, so no row is sorted and any slot
 can be computed again from key and number. Rows then go straight to the partition of their shard, a range of slots, and
 are ordered there. ``write_shards`` writes each shard as one file of equal records: slot s is at byte (s mod shard) *
-stride, so reading is sequential and may resume at any slot.
+stride, so reading is sequential and may resume at any slot. A shard grows with the number of records, so that there are
+65,536 shards at most.
 
 Edge cases: null counts as empty, and an empty text is the one end id; rows that repeat a doc_id and null ids are kept;
-an empty table gives no rows; other columns are ignored. Ids must fit 16 bits."""
+an empty table gives no rows; other columns are ignored. Records have 16-bit ids, or 32-bit ones if ``wide``; an id that
+doesn't fit is an error."""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import cut
-from .shared import read_table, text_of, written
+from .shared import exists, read_table, text_of, written
 from .tokens import default_path, encoder
 from .words import mix
 
@@ -51,38 +54,51 @@ def permute(i: np.ndarray, m: int, key: int, back: bool = False) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, seq, n_tokens, ids_crc32, ids), ids as little-endian 16-bit numbers."""
+def shard_size(m: int) -> int:
+    """Records in a shard, for m in all."""
+    return SHARD * max(1, -(-m // (SHARD << 16)))
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int, end: int, wide_ids: bool) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, seq, n_tokens, ids_crc32, ids), ids as little-endian numbers."""
     encode, last = encoder(path).encode, np.array([end], "<u4").tobytes()
     for batch in batches:
         rows, seq, n, crc, ids = [], [], [], [], []
         for i, text in enumerate(batch.column(1)):
             for k, (_, piece) in enumerate(cut(encode(text.as_py()) + last, length)):
                 wide = np.frombuffer(piece, "<u4")
-                if wide.max() > 65535:
+                if not wide_ids and wide.max() > 65535:
                     raise ValueError("token ids over 16 bits")
                 rows.append(i)
                 seq.append(k)
                 n.append(len(wide))
                 crc.append(zlib.crc32(piece))
-                ids.append(wide.astype("<u2").tobytes())
+                ids.append(piece if wide_ids else wide.astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(seq, pa.int32()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "seq", "n_tokens", "ids_crc32", "ids"])
 
 
-def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, key: int = KEY, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, key: int = KEY, shard: int | None = None, id_col: str = "doc_id", text_col: str = "text", store: str | None = None, wide: bool = False) -> DataFrame:
     """(doc_id, seq, n_tokens, ids_crc32, slot, shard, at, record): every sequence in its place, shards in partitions.
 
-    ``record`` has ``length`` 16-bit ids, the last sequence of a text filled up with the end id."""
-    path = path or default_path()
+    ``record`` has ``length`` ids, the last sequence of a text filled up with the end id. ``store`` is a folder for the
+    table of sequences, which is read if it is there."""
+    path, spark = path or default_path(), docs.sparkSession
     d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    t = d.mapInArrow(lambda b: _sequences(b, path, length, end), f"doc_id {kind}, seq int, n_tokens long, ids_crc32 long, ids binary")
-    t = written(t.withColumn("rid", F.monotonically_increasing_id()), "sequences")
+    t = d.mapInArrow(lambda b: _sequences(b, path, length, end, wide), f"doc_id {kind}, seq int, n_tokens long, ids_crc32 long, ids binary")
+    t = t.withColumn("rid", F.monotonically_increasing_id())
+    if store is None:
+        t = written(t, "sequences")
+    else:
+        if not exists(spark, f"{store}/_SUCCESS"):
+            t.write.parquet(store)
+        t = spark.read.schema(t.schema).parquet(store)
     sizes = t.groupBy(F.shiftright("rid", 33).alias("part")).agg(F.count("*").alias("n")).collect()  # a row for each partition
     parts = np.array(sorted((r["part"], r["n"]) for r in sizes), np.int64).reshape(-1, 2)
     first = np.cumsum(parts[:, 1]) - parts[:, 1]
     m = int(parts[:, 1].sum())
-    filler = np.array([end], "<u2").tobytes()
+    shard = shard or shard_size(m)
+    filler = np.array([end], "<u4" if wide else "<u2").tobytes()
 
     def place(batches):
         for batch in batches:
@@ -92,7 +108,7 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
 
     out = t.select("doc_id", "seq", "n_tokens", "ids_crc32", "ids", "rid").mapInArrow(place, f"doc_id {kind}, seq int, n_tokens long, ids_crc32 long, slot long, shard int, at int, ids binary")
     out = out.repartitionById(max(1, -(-m // shard)), F.col("shard")).sortWithinPartitions("slot")
-    full = F.rpad(F.col("ids"), length * 2, F.lit(filler))
+    full = F.rpad(F.col("ids"), length * len(filler), F.lit(filler))
     return out.select("doc_id", "seq", "n_tokens", "ids_crc32", "slot", "shard", "at", full.alias("record"))
 
 
