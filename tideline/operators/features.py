@@ -50,7 +50,7 @@ def task_features(tasks: DataFrame) -> DataFrame:
         "repeated_context_count": F.when(F.col("location_id").isNull(), F.count("*").over(similar)).otherwise(F.count("*").over(before("category", "location_id"))),
         "forgetting_streak": F.col("_rank") - F.coalesce(seen_other, F.lit(0)),
         "is_late_night": F.col("_h") >= LATE_HOUR,
-        "priority": F.coalesce(F.col("priority"), F.lit(3)),
+        "priority": F.coalesce(F.col("priority"), F.lit(3)) if "priority" in tasks.columns else F.lit(3),
         "task_location_pair": F.concat_ws("@", "category", F.coalesce(F.col("location_id").cast("string"), F.lit("UNKNOWN"))),
         "will_forget": lost.cast("int"),
     })
