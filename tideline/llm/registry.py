@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import alignment, decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, sharding, substring_dedup, suffix_tree, toxicity, training_order
+from . import alignment, decontaminate, exact_dedup, jaccard_join, packing, periodic_runs, quality, secrets, sharding, substring_dedup, suffix_tree, toxicity, training_order
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_training_order": training_order.op8_training_order,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_alignment": alignment.op12_alignment,
     "op13_minimax_shards": sharding.op13_minimax_shards,
 }
