@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BITS = 27  # 16 MB: what is broadcast has this bound at any size of the input
+BLOCK = 10  # words of a block that the executors pack, a power of two
 
 
 def bitmap(keys: DataFrame, key: str, max_bits: int = MAX_BITS):
@@ -20,10 +21,26 @@ def bitmap(keys: DataFrame, key: str, max_bits: int = MAX_BITS):
     bits = min(max_bits, max(13, math.ceil(math.log2(16 * n + 1))))
     slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     rows = keys.where(F.col(key).isNotNull()).groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("v"))
-    got = rows.toPandas()
-    words = np.zeros(1 << (bits - 6), np.int64)
-    words[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64)
-    return keys.sparkSession.sparkContext.broadcast((bits, words.view(np.uint64)))
+    blocks = rows.groupBy(F.shiftright("w", BLOCK).alias("at")).applyInArrow(_block, "at long, bits binary").toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    for at, block in zip(blocks["at"].to_pylist(), blocks["bits"]):
+        some = np.frombuffer(block.as_buffer(), np.uint64)
+        words[at << BLOCK : (at << BLOCK) + len(some)] = some[: len(words)]
+    return keys.sparkSession.sparkContext.broadcast((bits, words))
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """Words of one block, (w, v), to its place and bytes; the driver gets 16 MB of these at most."""
+    w, v = rows["w"].to_numpy(), rows["v"].to_numpy()
+    block = np.zeros(1 << BLOCK, np.int64)
+    block[w & ((1 << BLOCK) - 1)] = v
+    return pa.table({"at": w[:1] >> BLOCK, "bits": pa.array([block.tobytes()], pa.binary())})
+
+
+def done(*shared) -> None:
+    """Drop bitmaps whose users' results have been written."""
+    for b in shared:
+        b.destroy()
 
 
 def hit(shared: tuple[int, np.ndarray], hashed: np.ndarray) -> np.ndarray:

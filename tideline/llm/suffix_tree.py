@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmap import bitmap, hit, xxhash64_of
+from .bitmap import bitmap, done, hit, xxhash64_of
 from .shared import fold, read_table, text_of, written
 from .words import SPACED, Piece, mix, pieces, signed
 
@@ -160,6 +160,7 @@ def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
         return [g[1][_after(_seen(one, g[0])) & (k >= 1)]]
 
     pairs = written(common(_counts(texts, two)), "pairs")
+    done(*one)
     pair = screen(pairs)
 
     def longer(p):
@@ -167,7 +168,9 @@ def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
         three = _after(_seen(pair, g[1]) & (k >= 1)) & (k >= 2)
         return [g[2][three], g[3][_after(three) & (k >= 3)]]
 
-    return pairs.unionByName(written(common(_counts(texts, longer)), "grams"))
+    more = written(common(_counts(texts, longer)), "grams")
+    done(*pair)
+    return pairs.unionByName(more)
 
 
 def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int, alpha: float = ALPHA) -> DataFrame:
@@ -186,6 +189,7 @@ def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int, alpha: fl
     gain = c * F.log(c * pn / (n * pc))
     price = float(np.log(max(tokens, 2)))
     rows = written(rows.withColumn("gain", gain).where(2 * F.col("gain") > price), "followers")
+    done(*shared)
     sums = rows.groupBy("ctx").agg(F.sum("gain").alias("g"), F.sum("c").alias("kept"), F.sum("pc").alias("pkept"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     rest, prest = F.col("n") - F.col("kept"), F.col("pn") - F.col("pkept")
     g2 = 2 * (F.col("g") + F.when((rest > 0) & (prest > 0), rest * F.log(rest * F.col("pn") / (F.col("n") * prest))).otherwise(0.0))
