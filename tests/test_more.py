@@ -98,11 +98,11 @@ def test_recommendations_need_all_antecedents_or_none(spark):
     )
     visits = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"]), (3, ["x"]), (4, [])], "visit_id long, done array<string>")
     got = {}
-    for r in sorted(associate.recommend(rules, visits).collect(), key=lambda r: (r.visit_id, r.position)):
+    for r in sorted(associate.recommend(rules, visits, 0.0, 0.0, 0.0).collect(), key=lambda r: (r.visit_id, r.position)):
         got.setdefault(r.visit_id, []).append(r.task)
     assert {k: got[k] for k in (1, 3, 4)} == {1: ["c", "d", "e", "a2"], 3: ["e", "c"], 4: ["e", "c"]}
     assert got[2][:3] == ["d", "e", "c"] and set(got[2][3:]) == {"a2", "b"}
-    few = associate.recommend(rules, visits, top=1).where("visit_id = 1").collect()
+    few = associate.recommend(rules, visits, 0.0, 0.0, 0.0, top=1).where("visit_id = 1").collect()
     assert [r.task for r in few] == ["c"]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
+from ..sources.tables import stored
 
 
 def baskets(rows: DataFrame, keys: list[str], item: str, least: int = 2) -> DataFrame:
@@ -21,20 +22,57 @@ def itemsets(items: DataFrame, support: float) -> DataFrame:
     return FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(items.select("items")).freqItemsets.select(F.array_sort("items").alias("itemset"), "freq")
 
 
-def rules(sets: DataFrame, n: int, confidence: float, lift: float = 0.0) -> DataFrame:
-    """Every antecedent and consequent of each itemset of any size, with the usual measures; conviction is null where
-    confidence is 1. Subsets are bit masks, exploded by their high and then their low bits, so that no array of masks
-    is long."""
+def context_itemsets(rows: DataFrame, support: float) -> DataFrame:
+    """(context, itemset, freq, n) of all sizes with ``support`` among their context's n baskets, from (basket_id, context,
+    item) rows; contexts of one basket have none, rows without a context are left out.
+
+    Items that are rare in their context are left out first; the others carry their context, so one run of FP-growth
+    mines many contexts. It has one least count, so contexts are taken together whose least counts are within twice each
+    other: at most one run for every doubling of a context's size."""
+    rows = rows.where(F.col("context").isNotNull())
+    n = rows.groupBy("context").agg(F.count_distinct("basket_id").alias("n")).where("n >= 2")
+    n = n.withColumn("least", F.greatest(F.ceil(F.round(F.col("n") * support, 9)), F.lit(1))).withColumn("band", F.floor(F.log2("least")).cast("int"))
+    item = rows.groupBy("context", "item").agg(F.count_distinct("basket_id").alias("f")).join(n, "context").where(F.col("f") >= F.col("least"))
+    name = F.concat(F.length("context").cast("string"), F.lit(":"), "context", "item")  # read back by its length
+    kept = rows.join(item.select("context", "item", "band"), ["context", "item"]).groupBy("band", "context", "basket_id").agg(F.collect_set(name).alias("items"))
+    kept, bands = stored(kept, "context-baskets"), {r["band"]: r["least"] for r in n.groupBy("band").agg(F.min("least").alias("least")).collect()}  # a row for each doubling
+    parts = []
+    for band, least in sorted(bands.items()):
+        baskets_ = kept.where(F.col("band") == band).select("items")
+        total = baskets_.count()
+        if total:
+            parts.append(FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / total), minConfidence=0.0).fit(baskets_).freqItemsets)
+    if not parts:
+        kinds = dict(rows.dtypes)
+        return rows.sparkSession.createDataFrame([], f"context {kinds['context']}, itemset array<{kinds['item']}>, freq long, n long")
+    size = lambda x: F.substring_index(x, ":", 1)
+    rest = lambda x: F.substr(x, F.length(size(x)) + 2)
+    d = reduce(DataFrame.unionByName, parts).withColumn("context", F.left(rest(F.col("items")[0]), size(F.col("items")[0]).cast("int")))
+    d = d.select("context", F.array_sort(F.transform("items", lambda x: F.substr(rest(x), size(x).cast("int") + 1))).alias("itemset"), "freq")
+    return d.join(n, "context").where(F.col("freq") >= F.col("least")).select("context", "itemset", "freq", "n")
+
+
+def context_rules(rows: DataFrame, support: float = 0.1, confidence: float = 0.3, lift: float = 1.0) -> DataFrame:
+    """Rules of every size within each context: (context, antecedents, consequents, support, confidence, lift, leverage,
+    conviction), the measures being those of the context's baskets."""
+    return rules(stored(context_itemsets(rows, support), "context-itemsets"), F.col("n"), confidence, lift, "context").drop("n")
+
+
+def rules(sets: DataFrame, n: int | Column, confidence: float, lift: float = 0.0, *scope: str) -> DataFrame:
+    """Every antecedent and consequent of each itemset of any size, with the usual measures, over ``n`` baskets, a number
+    or a column of ``sets`` that is the same within a scope; conviction is null where confidence is 1. Subsets are bit
+    masks, exploded by their high and then their low bits, so that no array of masks is long."""
+    n = F.lit(n) if isinstance(n, int) else n
     bits, low = F.size("itemset"), F.least(F.size("itemset"), F.lit(12))
     upto = lambda k: F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("long") - 1)
     wide = sets.where(bits >= 2).withColumn("hi", F.explode(upto(bits - low))).withColumn("lo", F.explode(upto(low)))
     masks = wide.withColumn("m", F.col("hi") * 4096 + F.col("lo")).where((F.col("m") > 0) & (F.col("m") < F.pow(F.lit(2), bits).cast("long") - 1))
     pick = lambda want: F.filter("itemset", lambda x, i: F.call_function("getbit", F.col("m"), i) == want)
-    d = masks.select(pick(1).alias("antecedents"), pick(0).alias("consequents"), "freq")
-    a = sets.select(F.col("itemset").alias("antecedents"), F.col("freq").alias("fa"))
-    c = sets.select(F.col("itemset").alias("consequents"), F.col("freq").alias("fc"))
-    d = d.join(a, "antecedents").join(c, "consequents")
-    return _measures(d, F.lit(n)).where((F.col("confidence") >= confidence) & (F.col("lift") >= lift))
+    d = masks.select(*scope, pick(1).alias("antecedents"), pick(0).alias("consequents"), "freq", n.alias("n"))
+    a = sets.select(*scope, F.col("itemset").alias("antecedents"), F.col("freq").alias("fa"))
+    c = sets.select(*scope, F.col("itemset").alias("consequents"), F.col("freq").alias("fc"))
+    d = d.join(a, [*scope, "antecedents"]).join(c, [*scope, "consequents"])
+    return _measures(d, F.col("n")).drop("n").where((F.col("confidence") >= confidence) & (F.col("lift") >= lift))
 
 
 def _measures(d: DataFrame, n: Column) -> DataFrame:
@@ -62,11 +100,16 @@ def pair_rules(rows: DataFrame, support: float, confidence: float, *scope: str)
     return _measures(d, F.col("n")).drop("n").where((F.col("support") >= support) & (F.col("confidence") >= confidence))
 
 
-def popularity_rules(rows: DataFrame) -> DataFrame:
-    """Rules without antecedent: support as confidence, lift 1."""
-    n = rows.agg(F.count_distinct("basket_id").alias("n"))
-    d = rows.groupBy("item").agg(F.count("*").alias("f")).crossJoin(F.broadcast(n))  # one row
-    return d.select(F.col("item").alias("consequent"), r6(F.col("f") / F.col("n")).alias("support"), r6(F.col("f") / F.col("n")).alias("confidence"), F.lit(1.0).alias("lift"))
+def popularity_rules(rows: DataFrame, *scope: str, support: float = 0.0, confidence: float = 0.0, lift: float = 0.0, weights: DataFrame | None = None) -> DataFrame:
+    """Rules without antecedent, within each scope of two baskets or more: support as confidence, lift 1; items that miss
+    a threshold have none. With ``weights`` (consequent, weight), also the weighted confidence."""
+    n = rows.groupBy(*scope).agg(F.count_distinct("basket_id").alias("n"))
+    items = rows.groupBy(*scope, "item").agg(F.count("*").alias("f"))
+    d = items.join(n.where("n >= 2"), list(scope)) if scope else items.crossJoin(F.broadcast(n))  # one row
+    share = F.col("f") / F.col("n")
+    d = d.where((share >= max(support, confidence)) & (F.lit(1.0) >= lift))
+    d = d.select(*scope, F.col("item").alias("consequent"), r6(share).alias("support"), r6(share).alias("confidence"), F.lit(1.0).alias("lift"))
+    return d if weights is None else weighted_confidence(d, weights, "consequent")
 
 
 def acceptance_weights(feedback: DataFrame, *keys: str) -> DataFrame:
@@ -82,35 +125,59 @@ def weighted_confidence(found: DataFrame, weights: DataFrame, *keys: str) -> Dat
 
 def general_rules(popular: DataFrame) -> DataFrame:
     """Popularity rules in the form of mined ones: an empty antecedent, which every visit satisfies."""
-    return popular.select(F.array().cast("array<string>").alias("antecedents"), F.array("consequent").alias("consequents"), "support", "confidence", "lift")
+    more = [c for c in ("context", "weighted_confidence") if c in popular.columns]
+    return popular.select(F.array().cast("array<string>").alias("antecedents"), F.array("consequent").alias("consequents"), "support", "confidence", "lift", *more)
 
 
-def recommend(found: DataFrame, visits: DataFrame, confidence: float = 0.0, support: float = 0.0, lift: float = 0.0, top: int = 5) -> DataFrame:
+def recommend(found: DataFrame, visits: DataFrame, confidence: float = 0.5, support: float = 0.05, lift: float = 1.0, top: int = 5, hidden: DataFrame | None = None) -> DataFrame:
     """Per visit (visit_id, done array): rules (antecedents, consequents, support, confidence, lift, weighted_confidence)
     all of whose antecedents are done, or that have none, and whose consequent isn't; the best rule of each task by lift
-    and weighted confidence, then the best tasks.
-
-    A rule meets visits through its rarest antecedent only, so a common task doesn't fan out. Rules without antecedents,
-    one for each item at most, are one sorted list; a visit takes as many of them as could reach its best ``top``: another
-    rule may lower the place of no more tasks than have one."""
+    and weighted confidence, without ``hidden`` tasks (visit_id, task), then the best tasks. Where rules and visits have a
+    ``context``, only rules of the visit's own count.
+
+    A rule meets visits through its rarest antecedent only, so a common task doesn't fan out. Rules without antecedents
+    are read in the order of the ranking, as a threshold algorithm would: a done or hidden task, or one with another rule,
+    can cost a visit one place each, so a visit stops after ``top`` more than it has of these, and each context's list is
+    cut where the longest visit stops."""
+    scope = ["context"] if "context" in found.columns and "context" in visits.columns else []
     ok = found.where((F.col("confidence") >= confidence) & (F.col("support") >= support) & (F.col("lift") >= lift))
-    ok = ok.withColumn("rid", F.xxhash64("antecedents", "consequents")).withColumn("w", F.coalesce("weighted_confidence", "confidence"))
-    one = visits.select("visit_id", "done", F.explode("done").alias("item"))
-    seen = one.groupBy("item").agg(F.count("*").alias("n"))
-    rarest = ok.select("rid", F.explode("antecedents").alias("item")).join(seen, "item", "left").groupBy("rid").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"))
-    met = one.join(ok.join(rarest, "rid"), "item").where(F.size(F.array_except("antecedents", "done")) == 0)
+    ok = ok.withColumn("rid", F.xxhash64(*scope, "antecedents", "consequents")).withColumn("w", F.coalesce("weighted_confidence", "confidence"))
+    one = visits.select("visit_id", *scope, "done", F.explode("done").alias("item"))
+    seen = one.groupBy(*scope, "item").agg(F.count("*").alias("n"))
+    rarest = ok.select("rid", *scope, F.explode("antecedents").alias("item")).join(seen, [*scope, "item"], "left").groupBy("rid").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"))
+    met = one.join(ok.join(rarest, "rid"), [*scope, "item"]).where(F.size(F.array_except("antecedents", "done")) == 0)
     columns = ["visit_id", "antecedents", "task", "lift", "w", "support"]
     met = met.select("visit_id", "done", "antecedents", "lift", "w", "support", F.explode("consequents").alias("task")).where(~F.array_contains("done", F.col("task"))).select(*columns)
-    bare = ok.where(F.size("antecedents") == 0).select("antecedents", "lift", "w", "support", F.explode("consequents").alias("task"))
-    listed = bare.groupBy("antecedents").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("nw"), (-F.col("lift")).alias("nl"), (-F.col("support")).alias("ns"), "task"))).alias("bare"))
-    others = met.groupBy("visit_id").agg(F.count_distinct("task").cast("int").alias("m"))
-    all_ = visits.join(others, "visit_id", "left").join(F.broadcast(listed))  # one row
-    open_ = F.slice(F.filter("bare", lambda x: ~F.array_contains("done", x["task"])), F.lit(1), F.coalesce("m", F.lit(0)) + top)
-    free = all_.select("visit_id", "antecedents", F.explode(open_).alias("x")).select("visit_id", "antecedents", F.col("x.task").alias("task"), (-F.col("x.nl")).alias("lift"), (-F.col("x.nw")).alias("w"), (-F.col("x.ns")).alias("support"))
-    best = Window.partitionBy("visit_id", "task").orderBy(F.desc("lift"), F.desc("w"), F.array_join("antecedents", ","))
-    d = met.unionByName(free.select(*columns)).withColumn("_b", F.row_number().over(best)).where("_b = 1")
-    order = Window.partitionBy("visit_id").orderBy(F.desc("w"), F.desc("lift"), F.desc("support"), "task")
-    return d.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).select("visit_id", "task", "antecedents", "lift", F.col("w").alias("weighted_confidence"), "position")
+    rank = Window.partitionBy("visit_id", "task").orderBy(F.desc("lift"), F.desc("w"), F.array_join("antecedents", ","))
+    met = stored(met.withColumn("_b", F.row_number().over(rank)).where("_b = 1").select(*columns), "met")
+    need = visits.select("visit_id", *scope, "done").join(met.groupBy("visit_id").agg(F.count("*").cast("int").alias("m")), "visit_id", "left")
+    if hidden is not None:
+        hidden = stored(hidden.select("visit_id", "task").distinct(), "hidden")
+        need = need.join(hidden.groupBy("visit_id").agg(F.count("*").cast("int").alias("h")), "visit_id", "left")
+    need = need.withColumn("stop", F.coalesce("m", F.lit(0)) + (F.lit(0) if hidden is None else F.coalesce("h", F.lit(0))) + top)
+    most = need.agg(F.max(F.col("stop") + F.size("done"))).first()[0] or 0
+    bare = ok.where(F.size("antecedents") == 0).select(*scope, "lift", "w", "support", F.explode("consequents").alias("task"))
+    order = [F.desc("w"), F.desc("lift"), F.desc("support"), "task"]
+    # A literal bound, so that each task keeps its first ``most`` rows of a context before the shuffle.
+    listed = bare.withColumn("at", F.row_number().over(Window.partitionBy(*(scope or [F.lit(0)])).orderBy(*order))).where(F.col("at") <= most)
+    listed = listed.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("at", "task", "w", "lift", "support"))).alias("bare"))
+    all_ = need.join(listed, scope) if scope else need.crossJoin(F.broadcast(listed))  # one row of at most ``most``
+    open_ = F.slice(F.filter("bare", lambda x: ~F.array_contains("done", x["task"])), F.lit(1), F.col("stop"))
+    free = all_.select("visit_id", F.array().cast(dict(ok.dtypes)["antecedents"]).alias("antecedents"), F.explode(open_).alias("x")).select("visit_id", "antecedents", *[F.col(f"x.{c}").alias(c) for c in columns[2:]])
+    d = met.unionByName(free).withColumn("_b", F.row_number().over(rank)).where("_b = 1")
+    d = d if hidden is None else d.join(hidden, ["visit_id", "task"], "left_anti")
+    d = d.withColumn("position", F.row_number().over(Window.partitionBy("visit_id").orderBy(*order)))
+    return d.where(F.col("position") <= top).select("visit_id", "task", "antecedents", "lift", F.col("w").alias("weighted_confidence"), "position")
+
+
+def hidden_tasks(visits: DataFrame, marks: DataFrame, cooldown_s: int = 3600) -> DataFrame:
+    """(visit_id, task): tasks that a show or dismissal (user_id, context, task, t in seconds) hides from a visit
+    (visit_id, user_id, context, t): those marked within the cooldown before it. As both kinds of mark last equally long,
+    the latest decides, whichever it is. Visits meet marks of their own and the previous stretch of one cooldown."""
+    at = lambda c: F.floor(F.col(c) / cooldown_s)
+    v = visits.select("visit_id", "user_id", "context", F.col("t").alias("now"), F.explode(F.array(at("t"), at("t") - 1)).alias("stretch"))
+    m = marks.select("user_id", "context", "task", "t", at("t").alias("stretch")).distinct()
+    return v.join(m, ["user_id", "context", "stretch"]).where((F.col("t") <= F.col("now")) & (F.col("now") < F.col("t") + cooldown_s)).select("visit_id", "task").distinct()
 
 
 def suppressed(shown: DataFrame, cooldown_s: int = 3600) -> DataFrame:
@@ -134,28 +201,31 @@ def prioritise(recs: DataFrame, risk: DataFrame) -> DataFrame:
 
 
 def detect(predictions: DataFrame, context: DataFrame, associations: DataFrame) -> DataFrame:
-    """Detectors over three tables: (user_id, insight, priority, minutes, confidence, subject)."""
+    """Detectors over three tables: (user_id, insight, type, priority, minutes, confidence, frequency, subject). A task at
+    high risk is of the same type as one that is often forgotten; ``frequency`` is the count that is the evidence of
+    forgetting or switching."""
 
-    def out(df: DataFrame, name: str, subject: Column, priority: Column, minutes: Column = None, confidence: Column = None) -> DataFrame:
-        none = F.lit(None).cast("double")
-        return df.select("user_id", F.lit(name).alias("insight"), priority.alias("priority"), (none if minutes is None else minutes).alias("minutes"), (none if confidence is None else confidence).alias("confidence"), subject.cast("string").alias("subject"))
+    def out(df: DataFrame, name: str, subject: Column, priority: Column, minutes: Column = None, confidence: Column = None, frequency: Column = None, kind: str = None) -> DataFrame:
+        number = lambda c, n: (F.lit(None) if c is None else c).cast("double").alias(n)
+        return df.select("user_id", F.lit(name).alias("insight"), F.lit(kind or name).alias("type"), priority.alias("priority"), number(minutes, "minutes"), number(confidence, "confidence"), number(frequency, "frequency"), subject.cast("string").alias("subject"))
 
+    p, switches = F.col("probability"), F.col("switches")
     return reduce(DataFrame.unionByName, [
-        out(predictions.where("forgotten >= 3"), "frequent_forgetting", F.col("task_id"), F.when(F.col("forgotten") >= 5, "HIGH").otherwise("MEDIUM"), None, F.col("probability")),
-        out(predictions.where("probability >= 0.75 OR risk_level = 'HIGH'"), "high_risk", F.col("task_id"), F.lit("HIGH"), None, F.col("probability")),
-        out(context.where("switches >= 5"), "context_switching", F.col("user_id"), F.when(F.col("switches") >= 10, "HIGH").otherwise("MEDIUM"), F.col("recovery_minutes")),
-        out(context.where("interruption_minutes >= 15"), "interruptions", F.col("user_id"), F.lit("MEDIUM"), F.col("interruption_minutes")),
+        out(predictions.where("forgotten >= 3"), "frequent_forgetting", F.col("task_id"), F.when(p >= 0.75, "HIGH").when(p >= 0.5, "MEDIUM").otherwise("LOW"), None, p, F.col("forgotten")),
+        out(predictions.where("probability >= 0.75 OR risk_level = 'HIGH'"), "high_risk", F.col("task_id"), F.lit("HIGH"), None, p, None, "frequent_forgetting"),
+        out(context.where("switches >= 5"), "context_switching", F.col("user_id"), F.when(switches >= 10, "HIGH").otherwise("MEDIUM"), F.col("recovery_minutes"), None, switches),
+        out(context.where("interruption_minutes >= 15"), "interruptions", F.col("user_id"), F.lit("HIGH"), F.col("interruption_minutes")),
         out(context.where("affected_category IS NOT NULL"), "affected_category", F.col("affected_category"), F.lit("MEDIUM")),
-        out(associations.where("confidence >= 0.7 AND lift >= 1.2"), "association", F.col("task_id"), F.lit("LOW"), None, F.col("confidence")),
+        out(associations.where("confidence >= 0.7 AND lift >= 1.2"), "association", F.col("task_id"), F.lit("MEDIUM"), None, F.col("confidence")),
     ])
 
 
 def rank_insights(found: DataFrame) -> DataFrame:
-    """0.25 minutes / 60 + 0.25 confidence (0.5 unknown) + 0.3 frequency / 10 + 0.1 repeated type + 0.05 or 0.1 by
-    priority; bands at 0.66 and 0.33, HIGH never below MEDIUM."""
-    same = F.count("*").over(Window.partitionBy("user_id", "insight"))
-    one = F.lit(1.0)
-    score = 0.3 * F.least(one, same / 10) + 0.25 * F.least(one, F.coalesce(F.col("minutes"), F.lit(0.0)) / 60) + 0.25 * F.coalesce("confidence", F.lit(0.5)) + F.when(same > 1, 0.1).otherwise(0.0) + 0.05 + 0.05 * F.when(F.col("priority") == "HIGH", 1.0).otherwise(0.5)
+    """0.25 minutes / 60 + 0.25 confidence (0.5 unknown) + 0.3 frequency / 10 (0 unknown) + 0.1 repeated type + 0.05 or
+    0.1 by priority; bands at 0.66 and 0.33, HIGH never below MEDIUM."""
+    same = F.count("*").over(Window.partitionBy("user_id", "type"))
+    one, none = F.lit(1.0), F.lit(0.0)
+    score = 0.3 * F.least(one, F.coalesce("frequency", none) / 10) + 0.25 * F.least(one, F.coalesce("minutes", none) / 60) + 0.25 * F.coalesce("confidence", F.lit(0.5)) + F.when(same > 1, 0.1).otherwise(0.0) + 0.05 + 0.05 * F.when(F.col("priority") == "HIGH", 1.0).otherwise(0.5)
     d = found.withColumn("score", r6(score))
     band = F.when(F.col("score") >= 0.66, "HIGH").when((F.col("score") >= 0.33) | (F.col("priority") == "HIGH"), "MEDIUM").otherwise("LOW")
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "insight", "subject")

@@ -17,13 +17,19 @@ from .stats import quantiles
 
 
 def frequency_patterns(sessions: DataFrame, least: int = 5, z: float = 1.0) -> DataFrame:
-    """(category, context) whose mean interruption rate stands out of the population of such means."""
-    rate = F.when(F.col("session_duration_seconds") > 0, F.col("num_interruptions") / F.col("session_duration_seconds"))
-    g = sessions.groupBy("task_category", "context").agg(F.avg(rate).alias("rate"), F.count("*").alias("n")).where(F.col("n") >= least)
-    p = g.agg(F.avg("rate").alias("m"), F.stddev_pop("rate").alias("s"))
-    score = (F.col("rate") - F.col("m")) / F.when(F.col("s") == 0, 1e-9).otherwise(F.col("s"))
-    d = g.crossJoin(F.broadcast(p)).withColumn("z", score).where(F.col("z") >= z)  # one row
-    return d.select("task_category", "context", "n", r6(F.col("z")).alias("z"), r6(F.least(F.greatest(F.col("z") / 4, F.lit(0.0)), F.lit(1.0))).alias("confidence"))
+    """(kind, category, context) of at least ``least`` sessions whose mean rate of interruptions or of switches a second
+    stands out of all sessions' mean by ``z`` of their standard deviations; a session without duration has the rate 0."""
+    seconds = F.col("session_duration_seconds")
+    rate = lambda c: F.when(seconds > 0, F.col(c) / seconds).otherwise(0.0)
+    rated = sessions.select("task_category", "context", rate("num_interruptions").alias("interruption"), rate("num_context_switches").alias("switch"))
+    both = F.stack(F.lit(2), F.lit("interruption"), "interruption", F.lit("switch"), "switch").alias("kind", "rate")
+    rated = rated.select("task_category", "context", both)
+    g = rated.where("task_category IS NOT NULL AND context IS NOT NULL").groupBy("kind", "task_category", "context").agg(F.avg("rate").alias("rate"), F.count("*").alias("n")).where(F.col("n") >= least)
+    p = rated.groupBy("kind").agg(F.avg("rate").alias("population"), F.stddev_pop("rate").alias("s"))  # two rows
+    score = (F.col("rate") - F.col("population")) / F.when(F.col("s") == 0, 1e-9).otherwise(F.col("s"))
+    d = g.join(F.broadcast(p), "kind").withColumn("z", score).where(F.col("z") >= z)
+    confidence = F.least(F.greatest(F.col("z") / 4, F.lit(0.0)), F.lit(1.0))
+    return d.select("kind", "task_category", "context", "n", *[r6(F.col(c)).alias(c) for c in ("rate", "population", "z")], r6(confidence).alias("confidence"))
 
 
 def resume_delay_pattern(sessions: DataFrame, short_s: float = 30.0) -> DataFrame:

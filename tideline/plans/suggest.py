@@ -54,7 +54,35 @@ def _rules(s, sf, pairs):
 
 def recommended(s, sf, pairs=True):
     done = associate.baskets(_B(s, sf), ["basket_id"], "item", 2).select(F.col("basket_id").alias("visit_id"), F.col("items").alias("done"))
-    return associate.recommend(tables.stored(_rules(s, sf, pairs), "rules"), done).withColumn("antecedents", F.array_join("antecedents", ","))
+    return associate.recommend(tables.stored(_rules(s, sf, pairs), "rules"), done, 0.0, 0.0, 0.0).withColumn("antecedents", F.array_join("antecedents", ","))
+
+
+HIDE_S = 400 * 86_400  # a customer's orders are months apart
+
+
+def _recommended_in_context(s, sf):
+    """Recommendations for every visit by its context's rules, without what the user was shown or dismissed there in the
+    time before: the items of earlier visits with an even number."""
+    rows = tables.stored(view(s, sf, "visits"), "visits")
+    pairs = associate.pair_rules(rows, 0.05, 0.5, "context")
+    found = pairs.select("context", F.array("antecedent").alias("antecedents"), F.array("consequent").alias("consequents"), "support", "confidence", "lift")
+    found = found.unionByName(associate.general_rules(associate.popularity_rules(rows, "context", support=0.05, confidence=0.5, lift=1.0)))
+    found = tables.stored(found.withColumn("weighted_confidence", F.col("confidence")), "rules")
+    visits = tables.stored(rows.groupBy("basket_id", "user_id", "context", "t").agg(F.array_sort(F.collect_set("item")).alias("done")).withColumnRenamed("basket_id", "visit_id"), "done")
+    marks = rows.where("basket_id % 2 = 0").select("user_id", "context", F.col("item").alias("task"), (F.col("t") + 1).alias("t"))
+    hidden = associate.hidden_tasks(visits, marks, HIDE_S)
+    return associate.recommend(found, visits.select("visit_id", "context", "done"), hidden=hidden).withColumn("antecedents", F.array_join("antecedents", ","))
+
+
+def _context_rules(s, sf):
+    """Rules of every size by context; items are five kinds, so that baskets of three and more are common."""
+    d = associate.context_rules(view(s, sf, "visits").select("basket_id", "context", "item"), 0.1, 0.3, 1.0)
+    return d.select("context", F.array_join("antecedents", ",").alias("a"), F.array_join("consequents", ",").alias("c"), "support", "confidence", "lift", "leverage", "conviction")
+
+
+def _popular(s, sf):
+    w = associate.acceptance_weights(_feedback(s, sf), "antecedent").withColumnRenamed("antecedent", "consequent")
+    return associate.popularity_rules(_B(s, sf), "context", support=0.15, confidence=0.15, lift=1.0, weights=w)
 
 
 def _shown(s, sf):
@@ -104,7 +132,7 @@ def all_patterns(s, sf):
     out = lambda d, kind, subject, value: d.select(F.lit(kind).alias("kind"), subject.alias("subject"), value.cast("double").alias("value"))
     of = F.concat_ws(":", *[F.col(c).cast("string") for c in ("user_id", "task_id", "seq")])
     return patterns.all_patterns(
-        out(patterns.frequency_patterns(ctx), "frequency", F.concat_ws("@", F.col("task_category").cast("string"), F.col("context").cast("string")), F.col("confidence")),
+        out(patterns.frequency_patterns(ctx), "frequency", F.concat_ws("@", "kind", F.col("task_category").cast("string"), F.col("context").cast("string")), F.col("confidence")),
         out(patterns.resume_delay_pattern(ctx, 36_000), "resume_delay", of, F.col("avg_delay")),
         out(patterns.clusters(ctx), "cluster", F.col("cluster").cast("string"), F.col("share")),
         out(patterns.anomalies(ctx), "anomaly", of, F.col("score")),
@@ -202,11 +230,14 @@ QUERIES = {
     "a1_baskets": lambda s, sf: associate.baskets(_B(s, sf), ["basket_id", "context"], "item"),
     "a3_rules": mined,
     "a4_popularity": lambda s, sf: associate.popularity_rules(_B(s, sf)),
+    "a4_popularity_in_context": _popular,
     "a5_rules_by_context": _scoped,
+    "a5_context_rules": _context_rules,
     "a6_pair_rules": _pairs,
     "a7_acceptance": lambda s, sf: associate.acceptance_weights(_feedback(s, sf), "antecedent"),
     "a8_weighted_confidence": _weighted,
     "g1_recommend": recommended,
+    "g1_recommend_in_context": _recommended_in_context,
     "g1_recommend_itemsets": lambda s, sf: recommended(s, sf, False),
     "g2_cooldown": lambda s, sf: associate.suppressed(_shown(s, sf)).select("id", "hidden"),
     "g3_prioritise": prioritised,
@@ -222,6 +253,7 @@ QUERIES = {
     "g11_follow_up": lambda s, sf: associate.follow_up_tasks(_stats(s, sf)),
     "g12_faithful_numbers": faithful,
     "p1_frequency": lambda s, sf: patterns.frequency_patterns(_ctx(s, sf)),
+    "p1_frequency_low": lambda s, sf: patterns.frequency_patterns(_ctx(s, sf), z=0.05),
     "p2_resume_delay": lambda s, sf: patterns.resume_delay_pattern(_ctx(s, sf), 36_000),
     "p2_resume_delay_30s": lambda s, sf: patterns.resume_delay_pattern(_ctx(s, sf)),
     "p6_all_patterns": all_patterns,
@@ -243,16 +275,16 @@ QUERIES = {
 }
 
 
-def _rules_sql(scope):
+def _rules_sql(scope, support=SUPPORT, confidence=CONFIDENCE):
     k, p = (f"{scope}, ", f"PARTITION BY {scope}") if scope else ("", "")
     on = f"i.{scope} = n.{scope}" if scope else "true"
     using = f"{scope}, " if scope else ""
     return f"""n AS (SELECT {k}count(DISTINCT basket_id) AS n FROM baskets {'GROUP BY ' + scope + ' HAVING count(DISTINCT basket_id) >= 2' if scope else ''}),
- it AS (SELECT i.*, n.n FROM (SELECT {k}item, count(*) AS f FROM baskets GROUP BY ALL) i JOIN n ON {on} WHERE f >= {SUPPORT} * n.n),
+ it AS (SELECT i.*, n.n FROM (SELECT {k}item, count(*) AS f FROM baskets GROUP BY ALL) i JOIN n ON {on} WHERE f >= {support} * n.n),
  pr AS (SELECT {'a.' + scope + ', ' if scope else ''}a.item AS antecedent, b.item AS consequent, count(*) AS freq FROM baskets a JOIN baskets b ON a.basket_id = b.basket_id AND a.item <> b.item GROUP BY ALL),
  m AS (SELECT pr.*, x.f AS fa, y.f AS fc, x.n FROM pr JOIN it x ON pr.antecedent = x.item {f'AND pr.{scope} = x.{scope}' if scope else ''} JOIN it y ON pr.consequent = y.item {f'AND pr.{scope} = y.{scope}' if scope else ''}),
  ru AS (SELECT {k}antecedent, consequent, round(freq / n::DOUBLE, 6) AS support, round(freq / fa::DOUBLE, 6) AS confidence, round(freq / fa::DOUBLE / (fc / n::DOUBLE), 6) AS lift, round(freq / n::DOUBLE - fa / n::DOUBLE * (fc / n::DOUBLE), 6) AS leverage, CASE WHEN freq < fa THEN round((1 - fc / n::DOUBLE) / (1 - freq / fa::DOUBLE), 6) END AS conviction FROM m),
- rules AS (SELECT * FROM ru WHERE support >= {SUPPORT} AND confidence >= {CONFIDENCE})"""
+ rules AS (SELECT * FROM ru WHERE support >= {support} AND confidence >= {confidence})"""
 
 
 _FB = "fb AS (SELECT o_orderkey AS fid, o_custkey % 500 AS rec_id, 'Brand#' || (o_custkey % 25 + 1) AS antecedent, CASE o_orderstatus WHEN 'F' THEN 'ACCEPTED' WHEN 'O' THEN 'DISMISSED' ELSE 'DEFERRED' END AS action, o_orderdate AS at FROM orders)"
@@ -262,18 +294,27 @@ _PRED = "pd AS (SELECT user_id, task_id, count(*) FILTER (event_type = 'forgotte
 _CX = f"""{BASE}, {_PRED}, sc AS (SELECT ms.user_id, p_type AS category, sum(context_switch_count) AS k FROM ms JOIN part ON p_partkey = task_id % 200 + 1 GROUP BY ALL HAVING sum(context_switch_count) > 0), mc AS (SELECT user_id, arg_max(category, (k, category)) AS affected_category FROM sc GROUP BY user_id),
  cx AS (SELECT user_id, switches, interruption_s / 60.0 AS im, switches * 5.0 AS rm, affected_category FROM base LEFT JOIN mc USING (user_id)), lk AS (SELECT user_id, task_id % 5 AS context, task_id AS task, round(n / 30.0, 6)::DOUBLE AS confidence FROM pd), rk AS (SELECT user_id, task_id AS task, least(probability, 1.0) AS probability FROM pd WHERE task_id % 3 > 0)"""
 _DET = f"""{_CX}, det AS (
- SELECT user_id, 'frequent_forgetting' AS insight, CASE WHEN forgotten >= 5 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, CAST(NULL AS DOUBLE) AS minutes, probability AS confidence, CAST(task_id AS VARCHAR) AS subject FROM pd WHERE forgotten >= 3
- UNION ALL SELECT user_id, 'high_risk', 'HIGH', NULL, probability, CAST(task_id AS VARCHAR) FROM pd WHERE probability >= 0.75 OR risk_level = 'HIGH'
- UNION ALL SELECT user_id, 'affected_category', 'MEDIUM', NULL, NULL, affected_category FROM cx WHERE affected_category IS NOT NULL
- UNION ALL SELECT user_id, 'context_switching', CASE WHEN switches >= 10 THEN 'HIGH' ELSE 'MEDIUM' END, CAST(rm AS DOUBLE), NULL, CAST(user_id AS VARCHAR) FROM cx WHERE switches >= 5
- UNION ALL SELECT user_id, 'interruptions', 'MEDIUM', CAST(im AS DOUBLE), NULL, CAST(user_id AS VARCHAR) FROM cx WHERE im >= 15
- UNION ALL SELECT user_id, 'association', 'LOW', NULL, round(n / 30.0, 6), CAST(task_id AS VARCHAR) FROM pd WHERE round(n / 30.0, 6) >= 0.7 AND task_id % 3 >= 1.2)"""
-_RANKED = f"""{_DET}, k AS (SELECT *, count(*) OVER (PARTITION BY user_id, insight) AS c FROM det), scr AS (SELECT *, round(0.3 * least(1, c / 10.0) + 0.25 * least(1, coalesce(minutes, 0) / 60) + 0.25 * coalesce(confidence, 0.5) + CASE WHEN c > 1 THEN 0.1 ELSE 0 END + 0.05 + 0.05 * CASE WHEN priority = 'HIGH' THEN 1.0 ELSE 0.5 END, 6) AS score FROM k), rkd AS (SELECT user_id, insight, subject, priority, score, CASE WHEN score >= 0.66 THEN 'HIGH' WHEN score >= 0.33 OR priority = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS band, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, insight, subject) AS INT) AS position FROM scr)"""
+ SELECT user_id, 'frequent_forgetting' AS insight, 'frequent_forgetting' AS type, CASE WHEN probability >= 0.75 THEN 'HIGH' WHEN probability >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS priority, CAST(NULL AS DOUBLE) AS minutes, probability AS confidence, CAST(forgotten AS DOUBLE) AS frequency, CAST(task_id AS VARCHAR) AS subject FROM pd WHERE forgotten >= 3
+ UNION ALL SELECT user_id, 'high_risk', 'frequent_forgetting', 'HIGH', NULL, probability, NULL, CAST(task_id AS VARCHAR) FROM pd WHERE probability >= 0.75 OR risk_level = 'HIGH'
+ UNION ALL SELECT user_id, 'affected_category', 'affected_category', 'MEDIUM', NULL, NULL, NULL, affected_category FROM cx WHERE affected_category IS NOT NULL
+ UNION ALL SELECT user_id, 'context_switching', 'context_switching', CASE WHEN switches >= 10 THEN 'HIGH' ELSE 'MEDIUM' END, CAST(rm AS DOUBLE), NULL, CAST(switches AS DOUBLE), CAST(user_id AS VARCHAR) FROM cx WHERE switches >= 5
+ UNION ALL SELECT user_id, 'interruptions', 'interruptions', 'HIGH', CAST(im AS DOUBLE), NULL, NULL, CAST(user_id AS VARCHAR) FROM cx WHERE im >= 15
+ UNION ALL SELECT user_id, 'association', 'association', 'MEDIUM', NULL, round(n / 30.0, 6), NULL, CAST(task_id AS VARCHAR) FROM pd WHERE round(n / 30.0, 6) >= 0.7 AND task_id % 3 >= 1.2)"""
+_RANKED = f"""{_DET}, k AS (SELECT *, count(*) OVER (PARTITION BY user_id, type) AS c FROM det), scr AS (SELECT *, round(0.3 * least(1, coalesce(frequency, 0) / 10.0) + 0.25 * least(1, coalesce(minutes, 0) / 60) + 0.25 * coalesce(confidence, 0.5) + CASE WHEN c > 1 THEN 0.1 ELSE 0 END + 0.05 + 0.05 * CASE WHEN priority = 'HIGH' THEN 1.0 ELSE 0.5 END, 6) AS score FROM k), rkd AS (SELECT user_id, insight, subject, priority, score, CASE WHEN score >= 0.66 THEN 'HIGH' WHEN score >= 0.33 OR priority = 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS band, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, insight, subject) AS INT) AS position FROM scr)"""
 _FST = "fs AS (SELECT r.rec_id, TIMESTAMP '2024-01-01' AS at, count(*) FILTER (action = 'ACCEPTED') AS accepted, count(*) FILTER (action = 'DISMISSED') AS dismissed, count(*) FILTER (action = 'DEFERRED') AS deferred, CASE arg_max(action, (fb.at, fid)) WHEN 'ACCEPTED' THEN 'accepted' WHEN 'DISMISSED' THEN 'dismissed' ELSE 'open' END AS status FROM (SELECT DISTINCT o_custkey % 600 AS rec_id FROM orders) r LEFT JOIN fb ON r.rec_id = fb.rec_id GROUP BY r.rec_id)"
+#: Itemsets as sorted lists, grown by one later item, which is exact as an itemset's parts are as frequent as it is at least.
+_ALL_SIZES = with_views("""WITH RECURSIVE n AS (SELECT context, count(DISTINCT basket_id) AS n FROM visits GROUP BY context HAVING count(DISTINCT basket_id) >= 2),
+  occ AS (SELECT context, basket_id, [item] AS s, item AS last FROM visits UNION ALL SELECT o.context, o.basket_id, list_append(o.s, v.item), v.item FROM occ o JOIN visits v ON v.basket_id = o.basket_id AND v.item > o.last),
+  st AS (SELECT context, s, count(*) AS f, n FROM occ JOIN n USING (context) GROUP BY context, s, n HAVING count(*) >= 0.1 * n),
+  m AS (SELECT a.context, a.s AS a, c.s AS c, w.f AS freq, a.f AS fa, c.f AS fc, a.n FROM st a JOIN st c ON a.context = c.context AND NOT list_has_any(a.s, c.s) JOIN st w ON w.context = a.context AND w.s = list_sort(list_concat(a.s, c.s))),
+  r AS (SELECT context, array_to_string(a, ',') AS a, array_to_string(c, ',') AS c, round(freq / n::DOUBLE, 6) AS support, round(freq / fa::DOUBLE, 6) AS confidence, round(freq / fa::DOUBLE / (fc / n::DOUBLE), 6) AS lift, round(freq / n::DOUBLE - fa / n::DOUBLE * (fc / n::DOUBLE), 6) AS leverage, CASE WHEN freq < fa THEN round((1 - fc / n::DOUBLE) / (1 - freq / fa::DOUBLE), 6) END AS conviction FROM m)
+  SELECT * FROM r WHERE confidence >= 0.3 AND lift >= 1.0""", "visits")
 SQL = {
     "a1_baskets": with_views("SELECT basket_id, context, list_sort(list(item)) AS items FROM baskets GROUP BY ALL HAVING count(*) >= 2", "baskets"),
     "a2_pair_itemsets": with_views(f"WITH n AS (SELECT count(DISTINCT basket_id) AS n FROM baskets) SELECT item AS itemset, count(*) AS freq FROM baskets GROUP BY item HAVING count(*) >= {SUPPORT} * (SELECT n FROM n) UNION ALL SELECT a.item || ',' || b.item, count(*) FROM baskets a JOIN baskets b ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY ALL HAVING count(*) >= {SUPPORT} * (SELECT n FROM n)", "baskets"),
     "a4_popularity": with_views("SELECT item AS consequent, round(count(*) / (SELECT count(DISTINCT basket_id) FROM baskets)::DOUBLE, 6) AS support, round(count(*) / (SELECT count(DISTINCT basket_id) FROM baskets)::DOUBLE, 6) AS confidence, 1.0::DOUBLE AS lift FROM baskets GROUP BY item", "baskets"),
+    "a4_popularity_in_context": with_views(f"WITH {_FB}, {_W}, n AS (SELECT context, count(DISTINCT basket_id) AS n FROM baskets GROUP BY context), p AS (SELECT context, item AS consequent, round(count(*) / any_value(n)::DOUBLE, 6) AS support FROM baskets JOIN n USING (context) WHERE n >= 2 GROUP BY ALL HAVING count(*) >= 0.15 * any_value(n)) SELECT context, consequent, support, support AS confidence, 1.0::DOUBLE AS lift, round(support * least(greatest(coalesce(weight, 1), 1), 5), 6) AS weighted_confidence FROM p LEFT JOIN aw ON antecedent = consequent", "baskets"),
+    "a5_context_rules": _ALL_SIZES,
     "a5_rules_by_context": with_views(f"WITH {_rules_sql('context')} SELECT * FROM rules", "baskets"),
     "a6_pair_rules": with_views(f"WITH {_rules_sql('')} SELECT * FROM rules", "baskets"),
     "a7_acceptance": f"WITH {_FB}, {_W} SELECT * FROM aw",
@@ -282,6 +323,14 @@ SQL = {
       c AS (SELECT v.basket_id AS visit_id, consequent AS task, antecedent AS antecedents, lift, weighted_confidence, support FROM baskets b JOIN v USING (basket_id) JOIN wr ON b.item = antecedent WHERE NOT list_contains(done, consequent) UNION ALL SELECT basket_id, item, '', 1.0, round(f / n::DOUBLE, 6), round(f / n::DOUBLE, 6) FROM v, pop, nb WHERE NOT list_contains(done, item)),
       d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY visit_id, task ORDER BY lift DESC, weighted_confidence DESC, antecedents) = 1)
       SELECT * FROM (SELECT visit_id, task, antecedents, lift, weighted_confidence, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY weighted_confidence DESC, lift DESC, support DESC, task) AS INT) AS position FROM d) WHERE position <= 5""", "baskets"),
+    "g1_recommend_in_context": with_views(f"""WITH baskets AS (SELECT basket_id, context, item FROM visits), {_rules_sql('context', 0.05, 0.5)}, nb AS (SELECT context, count(DISTINCT basket_id) AS n FROM visits GROUP BY context),
+      pop AS (SELECT context, item AS consequent, round(count(*) / any_value(n)::DOUBLE, 6) AS support FROM visits JOIN nb USING (context) WHERE n >= 2 GROUP BY ALL HAVING count(*) >= 0.5 * any_value(n)),
+      v AS (SELECT basket_id, user_id, context, t, list(item) AS done FROM visits GROUP BY ALL),
+      c AS (SELECT v.basket_id AS visit_id, consequent AS task, antecedent AS antecedents, lift, confidence AS w, support FROM visits b JOIN v USING (basket_id) JOIN rules r ON b.item = antecedent AND r.context = v.context WHERE lift >= 1 AND NOT list_contains(done, consequent)
+        UNION ALL SELECT basket_id, consequent, '', 1.0, support, support FROM v JOIN pop USING (context) WHERE NOT list_contains(done, consequent)),
+      d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY visit_id, task ORDER BY lift DESC, w DESC, antecedents) = 1),
+      h AS (SELECT DISTINCT v.basket_id AS visit_id, m.item AS task FROM v JOIN visits m ON m.basket_id % 2 = 0 AND m.user_id = v.user_id AND m.context = v.context AND m.t + 1 <= v.t AND v.t < m.t + 1 + {HIDE_S})
+      SELECT * FROM (SELECT visit_id, task, antecedents, lift, w AS weighted_confidence, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY w DESC, lift DESC, support DESC, task) AS INT) AS position FROM d ANTI JOIN h USING (visit_id, task)) WHERE position <= 5""", "visits"),
     "g2_cooldown": with_views("WITH s AS (SELECT id, user_id, task_id, epoch_us(event_time) // 1000000 AS t, id % 5 = 0 AS x FROM task_events WHERE event_type IN ('resumed', 'paused')), k AS (SELECT *, (SELECT max((b.t, b.id)) FROM s b WHERE b.x AND b.user_id = s.user_id AND b.task_id = s.task_id AND (b.t, b.id) < (s.t, s.id)) AS last FROM s) SELECT id, coalesce(t < (SELECT max(b.t) + 3600 FROM s b WHERE b.user_id = k.user_id AND b.task_id = k.task_id AND (b.t, b.id) < (k.t, k.id) AND (k.last IS NULL OR (b.t, b.id) >= k.last)), false) AS hidden FROM k", "task_events"),
     "g3_prioritise": with_views(f"WITH {_PRED} SELECT user_id, task_id, round(n / 40.0, 6)::DOUBLE AS confidence, CASE WHEN task_id % 3 > 0 THEN round(probability, 4) END AS risk, round(CASE WHEN task_id % 3 > 0 THEN 0.5 * round(n / 40.0, 6)::DOUBLE + 0.5 * round(probability, 4) ELSE round(n / 40.0, 6)::DOUBLE END, 6) AS priority FROM pd", "task_events"),
     "g4_detectors": with_views(f"WITH {_DET} SELECT * FROM det", "task_events", "interruptions"),
@@ -299,7 +348,9 @@ SQL = {
     "g10_feedback": f"WITH {_FB}, {_FST} SELECT * FROM fs",
     "g11_follow_up": f"WITH {_FB}, {_FST} SELECT rec_id, sha256('follow-up|' || rec_id)[1:12] AS task_id, fs.\"at\" + INTERVAL 24 HOUR AS deadline_at FROM fs WHERE status = 'accepted'",
     "g12_faithful_numbers": r"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '\d+(?:\.\d+)?'), lambda x: TRY_CAST(x AS DOUBLE)) AS v, [turn::DOUBLE, conv_id::DOUBLE, 0.5] AS p FROM conversations), b AS (SELECT conv_id, turn, CAST(len(list_filter(v, lambda x: x NOT IN (0, 1, 2) AND len(list_filter(p, lambda q: abs(x - q) <= 0.6 OR abs(x - q * 100) <= 0.6)) = 0)) AS INT) AS unfaithful FROM c) SELECT conv_id, turn, coalesce(unfaithful, 0) AS unfaithful, coalesce(unfaithful, 0) = 0 AS faithful FROM b""",
-    "p1_frequency": with_views(f"WITH {CTX}, fg AS (SELECT task_category, context, avg(num_interruptions / nullif(session_duration_seconds, 0)) AS rate, count(*) AS n FROM cs GROUP BY ALL HAVING count(*) >= 5), z AS (SELECT *, (rate - avg(rate) OVER ()) / stddev_pop(rate) OVER () AS z FROM fg) SELECT task_category, context, n, round(z, 6) AS z, round(least(greatest(z / 4, 0), 1), 6) AS confidence FROM z WHERE z >= 1", "context_events"),
+    **{f"p1_frequency{suffix}": with_views(f"""WITH {CTX}, rt AS (SELECT task_category, context, unnest(['interruption', 'switch']) AS kind, unnest([coalesce(num_interruptions / nullif(session_duration_seconds, 0), 0), coalesce(num_context_switches / nullif(session_duration_seconds, 0), 0)]) AS rate FROM cs),
+      po AS (SELECT kind, avg(rate) AS population, stddev_pop(rate) AS s FROM rt GROUP BY kind), fg AS (SELECT kind, task_category, context, avg(rate) AS rate, count(*) AS n FROM rt WHERE task_category IS NOT NULL AND context IS NOT NULL GROUP BY ALL HAVING count(*) >= 5), zz AS (SELECT fg.*, population, (rate - population) / CASE WHEN s = 0 THEN 1e-9 ELSE s END AS zs FROM fg JOIN po USING (kind))
+      SELECT kind, task_category, context, n, round(rate, 6) AS rate, round(population, 6) AS population, round(zs, 6) AS z, round(least(greatest(zs / 4, 0), 1), 6) AS confidence FROM zz WHERE zs >= {z}""", "context_events") for suffix, z in (("", 1.0), ("_low", 0.05))},
     **{f"p2_resume_delay{suffix}": with_views(f"WITH {CTX}, s AS (SELECT *, list_filter(interruption_durations_seconds, lambda x: x <= {short}) AS sh FROM cs) SELECT user_id, task_id, seq, round(list_avg(resume_delays_seconds), 6) AS avg_delay, round(list_avg(sh), 6) AS avg_short FROM s WHERE num_interruptions >= 2 AND len(sh) >= 1 AND len(resume_delays_seconds) >= 1 AND list_avg(resume_delays_seconds) >= 2 * list_avg(sh)", "context_events") for suffix, short in (("", 36000), ("_30s", 30))},
     "k1_read_since": "SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
     "k2_read_interruptions": with_views("SELECT id, user_id, start_time, coalesce(duration_seconds, 0) AS duration_seconds FROM interruptions WHERE start_time >= TIMESTAMP '2024-01-10'", "interruptions"),

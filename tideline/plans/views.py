@@ -45,6 +45,7 @@ def bodies(d: dict[str, str]) -> dict[str, tuple[list[str], str]]:
             {created} AS c, CASE WHEN o_orderkey % 8 <> 0 THEN {created} + (o_orderkey % 48) * {HOUR} END AS s
             FROM {{orders}} AS o LEFT JOIN (SELECT l_orderkey, min(p_type) AS category FROM {{lineitem}} AS l JOIN {{part}} AS p ON l_partkey = p_partkey GROUP BY l_orderkey) AS x ON o_orderkey = l_orderkey) AS t"""),
         "locations": (["region"], "SELECT r_regionkey AS id, r_name AS label, CASE r_regionkey WHEN 0 THEN 'HOME' WHEN 1 THEN 'WORK' WHEN 2 THEN 'GYM' WHEN 3 THEN 'COMMUTE' ELSE 'STUDY' END AS location_type FROM {region}"),
+        "visits": (["lineitem", "part", "orders"], f"SELECT DISTINCT l_orderkey AS basket_id, o_custkey AS user_id, {us('o_orderdate')} // 1000000 AS t, o_orderpriority AS context, concat('kind ', p_size % 5) AS item FROM {{lineitem}} AS l JOIN {{part}} AS p ON l_partkey = p_partkey JOIN {{orders}} AS o ON l_orderkey = o_orderkey" if d is DUCK else f"SELECT DISTINCT l_orderkey AS basket_id, o_custkey AS user_id, {us('o_orderdate')} DIV 1000000 AS t, o_orderpriority AS context, concat('kind ', p_size % 5) AS item FROM {{lineitem}} AS l JOIN {{part}} AS p ON l_partkey = p_partkey JOIN {{orders}} AS o ON l_orderkey = o_orderkey"),
         "baskets": (["lineitem", "part", "orders"], "SELECT DISTINCT l_orderkey AS basket_id, o_orderpriority AS context, p_brand AS item FROM {lineitem} AS l JOIN {part} AS p ON l_partkey = p_partkey JOIN {orders} AS o ON l_orderkey = o_orderkey"),
     }
 
@@ -58,4 +59,6 @@ def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL with the named views in front."""
     parts = [f"{n} AS ({body.format(**{t: t for t in tables})})" for n in names for tables, body in [bodies(DUCK)[n]]]
     sql = sql.strip()
+    if sql.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + sql[15:]
     return "WITH " + ", ".join(parts) + (", " + sql[5:] if sql[:5].upper() == "WITH " else " " + sql)
