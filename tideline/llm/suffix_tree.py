@@ -38,7 +38,7 @@ ALPHA = 2.0  # weight of the suffix state's distribution, in tokens
 ENDED = U64(0xA24BAED4963EE407)  # stands for the end of a text
 STEP = 2 << 20
 BLOCK = 24 << 20  # bytes of text in a block, about
-HELD = 1 << 22  # keys that a task collects before it sends them
+HELD = 1 << 20  # keys that a task collects before it sends them
 _OTHER = 0x5851F42D4C957F2D
 
 
