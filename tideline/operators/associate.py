@@ -180,17 +180,18 @@ def hidden_tasks(visits: DataFrame, marks: DataFrame, cooldown_s: int = 3600) ->
     return v.join(m, ["user_id", "context", "stretch"]).where((F.col("t") <= F.col("now")) & (F.col("now") < F.col("t") + cooldown_s)).select("visit_id", "task").distinct()
 
 
-def suppressed(shown: DataFrame, cooldown_s: int = 3600) -> DataFrame:
-    """Shows and dismissals of (user, task) in order: a show is hidden while an earlier row's cooldown lasts.
+def suppressed(shown: DataFrame, cooldown_s: int = 3600, dismiss_s: int | None = None) -> DataFrame:
+    """Shows and dismissals of (user, task), and of the ``context`` if there is one, in order: a show is hidden while an
+    earlier row's cooldown lasts, which is ``dismiss_s`` for a dismissal if that is given.
 
     A dismissal (``dismissed`` true) sets the end of the cooldown anew, a show only moves it later. So the end is that
     of the last dismissal or of any later show, whichever is latest."""
-    w = Window.partitionBy("user_id", "task_id").orderBy("t", "id")
+    w = Window.partitionBy("user_id", *(["context"] if "context" in shown.columns else []), "task_id").orderBy("t", "id")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     d = shown.withColumn("dismissed", F.coalesce("dismissed", F.lit(False))) if "dismissed" in shown.columns else shown.withColumn("dismissed", F.lit(False))
     d = d.withColumn("_since", F.coalesce(F.sum(F.col("dismissed").cast("int")).over(before), F.lit(0)))
     # The rows before this one from the last dismissal on, which has the largest number of dismissals up to itself.
-    own = F.struct((F.col("_since") + F.col("dismissed").cast("int")).alias("k"), (F.col("t") + cooldown_s).alias("until"))
+    own = F.struct((F.col("_since") + F.col("dismissed").cast("int")).alias("k"), (F.col("t") + F.when(F.col("dismissed"), cooldown_s if dismiss_s is None else dismiss_s).otherwise(cooldown_s)).alias("until"))
     last = F.max(own).over(before)
     return d.withColumn("hidden", F.coalesce(F.col("t") < last["until"], F.lit(False))).drop("_since")
 

@@ -10,7 +10,7 @@ from ..operators import associate, metrics, patterns, sessions
 from ..sources import tables
 from ..streaming import streams
 from .views import view, with_views
-from .work import BASE, CTX, DAILY, S, ST, _base, _ctx, _interruptions, _sessions, _status, _tasks_of_events
+from .work import BASE, CTX, DAILY, S, ST, _OPEN, _base, _ctx, _interruptions, _sessions, _status, _tasks_of_events
 
 SUPPORT, CONFIDENCE = 0.005, 0.02
 _B = lambda s, sf: view(s, sf, "baskets")
@@ -184,12 +184,36 @@ def _streamed_rows(spark, rows, op, mode="append"):
     return spark.read.schema(out.schema if mode == "append" else out.schema.add("_batch", "long")).parquet(f"{at}/out")
 
 
+def _ended(rows, stamp, **of):
+    """``rows`` and one far in the future, which moves the watermark past all others; ``of`` gives its columns, else null."""
+    end = rows.sparkSession.range(1).select(*[F.lit("2030-01-01" if c == stamp else of.get(c)).cast(t).alias(c) for c, t in rows.dtypes])
+    return rows.unionByName(end)
+
+
 def _visits(s, sf):
-    """Streamed visits; a last event far in the future closes the open ones and is left out."""
+    """Streamed visits; the last event closes the open ones and is left out."""
     e = view(s, sf, "context_events").select("user_id", "task_id", "context", "ts", "event_type")
-    end = s.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("task_id"), F.lit(-1).cast("long").alias("context"), F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit("COMPLETE").alias("event_type"))
-    both = e.unionByName(end.select(*[F.col(c).cast(t) for c, t in e.dtypes]))
-    return _streamed_rows(s, both.repartition(1, "event_type"), streams.visit_sessions).where("user_id >= 0").withColumn("tasks", F.array_sort("tasks"))
+    rows = _ended(e, "ts", user_id=-1, task_id=-1, context=-1, event_type="COMPLETE")
+    return _streamed_rows(s, rows, streams.visit_sessions).where("user_id >= 0").withColumn("tasks", F.array_sort("tasks"))
+
+
+def _streamed_sessions(s, sf, hold_ms=None):
+    rows = _ended(view(s, sf, "task_events").select(*EV), "event_time", id=-1, user_id=-1, task_id=-1, event_type="paused")
+    return _streamed_rows(s, rows, lambda d: streams.lifecycle_sessions(d, hold_ms=hold_ms))
+
+
+def _streamed_cooldown(s, sf):
+    rows = view(s, sf, "task_events").where("event_type IN ('resumed', 'paused')").select("id", "user_id", "task_id", "event_time", (F.col("id") % 5 == 0).alias("dismissed"))
+    return _streamed_rows(s, _ended(rows, "event_time", id=-1, user_id=-1, task_id=-1), streams.cooldown).where("id >= 0")
+
+
+def _metric_table(s, sf):
+    """Daily counts streamed into a metric table of a partition a day, and the table."""
+    at = f"{tables.shared_dir(s)}/metrics-{uuid.uuid4().hex}"
+    rows = view(s, sf, "task_events").select(*EV)
+    rows.write.parquet(f"{at}/in")
+    streams.daily_metrics(s.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/table", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema("user_id long, n long, day date").parquet(f"{at}/table")
 
 
 def _last(df, *keys):
@@ -267,9 +291,11 @@ QUERIES = {
     "k8_export": exported,
     "k4_labels": lambda s, sf: tables.location_labels(view(s, sf, "locations")),
     "x1_latest_status": lambda s, sf: _last(_streamed(s, sf, "task_events", EV, streams.latest_status, "update"), "task_id").select("task_id", "status", "started_at"),
-    "x2_sessions": lambda s, sf: _streamed(s, sf, "task_events", EV, lambda d: streams.lifecycle_sessions(d, hold_ms=30 * 86_400_000)),
+    "x2_sessions": lambda s, sf: _streamed_sessions(s, sf, 30 * 86_400_000),
+    "x2_sessions_30m": _streamed_sessions,
     "x3_visits": lambda s, sf: _visits(s, sf),
-    "x4_cooldown": lambda s, sf: _streamed(s, sf, "task_events", EV, lambda d: streams.cooldown(d.where("event_type IN ('resumed', 'paused')"))),
+    "x4_cooldown": _streamed_cooldown,
+    "k7_daily_metrics": _metric_table,
     "x5_dedup": lambda s, sf: _streamed(s, sf, "task_events", EV, lambda d: streams.dedup(d, ["user_id", "task_id", "event_type", "event_time"], "event_time")),
     "x6_daily_counts": lambda s, sf: _last(_streamed(s, sf, "task_events", EV, lambda d: streams.daily_counts(d, "event_time"), "update"), "user_id", "day"),
 }
@@ -309,6 +335,7 @@ _ALL_SIZES = with_views("""WITH RECURSIVE n AS (SELECT context, count(DISTINCT b
   m AS (SELECT a.context, a.s AS a, c.s AS c, w.f AS freq, a.f AS fa, c.f AS fc, a.n FROM st a JOIN st c ON a.context = c.context AND NOT list_has_any(a.s, c.s) JOIN st w ON w.context = a.context AND w.s = list_sort(list_concat(a.s, c.s))),
   r AS (SELECT context, array_to_string(a, ',') AS a, array_to_string(c, ',') AS c, round(freq / n::DOUBLE, 6) AS support, round(freq / fa::DOUBLE, 6) AS confidence, round(freq / fa::DOUBLE / (fc / n::DOUBLE), 6) AS lift, round(freq / n::DOUBLE - fa / n::DOUBLE * (fc / n::DOUBLE), 6) AS leverage, CASE WHEN freq < fa THEN round((1 - fc / n::DOUBLE) / (1 - freq / fa::DOUBLE), 6) END AS conviction FROM m)
   SELECT * FROM r WHERE confidence >= 0.3 AND lift >= 1.0""", "visits")
+_COOLDOWN = with_views("WITH s AS (SELECT id, user_id, task_id, epoch_us(event_time) // 1000000 AS t, id % 5 = 0 AS x FROM task_events WHERE event_type IN ('resumed', 'paused')), k AS (SELECT *, (SELECT max((b.t, b.id)) FROM s b WHERE b.x AND b.user_id = s.user_id AND b.task_id = s.task_id AND (b.t, b.id) < (s.t, s.id)) AS last FROM s) SELECT id, coalesce(t < (SELECT max(b.t) + 3600 FROM s b WHERE b.user_id = k.user_id AND b.task_id = k.task_id AND (b.t, b.id) < (k.t, k.id) AND (k.last IS NULL OR (b.t, b.id) >= k.last)), false) AS hidden FROM k", "task_events")
 SQL = {
     "a1_baskets": with_views("SELECT basket_id, context, list_sort(list(item)) AS items FROM baskets GROUP BY ALL HAVING count(*) >= 2", "baskets"),
     "a2_pair_itemsets": with_views(f"WITH n AS (SELECT count(DISTINCT basket_id) AS n FROM baskets) SELECT item AS itemset, count(*) AS freq FROM baskets GROUP BY item HAVING count(*) >= {SUPPORT} * (SELECT n FROM n) UNION ALL SELECT a.item || ',' || b.item, count(*) FROM baskets a JOIN baskets b ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY ALL HAVING count(*) >= {SUPPORT} * (SELECT n FROM n)", "baskets"),
@@ -331,7 +358,7 @@ SQL = {
       d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY visit_id, task ORDER BY lift DESC, w DESC, antecedents) = 1),
       h AS (SELECT DISTINCT v.basket_id AS visit_id, m.item AS task FROM v JOIN visits m ON m.basket_id % 2 = 0 AND m.user_id = v.user_id AND m.context = v.context AND m.t + 1 <= v.t AND v.t < m.t + 1 + {HIDE_S})
       SELECT * FROM (SELECT visit_id, task, antecedents, lift, w AS weighted_confidence, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY w DESC, lift DESC, support DESC, task) AS INT) AS position FROM d ANTI JOIN h USING (visit_id, task)) WHERE position <= 5""", "visits"),
-    "g2_cooldown": with_views("WITH s AS (SELECT id, user_id, task_id, epoch_us(event_time) // 1000000 AS t, id % 5 = 0 AS x FROM task_events WHERE event_type IN ('resumed', 'paused')), k AS (SELECT *, (SELECT max((b.t, b.id)) FROM s b WHERE b.x AND b.user_id = s.user_id AND b.task_id = s.task_id AND (b.t, b.id) < (s.t, s.id)) AS last FROM s) SELECT id, coalesce(t < (SELECT max(b.t) + 3600 FROM s b WHERE b.user_id = k.user_id AND b.task_id = k.task_id AND (b.t, b.id) < (k.t, k.id) AND (k.last IS NULL OR (b.t, b.id) >= k.last)), false) AS hidden FROM k", "task_events"),
+    "g2_cooldown": _COOLDOWN,
     "g3_prioritise": with_views(f"WITH {_PRED} SELECT user_id, task_id, round(n / 40.0, 6)::DOUBLE AS confidence, CASE WHEN task_id % 3 > 0 THEN round(probability, 4) END AS risk, round(CASE WHEN task_id % 3 > 0 THEN 0.5 * round(n / 40.0, 6)::DOUBLE + 0.5 * round(probability, 4) ELSE round(n / 40.0, 6)::DOUBLE END, 6) AS priority FROM pd", "task_events"),
     "g4_detectors": with_views(f"WITH {_DET} SELECT * FROM det", "task_events", "interruptions"),
     "g5_friction_trend": with_views(f"WITH {S}, {ST}, {DAILY}, fr AS (SELECT user_id, period_start, value, row_number() OVER (PARTITION BY user_id ORDER BY period_start) - 1 AS i FROM dl WHERE metric_name = 'friction_score'), g AS (SELECT user_id, count(*) AS points, arg_min(value, period_start) AS first, arg_max(value, period_start) AS last, round(regr_slope(value, i), 8) AS slope FROM fr GROUP BY user_id) SELECT user_id, CASE WHEN slope > 0 THEN 'increasing_friction' ELSE 'decreasing_friction' END AS insight, CASE WHEN slope > 0 THEN 'MEDIUM' ELSE 'LOW' END AS priority, first, last, slope, points FROM g WHERE points >= 2 AND slope <> 0", "task_events", "interruptions"),
@@ -362,8 +389,9 @@ SQL = {
       v AS (SELECT *, sum(nw) OVER (PARTITION BY user_id, context ORDER BY ts, id) AS visit FROM n) SELECT user_id, context, min(ts) AS visit_start, list_sort(list(DISTINCT task_id)) AS tasks FROM v GROUP BY user_id, context, visit""", "context_events"),
     "k4_labels": with_views("SELECT id, label FROM locations", "locations"),
     "x1_latest_status": with_views(f"WITH {ST} SELECT task_id, status, started_at FROM st", "task_events"),
-    "x2_sessions": with_views(f"WITH {S} SELECT session_id, user_id, task_id, session_start, session_end FROM ms JOIN (SELECT id, nx FROM n) ON id = session_id WHERE nx IS NOT NULL", "task_events", "interruptions"),
-    "x4_cooldown": with_views("WITH s AS (SELECT id, user_id, task_id, epoch_us(event_time) AS t FROM task_events WHERE event_type IN ('resumed', 'paused')) SELECT id, coalesce(t < max(t + 3600000000) OVER (PARTITION BY user_id, task_id ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hidden FROM s", "task_events"),
+    **{f"x2_sessions{suffix}": with_views(f"WITH {S} SELECT id AS session_id, user_id, task_id, event_time AS session_start, CASE WHEN nt <= event_time + INTERVAL {hold} THEN nt ELSE event_time + INTERVAL 30 MINUTE END AS session_end FROM n WHERE event_type IN {_OPEN} AND (nt IS NULL OR nt > event_time + INTERVAL {hold} OR nx NOT IN {_OPEN})", "task_events", "interruptions") for suffix, hold in (("", "720 HOUR"), ("_30m", "30 MINUTE"))},
+    "x4_cooldown": _COOLDOWN,
+    "k7_daily_metrics": with_views("SELECT user_id, CAST(event_time AS DATE) AS day, count(*) AS n FROM task_events GROUP BY ALL", "task_events"),
     "x5_dedup": with_views("SELECT id, user_id, task_id, event_type, event_time FROM task_events QUALIFY row_number() OVER (PARTITION BY user_id, task_id, event_type, event_time ORDER BY id) = 1", "task_events"),
     "x6_daily_counts": with_views("SELECT user_id, CAST(event_time AS DATE) AS day, count(*) AS n FROM task_events GROUP BY ALL", "task_events"),
 }

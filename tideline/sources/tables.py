@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import upsert
@@ -86,6 +86,37 @@ def upsert_metrics(new: DataFrame, path: str, target: str, keys: list[str], orde
     upsert(new.sparkSession.read.parquet(path), new, keys, order).write.mode("overwrite").parquet(target)
 
 
+def upsert_partitions(new: DataFrame, path: str, keys: list[str], partition: str, batch: int, target: str = "_batch") -> None:
+    """New rows of batch ``batch`` into the table at ``path``, partitioned by ``partition``: a row of a later batch replaces
+    those of its keys. Only the partitions that the rows fall into are read and rewritten, by dynamic overwrite; the files
+    of all others stay as they are. Each row carries its batch, and rows of a key that has this or a later batch change
+    nothing, so a batch that comes again, whole or after a failure half way, leaves the table as one run of it does."""
+    spark = new.sparkSession
+    new = stored(new.withColumn(target, F.lit(batch).cast("long")), "upsert")
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path)
+        days = [r[0] for r in new.select(partition).distinct().collect()]  # the partitions of one batch
+        of = F.col(partition).isin([d for d in days if d is not None]) | (F.col(partition).isNull() if None in days else F.lit(False))
+        both = old.where(of).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+        # An earlier run of this batch may have written some partitions, so its rows and those of later ones stay.
+        first = Window.partitionBy(*keys).orderBy(F.desc(target), "_new")
+        both = both.withColumn("_n", F.row_number().over(first))
+        changed = both.groupBy(partition).agg(F.max((F.col("_new") == 1) & (F.col("_n") == 1)).alias("_c")).where("_c")
+        both = stored(both, "upserted")  # the files that it reads are about to be replaced
+        changed = [r[0] for r in changed.collect()]
+        rows = both.where("_n = 1").where(F.col(partition).isin([d for d in changed if d is not None]) | (F.col(partition).isNull() if None in changed else F.lit(False))).drop("_n", "_new")
+        if not changed:
+            return
+    else:
+        rows = new
+    rows.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def export_dataset(features: DataFrame, path: str, label: str, key: str) -> None:
     """Features and labels of each split as Parquet, and the schema and a summary as JSON."""
     features.drop(label).write.mode("overwrite").partitionBy("split").parquet(f"{path}/features")

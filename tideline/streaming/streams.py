@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.vocabulary import CLOSING, IDLE_MINUTES, OPENING
+from ..sources.tables import upsert_partitions
 
 
 def dedup(events: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
@@ -29,91 +31,161 @@ def visit_sessions(events: DataFrame, gap: str = "60 minutes", late: str = "1 ho
     return w.select("user_id", "context", F.col("w.start").alias("visit_start"), "tasks")
 
 
-_SESSION = "session_id long, user_id long, task_id long, session_start timestamp, session_end timestamp"
+def _with_state(spark: SparkSession) -> None:
+    """Processors keep their state in RocksDB, the provider that they need; a session that has chosen one keeps it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(name, "HDFSBackedStateStoreProvider"):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def lifecycle_sessions(events: DataFrame, late: str = "1 hour", idle_minutes: int = IDLE_MINUTES, hold_ms: int | None = None) -> DataFrame:
-    """Sessions by task: an opening event waits in state for the next event; a closing one emits the session, another
-    opening replaces it, and when the watermark is ``hold_ms`` past it (the idle time, unless a longer pause is to be
-    waited for) the session ends after the idle time."""
-    wait = idle_minutes * 60_000
-    hold = wait if hold_ms is None else hold_ms
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = state.get if state.exists else None
-        rows = [pd.DataFrame({"id": [open_[0]], "user_id": [open_[1]], "t": [open_[2]], "event_type": ["started"]})] if open_ else []
-        columns = ["session_id", "user_id", "task_id", "session_start", "session_end"]
-        if state.hasTimedOut:
-            state.remove()
-            out = [(open_[0], open_[1], key[0], open_[2], open_[2] + wait * 1000)] if open_ else []
-            d = pd.DataFrame(out, columns=columns)
-        else:
-            new = pd.concat(list(batches)).sort_values(["event_time", "id"])
-            new["t"] = new["event_time"].to_numpy("datetime64[us]").astype("int64")
-            d = pd.concat([*rows, new[["id", "user_id", "t", "event_type"]]], ignore_index=True)
-            opens, closes = d["event_type"].isin(OPENING).to_numpy(), d["event_type"].isin(CLOSING).to_numpy()
-            known = d[opens | closes].reset_index(drop=True)
-            opens = known["event_type"].isin(OPENING).to_numpy()
-            done = opens[:-1] & ~opens[1:]
-            start, stop = known[:-1][done], known[1:][done]
-            d = pd.DataFrame({"session_id": start["id"].to_numpy(), "user_id": start["user_id"].to_numpy(), "task_id": key[0], "session_start": start["t"].to_numpy(), "session_end": stop["t"].to_numpy()}, columns=columns)
-            if len(known) and opens[-1]:
-                last = known.iloc[-1]
-                state.update((int(last["id"]), int(last["user_id"]), int(last["t"])))
-                state.setTimeoutTimestamp(max(int(last["t"]) // 1000 + hold, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        for c in ("session_start", "session_end"):
-            d[c] = pd.to_datetime(d[c], unit="us")
-        yield d
-
-    d = events.withWatermark("event_time", late).select("id", "user_id", "task_id", "event_type", "event_time")
-    return d.groupBy("task_id").applyInPandasWithState(step, _SESSION, "id long, user_id long, t long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def latest_status(events: DataFrame, late: str = "1 hour", keep_ms: int = 30 * 86_400_000) -> DataFrame:
-    """Per task the state of its last event by event time, whatever order events arrive in, and when it was first
-    started; a row for every change. The state of a task is dropped ``keep_ms`` of event time after its last event."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["task_id", "status", "status_at", "started_at"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        new = pd.concat(list(batches))
+class InOrder(StatefulProcessor):
+    """Rows of a key (id long, t microseconds, kind string), handed on in the order of t and id once the watermark has
+    passed them, in whatever order and batches they come. Timers of a key: the first row that waits, and what ``due`` asks
+    for. A subclass has the ``state`` it keeps, ``due(state)``, ``step(key, rows, state, now)`` and the ``columns`` it gives."""
+
+    columns: dict[str, str]  # and their kinds
+    state: str
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "id long, t long, kind string")
+        self.kept = handle.getValueState("kept", self.state)
+
+    def _wake(self, t: int, now_ms: int) -> None:
+        self.handle.registerTimer(max(-(-t // 1000), now_ms + 1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
         t = new["event_time"].to_numpy("datetime64[us]").astype("int64")
-        last = max(zip(t.tolist(), new["id"].tolist(), new["event_type"].tolist()))
-        first = t[(new["event_type"] == "started").to_numpy()]
-        first = int(first.min()) if len(first) else -1
-        if state.exists:
-            at, i, kind, begun = state.get
-            last = max(last, (at, i, kind))
-            first = begun if first < 0 else first if begun < 0 else min(first, begun)
-        state.update((last[0], last[1], last[2], first))
-        state.setTimeoutTimestamp(max(last[0] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], last[2], pd.Timestamp(last[0], unit="us"), pd.Timestamp(first, unit="us") if first >= 0 else pd.NaT)], columns=columns)
-
-    d = events.withWatermark("event_time", late).select("id", "task_id", "event_type", "event_time")
-    return d.groupBy("task_id").applyInPandasWithState(step, "task_id long, status string, status_at timestamp, started_at timestamp", "t long, id long, status string, started long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def cooldown(shown: DataFrame, cooldown_s: int = 3600, late: str = "1 hour") -> DataFrame:
-    """Shows of (user, task) with whether an earlier one, less than the cooldown back, hides them."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else -1
-        rows = []
-        if state.hasTimedOut:
-            state.remove()
+        self.waiting.appendList(list(zip(new["id"].tolist(), t.tolist(), new["kind"].tolist())))
+        self._wake(int(t.min()), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({c: pd.Series([], dtype=kind) for c, kind in self.columns.items()})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        now = now_ms * 1000
+        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["id", "t", "kind"])
+        later = rows[rows["t"] > now]
+        due = rows[rows["t"] <= now].sort_values(["t", "id"], ignore_index=True)
+        out, kept = self.step(key, due, self.kept.get() if self.kept.exists() else None, now)
+        if len(due):
+            self.waiting.put(list(later.itertuples(index=False, name=None))) if len(later) else self.waiting.clear()
+        if len(later):
+            self._wake(int(later["t"].min()), now_ms)
+        if kept is None:
+            self.kept.clear()
         else:
-            for r in pd.concat(list(batches)).sort_values(["event_time", "id"]).itertuples():
-                at = int(r.event_time.value // 1000)
-                rows.append((int(r.id), at < until))
-                until = max(until, at + cooldown_s * 1_000_000)
-            state.update((until,))
-            state.setTimeoutTimestamp(max(until // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["id", "hidden"])
-
-    d = shown.withWatermark("event_time", late).select("id", "user_id", "task_id", "event_time")
-    return d.groupBy("user_id", "task_id").applyInPandasWithState(step, "id long, hidden boolean", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+            self.kept.update(kept)
+            self._wake(self.due(kept), now_ms)
+        yield out[[*self.columns]].astype(self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+class _Sessions(InOrder):
+    columns = {"session_id": "int64", "user_id": "int64", "task_id": "int64", "session_start": "datetime64[us]", "session_end": "datetime64[us]"}
+    state = "id long, user_id long, t long"
+
+    def __init__(self, idle_us: int, hold_us: int):
+        self.idle, self.hold = idle_us, hold_us
+
+    def due(self, open_: tuple) -> int:
+        return open_[2] + self.hold
+
+    def step(self, key, rows, open_, now):
+        d = rows.assign(user_id=rows["kind"].str.partition("|")[0].astype("int64") if len(rows) else [], kind=rows["kind"].str.partition("|")[2] if len(rows) else [])
+        if open_:
+            d = pd.concat([pd.DataFrame({"id": [open_[0]], "user_id": [open_[1]], "t": [open_[2]], "kind": [OPENING[0]]}), d], ignore_index=True)
+        d = d[d["kind"].isin([*OPENING, *CLOSING])].reset_index(drop=True)
+        opens = d["kind"].isin(OPENING).to_numpy(bool)
+        until = d["t"].shift(-1)
+        closed = opens & (until <= d["t"] + self.hold).to_numpy() & ~np.append(opens[1:], False)
+        late = opens & ((until > d["t"] + self.hold) | (until.isna() & (d["t"] + self.hold <= now))).to_numpy()
+        out = d[closed | late].assign(task_id=key[0])
+        out = out.assign(session_id=out["id"], session_start=out["t"], session_end=np.where(closed[closed | late], until[closed | late], out["t"] + self.idle).astype("int64"))
+        last = d.iloc[-1] if len(d) and opens[-1] and not late[-1] else None
+        return out, None if last is None else (int(last["id"]), int(last["user_id"]), int(last["t"]))
+
+
+def lifecycle_sessions(events: DataFrame, late: str = "1 hour", idle_minutes: int = IDLE_MINUTES, hold_ms: int | None = None) -> DataFrame:
+    """Sessions by task: an opening event waits in state for the task's next event within ``hold_ms`` (the idle time, unless
+    a longer pause is to be waited for). A closing one ends the session, another opening replaces it; without either the
+    session ends after the idle time. Events are taken in their order once the watermark has passed them, so files may
+    come in any order within ``late``."""
+    idle = idle_minutes * 60_000
+    _with_state(events.sparkSession)
+    d = events.withWatermark("event_time", late).select("id", "task_id", F.concat_ws("|", "user_id", "event_type").alias("kind"), "event_time")
+    schema = "session_id long, user_id long, task_id long, session_start timestamp, session_end timestamp"
+    return d.groupBy("task_id").transformWithStateInPandas(_Sessions(idle * 1000, (idle if hold_ms is None else hold_ms) * 1000), schema, "append", "eventTime")
+
+
+class _Latest(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "t long, id long, status string, started long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        t = new["event_time"].to_numpy("datetime64[us]").astype("int64")
+        started = t[(new["event_type"] == "started").to_numpy()]
+        last = new.assign(t=t).sort_values(["t", "id"]).iloc[-1]
+        at = (int(last["t"]), int(last["id"]), last["event_type"])
+        first = int(started.min()) if len(started) else -1
+        if self.kept.exists():
+            *before, begun = self.kept.get()
+            at = max(at, tuple(before))
+            first = max(first, begun) if min(first, begun) < 0 else min(first, begun)
+        self.kept.update((*at, first))
+        yield pd.DataFrame({"task_id": [key[0]], "status": [at[2]], "status_at": [pd.Timestamp(at[0], unit="us")], "started_at": [pd.Timestamp(first, unit="us") if first >= 0 else pd.NaT]})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_status(events: DataFrame) -> DataFrame:
+    """Per task the state of its last event by event time, whatever order events arrive in, and when it was first started;
+    a row for every change. As the batch form, it remembers a task for good, in one row of state."""
+    _with_state(events.sparkSession)
+    d = events.select("id", "task_id", "event_type", "event_time")
+    return d.groupBy("task_id").transformWithStateInPandas(_Latest(), "task_id long, status string, status_at timestamp, started_at timestamp", "update", "none")
+
+
+class _Cooldown(InOrder):
+    columns = {"id": "int64", "hidden": "bool"}
+    state = "until long"
+
+    def __init__(self, shown_us: int, dismissed_us: int):
+        self.lasts = {"shown": shown_us, "dismissed": dismissed_us}
+
+    def due(self, kept: tuple) -> int:
+        return kept[0]
+
+    def step(self, key, rows, kept, now):
+        before = kept[0] if kept else -1
+        # A dismissal sets the end of the cooldown anew, a show moves it later: a running maximum from each dismissal on.
+        since = (rows["kind"] == "dismissed").cumsum()
+        own = rows["t"] + rows["kind"].map(self.lasts)
+        until = own.where((since > 0) | (own > before), before).groupby(since).cummax() if len(rows) else own
+        end = int(until.iloc[-1]) if len(rows) else before
+        out = rows.assign(hidden=rows["t"] < until.shift(1, fill_value=before) if len(rows) else [])
+        return out, (end,) if end > now else None
+
+
+def cooldown(shown: DataFrame, cooldown_s: int = 3600, dismiss_s: int | None = None, late: str = "1 hour") -> DataFrame:
+    """Shows and dismissals (``dismissed`` true, if there is such a column) of (user, task), and of the ``context`` if there
+    is one, with whether the cooldown of earlier ones hides them: the batch form's rule, in the order of events whatever
+    the order of files within ``late``."""
+    _with_state(shown.sparkSession)
+    keys = ["user_id", *(["context"] if "context" in shown.columns else []), "task_id"]
+    kind = F.when(F.col("dismissed"), "dismissed").otherwise("shown") if "dismissed" in shown.columns else F.lit("shown")
+    d = shown.withWatermark("event_time", late).select("id", *keys, kind.alias("kind"), "event_time")
+    lasts = (cooldown_s * 1_000_000, (cooldown_s if dismiss_s is None else dismiss_s) * 1_000_000)
+    return d.groupBy(*keys).transformWithStateInPandas(_Cooldown(*lasts), "id long, hidden boolean", "append", "eventTime")
+
+
+def daily_metrics(events: DataFrame, path: str, checkpoint: str, late: str = "1 day"):
+    """Start the stream of daily counts into the metric table at ``path``, a partition a day; each batch rewrites only the
+    days that it has (see ``upsert_partitions``)."""
+    counts = daily_counts(events, "event_time", late)
+    write = lambda rows, batch: upsert_partitions(rows, path, ["user_id", "day"], "day", batch)
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
