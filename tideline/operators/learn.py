@@ -14,31 +14,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
+from ..sources.tables import stored
 from .stats import quantiles
 
 
 def temporal_split(df: DataFrame, order: str, key: str, share: float = 0.8) -> DataFrame:
     """The first floor(n * share) dated rows by time and key are train, the rest test; rows without a time are
-    ``undated``.
-
-    The cut is found from counts by day, then by second of that day, then by instant of that second; only rows of the
-    cut's instant are ranked."""
-    t = F.unix_micros(F.col(order).cast("timestamp"))
-    d = df.withColumn("_t", t)
-    left = int(df.where(F.col(order).isNotNull()).count() * share)
-    low, size = None, None
-    for step in (86_400_000_000, 1_000_000, 1):
-        inside = d.where("_t IS NOT NULL") if low is None else d.where((F.col("_t") >= low) & (F.col("_t") < low + size))
-        n = inside.groupBy(F.floor(F.col("_t") / step).alias("u")).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy("u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a day, second or instant
-        at = n.withColumn("before", before).where(F.col("before") <= left).agg(F.max_by(F.struct("u", "before"), "u").alias("x")).first()["x"]
-        if at is None:
-            return df.withColumn("split", F.lit("undated"))
-        low, size, left = at["u"] * step, step, left - at["before"]
-    tied = d.where(F.col("_t") == low).select(key, F.row_number().over(Window.orderBy(key)).alias("_n")).where(F.col("_n") <= left).select(key, F.lit(True).alias("_tied"))
-    d = d.join(tied, key, "left")
-    train = (F.col("_t") < low) | ((F.col("_t") == low) & F.coalesce("_tied", F.lit(False)))
-    return d.withColumn("split", F.when(F.col("_t").isNull(), "undated").when(train, "train").otherwise("test")).drop("_t", "_tied")
+    ``undated``. Rows that agree in time and key are told apart by a hash of the whole row, so each row stays one.
+
+    Two reads find the cut: counts by day, then, for the cut's day, counts by instant and key, which are kept and summed by
+    second, instant and key. Only if the cut falls among rows of one time and key are these ranked."""
+    day = 86_400_000_000
+    d = df.withColumn("_t", F.unix_micros(F.col(order).cast("timestamp")))
+
+    def cut(counts: DataFrame, unit: Column, left: Column) -> tuple | None:
+        """The last unit (in order) before which at most ``left`` rows lie, how many do, its rows, and ``left``."""
+        n = counts.groupBy(unit.alias("u")).agg(F.sum("n").alias("n"))  # days, seconds of one, instants of one, or its keys
+        first = Window.orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
+        n = n.withColumns({"before": F.coalesce(F.sum("n").over(first), F.lit(0)), "left": left.cast("long")})
+        return n.where(F.col("before") <= F.col("left")).agg(F.max_by(F.struct("u", "before", "n", "left"), F.struct("before", "n")).alias("x")).first()["x"]
+
+    days = d.where("_t IS NOT NULL").groupBy(F.floor(F.col("_t") / day).alias("day")).agg(F.count("*").alias("n"))
+    at = cut(days, F.col("day"), F.floor(F.sum("n").over(Window.partitionBy()) * share))
+    if at is None:
+        return df.withColumn("split", F.lit("undated"))
+    inside = (F.col("_t") >= at["u"] * day) & (F.col("_t") < (at["u"] + 1) * day)
+    counts = stored(d.where(inside).groupBy("_t", F.col(key).alias("_key")).agg(F.count("*").alias("n")), "cut")
+    left = at["left"] - at["before"]
+    second = cut(counts, F.floor(F.col("_t") / 1_000_000), F.lit(left))
+    counts, left = counts.where(F.floor(F.col("_t") / 1_000_000) == second["u"]), left - second["before"]
+    instant = cut(counts, F.col("_t"), F.lit(left))
+    counts, left = counts.where(F.col("_t") == instant["u"]), left - instant["before"]
+    tied = cut(counts, F.col("_key"), F.lit(left))
+    left -= tied["before"]
+    edge = F.lit(tied["u"]).cast(dict(df.dtypes)[key])
+    then = F.col("_t") == instant["u"]
+    at_edge = F.coalesce(then & F.col(key).eqNullSafe(edge), F.lit(False))
+    less = F.lit(False) if tied["u"] is None else F.col(key).isNull() | (F.col(key) < edge)  # a null key is the first
+    train = (F.col("_t") < instant["u"]) | (then & less)
+    named = lambda d, edge_train: d.withColumn("split", F.when(F.col("_t").isNull(), "undated").when(train | (at_edge & edge_train), "train").otherwise("test")).drop("_t")
+    if left in (0, tied["n"]):
+        return named(d, F.lit(left > 0))
+    rank = Window.partitionBy("_t").orderBy(F.xxhash64(*df.columns), *[c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct"))])
+    ranked = d.where(at_edge).withColumn("_n", F.row_number().over(rank))
+    return named(d.where(~at_edge), F.lit(False)).unionByName(named(ranked, F.col("_n") <= left).drop("_n"))
 
 
 def chronological_split(df: DataFrame, date: str, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -144,9 +163,17 @@ def confusion(df: DataFrame, label: str, p: str, threshold: float = 0.5, *keys:
     return d.withColumns({"accuracy": r6(div(tp + tn, tp + fp + fn + tn)), "precision": r6(div(tp, tp + fp)), "recall": r6(div(tp, tp + fn)), "f1": r6(div(2 * tp, 2 * tp + fp + fn)), "specificity": r6(div(tn, tn + fp))})
 
 
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys of which null is one value."""
+    b = b.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return a.join(b, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])).drop(*[f"_k_{k}" for k in keys])
+
+
 def ranking_quality(df: DataFrame, label: str, p: str, *keys: str, ranges: int = 1024) -> DataFrame:
     """ROC-AUC with ties, average precision and Brier score, exact: sums over distinct scores in order. Scores are dealt to
-    ranges of equal width, whose sums give each its offset, so no task orders more than a range of a key."""
+    ranges of equal width, whose sums give each its offset, so no task orders more than a range of a key. Rows without a
+    score or a label count in none of them; a null key is a group."""
+    df = df.where(F.col(p).isNotNull() & F.col(label).isNotNull())
     c = df.groupBy(*keys, F.col(p).alias("_s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"), F.sum((F.col(p) - F.col(label)) ** 2).alias("sq"))
     c = c.withColumn("_r", F.floor(F.col("_s") * ranges))
     part = c.groupBy(*keys, "_r").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
@@ -154,7 +181,7 @@ def ranking_quality(df: DataFrame, label: str, p: str, *keys: str, ranges: int =
     above = w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
     part = part.select(*keys, "_r", *[F.coalesce(F.sum(x).over(above), F.lit(0)).alias(f"{x}_off") for x in ("_pos", "_neg")], F.sum("_pos").over(w).alias("P"), F.sum("_neg").over(w).alias("N"))
     down = Window.partitionBy(*keys, "_r").orderBy(F.desc("_s"))
-    c = c.join(part, [*keys, "_r"]).withColumns({"tp": F.sum("pos").over(down) + F.col("_pos_off"), "fp": F.sum("neg").over(down) + F.col("_neg_off")})
+    c = _met(c, part, [*keys, "_r"]).withColumns({"tp": F.sum("pos").over(down) + F.col("_pos_off"), "fp": F.sum("neg").over(down) + F.col("_neg_off")})
     below = F.col("N") - F.col("fp")
     return c.groupBy(*keys).agg(r6(F.sum(F.col("pos") * (below + F.col("neg") / 2)) / F.max(F.nullif(F.col("P") * F.col("N"), F.lit(0)))).alias("roc_auc"), r6(F.sum(F.col("pos") / F.nullif(F.col("P"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"), r6(F.sum("sq") / F.sum(F.col("pos") + F.col("neg"))).alias("brier"))
 
@@ -187,7 +214,7 @@ def evaluate(df: DataFrame, label: str, p: str, *keys: str, threshold: float = 0
     f1 = confusion(df, label, p, threshold, *keys).select(*keys, "f1")
     n = df.groupBy(*keys).agg(F.count("*").alias("rows"), r6(F.avg(label)).alias("positive_rate"))
     q = ranking_quality(df, label, p, *keys)
-    return q.join(f1, list(keys)).join(n, list(keys)) if keys else q.crossJoin(f1).crossJoin(n)  # one row each
+    return _met(_met(q, f1, [*keys]), n, [*keys]) if keys else q.crossJoin(f1).crossJoin(n)  # one row each
 
 
 def select_model(metrics: DataFrame) -> DataFrame:
