@@ -1,4 +1,5 @@
-"""Insights: one row per user and insight (user_id, insight, risk, evidence: map of doubles)."""
+"""Insights: one row per user and insight (user_id, insight, risk, evidence: map of doubles, subjects: map of what the
+evidence of the same name is about, such as weekdays, hours, categories and locations)."""
 
 from __future__ import annotations
 
@@ -12,9 +13,21 @@ from .metrics import forgetting_rate, resolved
 from .vocabulary import TERMINAL
 
 
-def _out(df: DataFrame, insight: str, risk: Column, **evidence: Column) -> DataFrame:
+DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+def _out(df: DataFrame, insight: str, risk: Column, subjects: dict[str, Column] | None = None, **evidence: Column) -> DataFrame:
     ev = F.map_from_arrays(F.array(*map(F.lit, evidence)), F.array(*[r6(v.cast("double")) for v in evidence.values()]))
-    return df.select("user_id", F.lit(insight).alias("insight"), risk.alias("risk"), ev.alias("evidence"))
+    none = F.array().cast("array<string>")
+    names = subjects or {}
+    about = F.map_from_arrays(F.array(*map(F.lit, names)).cast("array<string>"), F.array(*[F.coalesce(v, none) for v in names.values()]).cast("array<array<string>>"))
+    return df.select("user_id", F.lit(insight).alias("insight"), risk.alias("risk"), ev.alias("evidence"), about.alias("subjects"))
+
+
+def _over(rates: DataFrame, own: DataFrame, times: float, name: str) -> DataFrame:
+    """(user_id, name, name_of): how many of a user's groups (b, rate) are over ``times`` their own rate, and which, in order."""
+    d = rates.join(own.select("user_id", "own"), "user_id").where(F.col("rate") > times * F.col("own"))
+    return d.groupBy("user_id").agg(F.count("*").alias(name), F.array_sort(F.collect_list("b")).alias(f"{name}_of"))
 
 
 def _levels(high: Column, medium: Column) -> Column:
@@ -28,17 +41,19 @@ def _rates(tasks: DataFrame, *keys: Column) -> DataFrame:
 def forgetting_timing(tasks: DataFrame, times: float = 1.5) -> DataFrame:
     """Weekdays and hours whose forgetting rate is over ``times`` the user's."""
     own = _rates(tasks).withColumnRenamed("rate", "own")
-    over = lambda key, name: _rates(tasks, key.alias("b")).join(own, "user_id").where(F.col("rate") > times * F.col("own")).groupBy("user_id").agg(F.count("*").alias(name))
+    over = lambda key, name: _over(_rates(tasks, key.alias("b")), own, times, name)
     d = own.join(over(F.weekday("created_at"), "days"), "user_id", "left").join(over(F.hour("created_at"), "hours"), "user_id", "left").na.fill(0, ["days", "hours"])
-    return _out(d, "forgetting_timing", _levels(F.col("days") > 2, F.col("days") >= 1), overall=F.col("own"), weekdays=F.col("days"), hours=F.col("hours"))
+    named = {"weekdays": F.transform("days_of", lambda x: F.element_at(F.array(*map(F.lit, DAYS)), x + 1)), "hours": F.col("hours_of").cast("array<string>")}
+    return _out(d, "forgetting_timing", _levels(F.col("days") > 2, F.col("days") >= 1), named, overall=F.col("own"), weekdays=F.col("days"), hours=F.col("hours"))
 
 
 def context_forgetting(tasks: DataFrame, times: float = 1.3) -> DataFrame:
     """Categories and locations whose forgetting rate is over ``times`` the user's."""
     own = _rates(tasks).withColumnRenamed("rate", "own")
-    over = lambda key: _rates(tasks.where(F.col(key).isNotNull()), F.col(key)).join(own, "user_id").where(F.col("rate") > times * F.col("own")).groupBy("user_id").agg(F.count("*").alias(f"n_{key}"))
+    over = lambda key: _over(_rates(tasks.where(F.col(key).isNotNull()), F.col(key).alias("b")), own, times, f"n_{key}")
     d = own.join(over("category"), "user_id", "left").join(over("location_id"), "user_id", "left").na.fill(0, ["n_category", "n_location_id"])
-    return _out(d, "context_forgetting", _levels(F.col("n_category") > 2, F.col("n_category") >= 1), overall=F.col("own"), categories=F.col("n_category"), locations=F.col("n_location_id"))
+    named = {"categories": F.col("n_category_of"), "locations": F.col("n_location_id_of").cast("array<string>")}
+    return _out(d, "context_forgetting", _levels(F.col("n_category") > 1, F.col("n_category") == 1), named, overall=F.col("own"), categories=F.col("n_category"), locations=F.col("n_location_id"))
 
 
 def _peak(rows: DataFrame, key: Column, value: Column, name: str) -> DataFrame:
@@ -65,9 +80,10 @@ def recurring_delay(tasks: DataFrame, times: float = 1.3) -> DataFrame:
     number of such categories decides the risk."""
     done = tasks.where("status = 'completed' AND deadline_at IS NOT NULL AND completed_at IS NOT NULL").withColumn("late", (F.col("completed_at") > F.col("deadline_at")).cast("int"))
     own = done.groupBy("user_id").agg(F.avg("late").alias("own"), F.count("*").alias("n"))
-    over = lambda key: done.groupBy("user_id", key).agg(F.avg("late").alias("rate")).join(own, "user_id").where(F.col("rate") > times * F.col("own")).groupBy("user_id").agg(F.count("*").alias(f"n_{key}"))
+    over = lambda key: _over(done.groupBy("user_id", F.col(key).alias("b")).agg(F.avg("late").alias("rate")), own, times, f"n_{key}")
     d = own.join(over("category"), "user_id", "left").join(over("priority"), "user_id", "left").na.fill(0, ["n_category", "n_priority"])
-    return _out(d, "recurring_delay", _levels(F.col("n_category") > 1, F.col("n_category") == 1), late_share=F.col("own"), categories=F.col("n_category"), priorities=F.col("n_priority"), tasks=F.col("n"))
+    named = {"categories": F.col("n_category_of"), "priorities": F.col("n_priority_of").cast("array<string>")}
+    return _out(d, "recurring_delay", _levels(F.col("n_category") > 1, F.col("n_category") == 1), named, late_share=F.col("own"), categories=F.col("n_category"), priorities=F.col("n_priority"), tasks=F.col("n"))
 
 
 def primary_locations(tasks: DataFrame) -> DataFrame:
@@ -101,14 +117,15 @@ def behaviour_trend(tasks: DataFrame, least: int = 7) -> DataFrame:
 
 
 def category_friction(tasks: DataFrame, sessions: DataFrame, interruptions: DataFrame) -> DataFrame:
-    """forgetting * 100 + density * 10 + switching * 20 by (user, task group); the peak against the mean."""
+    """forgetting * 100 + density * 10 + switching * 20 by (user, task group); the category of the peak, and the
+    peak against the mean."""
     keys = ["user_id", "category"]
     s = sessions.groupBy(*keys).agg(F.sum("context_switch_count").alias("sw"), F.count("*").alias("n"), (F.sum(F.col("focused_time_seconds") + F.col("interruption_time_seconds")) / 3600).alias("h"))
     i = interruptions.groupBy(*keys).agg(F.count("*").alias("i"))
     t = tasks.groupBy(*keys).agg(forgetting_rate().alias("f"))
-    v = s.join(t, keys).join(i, keys, "left").select("user_id", (F.col("f") * 100 + rate0(F.coalesce("i", F.lit(0)), F.col("h")) * 10 + F.col("sw") / F.col("n") * 20).alias("v"))
-    d = v.groupBy("user_id").agg(F.avg("v").alias("mean"), F.max("v").alias("peak"))
-    return _out(d, "category_friction", _levels(F.col("peak") > 1.5 * F.col("mean"), F.col("peak") > 1.2 * F.col("mean")), average=F.col("mean"), peak=F.col("peak"))
+    v = s.join(t, keys).join(i, keys, "left").select("user_id", "category", (F.col("f") * 100 + rate0(F.coalesce("i", F.lit(0)), F.col("h")) * 10 + F.col("sw") / F.col("n") * 20).alias("v"))
+    d = v.groupBy("user_id").agg(F.avg("v").alias("mean"), F.max("v").alias("peak"), F.min_by("category", F.struct(-F.col("v"), "category")).alias("worst"))
+    return _out(d, "category_friction", F.when(F.col("peak") > 1.5 * F.col("mean"), "HIGH").otherwise("MEDIUM"), {"peak": F.array("worst")}, average=F.col("mean"), peak=F.col("peak"))
 
 
 def attention(tasks: DataFrame, as_of: str, top: int = 5) -> DataFrame:
@@ -146,15 +163,16 @@ ADVICE = {
 
 def story(insights: DataFrame) -> DataFrame:
     """Per user, in the fixed order of insights: a narrative, the first three findings, the high risks and the first three
-    recommendations."""
+    recommendations. A finding or risk names what the insight is about."""
     names = F.array(*map(F.lit, ADVICE))
     advice = F.array(*map(F.lit, ADVICE.values()))
-    d = insights.withColumn("o", F.array_position(names, F.col("insight")).cast("int"))
-    d = d.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("o", "insight", "risk"))).alias("s"))
+    of = F.array_join(F.flatten(F.transform(F.array_sort(F.map_keys("subjects")), lambda k: F.col("subjects")[k])), ", ")
+    d = insights.withColumns({"o": F.array_position(names, F.col("insight")).cast("int"), "of": F.nullif(of, F.lit(""))})
+    d = d.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("o", "insight", "risk", "of"))).alias("s"))
     high = F.filter("s", lambda x: x["risk"] == "HIGH")
     text = lambda c, f, n=100: F.array_join(F.slice(F.transform(c, f), 1, n), "; ")
     narrative = F.when(F.size(high) > 0, F.concat(F.size(high).cast("string"), F.lit(" patterns of high risk need attention."))).otherwise("No pattern of high risk.")
-    return d.select("user_id", F.size("s").cast("long").alias("insights"), F.size(high).cast("long").alias("high"), F.size(F.filter("s", lambda x: x["risk"] == "MEDIUM")).cast("long").alias("medium"), narrative.alias("narrative"), text("s", lambda x: F.concat_ws(": ", x["insight"], F.lower(x["risk"])), 3).alias("findings"), text(high, lambda x: x["insight"]).alias("risks"), text("s", lambda x: F.element_at(advice, x["o"]), 3).alias("recommendations"))
+    return d.select("user_id", F.size("s").cast("long").alias("insights"), F.size(high).cast("long").alias("high"), F.size(F.filter("s", lambda x: x["risk"] == "MEDIUM")).cast("long").alias("medium"), narrative.alias("narrative"), text("s", lambda x: F.concat_ws(": ", x["insight"], F.lower(x["risk"]), x["of"]), 3).alias("findings"), text(high, lambda x: F.concat_ws(": ", x["insight"], x["of"])).alias("risks"), text("s", lambda x: F.element_at(advice, x["o"]), 3).alias("recommendations"))
 
 
 def all_insights(*tables: DataFrame) -> DataFrame:

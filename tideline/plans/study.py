@@ -38,7 +38,7 @@ def _all(s, sf):
 
 
 def _flat(op):
-    return lambda s, sf: op(s, sf).select("user_id", "insight", "risk", F.explode("evidence").alias("field", "value"))
+    return lambda s, sf: op(s, sf).select("user_id", "insight", "risk", "subjects", F.explode("evidence").alias("field", "value")).withColumn("subjects", F.array_join(F.col("subjects")[F.col("field")], ", "))
 
 
 def _pairs_sql(cols, table):
@@ -46,8 +46,9 @@ def _pairs_sql(cols, table):
     return " UNION ALL ".join(c)
 
 
-def _ev(name, src, risk, **fields):
-    return " UNION ALL ".join(f"SELECT user_id, '{name}' AS insight, {risk} AS risk, '{k}' AS field, round(CAST({v} AS DOUBLE), 6) AS value FROM {src}" for k, v in fields.items())
+def _ev(name, src, risk, of=None, **fields):
+    subjects = lambda k: f"coalesce({of[k]}, '')" if k in (of or {}) else "CAST(NULL AS VARCHAR)"
+    return " UNION ALL ".join(f"SELECT user_id, '{name}' AS insight, {risk} AS risk, {subjects(k)} AS subjects, '{k}' AS field, round(CAST({v} AS DOUBLE), 6) AS value FROM {src}" for k, v in fields.items())
 
 
 def _lv(high, medium):
@@ -57,8 +58,12 @@ def _lv(high, medium):
 _OWN = f"own AS (SELECT user_id, {LOST} AS own FROM tasks GROUP BY user_id)"
 
 
-def _over(name, key, times, col):
-    return f"{name} AS (SELECT user_id, count(*) AS {col} FROM (SELECT user_id, {key} AS b, {LOST} AS rate FROM tasks GROUP BY ALL) JOIN own USING (user_id) WHERE rate > {times} * own GROUP BY user_id)"
+_NAMES = "array_to_string(list_transform(list_sort(list(b)), lambda x: {}), ', ')"
+_DAY = f"{insights.DAYS}[x]"
+
+
+def _over(name, key, times, col, of="x"):
+    return f"{name} AS (SELECT user_id, count(*) AS {col}, {_NAMES.format(of)} AS {col}_of FROM (SELECT user_id, {key} AS b, {LOST} AS rate FROM tasks GROUP BY ALL) JOIN own USING (user_id) WHERE rate > {times} * own GROUP BY user_id)"
 
 
 def _peak(name, key, value):
@@ -66,7 +71,7 @@ def _peak(name, key, value):
 
 
 def _late(name, key):
-    return f"{name} AS (SELECT user_id, count(*) AS o FROM (SELECT user_id, {key}, avg(late) AS rate FROM l1 GROUP BY ALL) JOIN l2 USING (user_id) WHERE rate > 1.3 * own GROUP BY user_id)"
+    return f"{name} AS (SELECT user_id, count(*) AS o, {_NAMES.format('x')} AS names FROM (SELECT user_id, {key} AS b, avg(late) AS rate FROM l1 GROUP BY ALL) JOIN l2 USING (user_id) WHERE rate > 1.3 * own GROUP BY user_id)"
 
 
 _FV = "coalesce((2 * sum(context_switch_count) + sum(interruption_count)) / nullif(sum(focused_time_seconds + interruption_time_seconds) / 3600.0, 0), 0)"
@@ -75,12 +80,12 @@ _LATE = f"(epoch_us(deadline_at) - epoch_us(TIMESTAMP '{AS_OF_TASKS}')) / 8.64e1
 _ATTENTION = f"""c AS (SELECT user_id, category, {LOST} AS cr FROM tasks GROUP BY ALL), r AS (SELECT user_id, task_id, round(CASE WHEN priority >= 4 THEN 0.3 WHEN priority = 3 THEN 0.15 ELSE 0 END + CASE WHEN {_LATE} < 1 THEN 0.4 WHEN {_LATE} < 3 THEN 0.2 ELSE 0 END + CASE WHEN cr > 0.3 THEN 0.2 ELSE 0 END, 4) AS risk_score FROM tasks JOIN c USING (user_id, category) WHERE status NOT IN ('completed', 'forgotten', 'cancelled')),
       att AS (SELECT * FROM (SELECT user_id, task_id, risk_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY risk_score DESC, task_id) AS INT) AS position FROM r WHERE risk_score > 0.5) WHERE position <= 5)"""
 PARTS = {
-    "i1_forgetting_timing": (f"{_OWN}, {_over('o1', 'isodow(created_at)', 1.5, 'days')}, {_over('o2', 'hour(created_at)', 1.5, 'hours')}, i1 AS (SELECT user_id, own, coalesce(days, 0) AS days, coalesce(hours, 0) AS hours FROM own LEFT JOIN o1 USING (user_id) LEFT JOIN o2 USING (user_id))", _ev("forgetting_timing", "i1", _lv("days > 2", "days >= 1"), overall="own", weekdays="days", hours="hours"), ["tasks"]),
-    "i2_context_forgetting": (f"{_OWN}, {_over('o3', 'category', 1.3, 'nc')}, {_over('o4', 'location_id', 1.3, 'nl')}, i2 AS (SELECT user_id, own, coalesce(nc, 0) AS nc, coalesce(nl, 0) AS nl FROM own LEFT JOIN o3 USING (user_id) LEFT JOIN o4 USING (user_id))", _ev("context_forgetting", "i2", _lv("nc > 2", "nc >= 1"), overall="own", categories="nc", locations="nl"), ["tasks"]),
-    "i3_category_friction": (f"{STC}, g1 AS (SELECT ms.user_id, category AS c, sum(context_switch_count) AS sw, count(*) AS n, sum(focused_time_seconds + interruption_time_seconds) / 3600.0 AS h FROM ms JOIN et USING (task_id) WHERE category IS NOT NULL GROUP BY ALL), g2 AS (SELECT ci.user_id, category AS c, count(*) AS i FROM ci JOIN et USING (task_id) WHERE category IS NOT NULL GROUP BY ALL), g3 AS (SELECT user_id, category AS c, {LOST} AS f FROM et WHERE category IS NOT NULL GROUP BY ALL), i3 AS (SELECT user_id, avg(v) AS m, max(v) AS p FROM (SELECT user_id, f * 100 + coalesce(coalesce(i, 0) / nullif(h, 0), 0) * 10 + sw / n * 20 AS v FROM g1 JOIN g3 USING (user_id, c) LEFT JOIN g2 USING (user_id, c)) GROUP BY user_id)", _ev("category_friction", "i3", _lv("p > 1.5 * m", "p > 1.2 * m"), average="m", peak="p"), ["task_events", "interruptions"]),
+    "i1_forgetting_timing": (f"{_OWN}, {_over('o1', 'isodow(created_at)', 1.5, 'days', _DAY)}, {_over('o2', 'hour(created_at)', 1.5, 'hours')}, i1 AS (SELECT user_id, own, coalesce(days, 0) AS days, coalesce(hours, 0) AS hours, days_of, hours_of FROM own LEFT JOIN o1 USING (user_id) LEFT JOIN o2 USING (user_id))", _ev("forgetting_timing", "i1", _lv("days > 2", "days >= 1"), {"weekdays": "days_of", "hours": "hours_of"}, overall="own", weekdays="days", hours="hours"), ["tasks"]),
+    "i2_context_forgetting": (f"{_OWN}, {_over('o3', 'category', 1.3, 'nc')}, {_over('o4', 'location_id', 1.3, 'nl')}, i2 AS (SELECT user_id, own, coalesce(nc, 0) AS nc, coalesce(nl, 0) AS nl, nc_of, nl_of FROM own LEFT JOIN o3 USING (user_id) LEFT JOIN o4 USING (user_id))", _ev("context_forgetting", "i2", _lv("nc > 1", "nc = 1"), {"categories": "nc_of", "locations": "nl_of"}, overall="own", categories="nc", locations="nl"), ["tasks"]),
+    "i3_category_friction": (f"{STC}, g1 AS (SELECT ms.user_id, category AS c, sum(context_switch_count) AS sw, count(*) AS n, sum(focused_time_seconds + interruption_time_seconds) / 3600.0 AS h FROM ms JOIN et USING (task_id) WHERE category IS NOT NULL GROUP BY ALL), g2 AS (SELECT ci.user_id, category AS c, count(*) AS i FROM ci JOIN et USING (task_id) WHERE category IS NOT NULL GROUP BY ALL), g3 AS (SELECT user_id, category AS c, {LOST} AS f FROM et WHERE category IS NOT NULL GROUP BY ALL), i3 AS (SELECT user_id, avg(v) AS m, max(v) AS p, arg_min(c, (-v, c)) AS w FROM (SELECT user_id, c, f * 100 + coalesce(coalesce(i, 0) / nullif(h, 0), 0) * 10 + sw / n * 20 AS v FROM g1 JOIN g3 USING (user_id, c) LEFT JOIN g2 USING (user_id, c)) GROUP BY user_id)", _ev("category_friction", "i3", "CASE WHEN p > 1.5 * m THEN 'HIGH' ELSE 'MEDIUM' END", {"peak": "w"}, average="m", peak="p"), ["task_events", "interruptions"]),
     "i4_switch_timing": (f"{S}, {_peak('h1', 'isodow(session_start) - 1', 'avg(context_switch_count)')}, {_peak('h2', 'hour(session_start)', 'avg(context_switch_count)')}, h3 AS (SELECT user_id, avg(context_switch_count) AS own FROM ms GROUP BY ALL), i4 AS (SELECT user_id, own, h1.p AS dp, h1.at AS da, h2.p AS hp, h2.at AS ha FROM h3 JOIN h1 USING (user_id) JOIN h2 USING (user_id))", _ev("switch_timing", "i4", "CASE WHEN dp > 2 * own THEN 'HIGH' ELSE 'MEDIUM' END", average="own", weekday="da", weekday_peak="dp", hour="ha", hour_peak="hp"), ["task_events", "interruptions"]),
     "i5_interruption_cost": (f"{BASE}, i5 AS (SELECT user_id, interruption_s / 3600.0 + switches * 5 / 60.0 AS h, active_s / 3600.0 AS a FROM base)", _ev("interruption_cost", "i5", _lv("h > 2", "h > 1"), hours_lost="h", share="coalesce(h / nullif(a, 0), 0)"), ["task_events", "interruptions"]),
-    "i6_recurring_delay": (f"l1 AS (SELECT user_id, priority, category, CASE WHEN completed_at > deadline_at THEN 1 ELSE 0 END AS late FROM tasks WHERE status = 'completed' AND deadline_at IS NOT NULL), l2 AS (SELECT user_id, avg(late) AS own, count(*) AS n FROM l1 GROUP BY user_id), {_late('l3', 'priority')}, {_late('l4', 'category')}, i6 AS (SELECT user_id, own, n, coalesce(l3.o, 0) AS o, coalesce(l4.o, 0) AS oc FROM l2 LEFT JOIN l3 USING (user_id) LEFT JOIN l4 USING (user_id))", _ev("recurring_delay", "i6", _lv("oc > 1", "oc = 1"), late_share="own", categories="oc", priorities="o", tasks="n"), ["tasks"]),
+    "i6_recurring_delay": (f"l1 AS (SELECT user_id, priority, category, CASE WHEN completed_at > deadline_at THEN 1 ELSE 0 END AS late FROM tasks WHERE status = 'completed' AND deadline_at IS NOT NULL), l2 AS (SELECT user_id, avg(late) AS own, count(*) AS n FROM l1 GROUP BY user_id), {_late('l3', 'priority')}, {_late('l4', 'category')}, i6 AS (SELECT user_id, own, n, coalesce(l3.o, 0) AS o, coalesce(l4.o, 0) AS oc, l3.names AS po, l4.names AS co FROM l2 LEFT JOIN l3 USING (user_id) LEFT JOIN l4 USING (user_id))", _ev("recurring_delay", "i6", _lv("oc > 1", "oc = 1"), {"categories": "co", "priorities": "po"}, late_share="own", categories="oc", priorities="o", tasks="n"), ["tasks"]),
     "i7_context_association": (f"{_PRIMARY}, i7 AS (SELECT user_id, min(share) AS a, max(share) AS b, avg(share) AS m, arg_min(location_id, (-share, category)) AS l, count(*) AS c FROM pl GROUP BY user_id)", _ev("context_association", "i7", "CASE WHEN a < 0.3 THEN 'MEDIUM' ELSE 'LOW' END", weakest="a", strongest="b", strongest_location="l", average="m", categories="c"), ["tasks"]),
     "i8_friction_timing": (f"{S}, {_peak('w1', 'isodow(session_start) - 1', _FV)}, {_peak('w2', 'hour(session_start)', _FV)}, i8 AS (SELECT user_id, w1.m AS m, w1.p AS dp, w1.at AS da, w2.p AS hp, w2.at AS ha FROM w1 JOIN w2 USING (user_id))", _ev("friction_timing", "i8", "CASE WHEN dp > 2 * m THEN 'HIGH' ELSE 'MEDIUM' END", average="m", weekday="da", weekday_peak="dp", hour="ha", hour_peak="hp"), ["task_events", "interruptions"]),
     "i9_behaviour_trend": ("b1 AS (SELECT user_id, CAST(created_at AS DATE) AS day, avg(CASE WHEN status = 'forgotten' THEN 1.0 ELSE 0.0 END) AS rate FROM tasks WHERE status IN ('completed', 'forgotten', 'cancelled') GROUP BY ALL), i9 AS (SELECT user_id, count(*) AS days, regr_slope(rate, i) AS slope FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i FROM b1) GROUP BY user_id HAVING count(*) >= 7)", _ev("behaviour_trend", "i9", _lv("slope > 0.005", "slope > 0.001"), slope="slope", days="days"), ["tasks"]),
@@ -146,7 +151,7 @@ SQL = {
     "i7_primary_locations": with_views(f"WITH {_PRIMARY} SELECT user_id, category, location_id, round(share, 6) AS share FROM pl", "tasks"),
     **{k: with_views(f"WITH {c} {q}", *v) for k, (c, q, v) in PARTS.items()},
     "i11_all_insights": with_views(_ALL_SQL, "tasks", "task_events", "interruptions"),
-    "i12_story": with_views(f"""WITH o AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(insights.ADVICE.items()))}) AS t(o, insight, advice)), a AS (SELECT DISTINCT user_id, insight, risk FROM ({_ALL_SQL})), l AS (SELECT * FROM a JOIN o USING (insight))
+    "i12_story": with_views(f"""WITH o AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(insights.ADVICE.items()))}) AS t(o, insight, advice)), a AS (SELECT user_id, insight, risk, string_agg(subjects, ', ' ORDER BY field) FILTER (subjects <> '') AS names FROM ({_ALL_SQL}) GROUP BY ALL), l AS (SELECT * FROM a JOIN o USING (insight))
       SELECT user_id, count(*) AS insights, count(*) FILTER (risk = 'HIGH') AS high, count(*) FILTER (risk = 'MEDIUM') AS medium, CASE WHEN count(*) FILTER (risk = 'HIGH') > 0 THEN count(*) FILTER (risk = 'HIGH') || ' patterns of high risk need attention.' ELSE 'No pattern of high risk.' END AS narrative,
-      array_to_string(list(insight || ': ' || lower(risk) ORDER BY o)[1:3], '; ') AS findings, coalesce(string_agg(insight, '; ' ORDER BY o) FILTER (risk = 'HIGH'), '') AS risks, array_to_string(list(advice ORDER BY o)[1:3], '; ') AS recommendations FROM l GROUP BY user_id""", "tasks", "task_events", "interruptions"),
+      array_to_string(list(concat_ws(': ', insight, lower(risk), names) ORDER BY o)[1:3], '; ') AS findings, coalesce(string_agg(concat_ws(': ', insight, names), '; ' ORDER BY o) FILTER (risk = 'HIGH'), '') AS risks, array_to_string(list(advice ORDER BY o)[1:3], '; ') AS recommendations FROM l GROUP BY user_id""", "tasks", "task_events", "interruptions"),
 }
