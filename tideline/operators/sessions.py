@@ -37,15 +37,28 @@ def lifecycle_sessions(events: DataFrame, as_of: str, idle_minutes: int = IDLE_M
     return d.select(F.col("id").alias("session_id"), "user_id", "task_id", "location_id", F.col("event_time").alias("session_start"), end.alias("session_end"), delay.alias("resume_delay_seconds"))
 
 
-def measured_sessions(sessions: DataFrame, interruptions: DataFrame) -> DataFrame:
+def measured_sessions(sessions: DataFrame, interruptions: DataFrame, untied: str = "none", stretch_s: int = 6 * 3600) -> DataFrame:
     """Add focused and interrupted seconds and counts, from the same task's overlapping interruptions.
 
-    An interruption of 5 minutes in all, clipped or not, is a context switch."""
+    An interruption of 5 minutes in all, clipped or not, is a context switch. Interruptions without a task attach to no
+    session, or, with ``untied="same_user"``, to every overlapping one of their user; these meet by stretches of time,
+    each pair in the first stretch that both have."""
     stop = F.coalesce("end_time", "start_time")
-    i = interruptions.select(F.col("task_id").alias("i_task"), F.col("start_time").alias("i_start"), stop.alias("i_stop"), F.coalesce("duration_seconds", F.lit(0)).alias("i_s"))
-    on = (F.col("task_id") == F.col("i_task")) & (F.col("i_start") < F.col("session_end")) & (F.col("i_stop") > F.col("session_start"))
+    i = interruptions.select(F.col("task_id").alias("i_task"), F.col("user_id").alias("i_user"), F.col("start_time").alias("i_start"), stop.alias("i_stop"), F.coalesce("duration_seconds", F.lit(0)).alias("i_s"))
+    overlaps = (F.col("i_start") < F.col("session_end")) & (F.col("i_stop") > F.col("session_start"))
+    columns = ["session_id", "session_start", "session_end", "i_start", "i_stop", "i_s"]
+    met = sessions.join(i, (F.col("task_id") == F.col("i_task")) & overlaps).select(*columns)
+    if untied == "same_user":
+        at = lambda c: F.floor(F.unix_seconds(c) / stretch_s)
+        over = lambda a, b: F.explode(F.sequence(at(a), F.greatest(at(a), at(b))))
+        s = sessions.select("session_id", "user_id", "session_start", "session_end", over("session_start", "session_end").alias("stretch"))
+        u = i.where("i_task IS NULL").select("i_user", "i_start", "i_stop", "i_s", over("i_start", "i_stop").alias("i_stretch"))
+        first = F.col("stretch") == F.greatest(at("session_start"), at("i_start"))
+        met = met.unionByName(s.join(u, (F.col("user_id") == F.col("i_user")) & (F.col("stretch") == F.col("i_stretch")) & overlaps).where(first).select(*columns))
+    elif untied != "none":
+        raise ValueError(f"untied is 'none' or 'same_user', not {untied!r}")
     overlap = F.floor(seconds_between(F.least("i_stop", "session_end"), F.greatest("i_start", "session_start")))
-    per = sessions.join(i, on).groupBy("session_id").agg(F.sum(overlap).alias("interruption_time_seconds"), F.count_if(F.col("i_s") >= SWITCH_SECONDS).alias("context_switch_count"), F.count("*").alias("interruption_count"))
+    per = met.groupBy("session_id").agg(F.sum(overlap).alias("interruption_time_seconds"), F.count_if(F.col("i_s") >= SWITCH_SECONDS).alias("context_switch_count"), F.count("*").alias("interruption_count"))
     d = sessions.join(per, "session_id", "left").na.fill(0, ["interruption_time_seconds", "context_switch_count", "interruption_count"])
     total = F.floor(seconds_between("session_end", "session_start"))
     return d.withColumn("focused_time_seconds", F.greatest(F.lit(0), total - F.col("interruption_time_seconds")))

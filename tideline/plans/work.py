@@ -147,6 +147,7 @@ def _by(op, source, stamp, key, name):
 
 QUERIES = {
     "r_lifecycle_sessions": _sessions,
+    "r7_untied_sessions": lambda s, sf: sessions.measured_sessions(sessions.lifecycle_sessions(view(s, sf, "task_events"), AS_OF_EVENTS), _interruptions(s, sf), "same_user"),
     "r_latest_status": _status,
     "r8_context_sessions": _ctx,
     "r12_session_totals": lambda s, sf: sessions.session_totals(_ctx(s, sf), "task_category", "context").select("task_category", "context", "sessions", *[F.round(c, 4).alias(c) for c in ("focused", "interrupted", "avg_resume_delay", "switches_per_hour", "interruptions_per_session")], "switches", "interruptions"),
@@ -181,6 +182,7 @@ QUERIES = {
 }
 SQL = {
     "r_lifecycle_sessions": with_views(f"WITH {S} SELECT * FROM ms", *BOTH),
+    "r7_untied_sessions": with_views("WITH " + S.replace("ON ses.task_id = ci.task_id AND", "ON (ses.task_id = ci.task_id OR (ci.task_id IS NULL AND ses.user_id = ci.user_id)) AND") + " SELECT * FROM ms", *BOTH),
     "r_latest_status": with_views(f"WITH {ST} SELECT * FROM st", "task_events"),
     "r8_context_sessions": with_views(f"WITH {CTX} SELECT * FROM cs", "context_events"),
     "r12_session_totals": with_views(f"""WITH {CTX}, fl AS (SELECT task_category, context, sum(list_sum(resume_delays_seconds)) AS d, sum(len(resume_delays_seconds)) AS n FROM cs GROUP BY ALL),
