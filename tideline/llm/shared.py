@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from pathlib import PurePosixPath
@@ -42,6 +43,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return again
 
 
+def scratch() -> int:
+    """How many steps have scratch by now, see ``settled``."""
+    return len(_made)
+
+
+def settled(df: DataFrame, name: str, since: int | None = None) -> DataFrame:
+    """``written``, and the shuffle files of steps before it go: Spark's cleaner removes those that no live DataFrame needs,
+    once the driver's JVM has collected its garbage, which by itself it does every 30 minutes. With ``since``, a former
+    ``scratch()``, the scratch of the steps after that goes too, as only this result is read from here on."""
+    spark = df.sparkSession
+    again, path = put(df, name)
+    if since is not None:
+        release(spark, since)
+    _made.append(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return again
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -52,9 +73,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the scratch of all steps so far; results that were made from it must have been written."""
-    while _made:
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch of all steps so far, but of the first ``since``; results that were made from it must have been
+    written."""
+    while len(_made) > since:
         remove(spark, _made.pop())
 
 

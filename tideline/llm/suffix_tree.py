@@ -10,6 +10,7 @@ does. A word is scored by the longest state that precedes it: c / (n + ALPHA) fo
 leaves to others times the share in its suffix. To the root as many unknown words are added as words were seen once; all
 unknown words are one event, as in the unigram base.
 
+Each step's result is written, and its shuffles are dropped before the next one, so disk holds one step's at a time.
 No word, state or count passes through the driver: texts, dealt to blocks of bounded bytes, ask for the distinct words and
 grams that they have, and one join finds these.
 
@@ -29,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, done, hit, xxhash64_of
-from .shared import fold, read_table, text_of, written
+from .shared import fold, read_table, scratch, settled, text_of
 from .words import SPACED, Piece, mix, pieces, signed
 
 U64 = np.uint64
 DEEP, SEEN = 3, 8
 ALPHA = 2.0  # weight of the suffix state's distribution, in tokens
 ENDED = U64(0xA24BAED4963EE407)  # stands for the end of a text
-STEP = 2 << 20
+STEP = 1 << 19  # bytes of text whose words a task hashes at a time
+SENT = 1 << 16  # rows of a batch that a task sends: the JVM holds each whole, outside its heap
 BLOCK = 24 << 20  # bytes of text in a block, about
 HELD = 1 << 20  # keys that a task collects before it sends them
 _OTHER = 0x5851F42D4C957F2D
@@ -105,12 +107,18 @@ def _after(here: np.ndarray) -> np.ndarray:
     return here & np.concatenate([[False], here[:-1]])
 
 
+def _sent(*columns: tuple[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for _, x in columns], names=[n for n, _ in columns])
+    for at in range(0, whole.num_rows, SENT):
+        yield whole.slice(at, SENT)
+
+
 def _counted(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
     """Texts to (key, c), what ``pick`` takes of their words' hashes and runs, combined by batch."""
     for batch in batches:
         keys = [np.zeros(0, np.int64), *[signed(x) for p in pieces(batch.column(0), SPACED, STEP) for x in pick(p)]]
         key, c = np.unique(np.concatenate(keys), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], names=["key", "c"])
+        yield from _sent(("key", key), ("c", c))
 
 
 def _counts(texts: DataFrame, pick) -> DataFrame:
@@ -127,7 +135,7 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         return rows[np.unique(rows[:, 0], return_index=True)[1]]
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], names=["key", "ctx", "low", "up", "d"])
+        return _sent(*zip(("key", "ctx", "low", "up", "d"), rows.T))
 
     for batch in batches:
         for p in pieces(batch.column(0), SPACED, STEP):
@@ -145,9 +153,9 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
                 got = [distinct()]
                 size = len(got[0])
                 if size > HELD // 4:
-                    yield batch_of(got[0])
+                    yield from batch_of(got[0])
                     got, size = [np.zeros((0, 5), np.int64)], 0
-    yield batch_of(distinct())
+    yield from batch_of(distinct())
 
 
 def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
@@ -159,7 +167,7 @@ def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
         g, k = runs(p)
         return [g[1][_after(_seen(one, g[0])) & (k >= 1)]]
 
-    pairs = written(common(_counts(texts, two)), "pairs")
+    pairs = settled(common(_counts(texts, two)), "pairs")
     done(*one)
     pair = screen(pairs)
 
@@ -168,7 +176,7 @@ def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
         three = _after(_seen(pair, g[1]) & (k >= 1)) & (k >= 2)
         return [g[2][three], g[3][_after(three) & (k >= 3)]]
 
-    more = written(common(_counts(texts, longer)), "grams")
+    more = settled(common(_counts(texts, longer)), "grams")
     done(*pair)
     return pairs.unionByName(more)
 
@@ -188,7 +196,7 @@ def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int, alpha: fl
     c, n, pc, pn = (F.col(x) for x in ("c", "n", "pc", "pn"))
     gain = c * F.log(c * pn / (n * pc))
     price = float(np.log(max(tokens, 2)))
-    rows = written(rows.withColumn("gain", gain).where(2 * F.col("gain") > price), "followers")
+    rows = settled(rows.withColumn("gain", gain).where(2 * F.col("gain") > price), "followers")
     done(*shared)
     sums = rows.groupBy("ctx").agg(F.sum("gain").alias("g"), F.sum("c").alias("kept"), F.sum("pc").alias("pkept"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     rest, prest = F.col("n") - F.col("kept"), F.col("pn") - F.col("pkept")
@@ -214,13 +222,14 @@ class Totals:
 
 def fit(texts: DataFrame) -> tuple[DataFrame, Totals]:
     """(key, c, a, b) of every training word and retained gram, and the corpus totals, from rows with a ``text``."""
-    words = written(_counts(texts, lambda p: [p.hashes]), "words")
+    since = scratch()
+    words = settled(_counts(texts, lambda p: [p.hashes]), "words")
     v, n, once = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1)).first()
     docs = texts.count()
     totals = Totals(int(n + docs), int(v + (docs > 0)), int(docs), int(once))
     tree = states(texts, words, totals.n, totals.texts)
     both = words.select("key", "c", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")).unionByName(tree.withColumn("c", F.lit(0).cast("long")))
-    return written(both.groupBy("key").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b")), "states"), totals
+    return settled(both.groupBy("key").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b")), "states", since), totals
 
 
 def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -236,7 +245,7 @@ def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         return rows[new]
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in (0, 1)], names=["block", "key"])
+        return _sent(("block", rows[:, 0]), ("key", rows[:, 1]))
 
     for batch in batches:
         block = batch.column(3).to_numpy()
@@ -252,9 +261,9 @@ def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
                 got = [distinct()]
                 size = len(got[0])
                 if size > HELD:
-                    yield batch_of(got[0])
+                    yield from batch_of(got[0])
                     got, size = [np.zeros((0, 2), np.int64)], 0
-    yield batch_of(distinct())
+    yield from batch_of(distinct())
 
 
 def folded(g: list[np.ndarray], k: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
