@@ -8,6 +8,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,64 @@ def correlations(df: DataFrame, columns: list[str], ranked: bool = False) -> Dat
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"_{i}")).alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
+def inversions(first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> float:
+    """Weight of the pairs in opposite order: larger in ``first`` and smaller in ``second``; ties in either don't count.
+
+    In the order of ``first``, two ranks of ``second`` part at one bit: at each, zeros that follow ones are counted."""
+    order = np.lexsort((second, first))
+    rank, w = np.unique(second, return_inverse=True)[1][order], weight[order].astype(float)
+    total = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        at = np.argsort(rank >> (bit + 1), kind="stable")
+        group, one, n = rank[at] >> (bit + 1), (rank[at] >> bit & 1).astype(bool), w[at]
+        ones = np.cumsum(np.where(one, n, 0.0))
+        start = np.searchsorted(group, group)
+        total += float((np.where(one, 0.0, n) * (ones - np.where(start > 0, ones[start - 1], 0.0))).sum())
+    return total
+
+
+def kendall(df: DataFrame, columns: list[str], ranges: int = 64) -> DataFrame:
+    """Upper triangle of Kendall's tau-b, (a, b, r), on rows where both are set and no NaN; null where one is constant.
+
+    Pairs of rows in opposite order are counted over ranges of values, cut at approximate quantiles, where any cut gives
+    the exact count: within each range of the first column, within each range of the second between different ranges of
+    the first, and between cells of both, of which there are (2 * ranges + 1)**2 at most. A value that is a cut is a range
+    of its own and all ties, so common values make no large task. ``ranges`` grows with the rows: a task sorts about
+    1 / ranges of the distinct pairs of values."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    d = df.select(*[F.col(c).cast("long" if t in whole else "double").alias(c) for c, t in df.dtypes if c in columns])
+    d = d.select(*[c if dict(d.dtypes)[c] == "bigint" else F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = d.agg(*[F.percentile_approx(c, shares, F.lit(1000)).alias(c) for c in columns]).first()
+
+    def range_of(c: str, v: str) -> Column:  # even: between two cuts; odd: a cut
+        at = F.array(*[F.lit(x) for x in sorted(set(cuts[c] or []))]).cast(f"array<{dict(d.dtypes)[c]}>")
+        return 2 * F.size(F.filter(at, lambda x: x < F.col(v))) + F.array_contains(at, F.col(v)).cast("int")
+
+    def opposed(rows: DataFrame, by: Column, x: str, y: str) -> DataFrame:
+        def count(t: pa.Table) -> pa.Table:
+            return pa.table({"q": [inversions(*(t[c].to_numpy() for c in ("x", "y", "n")))]})
+
+        return rows.select(by.alias("by"), F.col(x).alias("x"), F.col(y).alias("y"), "n").groupBy("by").applyInArrow(count, "q double")
+
+    def tau(a: str, b: str) -> DataFrame:
+        c = d.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
+        c = c.withColumns({"rx": range_of(a, "x"), "ry": range_of(b, "y")})
+        cells = c.groupBy("rx", "ry").agg(F.sum("n").alias("n"))
+        strips = c.where("ry % 2 = 0").groupBy("ry", "rx", "y").agg(F.sum("n").alias("n"))
+        q = opposed(c.where("rx % 2 = 0"), F.col("rx"), "x", "y").unionByName(opposed(strips, F.col("ry"), "rx", "y")).unionByName(opposed(cells, F.lit(0), "rx", "ry"))
+        two = lambda n: F.coalesce(F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2), F.lit(0.0))
+        ties = lambda k, name: c.groupBy(k).agg(F.sum("n").alias("n")).agg(two("n").alias(name))
+        row = c.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("m"), two("n").alias("both"))
+        for one in (ties("x", "tx"), ties("y", "ty"), q.agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"))):
+            row = row.crossJoin(F.broadcast(one))  # one row each
+        pairs = F.col("m") * (F.col("m") - 1) / 2
+        score = pairs - F.col("tx") - F.col("ty") + F.col("both") - 2 * F.col("q")
+        return row.select(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.try_divide(score, F.sqrt(pairs - F.col("tx")) * F.sqrt(pairs - F.col("ty")))).alias("r"))
+
+    return reduce(DataFrame.unionByName, [tau(a, b) for a, b in combinations(columns, 2)])
+
+
 def trend(series: DataFrame, day: str, value: str, *keys: str, least: int = 5) -> DataFrame:
     """Least-squares line against days since the first, with direction and confidence; too few points give nulls."""
     first = series.groupBy(*keys).agg(F.min(day).alias("_first"))

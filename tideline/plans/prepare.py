@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, enrich, stats, validate
 from ..operators.vocabulary import CATEGORY_ALIASES, EVENT_TYPES, INTERRUPTION_TYPES
+from ..sources import tables
 from .views import AS_OF_EVENTS, view, with_views
 
 ALIASES = {"promo": "promotion", "economy": "saver", "standard": "plain"}  # for the part types of the tables
@@ -92,6 +93,7 @@ QUERIES = {
     "c_events": lambda s, sf: clean.clean_events(_dirty(s, sf)),
     "c_interruptions": lambda s, sf: clean.clean_interruptions(view(s, sf, "interruptions")),
     "c_tasks": lambda s, sf: clean.clean_tasks(view(s, sf, "tasks"), ALIASES).select("task_id", "status", "category", "priority", "is_anomaly"),
+    "c12_written_and_counted": lambda s, sf: tables.write_cleaned(_dirty(s, sf), view(s, sf, "interruptions"), _odd_tasks(s, sf), ALIASES, tables.scratch_path(s, "cleaned")),
     "c12_cleaning_report": lambda s, sf: clean.cleaning_report(_dirty(s, sf), view(s, sf, "interruptions"), _odd_tasks(s, sf), ALIASES),
     "c1_to_utc": lambda s, sf: clean.to_utc(_stamped(s, sf), ["event_time"]),
     "c9_category_aliases": aliased,
@@ -142,3 +144,4 @@ SQL = {
       SELECT *, CAST(hour(coalesce(created_at, started_at)) AS INT) AS hour, hour(coalesce(created_at, started_at)) >= 21 OR hour(coalesce(created_at, started_at)) <= 4 AS is_late, isodow(coalesce(created_at, started_at)) >= 6 AS is_weekend FROM g""", "task_events"),
     "t10_nearby_interruptions": with_views(_NEARBY, "task_events", "interruptions"),
 }
+SQL["c12_written_and_counted"] = SQL["c12_cleaning_report"]

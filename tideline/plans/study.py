@@ -14,6 +14,7 @@ _T = lambda s, sf: view(s, sf, "tasks")
 _O = lambda s, sf: s.read.parquet(f"{sf}/orders.parquet")
 _L = lambda s, sf: s.read.parquet(f"{sf}/lineitem.parquet")
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+STEPPED = ["l_quantity", "l_discount", "l_tax"]  # few distinct values, so that SQL can compare all pairs of them
 SESSION_MEASURES = ["focused_time_seconds", "interruption_time_seconds", "context_switch_count", "interruption_count"]
 
 
@@ -46,6 +47,13 @@ def _pairs_sql(cols, table):
     return " UNION ALL ".join(c)
 
 
+def _tau_sql(cols, table):
+    """Kendall's tau-b over all pairs of distinct values, weighted by their rows."""
+    one = """(WITH c AS (SELECT {a} AS x, {b} AS y, CAST(count(*) AS DOUBLE) AS n FROM {t} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL)
+      SELECT '{a}' AS a, '{b}' AS b, round(sum(p.n * q.n * sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(p.n * q.n) FILTER (p.x <> q.x)) / sqrt(sum(p.n * q.n) FILTER (p.y <> q.y)), 6) AS r FROM c AS p, c AS q)"""
+    return " UNION ALL ".join(one.format(a=a, b=b, t=table) for i, a in enumerate(cols) for b in cols[i + 1 :])
+
+
 def _ev(name, src, risk, of=None, **fields):
     subjects = lambda k: f"coalesce({of[k]}, '')" if k in (of or {}) else "CAST(NULL AS VARCHAR)"
     return " UNION ALL ".join(f"SELECT user_id, '{name}' AS insight, {risk} AS risk, {subjects(k)} AS subjects, '{k}' AS field, round(CAST({v} AS DOUBLE), 6) AS value FROM {src}" for k, v in fields.items())
@@ -96,6 +104,7 @@ _ALL_SQL = " UNION ALL ".join(f"SELECT * FROM (WITH {c} {q})" for c, q, _ in PAR
 QUERIES = {
     "s1_distribution": lambda s, sf: stats.distribution(_O(s, sf), "o_totalprice", "o_orderpriority", "o_orderstatus"),
     "s2_correlations": lambda s, sf: stats.correlations(_L(s, sf), MEASURES),
+    "s2_kendall": lambda s, sf: stats.kendall(_L(s, sf), STEPPED),
     "s2_rank_correlations": lambda s, sf: stats.correlations(_L(s, sf), MEASURES[2:] + ["l_quantity"], ranked=True),
     "s3_trend": lambda s, sf: stats.trend(_days(s, sf), "day", "n", "category"),
     "s4_compare": lambda s, sf: stats.compare(_O(s, sf), "o_totalprice", F.col("o_orderstatus") == "F"),
@@ -129,6 +138,7 @@ QUERIES = {
 SQL = {
     "s1_distribution": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 6) AS mean, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(stddev_samp(o_totalprice), 6) AS std, min(o_totalprice) AS low, max(o_totalprice) AS high, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 6) AS iqr, CASE WHEN count(*) >= 30 THEN 'HIGH' WHEN count(*) >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM orders GROUP BY ALL",
     "s2_correlations": _pairs_sql(MEASURES, "lineitem"),
+    "s2_kendall": _tau_sql(STEPPED, "lineitem"),
     "s2_rank_correlations": "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in MEASURES[2:] + ["l_quantity"]) + " FROM lineitem) " + _pairs_sql(MEASURES[2:] + ["l_quantity"], "r"),
     "s3_trend": with_views("""WITH d AS (SELECT category, CAST(created_at AS DATE) AS day, count(*) AS n FROM tasks GROUP BY ALL), x AS (SELECT category, n, day - min(day) OVER (PARTITION BY category) AS t FROM d),
       a AS (SELECT category, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(regr_slope(n, t), 6) END AS slope, CASE WHEN count(*) >= 5 THEN round(regr_intercept(n, t), 6) END AS intercept, CASE WHEN count(*) >= 5 THEN round(regr_r2(n, t), 6) END AS r2 FROM x GROUP BY category)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import clean
 from ..operators.metrics import upsert
 
 CSV_SCHEMAS = {
@@ -29,13 +30,43 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder, for steps that use it several times."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_cleaned(events: DataFrame, interruptions: DataFrame, tasks: DataFrame, aliases: dict[str, str], path: str) -> DataFrame:
+    """Clean three tables, write them below ``path`` as events, interruptions and tasks, and return the counts of
+    ``clean.cleaning_report``: they are observed in the pass that writes, so no table is read again for them.
+
+    Folders that exist are replaced; of a task that is run again, only one run's counts are taken."""
+    n, changed = F.count(F.lit(1)).alias("n"), F.col("event_type") != F.lower(F.trim("event_type"))
+    missing = lambda c: F.count_if(F.col(c).isNull())
+    flags = {"categories_normalised": "category_changed", "priorities_clamped": "priority_clamped", "anomalies_flagged": "is_anomaly"}
+    steps = {
+        "events": (events, clean.clean_events, {"types_normalised": F.count_if(changed)}, {}),
+        "interruptions": (interruptions, clean.clean_interruptions, {"durations_filled": missing("duration_seconds"), "ends_filled": missing("end_time")}, {}),
+        "tasks": (tasks, lambda d: clean.clean_tasks(d, aliases), {}, {k: F.count_if(c) for k, c in flags.items()}),
+    }
+    rows = []
+    for name, (raw, cleaned, before, after) in steps.items():
+        came, went = Observation(f"{name} in"), Observation(f"{name} out")
+        seen = raw.observe(came, n, *[c.alias(k) for k, c in before.items()])
+        cleaned(seen).observe(went, n, *[c.alias(k) for k, c in after.items()]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        out = went.get
+        into = came.get if out["n"] else dict.fromkeys(("n", *before), 0)  # Spark drops what lies below an empty result
+        rows.append((name, "duplicates_removed", into["n"] - out["n"]))
+        rows += [(name, k, (into if k in before else out)[k]) for k in (*before, *after)]
+    return events.sparkSession.createDataFrame(rows, "table_name string, operation string, rows long")
+
+
 def read_rows(spark: SparkSession, path: str, stamp: str, since: str | None = None, users: list | None = None, columns: list[str] | None = None) -> DataFrame:
     """Rows since a time and of some users; filter and columns are pushed to the Parquet scan."""
     d = spark.read.parquet(path)
