@@ -1,4 +1,4 @@
-"""Kendall's tau-b against all pairs, and counts observed while cleaned tables are written."""
+"""Kendall's tau-b against all pairs, counts observed while cleaned tables are written, and tables in buckets."""
 
 import math
 import random
@@ -6,7 +6,9 @@ import random
 import numpy as np
 import pytest
 
-from tideline.operators import clean, stats
+from pyspark.sql import functions as F
+
+from tideline.operators import clean, features, sessions, stats
 from tideline.plans import prepare
 from tideline.plans.views import view
 from tideline.sources import tables
@@ -63,3 +65,32 @@ def test_counts_are_observed_in_the_pass_that_writes(spark, tmp_path):
 def test_nothing_to_observe(spark, tmp_path):
     raw = [d.limit(0) for d in (prepare._dirty(spark, SF), view(spark, SF, "interruptions"), prepare._odd_tasks(spark, SF))]
     assert {r.rows for r in tables.write_cleaned(*raw, prepare.ALIASES, str(tmp_path)).collect()} == {0}
+
+
+def shuffles(d):
+    return d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("buckets", [3, 16])
+def test_tables_in_buckets_need_no_shuffle(spark, buckets):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks, events, interruptions = (view(spark, SF, v) for v in ("tasks", "task_events", "interruptions"))
+        users = tables.stored_by(tasks, "tasks", "user_id", "created_at", buckets=buckets)
+        of_task = [tables.stored_by(d, "rows", "task_id", buckets=buckets) for d in (events, interruptions)]
+        whole = lambda e, i: sessions.measured_sessions(sessions.lifecycle_sessions(e, "2030-01-01"), i)
+        for d, want in ((features.task_features(users), features.task_features(tasks)), (sessions.lifecycle_sessions(of_task[0], "2030-01-01"), sessions.lifecycle_sessions(events, "2030-01-01")), (whole(*of_task), whole(events, interruptions))):
+            assert shuffles(want) > shuffles(d)
+            assert sorted(map(str, d.select(*sorted(d.columns)).collect())) == sorted(map(str, want.select(*sorted(d.columns)).collect()))
+        assert shuffles(features.task_features(users)) == shuffles(sessions.lifecycle_sessions(of_task[0], "2030-01-01")) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_buckets_of_nulls_and_nothing(spark):
+    d = spark.createDataFrame([(None, 1), (7, 2), (7, None)], "user_id long, n int")
+    for rows in (d, d.limit(0)):
+        got = tables.stored_by(rows, "few", "user_id", buckets=4)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+        assert shuffles(got.groupBy("user_id").agg(F.count("*"))) == 0

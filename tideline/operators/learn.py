@@ -284,11 +284,16 @@ def apply_calibration(best: DataFrame, scored: DataFrame, p: str = "p") -> DataF
 
 
 def model_importance(model: PipelineModel, df: DataFrame, features: str = "features") -> DataFrame:
-    """(feature, importance) of a tree model's own importances, or the absolute coefficients of a linear one."""
+    """(feature, importance) of a tree model's own importances, or the absolute coefficients of a linear one, by the
+    columns that ``fit`` was given; a category is column=value."""
     last = model.stages[-1]
     values = (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray()
     attrs = model.transform(df).schema[features].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
+    inputs = {x.getOutputCol(): x.getInputCols() for x in model.stages if isinstance(x, VectorAssembler)}
+    for c in inputs.get(features, []):
+        names = {i: n.replace(f"{c}_", f"{c.removesuffix('_v')}=", 1) if n.startswith(f"{c}_") and c.endswith("_v") else n for i, n in names.items()}
+    names |= {i: c.removesuffix("_i") for i, c in enumerate(inputs.get("_numbers", []))}  # come first
     return df.sparkSession.createDataFrame([(names.get(i, f"f{i}"), float(abs(v))) for i, v in enumerate(values)], "feature string, importance double")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import features, learn, stats
-from ..sources.tables import shared_dir, stored
+from ..sources.tables import shared_dir, stored, stored_by
 from .views import AS_OF_EVENTS, view, with_views
 from .work import S, ST, STC, _interruptions, _sessions, _status, _tasks_of_events
 
@@ -169,6 +169,7 @@ def _act(name, agg, src, t, lo=None):
 
 
 QUERIES = {
+    "k8_features_of_buckets": lambda s, sf: features.task_features(stored_by(_T(s, sf), "tasks", "user_id", "created_at")).select("task_id", *FEATURES),
     "f_task_features": lambda s, sf: _features(s, sf).select("task_id", *FEATURES),
     "f_resolved_asof": lambda s, sf: features.resolved_asof_rate(_T(s, sf)),
     "f_activity_features": lambda s, sf: features.activity_features(_points(s, sf), view(s, sf, "task_events"), view(s, sf, "interruptions"), _sessions(s, sf), _status(s, sf)),
@@ -248,3 +249,4 @@ SQL = {
     "l23_importance": "WITH m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in WEIGHTS) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(abs({w} * ({c} - m_{c}))), 6) AS importance FROM lineitem, m" for c, w in WEIGHTS.items()),
     "l24_precision_at": "WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey))[1:3] AS top, list(DISTINCT l_partkey) FILTER (l_quantity > 25) AS rel FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, round(coalesce(len(list_intersect(top, coalesce(rel, []))) / nullif(len(top), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(len(list_intersect(top, coalesce(rel, []))) / nullif(len(rel), 0)::DOUBLE, 0), 6) AS recall FROM g",
 }
+SQL["k8_features_of_buckets"] = SQL["f_task_features"]

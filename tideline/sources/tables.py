@@ -42,6 +42,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, *order: str, buckets: int | None = None, path: str | None = None) -> DataFrame:
+    """``df`` as a table of ``buckets`` buckets by ``key``, one file each, sorted by ``key`` and ``order``: windows, groups
+    and joins by the key, or by it and more, read it without a shuffle, however often they do.
+
+    ``path`` defaults to a new one in the shared folder, ``buckets`` to the session's shuffle partitions; tables that are
+    joined need the same number. Rows of one key are one bucket's; sorted files let filters on the key skip row groups."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).option("path", path or scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_cleaned(events: DataFrame, interruptions: DataFrame, tasks: DataFrame, aliases: dict[str, str], path: str) -> DataFrame:
     """Clean three tables, write them below ``path`` as events, interruptions and tasks, and return the counts of
     ``clean.cleaning_report``: they are observed in the pass that writes, so no table is read again for them.
