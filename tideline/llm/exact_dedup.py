@@ -105,7 +105,10 @@ def filters(keys: DataFrame, store: str | None = None) -> DataFrame:
 
 
 def screen(keys: DataFrame, built: DataFrame) -> DataFrame:
-    """The distinct keys (key long) that a snapshot's filters let through."""
+    """The distinct keys (key long) that a snapshot's filters let through.
+
+    A bucket's share of a batch that is larger than the snapshot is dealt to as many groups, each with a copy of the
+    filter, as leave about ``BUCKET`` keys to one; so no task holds more, and the copies grow with the batch only."""
 
     def look(of: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         key = rows["key"].to_numpy(np.int64)
@@ -115,8 +118,10 @@ def screen(keys: DataFrame, built: DataFrame) -> DataFrame:
         return pd.DataFrame({"key": key[found]})
 
     buckets = (built.agg(F.max("buckets")).first()[0]) or 1
-    rows = keys.select("key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"))
-    return built.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(look, "key long")
+    salts = max(1, -(-keys.count() // (buckets * BUCKET)))
+    rows = keys.select("key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
+    copies = built.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return copies.groupBy("bucket", "salt").cogroup(rows.groupBy("bucket", "salt")).applyInPandas(look, "key long")
 
 
 def normalised(text: str = "text") -> Column:
