@@ -173,6 +173,10 @@ QUERIES = {
     "f_task_features": lambda s, sf: _features(s, sf).select("task_id", *FEATURES),
     "f_resolved_asof": lambda s, sf: features.resolved_asof_rate(_T(s, sf)),
     "f_activity_features": lambda s, sf: features.activity_features(_points(s, sf), view(s, sf, "task_events"), view(s, sf, "interruptions"), _sessions(s, sf), _status(s, sf)),
+    # Histories in chunks: few users have more rows than these here, so the chunks are small.
+    "f_task_features_in_chunks": lambda s, sf: features.task_features(stored(_T(s, sf), "tasks"), chunk=8).select("task_id", *FEATURES),
+    "f_resolved_asof_in_chunks": lambda s, sf: features.resolved_asof_rate(stored(_T(s, sf), "tasks"), chunk=8),
+    "f_activity_in_chunks": lambda s, sf: features.activity_features(_points(s, sf), stored(view(s, sf, "task_events"), "events"), view(s, sf, "interruptions"), stored(_sessions(s, sf), "sessions"), stored(_status(s, sf), "tasks"), chunk=200),
     "f20_user_features": lambda s, sf: features.user_features(_status(s, sf), _interruptions(s, sf), _sessions(s, sf), "2024-01-15"),
     "f21_location_features": lambda s, sf: features.location_features(_T(s, sf), "1998-01-01"),
     "f22_online_features": lambda s, sf: features.online_features(_tasks_of_events(s, sf), _interruptions(s, sf), _sessions(s, sf)),
@@ -249,4 +253,6 @@ SQL = {
     "l23_importance": "WITH m AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in WEIGHTS) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(abs({w} * ({c} - m_{c}))), 6) AS importance FROM lineitem, m" for c, w in WEIGHTS.items()),
     "l24_precision_at": "WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey))[1:3] AS top, list(DISTINCT l_partkey) FILTER (l_quantity > 25) AS rel FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, round(coalesce(len(list_intersect(top, coalesce(rel, []))) / nullif(len(top), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(len(list_intersect(top, coalesce(rel, []))) / nullif(len(rel), 0)::DOUBLE, 0), 6) AS recall FROM g",
 }
-SQL["k8_features_of_buckets"] = SQL["f_task_features"]
+SQL["k8_features_of_buckets"] = SQL["f_task_features_in_chunks"] = SQL["f_task_features"]
+SQL["f_resolved_asof_in_chunks"] = SQL["f_resolved_asof"]
+SQL["f_activity_in_chunks"] = SQL["f_activity_features"]
