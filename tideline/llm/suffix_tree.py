@@ -102,6 +102,14 @@ def _seen(shared: tuple, keys: np.ndarray) -> np.ndarray:
     return here
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """A place of each distinct value."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    return order[new]
+
+
 def _after(here: np.ndarray) -> np.ndarray:
     """Whether a position and the one before it are marked."""
     return here & np.concatenate([[False], here[:-1]])
@@ -132,7 +140,7 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
     def distinct():
         rows = np.concatenate(got)
-        return rows[np.unique(rows[:, 0], return_index=True)[1]]
+        return rows[_firsts(rows[:, 0])]
 
     def batch_of(rows):
         return _sent(*zip(("key", "ctx", "low", "up", "d"), rows.T))
@@ -145,7 +153,7 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
                 here = (_after(here) if d > 1 else here) & (k >= d)
                 here[here] = _seen(shared, g[d][here])
                 at = np.flatnonzero(here)
-                at = at[np.unique(g[d][at], return_index=True)[1]]
+                at = at[_firsts(g[d][at])]
                 up = signed(g[d - 2][at - 1]) if d > 1 else np.zeros(len(at), np.int64)
                 got.append(np.stack([signed(g[d][at]), signed(g[d - 1][at - 1]), signed(g[d - 1][at]), up, np.full(len(at), d)], 1))
                 size += len(at)
@@ -239,10 +247,7 @@ def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
     def distinct():
         rows = np.concatenate(got)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(1)
-        return rows[new]
+        return rows[_firsts(rows[:, 1].view(U64) ^ mix(rows[:, 0].view(U64)))]
 
     def batch_of(rows):
         return _sent(("block", rows[:, 0]), ("key", rows[:, 1]))
@@ -254,9 +259,9 @@ def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             where = np.repeat(block[p.row : p.row + p.rows], np.diff(p.begin) + 1)
             for d, x in enumerate(g):
                 at = np.flatnonzero((k >= d) & _seen(shared, x)) if d else np.arange(len(x))
-                u, first = np.unique(x[at] ^ mix(where[at].astype(U64)), return_index=True)
-                got.append(np.stack([where[at[first]], signed(x[at[first]])], 1))
-                size += len(first)
+                at = at[_firsts(x[at] ^ mix(where[at].astype(U64)))]
+                got.append(np.stack([where[at], signed(x[at])], 1))
+                size += len(at)
             if size > 2 * HELD:
                 got = [distinct()]
                 size = len(got[0])

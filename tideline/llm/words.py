@@ -16,6 +16,7 @@ PIECE = 1 << 20  # bytes of text handled at a time; a longer text is a piece of
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes that words consist of.
@@ -33,11 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int, kept: list = [np.ones(1, U64)]) -> np.ndarray:  # noqa: B006
-    while len(kept[0]) < n:
-        p = kept[0]
-        kept[0] = np.concatenate([p, p * (p[-1:] * _BASE)])
-    return kept[0]
+def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
+    """base ** 0, 1, ..., n - 1 at least; those of a usual piece are kept."""
+    p = kept.get(base, np.ones(1, U64))
+    while len(p) < n:
+        p = np.concatenate([p, p * (p[-1:] * U64(base))])
+        if len(p) <= 2 * PIECE:
+            kept[base] = p
+    return p
 
 
 @dataclass
@@ -79,13 +83,31 @@ def pieces(col: pa.Array | pa.ChunkedArray, inside: np.ndarray, size: int = PIEC
         row = last
 
 
+def _hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of each word the sum of value * _BASE ** place in it: from running sums over places in some words' bytes, moved to
+    the word's own places by the inverse."""
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + 2 * PIECE, "right")))
+        at, n = start[i], int(stop[j - 1] - start[i])
+        total = np.zeros(n + 1, U64)
+        term = _VALUE[b[at : at + n]]
+        term *= _powers(_BASE, n)[:n]
+        np.cumsum(term, out=total[1:])
+        first = start[i:j] - at
+        out[i:j] = (total[stop[i:j] - at] - total[first]) * _powers(_INVERSE, n)[first]
+        i = j
+    return out
+
+
 def _piece(raw: np.ndarray, off: np.ndarray, inside: np.ndarray, row: int) -> Piece:
-    b = _LOWER[raw]
+    lower = raw.tobytes().translate(_LOWER.tobytes())
+    b = np.frombuffer(lower, np.uint8)
     rows, n = len(off) - 1, len(b)
     if not n:
         none = np.zeros(0, np.int64)
         return Piece(row, rows, np.zeros(0, U64), np.zeros(rows + 1, np.int64), b, none, none, raw, off)
-    word = inside[b]
+    word = np.frombuffer(lower.translate(inside.tobytes()), bool)
     edge = np.zeros(n + 1, bool)
     edge[off] = True  # a text ends here
     before = np.concatenate([[False], word[:-1]])
@@ -95,14 +117,7 @@ def _piece(raw: np.ndarray, off: np.ndarray, inside: np.ndarray, row: int) -> Pi
     begin = np.searchsorted(start, off)
     if not len(start):
         return Piece(row, rows, np.zeros(0, U64), begin, b, start, stop, raw, off)
-    b0, w0 = b[start[0] :], word[start[0] :]
-    at = np.arange(len(b0)) - np.repeat(start - start[0], np.diff(np.append(start, n)))
-    at[~w0] = 0
-    term = _VALUE[b0]
-    term *= _powers(int((stop - start).max()))[at]
-    term[~w0] = 0
-    h = np.add.reduceat(term, start - start[0])
-    return Piece(row, rows, mix(h + (stop - start).astype(U64)), begin, b, start, stop, raw, off)
+    return Piece(row, rows, mix(_hashes(b, start, stop) + (stop - start).astype(U64)), begin, b, start, stop, raw, off)
 
 
 def grams(p: Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
