@@ -51,3 +51,13 @@ def test_filters_of_a_snapshot_are_kept(spark, docs, tmp_path):
     before = sorted(bytes(r.prints) for r in kept.collect())
     assert sorted(map(tuple, E.exact_dedup(rows, store=f"{tmp_path}/f").collect())) == first == brute(ROWS)
     assert sorted(bytes(r.prints) for r in kept.collect()) == before
+
+
+def test_batch_larger_than_the_snapshot_is_dealt_to_more_groups(spark, docs, monkeypatch):
+    monkeypatch.setattr(E, "BUCKET", 4)
+    keys = spark.range(200).select(F.xxhash64("id").alias("key"))
+    few = keys.limit(3)
+    got = E.screen(keys, E.filters(few))
+    found = [r.key for r in got.collect()]
+    assert len(found) == len(set(found)) and {r.key for r in few.collect()} <= set(found) and len(found) < 20
+    assert sorted(map(tuple, E.exact_dedup(E.in_batches(docs(ROWS))).collect())) == brute(ROWS)
