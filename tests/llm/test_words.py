@@ -27,3 +27,16 @@ def test_long_words_and_texts_hash_as_short_ones():
         (p,) = W.pieces(pa.array([text]), W.SPACED)
         known = {t: int(next(W.pieces(pa.array([t]), W.SPACED)).hashes[0]) for t in (word, "One", "z")}
         assert [int(h) for h in p.hashes] == [known[t] for t in text.split()]
+
+
+def test_long_words_of_repeating_structure_differ():
+    word = "ab"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        hashes = [h for p in W.pieces(pa.array([word, other, f"x {word.upper()}"]), W.SPACED, 64) for h in p.hashes.tolist()]
+        a, b, _, c = hashes
+        assert a != b and a == c
+    many = [word[i : i + 70] for i in range(0, 600)] * 2
+    (p,) = W.pieces(pa.array([" ".join(many)]), W.SPACED)
+    assert len(set(p.hashes.tolist())) == len(set(many))
