@@ -94,3 +94,10 @@ def test_buckets_of_nulls_and_nothing(spark):
         got = tables.stored_by(rows, "few", "user_id", buckets=4)
         assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
         assert shuffles(got.groupBy("user_id").agg(F.count("*"))) == 0
+
+
+def test_cramers_v_of_many_million_rows(spark):
+    # 12 million rows a cell on the diagonal: o * o * n leaves a long
+    one = spark.range(24_000_000).select((F.col("id") % 2).alias("a"), (F.col("id") % 2).alias("b"))
+    got = stats.cramers_v(one, "a", "b").first()
+    assert (got.chi2, got.v, got.association) == (24_000_000.0, 1.0, "strong")

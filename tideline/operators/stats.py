@@ -196,7 +196,8 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     n = cells.agg(F.sum("o").alias("n"))
     # sum over the grid of (o - e)^2 / e = sum of o^2 / e over filled cells - n
     d = cells.join(ra, a).join(rb, b).crossJoin(F.broadcast(n))  # one row
-    chi = d.agg((F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("n_0") * F.col("n_1"))) - F.first("n")).alias("chi2"), F.first("n").alias("n"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c"))
+    of = lambda c: F.col(c).cast("double")  # noqa: E731  # o * o * n leaves a long at some million rows
+    chi = d.agg((F.sum(of("o") * of("o") * of("n") / (of("n_0") * of("n_1"))) - F.first("n")).alias("chi2"), F.first("n").alias("n"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c"))
     k = F.least("r", "c") - 1
     v = F.when((k > 0) & (F.col("n") > 0), F.sqrt(F.greatest(F.lit(0.0), F.col("chi2")) / (F.col("n") * k))).otherwise(0.0)
     return chi.select(r6(F.col("chi2")).alias("chi2"), r6(v).alias("v"), F.when(v < 0.1, "negligible").when(v < 0.3, "weak").when(v < 0.5, "moderate").otherwise("strong").alias("association"))
