@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
 from tideline.operators import associate
 
 
@@ -94,3 +95,13 @@ def test_detectors_and_ranking(spark):
     assert score[1, "frequent_forgetting", "7"] == (round(0.09 + 0.1 + 0.1 + 0.05 + 0.025, 6), "MEDIUM")
     assert score[2, "context_switching", "2"] == (round(0.3 + 0.25 + 0.125 + 0.1, 6), "HIGH")
     assert score[1, "interruptions", "1"][1] == "MEDIUM"
+
+
+def test_equal_visits_are_recommended_for_once(spark, monkeypatch):
+    f = spark.createDataFrame([(["a"], ["b"], 0.5, 0.9, 2.0), (["a"], ["c"], 0.5, 0.8, 1.5), ([], ["d"], 0.4, 0.4, 1.0)], "antecedents array<string>, consequents array<string>, support double, confidence double, lift double").withColumn("weighted_confidence", F.col("confidence"))
+    v = spark.createDataFrame([(i, ["a"] if i else ["a", "b"]) for i in range(40)], "visit_id long, done array<string>")
+    made, stored = {}, associate.stored
+    monkeypatch.setattr(associate, "stored", lambda d, name: made.setdefault(name, stored(d, name)))
+    got = {(r.visit_id, r.position): r.task for r in associate.recommend(f, v, 0.0, 0.0, 0.0).collect()}
+    assert got == {(i, k + 1): t for i in range(40) for k, t in enumerate("bcd" if i else "cd")}
+    assert made["met"].count() == 3  # of two kinds of visits

@@ -138,8 +138,23 @@ def recommend(found: DataFrame, visits: DataFrame, confidence: float = 0.5, supp
     A rule meets visits through its rarest antecedent only, so a common task doesn't fan out. Rules without antecedents
     are read in the order of the ranking, as a threshold algorithm would: a done or hidden task, or one with another rule,
     can cost a visit one place each, so a visit stops after ``top`` more than it has of these, and each context's list is
-    cut where the longest visit stops."""
+    cut where the longest visit stops.
+
+    Without hidden tasks, visits to a context with the same tasks done have the same recommendations, which are made once
+    for all of them."""
     scope = ["context"] if "context" in found.columns and "context" in visits.columns else []
+    if hidden is None:
+        kinds = stored(visits.groupBy(*scope, "done").agg(F.min("visit_id").alias("visit_id")), "kinds")
+        best = _recommend(found, kinds, scope, confidence, support, lift, top, None)
+        made = [c for c in best.columns if c != "visit_id"]
+        lists = best.groupBy("visit_id").agg(F.collect_list(F.struct(*made)).alias("_made"))  # of ``top`` at most
+        with_lists = kinds.join(lists, "visit_id").drop("visit_id")
+        d = visits.select("visit_id", *scope, "done").join(with_lists, [*scope, "done"])
+        return d.select("visit_id", F.inline("_made")).select("visit_id", *made)
+    return _recommend(found, visits, scope, confidence, support, lift, top, hidden)
+
+
+def _recommend(found: DataFrame, visits: DataFrame, scope: list[str], confidence: float, support: float, lift: float, top: int, hidden: DataFrame | None) -> DataFrame:
     ok = found.where((F.col("confidence") >= confidence) & (F.col("support") >= support) & (F.col("lift") >= lift))
     ok = ok.withColumn("rid", F.xxhash64(*scope, "antecedents", "consequents")).withColumn("w", F.coalesce("weighted_confidence", "confidence"))
     one = visits.select("visit_id", *scope, "done", F.explode("done").alias("item"))
