@@ -101,3 +101,29 @@ def test_cramers_v_of_many_million_rows(spark):
     one = spark.range(24_000_000).select((F.col("id") % 2).alias("a"), (F.col("id") % 2).alias("b"))
     got = stats.cramers_v(one, "a", "b").first()
     assert (got.chi2, got.v, got.association) == (24_000_000.0, 1.0, "strong")
+
+
+def test_tables_are_spread_by_the_size_of_their_files(spark, tmp_path):
+    spark.range(1000).withColumn("v", F.rand(1)).repartition(3).write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    few, many = tables.spread_by(d, "id"), tables.spread_by(d, "id", each=1000)
+    assert few is d and many.rdd.getNumPartitions() > 8 and many.count() == 1000
+    plan = many.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    small = d.limit(10).withColumnRenamed("id", "k")
+    assert tables.spread_by(small, "k", of=d, each=1000).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+
+
+def test_baskets_and_features_of_large_tables_have_more_partitions(spark, monkeypatch):
+    from tideline.plans import model, views
+
+    spread = lambda d, *k, of=None: tables.spread_by(d, *k, of=of, each=10_000)
+    want = {n: sorted(map(str, view(spark, SF, n).collect())) for n in ("baskets", "visits")}
+    features = sorted(map(str, model.QUERIES["f_task_features"](spark, SF).collect()))
+    monkeypatch.setattr(views, "spread_by", spread)
+    monkeypatch.setattr(model, "spread_by", spread)
+    for n, rows in want.items():
+        d = view(spark, SF, n)
+        assert sorted(map(str, d.collect())) == rows and "REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()
+    d = model.QUERIES["f_task_features"](spark, SF)
+    assert sorted(map(str, d.collect())) == features and "REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import features, learn, stats
-from ..sources.tables import shared_dir, stored, stored_by
+from ..sources.tables import shared_dir, spread_by, stored, stored_by
 from .views import AS_OF_EVENTS, view, with_views
 from .work import S, ST, STC, _interruptions, _sessions, _status, _tasks_of_events
 
@@ -18,7 +18,12 @@ WEIGHTS = {"l_quantity": 0.02, "l_discount": 3.0, "l_tax": -2.0}
 
 
 def _features(s, sf):
-    return features.task_features(_T(s, sf))
+    return features.task_features(spread_by(_T(s, sf), "user_id"))
+
+
+def _model_input(s, sf):
+    """What the models are given, kept, as fits and splits read it many times; other features' windows aren't computed."""
+    return stored(_features(s, sf).select("task_id", "created_at", "category", *NUMBERS, "will_forget"), "features")
 
 
 def _scored(s, sf):
@@ -45,7 +50,7 @@ def _segments(s, sf):
 
 def fitted_and_chosen(s, sf):
     """Candidates fitted on train, measured on validation, and the chosen one; cross-validation is in l15."""
-    d = learn.chronological_split(stored(_features(s, sf), "features"), "created_at")
+    d = learn.chronological_split(_model_input(s, sf), "created_at")
     train, val = d.where("split = 'train'"), d.where("split = 'val'")
     out = []
     for model, params in (("logistic", {}), ("forest", {"numTrees": 20}), ("boosted", {"maxIter": 10})):
@@ -55,7 +60,7 @@ def fitted_and_chosen(s, sf):
 
 
 def cross_validated(s, sf):
-    d = stored(_features(s, sf), "features")
+    d = _model_input(s, sf)
     return learn.cv_summary(stored(learn.cross_validate(d, "created_at", "will_forget", lambda train, test: learn.score(learn.fit(train, [], NUMBERS, "will_forget"), test)), "folds"))
 
 
@@ -79,7 +84,7 @@ def _points(s, sf):
 
 def _fitted(model):
     def run(s, sf):
-        d = learn.temporal_split(_features(s, sf), "created_at", "task_id")
+        d = learn.temporal_split(_model_input(s, sf), "created_at", "task_id")
         train, test = d.where("split = 'train'"), d.where("split = 'test'")
         m = learn.fit(train, ["category"], NUMBERS, "will_forget", model, **({"numTrees": 20} if model == "forest" else {"maxIter": 10} if model == "boosted" else {}))
         return learn.ranking_quality(learn.score(m, test), "will_forget", "p").withColumn("model", F.lit(model))
@@ -97,13 +102,13 @@ def calibrated(s, sf):
 
 def importances(s, sf):
     """A forest's own importances, where attributions aren't at hand."""
-    d = _features(s, sf)
+    d = _model_input(s, sf)
     return learn.model_importance(learn.fit(d, [], NUMBERS, "will_forget", "forest", numTrees=10), d).withColumn("importance", F.round("importance", 6))
 
 
 def batch_scores(s, sf):
     """Fit, score the test rows and write them with reasons, then read what was written."""
-    d = learn.temporal_split(_features(s, sf), "created_at", "task_id")
+    d = learn.temporal_split(_model_input(s, sf), "created_at", "task_id")
     m = learn.fit(d.where("split = 'train'"), [], NUMBERS, "will_forget")
     weights = dict(zip(NUMBERS, m.stages[-1].coefficients.toArray().tolist()))
     path = f"{shared_dir(s)}/scores-{uuid.uuid4().hex}"
@@ -174,7 +179,7 @@ QUERIES = {
     "f_resolved_asof": lambda s, sf: features.resolved_asof_rate(_T(s, sf)),
     "f_activity_features": lambda s, sf: features.activity_features(_points(s, sf), view(s, sf, "task_events"), view(s, sf, "interruptions"), _sessions(s, sf), _status(s, sf)),
     # Histories in chunks: few users have more rows than these here, so the chunks are small.
-    "f_task_features_in_chunks": lambda s, sf: features.task_features(stored(_T(s, sf), "tasks"), chunk=8).select("task_id", *FEATURES),
+    "f_task_features_in_chunks": lambda s, sf: features.task_features(stored(spread_by(_T(s, sf), "user_id"), "tasks"), chunk=8).select("task_id", *FEATURES),
     "f_resolved_asof_in_chunks": lambda s, sf: features.resolved_asof_rate(stored(_T(s, sf), "tasks"), chunk=8),
     "f_activity_in_chunks": lambda s, sf: features.activity_features(_points(s, sf), stored(view(s, sf, "task_events"), "events"), view(s, sf, "interruptions"), stored(_sessions(s, sf), "sessions"), stored(_status(s, sf), "tasks"), chunk=200),
     "f20_user_features": lambda s, sf: features.user_features(_status(s, sf), _interruptions(s, sf), _sessions(s, sf), "2024-01-15"),
