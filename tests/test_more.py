@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tideline.operators import associate, clean, features, learn, metrics, patterns, stats
@@ -45,6 +46,21 @@ def test_fits_separate_what_can_be_separated(spark, model):
     assert q.roc_auc > 0.97 and q.f1 > 0.9 and q.rows == 400
 
 
+def test_fits_in_a_session_that_has_had_an_observation(spark):
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    d = labelled(spark)
+    for model in ("logistic", "forest", "boosted"):
+        m = learn.fit(d, ["c"], ["x", "z"], "y", model)
+        assert learn.evaluate(learn.score(m, d), "y", "p").first().roc_auc > 0.97, model
+    folds = learn.cross_validate(d, "day", "y", lambda train, test: learn.score(learn.fit(train, ["c"], ["x", "z"], "y"), test), 2)
+    assert {r.folds for r in learn.cv_summary(folds).collect()} == {2}
+    p = d.withColumn("p", F.least(F.greatest("x", F.lit(0.0)), F.lit(1.0)))
+    assert learn.calibrate(p, "y", "p", p).where("p_sigmoid BETWEEN 0 AND 1").count() == 400
+    assert learn.best_calibration(p, "y", "p").count() == 3
+
+
 def test_cross_validation_and_choice(spark):
     d = labelled(spark)
     folds = learn.cross_validate(d, "day", "y", lambda train, test: test.withColumn("p", F.least(F.greatest("x", F.lit(0.0)), F.lit(1.0))), 3).collect()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
-from ..sources.tables import stored
+from ..sources.tables import scratch_path, stored
 from .stats import quantiles
 
 
@@ -135,7 +135,18 @@ def fit(df: DataFrame, categorical: list[str], numeric: list[str], label: str, m
     common = {"labelCol": label, "weightCol": "weight", "featuresCol": "features"}
     last = {"logistic": lambda: LogisticRegression(**common, maxIter=50, **params), "forest": lambda: RandomForestClassifier(**common, seed=seed, **{"numTrees": 50, "maxDepth": 8} | params), "boosted": lambda: GBTClassifier(**common, seed=seed, **{"maxIter": 20, "maxDepth": 4} | params)}[model]()
     weighted = positive_weights(df, label) if model == "boosted" else class_weights(df, label)
-    return Pipeline(stages=preprocess(df, categorical, numeric, model == "logistic") + [last]).fit(weighted)
+    fitted = Pipeline(stages=preprocess(df, categorical, numeric, model == "logistic") + [last]).fit(weighted)
+    return PipelineModel([*fitted.stages[:-1], unbound(fitted.stages[-1], df)])
+
+
+def unbound(model, df: DataFrame):
+    """The model as it is saved, without the summary of its training: that holds the session, which Spark can't send to
+    tasks together with the model once the session has had an ``Observation``."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = scratch_path(df.sparkSession, "model")
+    model.write().save(path)
+    return type(model).load(path)
 
 
 def positive_weights(df: DataFrame, label: str) -> DataFrame:
@@ -262,7 +273,7 @@ def calibrate(val: DataFrame, label: str, p: str, to: DataFrame) -> DataFrame:
     sig = LogisticRegression(featuresCol="_f", labelCol=label, probabilityCol="_sp", rawPredictionCol="_sr", predictionCol="_sy")
     a = VectorAssembler(inputCols=[p], outputCol="_f")
     v, t = a.transform(val), a.transform(to)
-    d = sig.fit(v).transform(iso.fit(v).transform(t))
+    d = unbound(sig.fit(v), v).transform(iso.fit(v).transform(t))
     return d.withColumn("p_sigmoid", vector_to_array("_sp")[1]).drop("_f", "_sp", "_sr", "_sy")
 
 
