@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tideline.llm import substring_dedup as S
 
@@ -154,3 +156,44 @@ def test_pieces_of_a_chain():
     seeds = np.array([10, 40, 90, 160, 200, 390, 410, 900])
     got = S.local_pieces(a, b, seeds, seeds)
     assert [(lo, hi) for lo, hi, _ in got] == [(0, 3), (3, 8)] and got[1][2] == 5
+
+
+def test_common_seeds_meet_all_that_share_the_next_one(spark):
+    rng = random.Random(10)
+    rows = sorted({(rng.choice([1, 2, 2, 2, *range(3, 40)]), rng.choice([0, 17, 35, 50]), rng.randrange(12), rng.randrange(10**6), rng.randrange(9)) for _ in range(400)})
+    classes, pairs = {}, {}
+    for r in rows:
+        classes.setdefault(r[:3], r)
+        pairs.setdefault(r[:2], set())
+    for r in classes.values():
+        pairs[r[:2]].add(r[3:])
+    star = {frozenset((r[3:], classes[r[:3]][3:])) for r in rows if classes[r[:3]] != r}
+    for size in (1, 7, 400):
+        cols = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=list("abcde"))
+        out = [r for b in S._meet(iter([cols(rows[i : i + size]) for i in range(0, len(rows), size)])) for r in b.to_pylist()]
+        assert star <= {frozenset(((r["row"], r["pos"]), (r["anchor"], r["apos"]))) for r in out if r["key"] is None}
+        shared = [(r["key"], r["after"], r["row"], r["pos"]) for r in out if r["key"] is not None]
+        assert len(set(shared)) == len(shared)
+        assert {x for x in shared if len(pairs[x[:2]]) > 2} == {(*k, *x) for k, firsts in pairs.items() if k[1] and len(firsts) > 2 for x in firsts}
+    bare = {x for x in shared if x[2] % 3 == 0}
+    spans = [(x[2], x[3], x[3] + (x[1] & 15) + S.K) for x in shared if x not in bare] + [(x[2], x[3] + 1, x[3] + 90) for x in bare]
+    want = {frozenset((a[2:], b[2:])) for a in shared for b in shared if a > b and a[:2] == b[:2] and (a in bare or b in bare) and len(pairs[a[:2]]) > 2}
+    got = S.crossed(spark.createDataFrame(shared, "key long, after int, row long, pos int"), spark.createDataFrame(spans, "row long, start int, stop int"), 3).collect()
+    assert {frozenset(((r.row, r.pos), (r.anchor, r.apos))) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("how", [{}, {"many": 3}])
+def test_passages_of_common_sentences_are_found(spark, how):
+    """Pairs of documents share two sentences in a row; each sentence is too short for a passage and stands in 40 others."""
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    sentences = [text(34) for _ in range(12)]
+    rows = [(1000 * k + i, " ".join(text(20) + s + text(20))) for k, s in enumerate(sentences) for i in range(40)]
+    for k in range(12):
+        both = sentences[k] + sentences[(5 * k + 3) % 12] if (5 * k + 3) % 12 != k else sentences[k] + sentences[(k + 1) % 12]
+        rows += [(10**6 + 2 * k + side, " ".join(text(25 + side) + both + text(30))) for side in (0, 1)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_repeated for r in S.substring_dedup(d, **how).where("repeated").collect()}
+    assert set(got) == {10**6 + i for i in range(24)}
+    assert all(68 <= n <= 74 for n in got.values())

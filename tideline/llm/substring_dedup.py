@@ -1,12 +1,14 @@
 """Substring duplicates: fuzzy passages that documents share, by collinear chaining of k-mer seeds.
 
 Seeds are the minimisers of a text's 6-word hashes, the smallest of every 12 in a row, so every shared run of 17 words has
-one. The occurrences of a seed are not matched to all others but, at a cost linear in their number, to two: in the order of what
-follows (the next seed of the text), which brings together those that share more than this seed, to the seed's first
-occurrence and to the one before. Both are done within a batch, from which one occurrence for each seed and next seed goes
-on, and over the corpus, where a task holds two occurrences of a seed at a time, however common it is. Of a text, the first occurrence of each seed takes
-part in this; one that it has again is matched to its occurrence before, if that is a passage's length away, so repeats
-within one document are found as well, on few diagonals.
+one. Occurrences of a seed after which the same 40 words follow are a class: its first one, in a batch and then in the
+corpus, is matched to all others of the class and stands for them. In the order of what follows, which brings together
+those that share more than this seed, the firsts are matched to the seed's first occurrence and to the one before. Where two
+seeds in a row that several firsts share don't lie within a passage that was found so, each such occurrence meets all other
+firsts of the two seeds, in blocks of bounded size, two at a time. So whatever two texts share in two seeds in a row, as in
+any 29 words in a row, is compared, directly or through passages that cover it, however common the seeds are. Of a text, the first occurrence
+of each seed and next seed takes part in this; one that it has again is matched to its occurrence before, if that is a
+passage's length away, so repeats within one document are found as well, on few diagonals.
 
 The matches of two documents are chained in order, with a cost for each skipped word, through a Fenwick tree over
 positions in the other document (Abouelhoda and Ohlebusch 2005). The words of each chain are then aligned: gaps between
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, screened
 from .shared import read_table, text_of, written
-from .words import SPACED, Piece, grams, lists, pieces, signed
+from .words import SPACED, Piece, grams, lists, pieces, signed, span_hash
 
 K, W = 6, 12
 LEAST, ALIKE = 40, 0.8  # words and similarity of a passage
@@ -38,6 +40,7 @@ SKIP = 0.1  # cost of a skipped word, where a seed gains K
 BRIDGE = LEAST // 2  # words that don't agree and yet may lie within a passage
 GAP = 128  # words between seeds that are compared; longer ones that differ end a passage
 REACH = 64  # words beyond a chain that are fetched at first; more where the extension needs them
+MANY = 1024  # occurrences of two seeds in a row in a block
 
 
 def seeds(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,67 +61,97 @@ def seeds(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], g[at], at - p.begin[doc[at]]
 
 
-_MATCH = "row long, pos int, anchor long, apos int"
+_MATCH = "row long, pos int, anchor long, apos int, gap int"
+_NAMES = ["row", "pos", "anchor", "apos", "gap"]
 
 
-def _anchor(rows: np.ndarray, held: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, after, row, pos) rows in this order to matches (row, pos, anchor, apos): each row's to its key's first one and
-    to the one before; within a document only at a distance. ``held`` has the first and the last row of the key that the
-    rows before ended with. Also returns which rows are the first of their (key, after), and what to hold."""
-    if not len(rows):
-        return np.zeros((0, 4), np.int64), np.zeros(0, bool), held
-    front = 2 if len(held) and held[0, 0] == rows[0, 0] else 0
+def _matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Pairs of (key, after, far, row, pos) to (row, pos, anchor, apos, gap), the gap being that to a next seed which both
+    have, or 0; within a document only at a distance."""
+    gap = np.where(a[:, 1] == b[:, 1], a[:, 1] & 15, 0)
+    x, y = a[:, 3:], b[:, 3:]
+    swap = ((x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1])))[:, None]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    ok = (x[:, 0] != y[:, 0]) | (x[:, 1] - y[:, 1] >= least)
+    return np.concatenate([x, y, gap[:, None]], 1)[ok]
+
+
+def _leads(rows: np.ndarray) -> np.ndarray:
+    """Of rows in order, the place of the first one of each row's (key, after, far)."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+    return np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+
+
+def _anchor(rows: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, after, far, row, pos) rows in this order to matches: each class's first one to its key's first one and to the
+    class before, other rows to their class's first. ``held`` has the key's first and the class's first that the rows before
+    ended with. Also returns the classes' firsts whose key and next seed may be shared by others, and what to hold."""
+    front = 2 if len(held) and len(rows) and held[0, 0] == rows[0, 0] else 0
     all_ = np.concatenate([held[:front], rows])
-    new_key, new_pair = np.ones(len(all_), bool), np.ones(len(all_), bool)
+    if not len(rows):
+        return np.zeros((0, 5), np.int64), rows, held
+    lead, at = _leads(all_), np.arange(len(all_))
+    new_key = np.ones(len(all_), bool)
     new_key[1:] = all_[1:, 0] != all_[:-1, 0]
-    new_pair[1:] = new_key[1:] | (all_[1:, 1] != all_[:-1, 1])
-    first = np.maximum.accumulate(np.where(new_key, np.arange(len(all_)), 0))
-    later = np.flatnonzero(~new_key & (np.arange(len(all_)) >= front))
-    x, y = np.concatenate([later, later]), np.concatenate([first[later], later - 1])
-    a, b = all_[x, 2:], all_[y, 2:]
-    swap = (a[:, 0] < b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] < b[:, 1]))
-    a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-    ok = (a[:, 0] != b[:, 0]) | (a[:, 1] - b[:, 1] >= least)
-    return np.unique(np.concatenate([a, b], 1)[ok], axis=0), new_pair[front:], all_[[first[-1], len(all_) - 1]]
+    first = np.maximum.accumulate(np.where(new_key, at, 0))
+    new = (lead == at) & (at >= front)
+    later, other = np.flatnonzero(new & ~new_key), np.flatnonzero(~new & (at >= front))
+    x, y = np.concatenate([later, later, other]), np.concatenate([first[later], lead[later - 1], lead[other]])
+    begin = np.flatnonzero(new_key | np.append(True, all_[1:, 1] != all_[:-1, 1]))
+    size = np.diff(np.append(begin, len(all_)))
+    several = size > 2  # of two, each met the other
+    several[:2] = several[-1:] = True  # may have begun or go on in other rows
+    shared = np.repeat(several, size) & new & (all_[:, 1] != 0)
+    return np.unique(_matches(all_[x], all_[y]), axis=0), all_[shared], all_[[first[-1], lead[-1]]]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row, text) to (doc_id, row, n_words, key, after, pos, lpos, anchor, apos): one occurrence of each seed and
-    next seed in a batch, and the matches of the others."""
+    """(doc_id, row, text) to (doc_id, row, n_words, key, after, far, pos, lpos, anchor, apos, lgap): one occurrence of each
+    class in a batch, and the matches of the others. ``after`` has 28 bits of the next seed and the distance to it."""
     for batch in batches:
-        n, rows, keys, nexts, pos = [], [], [], [], []
+        n, rows, keys, nexts, fars, pos = [], [], [], [], [], []
         for p in pieces(batch.column(2), SPACED):
             r, k, x = seeds(p)
             n.append(np.diff(p.begin))
             rows.append(r + p.row)
             keys.append(signed(k))
-            follows = np.append(k[1:], np.uint64(0)) if len(k) else k
-            nexts.append(signed(np.where(np.append(r[1:] == r[:-1], False), follows, np.uint64(0))) if len(k) else signed(k))
+            after = np.zeros(len(k), np.uint32)
+            same = np.flatnonzero(r[1:] == r[:-1])
+            after[same] = ((k[same + 1] >> np.uint64(36)) << np.uint64(4)).astype(np.uint32) | (x[same + 1] - x[same]).astype(np.uint32)
+            nexts.append(after.view(np.int32))
+            at = p.begin[r] + x
+            fars.append(signed(span_hash(p, at, np.minimum(at + LEAST, p.begin[r + 1]))))
             pos.append(x)
-        at, key, after, x, n = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (rows, keys, nexts, pos, n))
+        at, key, after, far, x, n = (np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (rows, keys, nexts, fars, pos, n))
         ids = batch.column(1).to_numpy()
-        rows = np.stack([key, after, ids[at], x], 1) if len(at) else np.zeros((0, 4), np.int64)
         order = np.lexsort((x, key, at))
-        again = np.zeros(len(at), bool)
-        again[order[1:]] = (at[order[1:]] == at[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
-        late, early = order[1:][again[order[1:]]], order[:-1][again[order[1:]]]
-        far = x[late] - x[early] >= LEAST
-        own = np.stack([ids[at[late]], x[late], ids[at[late]], x[early]], 1)[far]
-        once = np.flatnonzero(~again)
-        order = once[np.lexsort((x[once], ids[at[once]], after[once], key[once]))]
-        found, new, _ = _anchor(rows[order], rows[:0])
-        found = np.concatenate([found, own])
-        a, b, c, d = (np.ascontiguousarray(found[:, i]) for i in range(4))
-        lead = order[new]
-        lead = lead[np.argsort(at[lead], kind="stable")]
+        again = (at[order[1:]] == at[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+        late, early = order[1:][again], order[:-1][again]
+        distant = x[late] - x[early] >= LEAST
+        own = np.stack([ids[at[late]], x[late], ids[at[late]], x[early], np.zeros(len(late), np.int64)], 1)[distant]
+        once = np.ones(len(at), bool)
+        if len(late):  # the same next seed again
+            some = np.unique(np.concatenate([late, early]))
+            some = some[np.lexsort((x[some], after[some], key[some], at[some]))]
+            once[some[1:]] = (at[some[1:]] != at[some[:-1]]) | (key[some[1:]] != key[some[:-1]]) | (after[some[1:]] != after[some[:-1]])
+        once = np.flatnonzero(once)
+        whose = ids[at] if len(at) else at
+        order = once[np.lexsort((x[once], whose[once], far[once], after[once], key[once]))]
+        rows = np.stack([key[order], after[order], far[order], whose[order], x[order]], 1)
+        first = _leads(rows)
+        new = first == np.arange(len(rows))
+        found = np.concatenate([_matches(rows[~new], rows[first[~new]]), own])
+        lead = np.sort(order[new])  # in the order of texts
         begin = np.searchsorted(at[lead], np.arange(batch.num_rows + 1))
         place = {r: i for i, r in reversed(list(enumerate(ids)))}
-        where = np.array([place[r] for r in a], np.int64)
+        where = np.array([place[r] for r in found[:, 0]], np.int64)
         by = np.argsort(where, kind="stable")
         local = np.searchsorted(where[by], np.arange(batch.num_rows + 1))
+        b, c, d, gap = (np.ascontiguousarray(found[by, i]) for i in range(1, 5))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n), lists(key[lead], begin), lists(after[lead], begin), lists(x[lead].astype(np.int32), begin), lists(b[by].astype(np.int32), local), lists(c[by], local), lists(d[by].astype(np.int32), local)],
-            names=["doc_id", "row", "n_words", "key", "after", "pos", "lpos", "anchor", "apos"],
+            [batch.column(0), batch.column(1), pa.array(n), lists(key[lead], begin), lists(after[lead].astype(np.int32), begin), lists(far[lead], begin), lists(x[lead].astype(np.int32), begin), lists(b.astype(np.int32), local), lists(c, local), lists(d.astype(np.int32), local), lists(gap.astype(np.int32), local)],
+            names=["doc_id", "row", "n_words", "key", "after", "far", "pos", "lpos", "anchor", "apos", "lgap"],
         )
 
 
@@ -142,14 +175,49 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int, by: int) -> Iterator[
         yield held
 
 
+def _columns(found: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(found[:, i]).astype(kind)) for i, kind in enumerate((np.int64, np.int32, np.int64, np.int32, np.int32))]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, after, row, pos), in this order, to matches."""
-    held = np.zeros((0, 4), np.int64)
+    """(key, after, far, row, pos), in this order, to matches; and, with a key, to the firsts of classes whose two seeds in a
+    row others may share."""
+    names = [*_NAMES, "key", "after"]
+    held = np.zeros((0, 5), np.int64)
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
-        found, _, held = _anchor(rows, held)
-        a, b, c, d = (np.ascontiguousarray(found[:, i]) for i in range(4))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b.astype(np.int32)), pa.array(c), pa.array(d.astype(np.int32))], names=["row", "pos", "anchor", "apos"])
+        found, shared, held = _anchor(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], 1), held)
+        yield pa.RecordBatch.from_arrays([*_columns(found), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int32())], names=names)
+        key, after, _, row, pos = (np.ascontiguousarray(shared[:, i]) for i in range(5))
+        none = [pa.nulls(len(key), kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos.astype(np.int32)), *none, pa.array(key), pa.array(after.astype(np.int32))], names=names)
+
+
+def _cross(block: pa.Table) -> pa.Table:
+    """Matches between two blocks of a pair of seeds, or within one, of which one isn't covered."""
+    key, after, number, row, pos = (block.column(c).to_numpy().astype(np.int64) for c in ("key", "after", "block", "row", "pos"))
+    bare = ~block.column("covered").to_numpy(zero_copy_only=False)
+    rows = np.stack([key, after, np.zeros(len(key), np.int64), row, pos], 1)
+    a, b = np.flatnonzero(number == number.min()), np.flatnonzero(number == number.max())
+    x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+    ok = (bare[x] | bare[y]) & ((x < y) | (number[x] != number[y]))
+    return pa.Table.from_arrays(_columns(_matches(rows[x[ok]], rows[y[ok]])), names=_NAMES)
+
+
+def crossed(shared: DataFrame, spans: DataFrame, many: int = MANY) -> DataFrame:
+    """Matches of ``shared`` (key, after, row, pos), all pairs of one key and after of which one isn't covered by a span
+    (row, start, stop): in blocks of ``many``, two at a time."""
+    stop = F.col("pos") + F.col("after").bitwiseAND(15) + K
+    none = lambda *kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds]
+    both = shared.select("row", F.col("pos").alias("at"), F.lit(1).alias("kind"), stop.alias("stop"), "key", "after")
+    both = both.unionByName(spans.select("row", F.col("start").alias("at"), F.lit(0).alias("kind"), "stop", *none(("key", "long"), ("after", "int"))))
+    reach = F.max(F.when(F.col("kind") == 0, F.col("stop"))).over(Window.partitionBy("row").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    of = both.withColumn("covered", F.coalesce(reach >= F.col("stop"), F.lit(False))).where("kind = 1").select("key", "after", "row", F.col("at").alias("pos"), "covered")
+    of = written(of, "shared")
+    groups = of.groupBy("key", "after").agg(F.count("*").alias("n"), F.count_if(~F.col("covered")).alias("bare")).where("n > 2 AND bare > 0").select("key", "after", F.floor((F.col("n") - 1) / many).cast("int").alias("last"))
+    number = F.floor((F.row_number().over(Window.partitionBy("key", "after").orderBy("row", "pos")) - 1) / many).cast("int")
+    of = of.join(groups.hint("merge"), ["key", "after"]).withColumn("block", number)
+    of = of.withColumn("other", F.explode(F.expr("sequence(0, last)"))).select("key", "after", "block", "row", "pos", "covered", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return of.groupBy("key", "after", "i", "j").applyInArrow(_cross, _MATCH)
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -200,8 +268,11 @@ def one_chain(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches (anchor, row, x, y), sorted by pair of documents, to chains."""
-    for anchor, row, x, y in _runs(batches, 4, 2):
+    """Matches (anchor, row, x, y, gap), sorted by pair of documents, to chains."""
+    for anchor, row, x, y, gap in _runs(batches, 5, 2):
+        two = gap > 0  # the next seed is matched as well
+        anchor, row = (np.concatenate([v, v[two]]) for v in (anchor, row))
+        x, y = (np.concatenate([v, (v + gap)[two]]) for v in (x, y))
         order = np.lexsort((y, x, row, anchor))
         row, x, anchor, y = row[order], x[order].astype(np.int64), anchor[order], y[order].astype(np.int64)
         keep = np.ones(len(row), bool)
@@ -328,16 +399,26 @@ def _align(batches: Iterator[pa.RecordBatch], least: int, alike: float) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["pid", "row", "start", "stop", "anchor", "astart", "astop", "similarity", "again"])
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, alike: float = ALIKE) -> tuple[DataFrame, DataFrame]:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, alike: float = ALIKE, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, n_words) of every row, and (row, start, stop, anchor, astart, astop, similarity): words start to stop
     of document ``row`` are those of document ``anchor`` from astart to astop, but for some edits."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("row"), text_of(text_col).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
-    t = written(d.mapInArrow(_sketch, f"doc_id {kind}, row long, n_words long, key array<long>, after array<long>, pos array<int>, lpos array<int>, anchor array<long>, apos array<int>"), "seeds")
-    one = t.select("row", "after", "pos", F.posexplode("key").alias("i", "key")).select("key", F.expr("after[i]").alias("after"), "row", F.expr("pos[i]").alias("pos"))
-    matches = one.repartition("key").sortWithinPartitions("key", "after", "row", "pos").mapInArrow(_meet, _MATCH)
-    local = t.select("row", "anchor", "apos", F.posexplode("lpos").alias("i", "p")).select("row", F.col("p").alias("pos"), F.expr("anchor[i]").alias("anchor"), F.expr("apos[i]").alias("apos"))
-    pairs = matches.unionByName(local).select("anchor", "row", F.col("pos").alias("x"), F.col("apos").alias("y"))
+    t = written(d.mapInArrow(_sketch, f"doc_id {kind}, row long, n_words long, key array<long>, after array<int>, far array<long>, pos array<int>, lpos array<int>, anchor array<long>, apos array<int>, lgap array<int>"), "seeds")
+    one = t.select("row", "after", "far", "pos", F.posexplode("key").alias("i", "key")).select("key", F.expr("after[i]").alias("after"), F.expr("far[i]").alias("far"), "row", F.expr("pos[i]").alias("pos"))
+    met = written(one.repartition("key").sortWithinPartitions("key", "after", "far", "row", "pos").mapInArrow(_meet, f"{_MATCH}, key long, after int"), "matches")
+    local = t.select("row", "anchor", "apos", "lgap", F.posexplode("lpos").alias("i", "p")).select("row", F.col("p").alias("pos"), F.expr("anchor[i]").alias("anchor"), F.expr("apos[i]").alias("apos"), F.expr("lgap[i]").alias("gap"))
+    found = _found(d, met.where("key IS NULL").select(*_NAMES).unionByName(local), least, alike)
+    spans = found.select("row", "start", "stop").unionByName(found.select(F.col("anchor").alias("row"), F.col("astart").alias("start"), F.col("astop").alias("stop")))
+    rest = written(crossed(met.where("key IS NOT NULL").select("key", "after", "row", "pos"), spans, many), "rest")
+    if not rest.isEmpty():
+        found = found.unionByName(_found(d, rest, least, alike))
+    return t.select("doc_id", "row", "n_words"), found
+
+
+def _found(d: DataFrame, matches: DataFrame, least: int, alike: float) -> DataFrame:
+    """Passages of the texts ``d`` from matches."""
+    pairs = matches.select("anchor", "row", F.col("pos").alias("x"), F.col("apos").alias("y"), "gap")
     chained = pairs.repartition("anchor", "row").sortWithinPartitions("anchor", "row").mapInArrow(_chains, "row long, anchor long, xs array<int>, ys array<int>")
     chained = written(chained.withColumn("pid", F.monotonically_increasing_id()), "chains")
     found, reach, left = None, REACH, chained
@@ -347,7 +428,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         found = done if found is None else found.unionByName(done)
         again = got.where("again")
         if again.isEmpty():
-            return t.select("doc_id", "row", "n_words"), found
+            return found
         left, reach = chained.join(again.select("pid").hint("merge"), "pid", "left_semi"), reach * 8
 
 
