@@ -118,3 +118,17 @@ def test_scores_against_brute_force(spark, monkeypatch, size):
     vocabulary = [g[0] for g in c if len(g) == 1] + ["never seen"]
     for ctx in [(), *list(states)[:20], ("n1", "a", "b")]:
         assert abs(sum(p(ctx, w) for w in vocabulary) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("n", [1, 2, 1000])
+def test_keys_and_counts_are_packed(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, n), [-(2**63), 2**63 - 1][: n - 1]]).astype(np.int64))
+    assert S.unpacked_keys(S.packed_keys(keys)).tolist() == keys.tolist()
+    for top in (1, 256, 2**40, 2**53):
+        c = rng.integers(0, top, n)
+        assert S.unpacked(S.packed(c)).tolist() == c.tolist()
+    bucket = S._bucket(keys, 7)
+    assert (np.diff(bucket) >= 0).all() and 0 <= bucket.min() and bucket.max() < 7
+    many = np.unique(rng.integers(-(2**63), 2**63 - 1, 30000))
+    assert len(S.packed_keys(many)) < 7.1 * len(many)

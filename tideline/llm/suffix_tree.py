@@ -12,7 +12,8 @@ unknown words are one event, as in the unigram base.
 
 Each step's result is written, and its shuffles are dropped before the next one, so disk holds one step's at a time.
 No word, state or count passes through the driver: texts, dealt to blocks of bounded bytes, ask for the distinct words and
-grams that they have, and one join finds these.
+grams that they have, and one join finds these. Questions and answers of a block and a range of keys are one row: sorted
+keys as differences, counts as numbers, each in no more bytes than its largest needs.
 
 Edge cases: null counts as empty, and an empty text is one end; texts of any length are read whole; rows that repeat a
 doc_id are each scored; a null doc_id's fold is that of empty text; equally common words or contexts are all treated
@@ -189,9 +190,9 @@ def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
     return pairs.unionByName(more)
 
 
-def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int, alpha: float = ALPHA) -> DataFrame:
-    """(key, a, b): a retained follower's share after its context, by the hash of the gram, and the weight that a state,
-    by the hash of its words, leaves to its suffix; null where a key has none."""
+def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int) -> DataFrame:
+    """(key, c, n, rest): a retained follower's count and its context's, by the hash of the gram, and a state's count and what
+    of it isn't retained, by the hash of its words; null for what a row isn't about."""
     ends = texts.sparkSession.createDataFrame([(int(ENDED.astype(np.int64)), docs)], "key long, c long")
     ones = words.unionByName(ends).where(F.col("c") >= SEEN)
     many = grams(texts, ones)
@@ -209,10 +210,10 @@ def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int, alpha: fl
     sums = rows.groupBy("ctx").agg(F.sum("gain").alias("g"), F.sum("c").alias("kept"), F.sum("pc").alias("pkept"), F.count("*").alias("k"), F.first("n").alias("n"), F.first("pn").alias("pn"))
     rest, prest = F.col("n") - F.col("kept"), F.col("pn") - F.col("pkept")
     g2 = 2 * (F.col("g") + F.when((rest > 0) & (prest > 0), rest * F.log(rest * F.col("pn") / (F.col("n") * prest))).otherwise(0.0))
-    kept = sums.where(g2 > F.col("k") * price).select("ctx", ((rest + alpha) / (F.col("n") + alpha)).alias("b"))
-    none = F.lit(None).cast("double")
-    entries = rows.join(kept.select("ctx").hint("merge"), "ctx", "left_semi").select("key", (c / (n + alpha)).alias("a"), none.alias("b"))
-    return entries.unionByName(kept.select(F.col("ctx").alias("key"), none.alias("a"), "b")).groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    kept = sums.where(g2 > F.col("k") * price).select("ctx", "n", rest.alias("rest"))
+    none = F.lit(None).cast("long")
+    entries = rows.join(kept.select("ctx").hint("merge"), "ctx", "left_semi").select("key", "c", "n", none.alias("rest"))
+    return entries.unionByName(kept.select(F.col("ctx").alias("key"), F.col("n").alias("c"), none.alias("n"), "rest"))
 
 
 @dataclass
@@ -229,46 +230,98 @@ class Totals:
 
 
 def fit(texts: DataFrame) -> tuple[DataFrame, Totals]:
-    """(key, c, a, b) of every training word and retained gram, and the corpus totals, from rows with a ``text``."""
+    """(key, c, n, rest) of every training word and retained gram, see ``states``, and the corpus totals, from rows with a
+    ``text``."""
     since = scratch()
     words = settled(_counts(texts, lambda p: [p.hashes]), "words")
     v, n, once = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1)).first()
     docs = texts.count()
     totals = Totals(int(n + docs), int(v + (docs > 0)), int(docs), int(once))
-    tree = states(texts, words, totals.n, totals.texts)
-    both = words.select("key", "c", F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b")).unionByName(tree.withColumn("c", F.lit(0).cast("long")))
-    return settled(both.groupBy("key").agg(F.max("c").alias("c"), F.max("a").alias("a"), F.max("b").alias("b")), "states", since), totals
+    none = F.lit(None).cast("long")
+    both = words.select("key", "c", none.alias("n"), none.alias("rest")).unionByName(states(texts, words, totals.n, totals.texts))
+    return settled(both.groupBy("key").agg(*[F.max(x).alias(x) for x in ("c", "n", "rest")]), "states", since), totals
 
 
-def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, text, block) to (block, key): the distinct words of each block, and its grams that may be in the
-    tree."""
-    got, size = [np.zeros((0, 2), np.int64)], 0
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on: how many bytes the largest has, then the first byte of each, the second, and so on, as counts have
+    few large ones and those bytes are alike."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def distinct():
-        rows = np.concatenate(got)
-        return rows[_firsts(rows[:, 1].view(U64) ^ mix(rows[:, 0].view(U64)))]
 
-    def batch_of(rows):
-        return _sent(("block", rows[:, 0]), ("key", rows[:, 1]))
+def unpacked(b) -> np.ndarray:
+    flat = np.frombuffer(b, np.uint8)
+    out = np.zeros(((len(flat) - 1) // int(flat[0]), 8), np.uint8)
+    out[:, : int(flat[0])] = flat[1:].reshape(int(flat[0]), -1).T
+    return out.view("<u8").ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted signed keys: the first one, then differences."""
+    return keys[:1].tobytes() + packed(np.diff(keys.view(U64)))
+
+
+def unpacked_keys(b) -> np.ndarray:
+    first = np.frombuffer(b, U64, 1)
+    return np.cumsum(np.concatenate([first, unpacked(memoryview(b)[8:])]), dtype=U64).view(np.int64)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The range, of ``buckets``, that each signed key is in."""
+    return (((keys >> 32) + (1 << 31)) * buckets) >> 32
+
+
+def _asked(batches: Iterator[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(block, text), sorted by block, to (block, bucket, keys): the distinct words of each block, and its grams that may be
+    in the tree; each once, but for what a task can't hold."""
+    now, held, new, size = None, np.zeros(0, np.int64), [], 0
+
+    def batch_of():
+        cuts = np.searchsorted(_bucket(held, buckets), np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        for at in some.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([at], pa.int64()), pa.array([packed_keys(held[cuts[at] : cuts[at + 1]])], pa.binary())], names=["block", "bucket", "keys"])
 
     for batch in batches:
-        block = batch.column(3).to_numpy()
-        for p in pieces(batch.column(2), SPACED, STEP):
-            g, k = runs(p)
-            where = np.repeat(block[p.row : p.row + p.rows], np.diff(p.begin) + 1)
-            for d, x in enumerate(g):
-                at = np.flatnonzero((k >= d) & _seen(shared, x)) if d else np.arange(len(x))
-                at = at[_firsts(x[at] ^ mix(where[at].astype(U64)))]
-                got.append(np.stack([where[at], signed(x[at])], 1))
-                size += len(at)
-            if size > 2 * HELD:
-                got = [distinct()]
-                size = len(got[0])
-                if size > HELD:
-                    yield from batch_of(got[0])
-                    got, size = [np.zeros((0, 2), np.int64)], 0
-    yield from batch_of(distinct())
+        block = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for at, stop in zip(cuts, cuts[1:]):
+            if stop > at and block[at] != now:
+                held = np.unique(np.concatenate([held, *new]))
+                yield from batch_of()
+                now, held, new, size = int(block[at]), held[:0], [], 0
+            for p in pieces(batch.column(1).slice(at, stop - at), SPACED, STEP):
+                g, k = runs(p)
+                for d, x in enumerate(g):
+                    x = x[k >= d]
+                    new.append(np.unique(signed(x[_seen(shared, x)] if d else x)))
+                    size += len(new[-1])
+                if size > 2 * HELD:
+                    held, new, size = np.unique(np.concatenate([held, *new])), [], 0
+                    if len(held) > 2 * HELD:
+                        yield from batch_of()
+                        held = held[:0]
+    held = np.unique(np.concatenate([held, *new]))
+    yield from batch_of()
+
+
+def _answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """(block, keys) of a bucket, and its rows (key, c, n, rest), to (block, keys, c, n, rest) of those that are found; n and
+    rest are one more, or 0 where there is none."""
+    key = table.column("key").to_numpy()
+    order = np.argsort(key)
+    key, values = key[order], [np.nan_to_num(table.column(x).to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)[order] for x in ("c", "n", "rest")]
+    values[1:] = [x + 1 for x in values[1:]]
+    out: list[list] = [[], [], [], [], []]
+    for block, b in zip(asked.column("block").to_pylist(), asked.column("keys")):
+        want = unpacked_keys(b.as_buffer())
+        at = np.searchsorted(key, want)
+        at = at[np.append(key, 0)[at] == want] if len(key) else at[:0]
+        at = at[at < len(key)]
+        if len(at):
+            for column, x in zip(out, (block, packed_keys(key[at]), *(packed(v[at]) for v in values))):
+                column.append(x)
+    return pa.table([pa.array(x, pa.binary() if i else pa.int64()) for i, x in enumerate(out)], names=["block", "keys", "c", "n", "rest"])
 
 
 def folded(g: list[np.ndarray], k: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -283,11 +336,15 @@ def folded(g: list[np.ndarray], k: np.ndarray, a: list[np.ndarray], b: list[np.n
     return A, B
 
 
-def _score(m: Totals, texts: pa.Table, found: pa.Table) -> pa.Table:
-    """A block of (doc_id, held_out, block, text), and (block, key, c, a, b) of what it asked for, to the result's rows."""
-    index = Lookup(found.column("key").to_numpy().view(U64))
-    c = np.append(found.column("c").to_numpy(), 0)
-    a, b = (np.append(found.column(x).to_numpy(zero_copy_only=False).astype(float), np.nan) for x in "ab")
+def _score(m: Totals, texts: pa.Table, found: pa.Table, alpha: float = ALPHA) -> pa.Table:
+    """A block of (doc_id, held_out, block, text), and (block, keys, c, n, rest) of what it asked for, to the result's
+    rows."""
+    all_ = lambda name, of: np.concatenate([np.zeros(0, np.int64), *[of(b.as_buffer()).view(np.int64) for b in found.column(name)]])
+    index = Lookup(all_("keys", unpacked_keys).view(U64))
+    c, n, rest = (all_(x, unpacked) for x in ("c", "n", "rest"))
+    a = np.append(np.where(n > 0, c / (n - 1 + alpha), np.nan), np.nan)  # a follower's share after its context
+    b = np.append(np.where(rest > 0, (rest - 1 + alpha) / (c + alpha), np.nan), np.nan)  # what a state leaves to its suffix
+    c = np.append(c, 0)
     texts, out = texts.combine_chunks(), []
     for p in pieces(texts.column("text"), SPACED, STEP):
         g, k = runs(p)
@@ -308,11 +365,14 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_id",
     d = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, mod) == held).alias("held_out"), text_of(text_col).alias("text"))
     table, totals = fit(d.where("NOT held_out"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    blocks = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, int(size) // BLOCK)).cast("long"))
-    d = d.withColumn("block", blocks).repartition("block")  # one shuffle, read for the keys and for the scores
-    shared = screen(table.where("a IS NOT NULL OR b IS NOT NULL"))
-    asked = d.mapInArrow(lambda b: _asked(b, shared), "block long, key long")
-    found = asked.join(table.hint("merge"), "key")
+    many = max(1, int(size) // BLOCK)
+    blocks = F.pmod(F.xxhash64("doc_id", "text"), F.lit(many).cast("long"))
+    d = d.withColumn("block", blocks).repartition("block").sortWithinPartitions("block")  # one shuffle, read for the keys and for the scores
+    shared = screen(table.where("n IS NOT NULL OR rest IS NOT NULL"))
+    asked = d.select("block", "text").mapInArrow(lambda b: _asked(b, shared, many), "block long, bucket long, keys binary")
+    bucket = F.shiftright((F.shiftright("key", 32) + F.lit(1 << 31)) * many, 32)
+    table = table.withColumn("bucket", bucket)
+    found = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_answered, "block long, keys binary, c binary, n binary, rest binary")
     kind = dict(d.dtypes)["doc_id"]
     return d.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda texts, found: _score(totals, texts, found), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
