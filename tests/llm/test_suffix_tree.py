@@ -132,3 +132,16 @@ def test_keys_and_counts_are_packed(n):
     assert (np.diff(bucket) >= 0).all() and 0 <= bucket.min() and bucket.max() < 7
     many = np.unique(rng.integers(-(2**63), 2**63 - 1, 30000))
     assert len(S.packed_keys(many)) < 7.1 * len(many)
+
+
+def test_parts_of_a_gram_come_from_few_texts(spark):
+    rng = random.Random(5)
+    words_ = [f"w{i}" for i in range(60)]
+    texts = spark.createDataFrame([(" ".join(rng.choice(words_) for _ in range(200)),) for _ in range(400)], "text string").repartition(8)
+    got = S.grams(texts, S._counts(texts, lambda p: [p.hashes]))
+    shared = S.screen(got.select(S._at(S.F.col("key"), S.F.col("src")).alias("key")))
+    rows = texts.mapInArrow(lambda b: S._parts(b, shared), "key long, ctx long, low long, up long, d long")
+    keys = {r.key for r in got.select("key").collect()}
+    found = [r.key for r in rows.select("key").collect()]
+    assert len(keys) > 3000 and set(found) >= keys
+    assert len(found) < 2 * len(keys)  # each of the 8 tasks has nearly all of them

@@ -3,7 +3,8 @@
 A text is its lower-cased words, then one end. The root has every training word by its count; contexts of one to ``DEEP``
 words are further states, each smoothed towards the state of its suffix. Grams, a context and the word or end after it,
 are counted in shuffled tables. A gram seen ``SEEN`` times can only be so common if its parts are, and a bitmap of those
-(no false negatives) decides what is counted; so states grow with the corpus. Divergence tests decide what is
+(no false negatives) decides what is counted; so states grow with the corpus. With its count a gram gets the smallest
+source of its texts, one of 256, and only texts of this source tell what its parts are, so these rows grow with the grams. Divergence tests decide what is
 retained: a follower if the gain of its own share over that in the suffix's distribution pays for a parameter
 (half the logarithm of all tokens), and a context if the gain of all its followers, the others together being one more,
 does. A word is scored by the longest state that precedes it: c / (n + ALPHA) for a retained follower, and what the state
@@ -134,9 +135,46 @@ def _counts(texts: DataFrame, pick) -> DataFrame:
     return texts.select("text").mapInArrow(lambda b: _counted(b, pick), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+def source(p: Piece) -> np.ndarray:
+    """A number from 0 to 255 for each text, by its words."""
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(p.hashes, dtype=U64)])
+    return (mix(total[p.begin[1:]] - total[p.begin[:-1]]) >> U64(56)).astype(np.int64)
+
+
+def _sources(p: Piece) -> np.ndarray:
+    """The same for every word and end, as in ``runs``."""
+    return np.repeat(source(p), np.diff(p.begin) + 1)
+
+
+def _located(batches: Iterator[pa.RecordBatch], pick) -> Iterator[pa.RecordBatch]:
+    """Texts to (key, c, src), as ``_counted``, ``src`` being the smallest source of a text that has the key; ``pick`` gives
+    hashes and where to take them."""
+    for batch in batches:
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for p in pieces(batch.column(0), SPACED, STEP):
+            src = _sources(p)
+            got += [(signed(x[at]), src[at]) for x, at in pick(p)]
+        key, src = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(key)
+        key = key[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        low = np.minimum.reduceat(src[order], begin) if len(begin) else src
+        yield from _sent(("key", key[begin]), ("c", np.diff(np.append(begin, len(key)))), ("src", low))
+
+
+def _located_counts(texts: DataFrame, pick) -> DataFrame:
+    return texts.select("text").mapInArrow(lambda b: _located(b, pick), "key long, c long, src long").groupBy("key").agg(F.sum("c").alias("c"), F.min("src").alias("src"))
+
+
+def _at(keys, src):
+    """A key as texts of a source have it; a bijection of keys, of arrays or columns."""
+    step = 0x2545F4914F6CDD1D >> 8
+    return keys ^ ((src + 1).astype(U64) * U64(step)) if isinstance(keys, np.ndarray) else keys.bitwiseXOR((src + 1) * F.lit(step))
+
+
 def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(key, ctx, low, up, d) of common grams: the context, the gram without its first word, and the context without; each
-    once, but for what a task can't hold."""
+    """(key, ctx, low, up, d) of common grams: the context, the gram without its first word, and the context without; from
+    the texts of the gram's smallest source, once, but for what a task can't hold."""
     got, size = [np.zeros((0, 5), np.int64)], 0
 
     def distinct():
@@ -149,11 +187,10 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     for batch in batches:
         for p in pieces(batch.column(0), SPACED, STEP):
             g, k = runs(p)
-            here = np.ones(len(k), bool)
-            for d in range(1, DEEP + 1):  # the parts of a common gram are common
-                here = (_after(here) if d > 1 else here) & (k >= d)
-                here[here] = _seen(shared, g[d][here])
-                at = np.flatnonzero(here)
+            src = _sources(p)
+            for d in range(1, DEEP + 1):
+                at = np.flatnonzero(k >= d)
+                at = at[_seen(shared, _at(g[d][at], src[at]))]
                 at = at[_firsts(g[d][at])]
                 up = signed(g[d - 2][at - 1]) if d > 1 else np.zeros(len(at), np.int64)
                 got.append(np.stack([signed(g[d][at]), signed(g[d - 1][at - 1]), signed(g[d - 1][at]), up, np.full(len(at), d)], 1))
@@ -168,24 +205,24 @@ def _parts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 
 
 def grams(texts: DataFrame, ones: DataFrame) -> DataFrame:
-    """(key, c) of the grams of two words and more that are seen SEEN times, from those of one word."""
+    """(key, c, src) of the grams of two words and more that are seen SEEN times, from those of one word."""
     common = lambda d: d.where(F.col("c") >= SEEN)
     one = screen(ones)
 
     def two(p):
         g, k = runs(p)
-        return [g[1][_after(_seen(one, g[0])) & (k >= 1)]]
+        return [(g[1], np.flatnonzero(_after(_seen(one, g[0])) & (k >= 1)))]
 
-    pairs = settled(common(_counts(texts, two)), "pairs")
+    pairs = settled(common(_located_counts(texts, two)), "pairs")
     done(*one)
     pair = screen(pairs)
 
     def longer(p):
         g, k = runs(p)
         three = _after(_seen(pair, g[1]) & (k >= 1)) & (k >= 2)
-        return [g[2][three], g[3][_after(three) & (k >= 3)]]
+        return [(g[2], np.flatnonzero(three)), (g[3], np.flatnonzero(_after(three) & (k >= 3)))]
 
-    more = settled(common(_counts(texts, longer)), "grams")
+    more = settled(common(_located_counts(texts, longer)), "grams")
     done(*pair)
     return pairs.unionByName(more)
 
@@ -196,7 +233,8 @@ def states(texts: DataFrame, words: DataFrame, tokens: int, docs: int) -> DataFr
     ends = texts.sparkSession.createDataFrame([(int(ENDED.astype(np.int64)), docs)], "key long, c long")
     ones = words.unionByName(ends).where(F.col("c") >= SEEN)
     many = grams(texts, ones)
-    shared = screen(many)
+    shared = screen(many.select(_at(F.col("key"), F.col("src")).alias("key")))
+    many = many.select("key", "c")
     parts = texts.select("text").mapInArrow(lambda b: _parts(b, shared), "key long, ctx long, low long, up long, d long")
     parts = parts.groupBy("key").agg(*[F.first(c).alias(c) for c in ("ctx", "low", "up", "d")])
     named = lambda c, n: ones.unionByName(many).select(F.col("key").alias(c), F.col("c").alias(n)).hint("merge")
