@@ -197,3 +197,31 @@ def test_passages_of_common_sentences_are_found(spark, how):
     got = {r.doc_id: r.n_repeated for r in S.substring_dedup(d, **how).where("repeated").collect()}
     assert set(got) == {10**6 + i for i in range(24)}
     assert all(68 <= n <= 74 for n in got.values())
+
+
+def test_reaches_are_those_of_extensions():
+    rng = np.random.default_rng(12)
+    a, b = (rng.integers(1, 3, (30, 25)).astype(np.int32) for _ in range(2))
+    b[:10] = np.where(rng.random((10, 25)) < 0.8, a[:10], b[:10])
+    a[3, 7:] = b[4, 9:] = a[5] = b[5] = 0  # texts that end
+    far, on = S._reaches(a, b)
+    for i in range(30):
+        for j in range(30):
+            n, ended = S._extend(a[i][a[i] != 0], b[j][b[j] != 0])
+            assert far[i, j] == n and (not on[i, j] or not ended)
+
+
+def test_pairs_of_a_common_sentence_grow_with_what_they_share(spark, monkeypatch):
+    """A sentence that is too short for a passage stands in 300 documents; of these a few pairs share more, with edits."""
+    seen, crossed = [], S.crossed
+    monkeypatch.setattr(S, "crossed", lambda *how: seen.append(crossed(*how)) or seen[-1])
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    one, two = text(34), text(18)
+    rows = [(i, " ".join(text(20) + one + text(20))) for i in range(300)] + [(i, " ".join(text(20) + two + text(20))) for i in range(300, 320)]
+    tail = text(30)
+    rows += [(1000, " ".join(text(9) + one + text(2) + tail)), (1001, " ".join(text(8) + one + text(2) + tail[:20] + text(9)))]
+    rows += [(1002, " ".join(text(9) + one + text(3) + two + text(30))), (1003, " ".join(text(8) + one + text(4) + two + text(30)))]
+    got = S.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("repeated").collect()
+    assert {r.doc_id for r in got} == {1000, 1001, 1002, 1003}
+    assert len(seen) == 1 and seen[0].count() < len(rows)

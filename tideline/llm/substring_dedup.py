@@ -5,7 +5,9 @@ one. Occurrences of a seed after which the same 40 words follow are a class: its
 corpus, is matched to all others of the class and stands for them. In the order of what follows, which brings together
 those that share more than this seed, the firsts are matched to the seed's first occurrence and to the one before. Where two
 seeds in a row that several firsts share don't lie within a passage that was found so, each such occurrence meets all other
-firsts of the two seeds, in blocks of bounded size, two at a time. So whatever two texts share in two seeds in a row, as in
+firsts of the two seeds, in blocks of bounded size, two at a time. Where a block meets, the words around are compared, and
+only pairs go on to chaining that a passage can come of: those whose extension from the two seeds gives enough words, or that
+also share another two seeds near by with other words up to them, so that a chain may bridge these. So whatever two texts share in two seeds in a row, as in
 any 29 words in a row, is compared, directly or through passages that cover it, however common the seeds are. Of a text, the first occurrence
 of each seed and next seed takes part in this; one that it has again is matched to its occurrence before, if that is a
 passage's length away, so repeats within one document are found as well, on few diagonals.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import bitmap, screened
 from .shared import read_table, text_of, written
-from .words import SPACED, Piece, grams, lists, pieces, signed, span_hash
+from .words import SPACED, Piece, grams, lists, mix, pieces, signed, span_hash
 
 K, W = 6, 12
 LEAST, ALIKE = 40, 0.8  # words and similarity of a passage
@@ -40,7 +42,9 @@ SKIP = 0.1  # cost of a skipped word, where a seed gains K
 BRIDGE = LEAST // 2  # words that don't agree and yet may lie within a passage
 GAP = 128  # words between seeds that are compared; longer ones that differ end a passage
 REACH = 64  # words beyond a chain that are fetched at first; more where the extension needs them
-MANY = 1024  # occurrences of two seeds in a row in a block
+MANY = 4096  # occurrences of two seeds in a row in a block
+NEAR = 192  # words in which a passage that goes on after fewer than LEAST words has its next seed, at most GAP on
+TILE = 1 << 18  # pairs of occurrences that are compared at a time
 
 
 def seeds(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +67,7 @@ def seeds(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _MATCH = "row long, pos int, anchor long, apos int, gap int"
 _NAMES = ["row", "pos", "anchor", "apos", "gap"]
+_PLACE = ["pos", "key", "after", "covered", "block", "last"]
 
 
 def _matches(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -192,20 +197,114 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos.astype(np.int32)), *none, pa.array(key), pa.array(after.astype(np.int32))], names=names)
 
 
-def _cross(block: pa.Table) -> pa.Table:
-    """Matches between two blocks of a pair of seeds, or within one, of which one isn't covered."""
+def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(row, text, places), the places being pairs of seeds in order, to one row a place: ``least`` words before and after it,
+    from the nearest on (0 where there is none); and the pairs of seeds within NEAR words, with the words up to their ends."""
+    for batch in batches:
+        at = batch.column(2)
+        first, place = at.offsets.to_numpy().astype(np.int64), {f.name: at.values.field(i) for i, f in enumerate(at.type.value_type)}
+        key, after, pos = (place[c].to_numpy().astype(np.int64) for c in ("key", "after", "pos"))
+        stop = pos + (after & 15) + K
+        name = mix(key.view(np.uint64) ^ mix(after.view(np.uint64)))
+        for p in pieces(batch.column(1), SPACED):
+            some = np.arange(first[p.row], first[p.row + p.rows])
+            doc = np.repeat(np.arange(p.rows), np.diff(first[p.row : p.row + p.rows + 1]))
+            words = np.append(np.maximum((p.hashes >> np.uint64(32)).astype(np.uint32), 1), 0).astype(np.uint32).view(np.int32)
+            lo, hi = p.begin[doc][:, None], p.begin[doc + 1][:, None]
+            left, right = lo + pos[some, None] - 1 - np.arange(least), lo + stop[some, None] + np.arange(least)
+            left, right = words[np.where(left >= lo, left, -1)], words[np.where(right < hi, right, -1)]
+            # Places are in order within a row: the next one, the one after it, and so on while any is near.
+            one, two, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+            while step < len(some):
+                near = np.flatnonzero((doc[step:] == doc[:-step]) & (pos[some[step:]] - pos[some[:-step]] <= NEAR))
+                if not len(near):
+                    break
+                one.append(near)
+                two.append(near + step)
+                step += 1
+            one, two = np.concatenate(one), np.concatenate(two)
+            between = span_hash(p, p.begin[doc[one]] + pos[some[one]], p.begin[doc[one]] + np.maximum(stop[some[one]], stop[some[two]])) if len(one) else np.zeros(0, np.uint64)
+            whose, other = np.concatenate([one, two]), np.concatenate([mix(name[some[two]]), name[some[one]]])  # which side it is on counts
+            by = np.argsort(whose, kind="stable")
+            begin = np.searchsorted(whose[by], np.arange(len(some) + 1))
+            wide = np.arange(len(some) + 1) * least
+            rows = batch.column(0).slice(p.row, p.rows).take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays(
+                [*(place[c].slice(first[p.row], len(some)) for c in _PLACE), rows, lists(left.ravel(), wide), lists(right.ravel(), wide), lists(signed(other[by]), begin), lists(signed(np.concatenate([between, between])[by]), begin)],
+                names=[*_PLACE, "row", "left", "right", "near", "between"],
+            )
+
+
+def _reaches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of rows of words, how far ``_extend`` comes, and whether it hasn't ended where the words do."""
+    shape = len(a), len(b)
+    total, top, far, on = np.zeros(shape, np.int16), np.zeros(shape, np.int16), np.zeros(shape, np.int16), np.ones(shape, bool)
+    for i in range(a.shape[1]):
+        same = a[:, None, i] == b[None, :, i]
+        same &= (a[:, i] != 0)[:, None]
+        total += same * np.int16(3)
+        total -= np.int16(2)
+        on &= top - total < 8
+        if not on.any():
+            break
+        np.copyto(far, np.int16(i + 1), where=on & (total > top))
+        np.maximum(top, total, out=top)
+    return far, on
+
+
+def _promising(block: pa.Table, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Of all pairs of two lists of rows of a block, which may belong to a passage of ``least`` words: the words on both
+    sides agree so far, or both rows have another pair of seeds near, with other words up to it."""
+    left, right = (block.column(c).combine_chunks().values.to_numpy().reshape(block.num_rows, -1) for c in ("left", "right"))
+    near, between = (block.column(c).combine_chunks() for c in ("near", "between"))
+    off, near, between = near.offsets.to_numpy(), near.values.to_numpy(), between.values.to_numpy()
+    need = least - (block.column("after")[0].as_py() & 15) - K
+    out = np.zeros((len(a), len(b)), bool)
+    step = max(1, TILE // max(len(b), 1))
+    for i in range(0, len(a), step):
+        (l, m), (r, n) = _reaches(left[a[i : i + step]], left[b]), _reaches(right[a[i : i + step]], right[b])
+        out[i : i + step] = m | n | (l + r >= need)
+
+    def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = off[rows + 1] - off[rows]
+        place = np.repeat(off[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        by = np.argsort(near[place], kind="stable")
+        return np.repeat(np.arange(len(rows)), size)[by], near[place][by], between[place][by]
+
+    (i, u, x), (j, v, y) = entries(a), entries(b)
+    for name in np.intersect1d(u, v):
+        p, q = (slice(*(int(np.searchsorted(w, name, side)) for side in ("left", "right"))) for w in (u, v))
+        differ = x[p][:, None] != y[q][None, :]
+        if differ.any():
+            out[np.ix_(i[p], j[q])] |= differ
+    return out
+
+
+def _cross(block: pa.Table, least: int = LEAST) -> pa.Table:
+    """Matches between two blocks of a pair of seeds, or within one, of which one isn't covered; with contexts, those that
+    are promising."""
     key, after, number, row, pos = (block.column(c).to_numpy().astype(np.int64) for c in ("key", "after", "block", "row", "pos"))
     bare = ~block.column("covered").to_numpy(zero_copy_only=False)
     rows = np.stack([key, after, np.zeros(len(key), np.int64), row, pos], 1)
-    a, b = np.flatnonzero(number == number.min()), np.flatnonzero(number == number.max())
-    x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-    ok = (bare[x] | bare[y]) & ((x < y) | (number[x] != number[y]))
-    return pa.Table.from_arrays(_columns(_matches(rows[x[ok]], rows[y[ok]])), names=_NAMES)
-
-
-def crossed(shared: DataFrame, spans: DataFrame, many: int = MANY) -> DataFrame:
+    once = np.unique(np.stack([number, row, pos], 1), axis=0, return_index=True)[1]  # rows that repeat are there again
+    a, b = once[number[once] == number.min()], once[number[once] == number.max()]
+    same, out = number.min() == number.max(), [_matches(rows[:0], rows[:0])]
+    for a, b in ((a[bare[a]], b), (a[~bare[a]], b[bare[b]])) if not same else ((a[bare[a]], b),):
+        step = max(1, (TILE * 16) // max(len(b), 1))
+        for i in range(0, len(a), step):
+            part = a[i : i + step]
+            ok = _promising(block, part, b, least) if "left" in block.column_names else np.ones((len(part), len(b)), bool)
+            if same:
+                ok &= ~bare[b][None, :] | (part[:, None] < b[None, :])
+            x, y = np.nonzero(ok)
+            out.append(_matches(rows[part[x]], rows[b[y]]))
+    return pa.Table.from_arrays(_columns(np.concatenate(out)), names=_NAMES)
+
+
+def crossed(shared: DataFrame, spans: DataFrame, many: int = MANY, docs: DataFrame | None = None, least: int = LEAST) -> DataFrame:
     """Matches of ``shared`` (key, after, row, pos), all pairs of one key and after of which one isn't covered by a span
-    (row, start, stop): in blocks of ``many``, two at a time."""
+    (row, start, stop): in blocks of ``many``, two at a time. With ``docs`` (row, text), of these pairs those that may belong
+    to a passage of ``least`` words."""
     stop = F.col("pos") + F.col("after").bitwiseAND(15) + K
     none = lambda *kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds]
     both = shared.select("row", F.col("pos").alias("at"), F.lit(1).alias("kind"), stop.alias("stop"), "key", "after")
@@ -216,8 +315,15 @@ def crossed(shared: DataFrame, spans: DataFrame, many: int = MANY) -> DataFrame:
     groups = of.groupBy("key", "after").agg(F.count("*").alias("n"), F.count_if(~F.col("covered")).alias("bare")).where("n > 2 AND bare > 0").select("key", "after", F.floor((F.col("n") - 1) / many).cast("int").alias("last"))
     number = F.floor((F.row_number().over(Window.partitionBy("key", "after").orderBy("row", "pos")) - 1) / many).cast("int")
     of = of.join(groups.hint("merge"), ["key", "after"]).withColumn("block", number)
-    of = of.withColumn("other", F.explode(F.expr("sequence(0, last)"))).select("key", "after", "block", "row", "pos", "covered", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return of.groupBy("key", "after", "i", "j").applyInArrow(_cross, _MATCH)
+    context = []
+    if docs is not None:
+        of = written(of, "occurrences")
+        places = of.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*_PLACE))).alias("places"))
+        texts = screened(docs.select("row", "text"), F.xxhash64("row"), bitmap(places.select("row"), "row"))
+        context = ["left", "right", "near", "between"]
+        of = texts.join(places.hint("merge"), "row").select("row", "text", "places").mapInArrow(lambda b: _contexts(b, least), "pos int, key long, after int, covered boolean, block int, last int, row long, left array<int>, right array<int>, near array<long>, between array<long>")
+    of = of.withColumn("other", F.explode(F.expr("sequence(0, last)"))).select("key", "after", "block", "row", "pos", "covered", *context, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return of.groupBy("key", "after", "i", "j").applyInArrow(lambda block: _cross(block, least), _MATCH)
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -410,7 +516,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     local = t.select("row", "anchor", "apos", "lgap", F.posexplode("lpos").alias("i", "p")).select("row", F.col("p").alias("pos"), F.expr("anchor[i]").alias("anchor"), F.expr("apos[i]").alias("apos"), F.expr("lgap[i]").alias("gap"))
     found = _found(d, met.where("key IS NULL").select(*_NAMES).unionByName(local), least, alike)
     spans = found.select("row", "start", "stop").unionByName(found.select(F.col("anchor").alias("row"), F.col("astart").alias("start"), F.col("astop").alias("stop")))
-    rest = written(crossed(met.where("key IS NOT NULL").select("key", "after", "row", "pos"), spans, many), "rest")
+    rest = written(crossed(met.where("key IS NOT NULL").select("key", "after", "row", "pos"), spans, many, d, least), "rest")
     if not rest.isEmpty():
         found = found.unionByName(_found(d, rest, least, alike))
     return t.select("doc_id", "row", "n_words"), found
