@@ -225,3 +225,15 @@ def test_pairs_of_a_common_sentence_grow_with_what_they_share(spark, monkeypatch
     got = S.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("repeated").collect()
     assert {r.doc_id for r in got} == {1000, 1001, 1002, 1003}
     assert len(seen) == 1 and seen[0].count() < len(rows)
+
+
+def test_a_text_of_several_chains_is_split_once(monkeypatch):
+    texts, split, pieces = [], [], S.pieces
+    monkeypatch.setattr(S, "pieces", lambda col, *how: split.append(len(col)) or pieces(col, *how))
+    monkeypatch.setattr(S, "SLICED", 30)
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (40, 0, 90)]
+    rows = [(k, 0, lo, lo + 6, texts[r], r) for k, (r, lo) in enumerate([(0, 0), (0, 20), (0, 34), (2, 50)])]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list("abcdef"))
+    got = [r for b in S._slice(iter([batch]), 5) for r in b.to_pylist()]
+    assert split == [2] and [(r["pid"], r["at"], r["more"], len(r["words"])) for r in got] == [(0, 0, True, 11), (1, 15, True, 16), (2, 29, False, 11), (3, 45, True, 16)]

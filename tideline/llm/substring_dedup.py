@@ -44,6 +44,7 @@ GAP = 128  # words between seeds that are compared; longer ones that differ end
 REACH = 64  # words beyond a chain that are fetched at first; more where the extension needs them
 MANY = 4096  # occurrences of two seeds in a row in a block
 NEAR = 192  # words in which a passage that goes on after fewer than LEAST words has its next seed, at most GAP on
+SLICED = 1 << 20  # words in a batch
 TILE = 1 << 18  # pairs of occurrences that are compared at a time
 
 
@@ -396,18 +397,25 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slice(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    """(pid, side, lo, hi, text) to (pid, side, at, more, words): the words from ``reach`` before lo to ``reach`` after hi,
-    and whether the text goes on after them."""
+    """(pid, side, lo, hi, text, row), rows in order, to (pid, side, at, more, words): the words from ``reach`` before lo to
+    ``reach`` after hi, and whether the text goes on after them. A text of several rows in a row is split into words once."""
     for batch in batches:
-        lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-        for p in pieces(batch.column(4), SPACED):
-            mine = slice(p.row, p.row + p.rows)
-            size = np.diff(p.begin)
-            a = np.maximum(lo[mine] - reach, 0)
-            b = np.minimum(hi[mine] + reach, size)
-            words = [p.hashes[p.begin[i] + a[i] : p.begin[i] + b[i]] for i in range(p.rows)]
-            flat = (np.concatenate([np.zeros(0, np.uint64), *words]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.row, p.rows), batch.column(1).slice(p.row, p.rows), pa.array(a.astype(np.int32)), pa.array(b < size), lists(flat, np.concatenate([[0], np.cumsum([len(w) for w in words])]))], names=["pid", "side", "at", "more", "words"])
+        lo, hi, row = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 5))
+        new = np.append(np.ones(min(1, len(row)), bool), row[1:] != row[:-1])
+        whose = np.cumsum(new) - 1
+        for p in pieces(batch.column(4).take(pa.array(np.flatnonzero(new))), SPACED):
+            first, last = np.searchsorted(whose, [p.row, p.row + p.rows])
+            of = whose[first:last] - p.row
+            size = np.diff(p.begin)[of]
+            a, b = np.maximum(lo[first:last] - reach, 0), np.minimum(hi[first:last] + reach, size)
+            words = (p.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            begin = np.concatenate([[0], np.cumsum(b - a)])
+            i = 0
+            while i < len(of):
+                j = max(i + 1, int(np.searchsorted(begin, begin[i] + SLICED, "right")) - 1)
+                place = np.arange(begin[i], begin[j]) + np.repeat((p.begin[of] + a - begin[:-1])[i:j], np.diff(begin[i : j + 1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first + i, j - i), batch.column(1).slice(first + i, j - i), pa.array(a[i:j].astype(np.int32)), pa.array((b < size)[i:j]), lists(words[place], begin[i : j + 1] - begin[i])], names=["pid", "side", "at", "more", "words"])
+                i = j
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -439,7 +447,12 @@ def local_pieces(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, a
     n = len(xs)
     edits, wide = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of the gap before each seed
     cut = np.zeros(n, bool)
-    for i in range(1, n):
+    differ = np.arange(1, n)
+    if (np.diff(xs) == np.diff(ys)).all():  # on one diagonal only gaps with other words matter
+        other = np.concatenate([[0], np.cumsum(a[xs[0] : xs[-1]] != b[ys[0] : ys[-1]])])
+        start, stop = np.minimum(xs[:-1] + K, xs[1:]) - xs[0], xs[1:] - xs[0]
+        differ = differ[other[stop] > other[start]]
+    for i in differ.tolist():
         u, v = a[xs[i - 1] + K : xs[i]], b[ys[i - 1] + K : ys[i]]
         dx, dy = int(xs[i] - xs[i - 1]), int(ys[i] - ys[i - 1])
         if min(dx, dy) < K:
@@ -543,7 +556,7 @@ def _aligned(d: DataFrame, chained: DataFrame, reach: int, least: int, alike: fl
     want = chained.select("pid", F.lit(0).alias("side"), "row", *ends("xs")).unionByName(chained.select("pid", F.lit(1).alias("side"), F.col("anchor").alias("row"), *ends("ys")))
     texts = screened(d.select("row", "text"), F.xxhash64("row"), bitmap(want.select("row").distinct(), "row"))
     # A merge join at every size; rows that repeat give the same words again.
-    sides = texts.join(want.hint("merge"), "row").select("pid", "side", "lo", "hi", "text").mapInArrow(lambda b: _slice(b, reach), "pid long, side int, at int, more boolean, words array<int>")
+    sides = texts.join(want.hint("merge"), "row").select("pid", "side", "lo", "hi", "text", "row").mapInArrow(lambda b: _slice(b, reach), "pid long, side int, at int, more boolean, words array<int>")
     both = sides.groupBy("pid").agg(F.collect_set(F.struct("side", "at", "more", "words")).alias("sides"))
     rows = chained.join(both.hint("merge"), "pid").select("pid", "row", "anchor", "xs", "ys", "sides")
     return rows.mapInArrow(lambda b: _align(b, least, alike), _FOUND)
