@@ -105,3 +105,52 @@ def test_equal_visits_are_recommended_for_once(spark, monkeypatch):
     got = {(r.visit_id, r.position): r.task for r in associate.recommend(f, v, 0.0, 0.0, 0.0).collect()}
     assert got == {(i, k + 1): t for i in range(40) for k, t in enumerate("bcd" if i else "cd")}
     assert made["met"].count() == 3  # of two kinds of visits
+
+
+def broadcasts(d):
+    """What each broadcast of the plan holds, as text."""
+    lines, out = d._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(x)), len(lines))
+            out.append("\n".join(lines[i:below]))
+    return out
+
+
+def test_visits_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    f = spark.createDataFrame([(["a"], ["b"], 0.5, 0.9, 2.0), (["a"], ["c"], 0.5, 0.8, 1.5), ([], ["d"], 0.4, 0.4, 1.0)], "antecedents array<string>, consequents array<string>, support double, confidence double, lift double").withColumn("weighted_confidence", F.col("confidence"))
+    v = spark.createDataFrame([(i, ["a"] if i else ["a", "b"]) for i in range(40)], "visit_id long, done array<string>")
+    v = associate.stored(v, "visits")  # of a few hundred bytes
+    h = spark.createDataFrame([(3, "b")], "visit_id long, task string")
+    made, stored = {}, associate.stored
+
+    def spied(d, name):
+        made[name] = d
+        return stored(d, name)
+
+    monkeypatch.setattr(associate, "stored", spied)
+    for hidden in (None, h):
+        want = {(i, k + 1): t for i in range(40) for k, t in enumerate("cd" if i == 0 or (hidden is not None and i == 3) else "bcd")}
+        for few in (associate.FEW, 1):  # few rules are broadcast, others aren't
+            monkeypatch.setattr(associate, "FEW", few)
+            d = associate.recommend(f, v, 0.0, 0.0, 0.0, hidden=hidden)
+            assert {(r.visit_id, r.position): r.task for r in d.collect()} == want
+            assert len(broadcasts(made["met"])) == (few > 1)
+            assert not [x for p in (made["met"], d) for x in broadcasts(p) if "visit_id" in x]
+        monkeypatch.undo()
+        monkeypatch.setattr(associate, "stored", spied)
+
+
+def test_parts_are_not_broadcast_by_the_size_of_large_files(spark, monkeypatch):
+    from tideline.plans import views
+    from tideline.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    for n in ("baskets", "visits"):
+        d = views.view(spark, sf, n)
+        want = sorted(map(str, d.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(views, "merged_if_large", lambda d, of: tables.merged_if_large(d, of, 1000))
+            e = views.view(spark, sf, n)
+        assert broadcasts(d) and not broadcasts(e) and sorted(map(str, e.collect())) == want

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import r6
 from ..sources.tables import stored
 
+FEW = 10_000  # rules that every task may hold
+
 
 def baskets(rows: DataFrame, keys: list[str], item: str, least: int = 2) -> DataFrame:
     """Items of each key, each once and in order, of keys with at least so many rows."""
@@ -141,15 +143,18 @@ def recommend(found: DataFrame, visits: DataFrame, confidence: float = 0.5, supp
     cut where the longest visit stops.
 
     Without hidden tasks, visits to a context with the same tasks done have the same recommendations, which are made once
-    for all of them."""
+    for all of them.
+
+    Visits are never broadcast: Spark would judge them by their stored files, in which done tasks are up to a hundred times
+    smaller than as rows. Rules with antecedents are, if they are few by their count."""
     scope = ["context"] if "context" in found.columns and "context" in visits.columns else []
     if hidden is None:
         kinds = stored(visits.groupBy(*scope, "done").agg(F.min("visit_id").alias("visit_id")), "kinds")
         best = _recommend(found, kinds, scope, confidence, support, lift, top, None)
         made = [c for c in best.columns if c != "visit_id"]
         lists = best.groupBy("visit_id").agg(F.collect_list(F.struct(*made)).alias("_made"))  # of ``top`` at most
-        with_lists = kinds.join(lists, "visit_id").drop("visit_id")
-        d = visits.select("visit_id", *scope, "done").join(with_lists, [*scope, "done"])
+        with_lists = kinds.join(lists.hint("merge"), "visit_id").drop("visit_id")
+        d = visits.select("visit_id", *scope, "done").join(with_lists.hint("merge"), [*scope, "done"])
         return d.select("visit_id", F.inline("_made")).select("visit_id", *made)
     return _recommend(found, visits, scope, confidence, support, lift, top, hidden)
 
@@ -159,16 +164,18 @@ def _recommend(found: DataFrame, visits: DataFrame, scope: list[str], confidence
     ok = ok.withColumn("rid", F.xxhash64(*scope, "antecedents", "consequents")).withColumn("w", F.coalesce("weighted_confidence", "confidence"))
     one = visits.select("visit_id", *scope, "done", F.explode("done").alias("item"))
     seen = one.groupBy(*scope, "item").agg(F.count("*").alias("n"))
-    rarest = ok.select("rid", *scope, F.explode("antecedents").alias("item")).join(seen, [*scope, "item"], "left").groupBy("rid").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"))
-    met = one.join(ok.join(rarest, "rid"), [*scope, "item"]).where(F.size(F.array_except("antecedents", "done")) == 0)
+    rarest = ok.select("rid", *scope, F.explode("antecedents").alias("item")).join(seen.hint("merge"), [*scope, "item"], "left").groupBy("rid").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"))
+    mined = ok.join(rarest.hint("merge"), "rid")
+    few = ok.where(F.size("antecedents") > 0).limit(FEW + 1).count() <= FEW
+    met = one.join(F.broadcast(mined) if few else mined.hint("merge"), [*scope, "item"]).where(F.size(F.array_except("antecedents", "done")) == 0)
     columns = ["visit_id", "antecedents", "task", "lift", "w", "support"]
     met = met.select("visit_id", "done", "antecedents", "lift", "w", "support", F.explode("consequents").alias("task")).where(~F.array_contains("done", F.col("task"))).select(*columns)
     rank = Window.partitionBy("visit_id", "task").orderBy(F.desc("lift"), F.desc("w"), F.array_join("antecedents", ","))
     met = stored(met.withColumn("_b", F.row_number().over(rank)).where("_b = 1").select(*columns), "met")
-    need = visits.select("visit_id", *scope, "done").join(met.groupBy("visit_id").agg(F.count("*").cast("int").alias("m")), "visit_id", "left")
+    need = visits.select("visit_id", *scope, "done").join(met.groupBy("visit_id").agg(F.count("*").cast("int").alias("m")).hint("merge"), "visit_id", "left")
     if hidden is not None:
         hidden = stored(hidden.select("visit_id", "task").distinct(), "hidden")
-        need = need.join(hidden.groupBy("visit_id").agg(F.count("*").cast("int").alias("h")), "visit_id", "left")
+        need = need.join(hidden.groupBy("visit_id").agg(F.count("*").cast("int").alias("h")).hint("merge"), "visit_id", "left")
     need = need.withColumn("stop", F.coalesce("m", F.lit(0)) + (F.lit(0) if hidden is None else F.coalesce("h", F.lit(0))) + top)
     most = need.agg(F.max(F.col("stop") + F.size("done"))).first()[0] or 0
     bare = ok.where(F.size("antecedents") == 0).select(*scope, "lift", "w", "support", F.explode("consequents").alias("task"))
@@ -180,7 +187,7 @@ def _recommend(found: DataFrame, visits: DataFrame, scope: list[str], confidence
     open_ = F.slice(F.filter("bare", lambda x: ~F.array_contains("done", x["task"])), F.lit(1), F.col("stop"))
     free = all_.select("visit_id", F.array().cast(dict(ok.dtypes)["antecedents"]).alias("antecedents"), F.explode(open_).alias("x")).select("visit_id", "antecedents", *[F.col(f"x.{c}").alias(c) for c in columns[2:]])
     d = met.unionByName(free).withColumn("_b", F.row_number().over(rank)).where("_b = 1")
-    d = d if hidden is None else d.join(hidden, ["visit_id", "task"], "left_anti")
+    d = d if hidden is None else d.join(hidden.hint("merge"), ["visit_id", "task"], "left_anti")
     d = d.withColumn("position", F.row_number().over(Window.partitionBy("visit_id").orderBy(*order)))
     return d.where(F.col("position") <= top).select("visit_id", "task", "antecedents", "lift", F.col("w").alias("weighted_confidence"), "position")
 
