@@ -154,3 +154,14 @@ def test_parts_are_not_broadcast_by_the_size_of_large_files(spark, monkeypatch):
             m.setattr(views, "merged_if_large", lambda d, of: tables.merged_if_large(d, of, 1000))
             e = views.view(spark, sf, n)
         assert broadcasts(d) and not broadcasts(e) and sorted(map(str, e.collect())) == want
+
+
+def test_visits_are_not_broadcast_to_rules_of_itemsets(spark, monkeypatch):
+    f = spark.createDataFrame([(["a", "b"], ["c"], 0.5, 0.9, 2.0), (["a"], ["b"], 0.5, 0.8, 1.5)], "antecedents array<string>, consequents array<string>, support double, confidence double, lift double").withColumn("weighted_confidence", F.col("confidence"))
+    f = f.union(spark.createDataFrame([([], ["a"], 0.4, 0.4, 1.0, 0.4)], f.schema))
+    v = associate.stored(spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["a"]) for i in range(40)], "visit_id long, done array<string>"), "visits")
+    made, stored = {}, associate.stored
+    monkeypatch.setattr(associate, "stored", lambda d, name: stored(made.setdefault(name, d), name))
+    d = associate.recommend(f, v, 0.0, 0.0, 0.0)
+    assert {(r.visit_id, r.task) for r in d.collect()} == {(i, "c" if i % 2 else "b") for i in range(40)}
+    assert not [x for p in (made["met"], d) for x in broadcasts(p) if "visit_id" in x]
